@@ -157,7 +157,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: r["key"])
-    taken = slots(found, spark, block).select("key", "shard", "round", F.col("index").alias("b"), F.col("words").alias("w"))
+    # written out, as a filter pushed through the permutation would repeat its rounds' expressions without end
+    taken = materialize(slots(found, spark, block), "slots").select("key", "shard", "round", F.col("index").alias("b"), F.col("words").alias("w"))
     pieces = placed.filter("size > 0").withColumn("b", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     low = F.greatest(F.col("start"), F.col("b") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("b") * block + F.col("w"))
