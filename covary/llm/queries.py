@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from covary.llm.bpe import op2_byte_bpe
+from covary.llm.lm import op10_lm_scores
 from covary.llm.mixing import OP9_SQL, op9_mixing
 from covary.llm.tokens import op1_token_files
 from covary.llm.warc import OP3_SQL, op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_warc, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_warc, op9_mixing, op10_lm_scores)}
 ORACLES = {"op3_warc": OP3_SQL, "op9_mixing": OP9_SQL}
