@@ -1,8 +1,8 @@
 """Near-duplicate documents by min-max hashing of word shingles, confirmed on full shingle sets.
 
 Under each of PERMUTATIONS hash functions a document keeps both the least and the greatest value of its shingles, so that N
-functions give 2N nearly independent values, each equal for two documents with a chance of their similarity. BANDS bands of ROWS
-values make buckets: at a similarity of 0.85 all bands miss with a chance of 2e-7.
+functions give 2N nearly independent values, each equal for two documents with a chance of their similarity. bands of 7 values
+(6 below a similarity of 0.85) make buckets: at a similarity of 0.85 all 40 bands miss with a chance of 2e-7, at 0.8 all 46 with 9e-7.
 
 Documents with equal sets are one class from the start. Within a bucket classes are first compared with one leader, the class that
 shares most bucket places with others; only classes that are still apart after that are compared pair by pair, if their sizes
@@ -25,14 +25,12 @@ from covary.llm.words import U, mix, slices, text_bytes, word_hashes
 
 K = 5
 PERMUTATIONS = 140
-ROWS = 7
-BANDS = 40
 SHARE, OF = 85, 100
 
 _rng = np.random.default_rng(11)
 _FACTORS = (_rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _SHIFTS = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)[:, None]
-_ORDER = _rng.integers(0, 2**63, max(64, ROWS), dtype=np.uint64) * U(2) + U(1)
+_ORDER = _rng.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> list[np.ndarray]:
@@ -69,30 +67,36 @@ def min_max(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
-_BAND_SALT = np.arange(1, BANDS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
+def layout(share: int, of: int) -> tuple[int, int]:
+    """(bands, values of each) for a threshold."""
+    rows = 7 if share * 20 >= 17 * of else 6
+    return 2 * PERMUTATIONS // rows, rows
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    rows = signature[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    return mix((rows * _ORDER[:ROWS]).sum(1) + _BAND_SALT)
+def band_keys(signature: np.ndarray, n: int, rows: int) -> np.ndarray:
+    values = signature[: n * rows].reshape(n, rows).astype(np.uint64)
+    return mix((values * _ORDER[:rows]).sum(1) + np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
 
-def _signatures(batches):
-    for batch in batches:
-        for start, stop in slices(batch.column("text")):
-            sets = shingle_sets(batch.column("text").slice(start, stop - start))
-            keys = [(int(x.sum() >> U(1)), int((mix(x ^ U(0x5851F42D4C957F2D))).sum() >> U(1))) if len(x) else (0, 0) for x in sets]
-            found = np.array([bands(min_max(x)) if len(x) else np.zeros(BANDS, np.uint64) for x in sets]).reshape(len(sets), BANDS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").slice(start, stop - start),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([k[0] for k in keys], pa.int64()),
-                    pa.array([k[1] for k in keys], pa.int64()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(found.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64())),
-                ],
-                ["id", "n", "k1", "k2", "bands"],
-            )
+def _signatures(n: int, rows: int):
+    def run(batches):
+        for batch in batches:
+            for start, stop in slices(batch.column("text")):
+                sets = shingle_sets(batch.column("text").slice(start, stop - start))
+                keys = [(int(x.sum() >> U(1)), int((mix(x ^ U(0x5851F42D4C957F2D))).sum() >> U(1))) if len(x) else (0, 0) for x in sets]
+                found = np.array([band_keys(min_max(x), n, rows) if len(x) else np.zeros(n, np.uint64) for x in sets]).reshape(len(sets), n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").slice(start, stop - start),
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array([k[0] for k in keys], pa.int64()),
+                        pa.array([k[1] for k in keys], pa.int64()),
+                        pa.FixedSizeListArray.from_arrays(pa.array(found.ravel().view(np.int64)), n).cast(pa.list_(pa.int64())),
+                    ],
+                    ["id", "n", "k1", "k2", "bands"],
+                )
+
+    return run
 
 
 def _confirm(share: int, of: int):
@@ -140,7 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    made = materialize(rows.mapInArrow(_signatures, f"id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "signatures")
+    made = materialize(rows.mapInArrow(_signatures(*layout(share, of)), f"id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "signatures")
     some = made.filter("n > 0 and id is not null")
     classes = materialize(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
 
