@@ -1,4 +1,8 @@
 """All queries over the reference tables and their DuckDB forms."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from covary.plans import relational, scalar  # noqa: F401
+from covary.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
