@@ -13,7 +13,6 @@ from covary.sources import panel as p
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-ROOT = math.sqrt(252)
 
 
 def query(name: str, sql: str | None = None, ctes: str | None = None):
@@ -33,7 +32,7 @@ def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fixed_hedge(p.week_panel(spark, sf_dir), p.SPLIT)
     w = x.pair_window()
     out = out.withColumn("z", F.round(x.zscore("spread", w, 20), 6)).withColumn("ry", x.pct_change("y", w)).withColumn("rx", x.pct_change("x", w)).withColumn("rm", x.pct_change("m", w))
-    out = out.withColumn("vol", F.round(x.annualise(x.rolling(F.stddev_samp, "rm", w, 20)), 6))
+    out = out.withColumn("vol", F.round(x.rolling(F.stddev_samp, "rm", w, 20) * math.sqrt(52), 6))
     return out.withColumn("regime", F.when(F.col("vol") > 0.35, 0).when(F.col("vol") > 0.22, 1).otherwise(2))
 
 
@@ -53,7 +52,7 @@ roll0 AS (SELECT *, avg(spread) OVER w AS mu, stddev_samp(spread) OVER w AS sd,
   FROM spread0 WINDOW o AS (PARTITION BY pair ORDER BY t), w AS (PARTITION BY pair ORDER BY t ROWS 19 PRECEDING), e AS (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING)),
 spine0 AS (SELECT pair, sector, date, t, y, x, m, beta, alpha, spread, ry, rx, rm,
     round(CASE WHEN total < 20 THEN CASE WHEN ne >= 10 THEN (spread - mu_e) / (sd_e + 1e-8) END WHEN nw >= 20 THEN (spread - mu) / (sd + 1e-8) END, 6) AS z,
-    CASE WHEN count(rm) OVER w >= 20 THEN round(stddev_samp(rm) OVER w * sqrt(252), 6) END AS vol
+    CASE WHEN count(rm) OVER w >= 20 THEN round(stddev_samp(rm) OVER w * sqrt(52), 6) END AS vol
   FROM roll0 WINDOW w AS (PARTITION BY pair ORDER BY t ROWS 19 PRECEDING)),
 spine AS (SELECT *, CASE WHEN vol > 0.35 THEN 0 WHEN vol > 0.22 THEN 1 ELSE 2 END AS regime FROM spine0),
 dprices AS (SELECT l_shipdate::DATE AS date, r_name AS ticker, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT / count(l_extendedprice) / 100.0 AS close

@@ -326,7 +326,7 @@ _columns("w3_rolling_extremes", {"high": (x.rolling(F.max, "m", w, 20, 1), f"max
 _columns("w4_rolling_corr", {"r": (r6(x.rolling(F.corr, ["y", "x"], w, 30)), f"round(CASE WHEN count(*) OVER {R(30)} >= 30 THEN corr(y, x) OVER {R(30)} END, 6)")})
 _columns("w5_rolling_sum", {"total": (r6(x.rolling(F.sum, "rm", w, 20)), f"round({_rolled('sum', 'rm', 20)}, 6)")})
 _E = "(PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING)"
-_columns("w6_expanding", {"high": (x.expanding(F.max, "y", w), f"max(y) OVER {_E}"), "mean": (F.round(x.expanding(F.avg, "y", w, 10), 6), f"round(CASE WHEN count(y) OVER {_E} >= 10 THEN avg(y) OVER {_E} END, 6)")})
+_columns("w6_expanding", {"high": (x.expanding(F.max, "y", w), f"max(y) OVER {_E}"), "mean": (F.round(x.expanding(F.avg, "rm", w, 10), 8), f"round(CASE WHEN count(rm) OVER {_E} >= 10 THEN avg(rm) OVER {_E} END, 8)")})
 _columns("w7_equity", {"equity": (r6(F.product(1 + F.col("ry") / 100).over(w.rowsBetween(Window.unboundedPreceding, 0))), f"round(product(1 + ry / 100) OVER {_E}, 6)")})
 _columns("w10_zscore", {"z40": (F.round(x.zscore("spread", w, 40), 5), f"round(CASE WHEN count(*) OVER (PARTITION BY pair) < 40 THEN CASE WHEN count(*) OVER {_E} >= 10 THEN (spread - avg(spread) OVER {_E}) / (stddev_samp(spread) OVER {_E} + 1e-8) END WHEN count(*) OVER {R(40)} >= 40 THEN (spread - avg(spread) OVER {R(40)}) / (stddev_samp(spread) OVER {R(40)} + 1e-8) END, 5)")})
 _columns("w11_multi_zscore", {f"z{n}": (F.round(x.zscore("spread", w, n), 5), f"round(CASE WHEN count(*) OVER {R(n)} >= {n} THEN (spread - avg(spread) OVER {R(n)}) / (stddev_samp(spread) OVER {R(n)} + 1e-8) END, 5)") for n in (30, 60, 90)})
