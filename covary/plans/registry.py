@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covary.plans import relational, scalar, trading  # noqa: F401
+from covary.plans import relational, research, scalar, trading  # noqa: F401
 from covary.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
