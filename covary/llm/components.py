@@ -24,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before["n"]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").hint("merge").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(low, F.col("a") == F.col("u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m")).distinct()
+        small = large.hint("merge").join(low, F.col("a") == F.col("u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("u", "m")).distinct()
         made = materialize(small, "edges")
         after = _state(made)
         discard(spark, now._covary_path, large._covary_path)

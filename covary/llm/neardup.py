@@ -5,8 +5,7 @@ functions give 2N nearly independent values, each equal for two documents with a
 (6 below a similarity of 0.85) make buckets: at a similarity of 0.85 all 40 bands miss with a chance of 2e-7, at 0.8 all 46 with 9e-7.
 
 Documents with equal sets are one class from the start. Within a bucket classes are first compared with one leader, the class that
-shares most bucket places with others; only classes that are still apart after that are compared pair by pair, if their sizes
-allow the similarity at all. A pair is a link if and only if its full sets say so. Links end in connected components.
+shares most bucket places with others; buckets with classes that are still apart after that are compared in blocks, all with all. A pair is a link if and only if its full sets say so. Links end in connected components.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; a text of fewer than k words is one
 shingle; repeated rows (also of one id) each get a row; null ids are in no component (null, kept); other columns are not read.
@@ -26,6 +25,7 @@ from covary.llm.words import U, mix, slices, text_bytes, word_hashes
 K = 5
 PERMUTATIONS = 140
 SHARE, OF = 85, 100
+BLOCK = 256
 
 _rng = np.random.default_rng(11)
 _FACTORS = (_rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -124,9 +124,9 @@ def _confirm(share: int, of: int):
 def confirm(pairs: DataFrame, texts: DataFrame, share: int, of: int) -> DataFrame:
     """(a, b, linked) of the pairs by their full sets. texts: (id, text). An id with several texts is linked if one of them is."""
     used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    kept = materialize(texts.join(used, "id", "left_semi"), "pair-texts")
-    left = pairs.join(kept.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(kept.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    kept = materialize(texts.join(used.hint("merge"), "id", "left_semi"), "pair-texts")
+    left = pairs.hint("merge").join(kept.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.hint("merge").join(kept.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     kind = pairs.schema["a"].dataType.simpleString()
     found = both.mapInArrow(_confirm(share, of), f"a {kind}, b {kind}, linked boolean")
     out = materialize(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "confirmed")
@@ -134,6 +134,52 @@ def confirm(pairs: DataFrame, texts: DataFrame, share: int, of: int) -> DataFram
     return out
 
 
+def _cross(share: int, of: int):
+    """A link for each two labels that have one within a block of texts or between two."""
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, labels, sides = (table[c].to_numpy() for c in ("rep", "label", "side"))
+        sets = [x for chunk in table["text"].chunks for x in shingle_sets(chunk)]
+        first = np.flatnonzero(sides == 0)
+        second = np.flatnonzero(sides == 1) if (sides == 1).any() else first
+        sizes = np.array([len(x) for x in sets])
+        here, there = (np.unique(np.concatenate([sets[i] for i in side])) for side in (first, second))
+        common = np.intersect1d(here, there, assume_unique=True)
+        both = np.zeros((len(first), len(second)), np.float32)
+        for i in range(0, len(common), 8192):  # exact counts: whole numbers below 2^24
+            part = common[i : i + 8192]
+            both += _incidence([sets[j] for j in first], part) @ _incidence([sets[j] for j in second], part).T
+        total = sizes[first][:, None] + sizes[second][None, :] - both
+        linked = (of * both.astype(np.float64) >= share * total.astype(np.float64)) & (labels[first][:, None] != labels[second][None, :])
+        found = {(max(labels[first[i]], labels[second[j]]), min(labels[first[i]], labels[second[j]])) for i, j in zip(*np.nonzero(linked), strict=True)}
+        return pa.table({"a": pa.array([x for x, _ in found], table["label"].type), "b": pa.array([x for _, x in found], table["label"].type)})
+
+    return run
+
+
+def _incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    for row, x in enumerate(sets):
+        at = np.minimum(np.searchsorted(columns, x), len(columns) - 1)
+        out[row, at[columns[at] == x]] = 1
+    return out
+
+
+def _blocks(own: DataFrame, rows: DataFrame, share: int, of: int) -> DataFrame:
+    """Links (a, b) between labels of the same bucket. own: (bucket, rep, label, blocks).
+
+    A bucket's classes are dealt to blocks of about BLOCK; each two blocks are compared in a task of their own by a product of
+    their incidence matrices, so that no pair is ever a row.
+    """
+    block = F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("blocks")).cast("int")
+    dealt = own.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "label")
+    texts = rows.join(own.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    both = dealt.hint("merge").join(texts.withColumnRenamed("id", "rep"), "rep")
+    kind = own.schema["rep"].dataType.simpleString()
+    return both.groupBy("bucket", "x", "y").applyInArrow(_cross(share, of), f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, of: int = OF) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: documents are linked if of * |A & B| >= share * |A | B|.
 
@@ -150,32 +196,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     places = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    places = materialize(places.join(shared, "bucket"), "places")
+    places = materialize(places.hint("merge").join(shared, "bucket"), "places")
     weight = places.groupBy(F.col("rep").alias("r")).agg(F.sum(F.col("m") - 1).alias("weight"))
-    weighed = places.join(weight, F.col("rep") == F.col("r"))
+    weighed = places.hint("merge").join(weight, F.col("rep") == F.col("r"))
     leader = weighed.groupBy("bucket").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("n").alias("nb")), F.struct(-F.col("weight"), F.col("rep"))).alias("l")).select("bucket", "l.b", "l.nb")
     fits = lambda x, y: F.least(x, y) * of >= F.greatest(x, y) * share
-    pairs = places.join(leader, "bucket").filter((F.col("rep") != F.col("b")) & fits(F.col("n"), F.col("nb"))).select(F.col("rep").alias("a"), "b").distinct()
+    pairs = places.hint("merge").join(leader, "bucket").filter((F.col("rep") != F.col("b")) & fits(F.col("n"), F.col("nb"))).select(F.col("rep").alias("a"), "b").distinct()
     first = confirm(materialize(pairs, "pairs"), rows, share, of)
     links = first.filter("linked").select("a", "b")
     labels = components(links)
 
-    own = places.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-    open_ = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    left = materialize(own.join(open_, "bucket").select("bucket", "rep", "n", "label"), "open")
-    x, y = left.alias("x"), left.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.n"), F.col("y.n"))
-    rest = x.join(y, apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        second = confirm(rest, rows, share, of)
-        labels = components(links.union(second.filter("linked").select("a", "b")))
+    own = materialize(places.hint("merge").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label")), "labelled")
+    open_ = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+    # of two places the pair is known; of buckets with the same classes one is enough
+    open_ = open_.filter("low <> high and m > 2").groupBy("who", "m").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    met = materialize(_blocks(own.join(open_, "bucket"), rows, share, of), "met")
+    if met.limit(1).count():
+        labels = components(links.union(met))
     labels = materialize(labels, "labels")
 
     reps = classes.select("k1", "k2", F.col("n").alias("size"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "size", F.coalesce("component", "rep").alias("component_id"))
     same = (made["k1"] == reps["k1"]) & (made["k2"] == reps["k2"]) & (made["n"] == reps["size"]) & made["id"].isNotNull()
-    out = made.drop("bands").join(reps, same, "left")
+    out = made.drop("bands").hint("merge").join(reps, same, "left")
     component = F.coalesce("component_id", "id")
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
