@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covary.plans import more, relational, research, scalar, streams, trading  # noqa: F401
+from covary.plans import batteries, more, relational, research, scalar, streams, trading  # noqa: F401
 from covary.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
