@@ -11,7 +11,6 @@ from covary.plans.base import query, spine
 from covary.plans.scalar import r6
 from covary.plans.trading import BT, backtest, signal_sql
 
-w = x.pair_window()
 
 _MEASURES = "count(r)::BIGINT AS n, round(sum(r), 5) AS total, round(avg((r > 0)::INT), 6) AS win_rate"
 
@@ -59,5 +58,5 @@ def b20(spark, sf_dir):
     s = folds.signals(spine(spark, sf_dir)).withColumn("calm", F.lit(2))
     s = folds.signals(s, regime="calm", name="ungated")
     sr = 0.05 * (F.col("ry") - F.col("beta") * F.col("rx"))
-    s = s.withColumn("a", F.lag("signal").over(w) * sr).withColumn("b", F.lag("ungated").over(w) * sr)
+    s = s.withColumn("a", F.lag("signal").over(x.pair_window()) * sr).withColumn("b", F.lag("ungated").over(x.pair_window()) * sr)
     return s.groupBy("pair").agg(F.round(F.sum("a"), 5).alias("gated"), F.round(F.sum("b"), 5).alias("ungated"), F.round(F.sum("a") - F.sum("b"), 4).alias("timing_alpha"))

@@ -12,7 +12,6 @@ from covary.plans.scalar import r6
 from covary.plans.trading import BT, backtest
 from covary.sources import panel as p
 
-w = x.pair_window()
 
 
 @query("a19_universe_summary", BT + "SELECT count(*)::BIGINT AS pairs, round(avg((oos > 0)::INT), 6) AS hit_rate, round(avg(train), 6) AS mean_train, round(avg(oos), 6) AS mean_oos, round(median(oos), 8) AS median_oos, arg_max(pair, (oos, pair)) AS best FROM (SELECT pair, round(coalesce(sum(net) FILTER (period = 'train'), 0), 8) AS train, round(coalesce(sum(net) FILTER (period = 'oos'), 0), 8) AS oos FROM bt GROUP BY 1)")
@@ -70,7 +69,7 @@ def d10(spark, sf_dir):
 @query("k7_distance_spread", f"SELECT pair, t, round((d - mu) / sd, 5) AS z FROM (SELECT pair, t, date, y / first_value(y) OVER o - x / first_value(x) OVER o AS d FROM panel WINDOW o AS (PARTITION BY pair ORDER BY t)) JOIN (SELECT pair, avg(d) AS mu, stddev_samp(d) AS sd FROM (SELECT pair, date, y / first_value(y) OVER o - x / first_value(x) OVER o AS d FROM panel WINDOW o AS (PARTITION BY pair ORDER BY t)) WHERE date <= DATE '{p.SPLIT}' GROUP BY 1) USING (pair)")
 def k7(spark, sf_dir):
     """Distance of normalised prices, scaled by the train rows."""
-    first = lambda c: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first = lambda c: F.first(c).over(x.pair_window().rowsBetween(Window.unboundedPreceding, 0))
     s = p.week_panel(spark, sf_dir).withColumn("d", F.col("y") / first("y") - F.col("x") / first("x"))
     early = F.when(F.col("date") <= F.lit(p.SPLIT).cast("date"), F.col("d"))
     every = Window.partitionBy("pair")

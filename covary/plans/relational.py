@@ -13,7 +13,6 @@ from covary.plans.scalar import _columns, r6
 from covary.sources import panel as p
 from covary.sources import tradelog as log
 
-w = x.pair_window()
 O = "(PARTITION BY pair ORDER BY t)"  # noqa: E741
 
 
@@ -320,18 +319,18 @@ def _rolled(agg, col, n, least=None):
     return f"CASE WHEN count({col}) OVER {R(n)} >= {least} THEN {agg}({col}) OVER {R(n)} END"
 
 
-_columns("w1_rolling_std", {f"sd_{n}": (r6(x.rolling(F.stddev_samp, "rm", w, n)), f"round({_rolled('stddev_samp', 'rm', n)}, 6)") for n in (5, 10, 20, 40, 60)})
-_columns("w2_rolling_mean", {f"mean_{n}": (F.round(x.rolling(F.avg, "m", w, n), 7), f"round({_rolled('avg', 'm', n)}, 7)") for n in (20, 50, 60)})
-_columns("w3_rolling_extremes", {"high": (x.rolling(F.max, "m", w, 20, 1), f"max(m) OVER {R(20)}"), "low": (x.rolling(F.min, "m", w, 20), _rolled("min", "m", 20))})
-_columns("w4_rolling_corr", {"r": (r6(x.rolling(F.corr, ["y", "x"], w, 30)), f"round(CASE WHEN count(*) OVER {R(30)} >= 30 THEN corr(y, x) OVER {R(30)} END, 6)")})
-_columns("w5_rolling_sum", {"total": (r6(x.rolling(F.sum, "rm", w, 20)), f"round({_rolled('sum', 'rm', 20)}, 6)")})
+_columns("w1_rolling_std", {f"sd_{n}": (lambda n=n: r6(x.rolling(F.stddev_samp, "rm", x.pair_window(), n)), f"round({_rolled('stddev_samp', 'rm', n)}, 6)") for n in (5, 10, 20, 40, 60)})
+_columns("w2_rolling_mean", {f"mean_{n}": (lambda n=n: F.round(x.rolling(F.avg, "m", x.pair_window(), n), 7), f"round({_rolled('avg', 'm', n)}, 7)") for n in (20, 50, 60)})
+_columns("w3_rolling_extremes", {"high": (lambda: x.rolling(F.max, "m", x.pair_window(), 20, 1), f"max(m) OVER {R(20)}"), "low": (lambda: x.rolling(F.min, "m", x.pair_window(), 20), _rolled("min", "m", 20))})
+_columns("w4_rolling_corr", {"r": (lambda: r6(x.rolling(F.corr, ["y", "x"], x.pair_window(), 30)), f"round(CASE WHEN count(*) OVER {R(30)} >= 30 THEN corr(y, x) OVER {R(30)} END, 6)")})
+_columns("w5_rolling_sum", {"total": (lambda: r6(x.rolling(F.sum, "rm", x.pair_window(), 20)), f"round({_rolled('sum', 'rm', 20)}, 6)")})
 _E = "(PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING)"
-_columns("w6_expanding", {"high": (x.expanding(F.max, "y", w), f"max(y) OVER {_E}"), "mean": (F.round(x.expanding(F.avg, "rm", w, 10), 8), f"round(CASE WHEN count(rm) OVER {_E} >= 10 THEN avg(rm) OVER {_E} END, 8)")})
-_columns("w7_equity", {"equity": (r6(F.product(1 + F.col("ry") / 100).over(w.rowsBetween(Window.unboundedPreceding, 0))), f"round(product(1 + ry / 100) OVER {_E}, 6)")})
-_columns("w10_zscore", {"z40": (F.round(x.zscore("spread", w, 40), 5), f"round(CASE WHEN count(*) OVER (PARTITION BY pair) < 40 THEN CASE WHEN count(*) OVER {_E} >= 10 THEN (spread - avg(spread) OVER {_E}) / (stddev_samp(spread) OVER {_E} + 1e-8) END WHEN count(*) OVER {R(40)} >= 40 THEN (spread - avg(spread) OVER {R(40)}) / (stddev_samp(spread) OVER {R(40)} + 1e-8) END, 5)")})
-_columns("w11_multi_zscore", {f"z{n}": (F.round(x.zscore("spread", w, n), 5), f"round(CASE WHEN count(*) OVER {R(n)} >= {n} THEN (spread - avg(spread) OVER {R(n)}) / (stddev_samp(spread) OVER {R(n)} + 1e-8) END, 5)") for n in (30, 60, 90)})
-_columns("w13_mean_before", {"mean5": (r6(x.rolling(F.avg, "z", w, 5, before=True)), f"round(CASE WHEN count(z) OVER {R(5, True)} >= 5 THEN avg(z) OVER {R(5, True)} END, 6)")})
-_columns("w15_sampled", {"every5": (x.ffill(F.when(F.col("t") % 5 == 0, F.col("z")), w), f"last_value(CASE WHEN t % 5 = 0 THEN z END IGNORE NULLS) OVER {_E}")})
+_columns("w6_expanding", {"high": (lambda: x.expanding(F.max, "y", x.pair_window()), f"max(y) OVER {_E}"), "mean": (lambda: F.round(x.expanding(F.avg, "rm", x.pair_window(), 10), 8), f"round(CASE WHEN count(rm) OVER {_E} >= 10 THEN avg(rm) OVER {_E} END, 8)")})
+_columns("w7_equity", {"equity": (lambda: r6(F.product(1 + F.col("ry") / 100).over(x.pair_window().rowsBetween(Window.unboundedPreceding, 0))), f"round(product(1 + ry / 100) OVER {_E}, 6)")})
+_columns("w10_zscore", {"z40": (lambda: F.round(x.zscore("spread", x.pair_window(), 40), 5), f"round(CASE WHEN count(*) OVER (PARTITION BY pair) < 40 THEN CASE WHEN count(*) OVER {_E} >= 10 THEN (spread - avg(spread) OVER {_E}) / (stddev_samp(spread) OVER {_E} + 1e-8) END WHEN count(*) OVER {R(40)} >= 40 THEN (spread - avg(spread) OVER {R(40)}) / (stddev_samp(spread) OVER {R(40)} + 1e-8) END, 5)")})
+_columns("w11_multi_zscore", {f"z{n}": (lambda n=n: F.round(x.zscore("spread", x.pair_window(), n), 5), f"round(CASE WHEN count(*) OVER {R(n)} >= {n} THEN (spread - avg(spread) OVER {R(n)}) / (stddev_samp(spread) OVER {R(n)} + 1e-8) END, 5)") for n in (30, 60, 90)})
+_columns("w13_mean_before", {"mean5": (lambda: r6(x.rolling(F.avg, "z", x.pair_window(), 5, before=True)), f"round(CASE WHEN count(z) OVER {R(5, True)} >= 5 THEN avg(z) OVER {R(5, True)} END, 6)")})
+_columns("w15_sampled", {"every5": (lambda: x.ffill(F.when(F.col("t") % 5 == 0, F.col("z")), x.pair_window()), f"last_value(CASE WHEN t % 5 = 0 THEN z END IGNORE NULLS) OVER {_E}")})
 
 
 @query("w8_average_rank", "SELECT sector, pair, rank() OVER (PARTITION BY sector ORDER BY n DESC) + (count(*) OVER (PARTITION BY sector, n) - 1) / 2.0 AS rank FROM (SELECT sector, pair, count(*) AS n FROM panel GROUP BY ALL)")
@@ -349,7 +348,7 @@ def w9(spark, sf_dir):
 
 @query("w12_drawdown", f"SELECT pair, round(min(e / pk - 1), 5) AS max_drawdown FROM (SELECT pair, e, max(e) OVER {_E} AS pk FROM (SELECT pair, t, product(1 + ry / 100) OVER {_E} AS e FROM spine)) GROUP BY 1")
 def w12(spark, sf_dir):
-    grow = w.rowsBetween(Window.unboundedPreceding, 0)
+    grow = x.pair_window().rowsBetween(Window.unboundedPreceding, 0)
     s = spine(spark, sf_dir).withColumn("e", F.product(1 + F.col("ry") / 100).over(grow)).withColumn("pk", F.max("e").over(grow))
     return s.groupBy("pair").agg(F.round(F.min(F.col("e") / F.col("pk") - 1), 5).alias("max_drawdown"))
 

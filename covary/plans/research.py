@@ -12,7 +12,6 @@ from covary.plans.scalar import _K, _columns, r6
 from covary.plans.trading import BT, backtest
 from covary.sources import panel as p
 
-w = x.pair_window()
 PD = "PARTITION BY pair ORDER BY t ROWS BETWEEN"
 
 
@@ -75,7 +74,7 @@ def r4(spark, sf_dir):
 
 @query("r5_whole_half_life", "SELECT pair, round(CASE WHEN th < 0 THEN -ln(2) / th ELSE 999 END, 5) AS half_life FROM (SELECT pair, regr_slope(ds, l) AS th FROM (SELECT pair, lag(spread) OVER o AS l, spread - lag(spread) OVER o AS ds FROM spine WINDOW o AS (PARTITION BY pair ORDER BY t)) GROUP BY 1)")
 def r5(spark, sf_dir):
-    s = spine(spark, sf_dir).select("pair", F.lag("spread").over(w).alias("l"), x.diff("spread", w).alias("ds"))
+    s = spine(spark, sf_dir).select("pair", F.lag("spread").over(x.pair_window()).alias("l"), x.diff("spread", x.pair_window()).alias("ds"))
     th = F.regr_slope("ds", "l")
     return s.groupBy("pair").agg(F.round(F.when(th < 0, -0.6931471805599453 / th).otherwise(999.0), 5).alias("half_life"))
 
@@ -111,7 +110,7 @@ def pair_scores(panel, min_rows: int = 252):
     """(pair, sector, n, score, hl, r): one window over the pair for the hedge, one aggregate for all the rest."""
     q = Window.partitionBy("pair")
     s = panel.withColumn("n", F.count(F.lit(1)).over(q)).withColumn("b", F.regr_slope("y", "x").over(q)).withColumn("a", F.regr_intercept("y", "x").over(q)).withColumn("r", F.corr("y", "x").over(q))
-    s = s.withColumn("s", F.col("y") - F.col("b") * F.col("x")).withColumn("u", F.col("y") - F.col("a") - F.col("b") * F.col("x")).withColumn("s1", F.lag("s").over(w)).withColumn("u1", F.lag("u").over(w))
+    s = s.withColumn("s", F.col("y") - F.col("b") * F.col("x")).withColumn("u", F.col("y") - F.col("a") - F.col("b") * F.col("x")).withColumn("s1", F.lag("s").over(x.pair_window())).withColumn("u1", F.lag("u").over(x.pair_window()))
     ds, du = F.col("s") - F.col("s1"), F.col("u") - F.col("u1")
     g = s.groupBy("pair", "sector").agg(F.max("n").alias("n"), F.max("r").alias("r"), F.regr_slope(ds, F.col("s1")).alias("th"), F.regr_sxx(ds, F.col("s1")).alias("sxx"), F.regr_sxy(ds, F.col("s1")).alias("sxy"), F.regr_syy(ds, F.col("s1")).alias("syy"), F.sum(F.col("u1") * F.col("u1")).alias("uu"), F.sum(F.col("u1") * du).alias("ud"), F.sum(du * du).alias("dd"), F.count("s1").alias("m"))
     g = g.withColumn("dt", F.round(F.expr("sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (m - 2) / sxx)"), 6)).withColumn("et", F.round(F.expr("ud / uu / sqrt((dd - ud * ud / uu) / (m - 1) / uu)"), 6))
@@ -237,7 +236,7 @@ def t6(spark, sf_dir):
     q = Window.partitionBy("pair")
     s = s.withColumn("dev", F.col("rm") - F.avg("rm").over(q))
     for k in range(1, 11):
-        s = s.withColumn(f"v{k}", F.col("dev") * F.lag("dev", k).over(w))
+        s = s.withColumn(f"v{k}", F.col("dev") * F.lag("dev", k).over(x.pair_window()))
     lags = [F.struct(F.lit(k).alias("k"), F.col(f"v{k}").alias("v")) for k in range(1, 11)]
     g = s.groupBy("pair").agg(F.count("rm").alias("n"), F.sum(F.col("dev") * F.col("dev")).alias("ss"), F.skewness("rm").alias("sk"), F.kurtosis("rm").alias("ku"), (F.avg("rm") / (F.stddev_samp("rm") / F.sqrt(F.count("rm")))).alias("ts"))
     rho = s.select("pair", F.explode(F.array(*lags)).alias("v")).groupBy("pair", F.col("v.k").alias("k")).agg(F.sum("v.v").alias("c"))
@@ -261,7 +260,7 @@ def t13(spark, sf_dir):
 
 # regimes -------------------------------------------------------------------------------------------------------------
 
-_columns("m3_simple_regimes", {"simple": (F.when(F.col("vol") > 0.35, 0).when(F.col("vol") > 0.22, 1).otherwise(2), "CASE WHEN vol > 0.35 THEN 0 WHEN vol > 0.22 THEN 1 ELSE 2 END")})
+_columns("m3_simple_regimes", {"simple": (lambda: F.when(F.col("vol") > 0.35, 0).when(F.col("vol") > 0.22, 1).otherwise(2), "CASE WHEN vol > 0.35 THEN 0 WHEN vol > 0.22 THEN 1 ELSE 2 END")})
 
 
 @query("m4_quantile_regimes", f"SELECT pair, t, CASE WHEN vol IS NULL THEN 2 WHEN vol > hi THEN 0 WHEN vol > lo THEN 1 ELSE 2 END AS regime FROM spine JOIN (SELECT pair, quantile_cont(vol, 0.33) AS lo, quantile_cont(vol, 0.66) AS hi FROM spine WHERE date <= DATE '{p.SPLIT}' GROUP BY 1) USING (pair)")
@@ -292,14 +291,14 @@ def m9k(spark, sf_dir):
 
 @query("m10_transitions", "SELECT *, round(n / sum(n) OVER (PARTITION BY pair, from_regime), 6) AS prob FROM (SELECT pair, before AS from_regime, regime AS to_regime, count(*)::BIGINT AS n FROM (SELECT pair, regime, lag(regime) OVER (PARTITION BY pair ORDER BY t) AS before FROM spine) WHERE before IS NOT NULL GROUP BY 1, 2, 3)")
 def m10(spark, sf_dir):
-    n = spine(spark, sf_dir).select("pair", "regime", F.lag("regime").over(w).alias("before")).filter("before is not null").groupBy("pair", F.col("before").alias("from_regime"), F.col("regime").alias("to_regime")).agg(F.count(F.lit(1)).alias("n"))
+    n = spine(spark, sf_dir).select("pair", "regime", F.lag("regime").over(x.pair_window()).alias("before")).filter("before is not null").groupBy("pair", F.col("before").alias("from_regime"), F.col("regime").alias("to_regime")).agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("prob", r6(F.col("n") / F.sum("n").over(Window.partitionBy("pair", "from_regime"))))
 
 
 _columns("m1_features", {
-    **{f"vol_{n}": (r6(x.annualise(x.rolling(F.stddev_samp, "rm", w, n))), f"round(CASE WHEN count(rm) OVER ({PD} {n - 1} PRECEDING AND CURRENT ROW) >= {n} THEN stddev_samp(rm) OVER ({PD} {n - 1} PRECEDING AND CURRENT ROW) * sqrt(252) END, 6)") for n in (5, 10, 20, 40, 60)},
-    **{f"dd_{n}": (r6((F.col("m") - x.rolling(F.max, "m", w, n, 1)) / x.rolling(F.max, "m", w, n, 1)), f"round((m - max(m) OVER ({PD} {n - 1} PRECEDING AND CURRENT ROW)) / max(m) OVER ({PD} {n - 1} PRECEDING AND CURRENT ROW), 6)") for n in (10, 20, 40, 60)},
-    **{f"ret_{k}": (r6(x.pct_change("m", w, k)), f"round(m / lag(m, {k}) OVER (PARTITION BY pair ORDER BY t) - 1, 6)") for k in (5, 10, 20)},
-    "trend": (r6(F.col("m") / x.rolling(F.avg, "m", w, 20) - 1), f"round(CASE WHEN count(m) OVER ({PD} 19 PRECEDING AND CURRENT ROW) >= 20 THEN m / avg(m) OVER ({PD} 19 PRECEDING AND CURRENT ROW) - 1 END, 6)"),
-    "pair_corr": (r6(x.rolling(F.corr, ["y", "x"], w, 30)), f"round(CASE WHEN count(y) OVER ({PD} 29 PRECEDING AND CURRENT ROW) >= 30 THEN corr(y, x) OVER ({PD} 29 PRECEDING AND CURRENT ROW) END, 6)"),
+    **{f"vol_{n}": (lambda n=n: r6(x.annualise(x.rolling(F.stddev_samp, "rm", x.pair_window(), n))), f"round(CASE WHEN count(rm) OVER ({PD} {n - 1} PRECEDING AND CURRENT ROW) >= {n} THEN stddev_samp(rm) OVER ({PD} {n - 1} PRECEDING AND CURRENT ROW) * sqrt(252) END, 6)") for n in (5, 10, 20, 40, 60)},
+    **{f"dd_{n}": (lambda n=n: r6((F.col("m") - x.rolling(F.max, "m", x.pair_window(), n, 1)) / x.rolling(F.max, "m", x.pair_window(), n, 1)), f"round((m - max(m) OVER ({PD} {n - 1} PRECEDING AND CURRENT ROW)) / max(m) OVER ({PD} {n - 1} PRECEDING AND CURRENT ROW), 6)") for n in (10, 20, 40, 60)},
+    **{f"ret_{k}": (lambda k=k: r6(x.pct_change("m", x.pair_window(), k)), f"round(m / lag(m, {k}) OVER (PARTITION BY pair ORDER BY t) - 1, 6)") for k in (5, 10, 20)},
+    "trend": (lambda: r6(F.col("m") / x.rolling(F.avg, "m", x.pair_window(), 20) - 1), f"round(CASE WHEN count(m) OVER ({PD} 19 PRECEDING AND CURRENT ROW) >= 20 THEN m / avg(m) OVER ({PD} 19 PRECEDING AND CURRENT ROW) - 1 END, 6)"),
+    "pair_corr": (lambda: r6(x.rolling(F.corr, ["y", "x"], x.pair_window(), 30)), f"round(CASE WHEN count(y) OVER ({PD} 29 PRECEDING AND CURRENT ROW) >= 30 THEN corr(y, x) OVER ({PD} 29 PRECEDING AND CURRENT ROW) END, 6)"),
 })

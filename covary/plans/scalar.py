@@ -11,43 +11,42 @@ from covary.functions import exprs as x
 from covary.plans.base import query, spine
 from covary.sources import panel as p
 
-w = x.pair_window()
 O = "(PARTITION BY pair ORDER BY t)"  # noqa: E741
 
 
 def _columns(name: str, made: dict):
-    """A query of (pair, t) and columns, each given as a Spark column and a DuckDB expression."""
+    """A query of (pair, t) and columns, each given as a Spark column, made when the query runs, and a DuckDB expression."""
     sql = "SELECT pair, t, " + ", ".join(f"{q} AS {k}" for k, (_, q) in made.items()) + " FROM spine"
 
     @query(name, sql)
     def run(spark, sf_dir):
-        return spine(spark, sf_dir).select("pair", "t", *[col.alias(k) for k, (col, _) in made.items()])
+        return spine(spark, sf_dir).select("pair", "t", *[col().alias(k) for k, (col, _) in made.items()])
 
 
 def r6(col):
     return F.round(col, 6)
 
 
-_columns("p1_pct_change", {f"ret_{k}": (r6(x.pct_change("m", w, k)), f"round(m / lag(m, {k}) OVER {O} - 1, 6)") for k in (1, 5, 10, 20)})
-_columns("p2_diff", {f"d_{k}": (x.diff("y", w, k), f"y - lag(y, {k}) OVER {O}") for k in (1, 10)})
-_columns("p3_lag", {"z_before": (F.lag("z", 1).over(w), f"lag(z) OVER {O}")})
-_columns("p4_annualise", {"vol_year": (F.round(x.annualise(F.col("vol") / 10), 5), "round(vol / 10 * sqrt(252), 5)"), "year": (r6(x.annual_return(F.col("ry") / 100, F.lit(126))), "round((1 + ry / 100) ^ (252.0 / 126) - 1, 6)")})
-_columns("p5_safe_ratio", {"ratio": (r6(x.safe_ratio("y", "x")), "round(y / (x + 1e-8), 6)"), "sharpe": (r6(F.when(F.col("vol") > 0, F.col("rm") / F.col("vol")).otherwise(0.0)), "round(CASE WHEN vol > 0 THEN rm / vol ELSE 0.0 END, 6)")})
-_columns("p6_clip", {"clipped": (x.clip("z", -2.0, 2.0), "CASE WHEN z IS NOT NULL THEN least(greatest(z, -2.0), 2.0) END"), "positive": (F.when(F.col("z").isNotNull(), F.greatest("z", F.lit(0.0))), "CASE WHEN z IS NOT NULL THEN greatest(z, 0.0) END")})
-_columns("p7_health_size", {"size": (x.size_by_health(F.abs(F.col("z")) / 2), "CASE WHEN abs(z) / 2 < 0.4 THEN 0.0 WHEN abs(z) / 2 < 0.6 THEN 0.5 WHEN abs(z) / 2 < 0.8 THEN 0.75 ELSE 1.0 END::DOUBLE")})
-_columns("p8_position_size", {"size": (F.round(x.position_size("z", "vol"), 4), "round(CASE WHEN z IS NOT NULL AND vol IS NOT NULL THEN least(greatest((least(greatest((abs(z) - 2) / 2, 0.0), 0.5) + 1) * least(greatest(1 - (vol - 0.15) / 0.15, 0.5), 1.0), 0.5), 1.5) END, 4)")})
-_columns("p9_regime_name", {"name": (x.regime_name("regime"), "['crisis', 'volatile', 'normal'][regime + 1]")})
-_columns("p10_mark_period", {"period": (x.mark_period("date", p.SPLIT), f"CASE WHEN date <= DATE '{p.SPLIT}' THEN 'train' ELSE 'oos' END")})
-_columns("p11_split_three", {"period": (x.mark_three("date", "1998-06-30", p.SPLIT), f"CASE WHEN date <= DATE '1998-06-30' THEN 'train' WHEN date <= DATE '{p.SPLIT}' THEN 'val' ELSE 'test' END")})
-_columns("p12_confidence", {"confidence": (r6(F.when(F.col("z").isNotNull(), x.confidence("z"))), "round(CASE WHEN z IS NOT NULL THEN least(1.0, abs(z) / 1.5) END, 6)")})
-_columns("p13_finite", {"filled": (r6(x.finite(F.col("rm") / F.nullif(F.col("t") - 3, F.lit(0)), 0.5)), "round(coalesce(rm / nullif(t - 3, 0), 0.5), 6)")})
-_columns("p14_percent", {"pct": (F.round(F.col("rm") * 100, 3), "round(rm * 100, 3)")})
-_columns("p15_cohens_band", {"band": (x.cohens_band("z"), "CASE WHEN abs(z) < 0.2 THEN 'negligible' WHEN abs(z) < 0.5 THEN 'small' WHEN abs(z) < 0.8 THEN 'medium' ELSE 'large' END")})
-_columns("x10_math", {"a": (r6(F.log("y")), "round(ln(y), 6)"), "b": (r6(F.exp("rm")), "round(exp(rm), 6)"), "s": (r6(F.sqrt("x")), "round(sqrt(x), 6)"), "g": (F.signum("z"), "sign(z)::DOUBLE"), "p": (r6(F.pow("vol", F.lit(1.5))), "round(vol ^ 1.5, 6)")})
+_columns("p1_pct_change", {f"ret_{k}": (lambda k=k: r6(x.pct_change("m", x.pair_window(), k)), f"round(m / lag(m, {k}) OVER {O} - 1, 6)") for k in (1, 5, 10, 20)})
+_columns("p2_diff", {f"d_{k}": (lambda k=k: x.diff("y", x.pair_window(), k), f"y - lag(y, {k}) OVER {O}") for k in (1, 10)})
+_columns("p3_lag", {"z_before": (lambda: F.lag("z", 1).over(x.pair_window()), f"lag(z) OVER {O}")})
+_columns("p4_annualise", {"vol_year": (lambda: F.round(x.annualise(F.col("vol") / 10), 5), "round(vol / 10 * sqrt(252), 5)"), "year": (lambda: r6(x.annual_return(F.col("ry") / 100, F.lit(126))), "round((1 + ry / 100) ^ (252.0 / 126) - 1, 6)")})
+_columns("p5_safe_ratio", {"ratio": (lambda: r6(x.safe_ratio("y", "x")), "round(y / (x + 1e-8), 6)"), "sharpe": (lambda: r6(F.when(F.col("vol") > 0, F.col("rm") / F.col("vol")).otherwise(0.0)), "round(CASE WHEN vol > 0 THEN rm / vol ELSE 0.0 END, 6)")})
+_columns("p6_clip", {"clipped": (lambda: x.clip("z", -2.0, 2.0), "CASE WHEN z IS NOT NULL THEN least(greatest(z, -2.0), 2.0) END"), "positive": (lambda: F.when(F.col("z").isNotNull(), F.greatest("z", F.lit(0.0))), "CASE WHEN z IS NOT NULL THEN greatest(z, 0.0) END")})
+_columns("p7_health_size", {"size": (lambda: x.size_by_health(F.abs(F.col("z")) / 2), "CASE WHEN abs(z) / 2 < 0.4 THEN 0.0 WHEN abs(z) / 2 < 0.6 THEN 0.5 WHEN abs(z) / 2 < 0.8 THEN 0.75 ELSE 1.0 END::DOUBLE")})
+_columns("p8_position_size", {"size": (lambda: F.round(x.position_size("z", "vol"), 4), "round(CASE WHEN z IS NOT NULL AND vol IS NOT NULL THEN least(greatest((least(greatest((abs(z) - 2) / 2, 0.0), 0.5) + 1) * least(greatest(1 - (vol - 0.15) / 0.15, 0.5), 1.0), 0.5), 1.5) END, 4)")})
+_columns("p9_regime_name", {"name": (lambda: x.regime_name("regime"), "['crisis', 'volatile', 'normal'][regime + 1]")})
+_columns("p10_mark_period", {"period": (lambda: x.mark_period("date", p.SPLIT), f"CASE WHEN date <= DATE '{p.SPLIT}' THEN 'train' ELSE 'oos' END")})
+_columns("p11_split_three", {"period": (lambda: x.mark_three("date", "1998-06-30", p.SPLIT), f"CASE WHEN date <= DATE '1998-06-30' THEN 'train' WHEN date <= DATE '{p.SPLIT}' THEN 'val' ELSE 'test' END")})
+_columns("p12_confidence", {"confidence": (lambda: r6(F.when(F.col("z").isNotNull(), x.confidence("z"))), "round(CASE WHEN z IS NOT NULL THEN least(1.0, abs(z) / 1.5) END, 6)")})
+_columns("p13_finite", {"filled": (lambda: r6(x.finite(F.col("rm") / F.nullif(F.col("t") - 3, F.lit(0)), 0.5)), "round(coalesce(rm / nullif(t - 3, 0), 0.5), 6)")})
+_columns("p14_percent", {"pct": (lambda: F.round(F.col("rm") * 100, 3), "round(rm * 100, 3)")})
+_columns("p15_cohens_band", {"band": (lambda: x.cohens_band("z"), "CASE WHEN abs(z) < 0.2 THEN 'negligible' WHEN abs(z) < 0.5 THEN 'small' WHEN abs(z) < 0.8 THEN 'medium' ELSE 'large' END")})
+_columns("x10_math", {"a": (lambda: r6(F.log("y")), "round(ln(y), 6)"), "b": (lambda: r6(F.exp("rm")), "round(exp(rm), 6)"), "s": (lambda: r6(F.sqrt("x")), "round(sqrt(x), 6)"), "g": (lambda: F.signum("z"), "sign(z)::DOUBLE"), "p": (lambda: r6(F.pow("vol", F.lit(1.5))), "round(vol ^ 1.5, 6)")})
 _K = "(1 / (1 + 0.2316419 * abs(z)))"
 _TAIL = f"(exp(-abs(z) * abs(z) / 2) / sqrt(2 * pi()) * {_K} * (0.319381530 + {_K} * (-0.356563782 + {_K} * (1.781477937 + {_K} * (-1.821255978 + {_K} * 1.330274429)))))"
-_columns("x9_distributions", {"normal": (F.round(x.norm_cdf("z"), 5), f"round(CASE WHEN z >= 0 THEN 1 - {_TAIL} ELSE {_TAIL} END, 5)"),
-                               "chi2_2": (r6(x.chi2_sf(F.col("z") * F.col("z"), 2)), "round(exp(-z * z / 2), 6)"), "chi2_10": (r6(x.chi2_sf(F.col("z") * F.col("z"), 10)), "round(exp(-z * z / 2) * (1 + (z*z/2) + (z*z/2)^2 / 2 + (z*z/2)^3 / 6 + (z*z/2)^4 / 24), 6)")})
+_columns("x9_distributions", {"normal": (lambda: F.round(x.norm_cdf("z"), 5), f"round(CASE WHEN z >= 0 THEN 1 - {_TAIL} ELSE {_TAIL} END, 5)"),
+                               "chi2_2": (lambda: r6(x.chi2_sf(F.col("z") * F.col("z"), 2)), "round(exp(-z * z / 2), 6)"), "chi2_10": (lambda: r6(x.chi2_sf(F.col("z") * F.col("z"), 10)), "round(exp(-z * z / 2) * (1 + (z*z/2) + (z*z/2)^2 / 2 + (z*z/2)^3 / 6 + (z*z/2)^4 / 24), 6)")})
 
 
 @query("p16_scores", "SELECT pair, round(avg(score), 4) AS overall FROM (SELECT pair, CASE WHEN abs(z) >= 2 THEN 100.0 WHEN abs(z) >= 1 THEN 60.0 ELSE 20.0 END AS score FROM spine WHERE z IS NOT NULL) GROUP BY 1")
@@ -78,7 +77,7 @@ def f3(spark, sf_dir):
     return spine(spark, sf_dir).select("pair", "t", "z", "vol").na.drop(how="any", subset=["z", "vol"])
 
 
-_columns("f4_regime_rule", {"regime_by_rule": (x.regime_rule("vol", "rm"), "CASE WHEN coalesce(vol > 0.35, false) OR coalesce(rm < -0.2, false) THEN 0 WHEN coalesce(vol > 0.22, false) OR coalesce(rm < -0.1, false) THEN 1 ELSE 2 END")})
+_columns("f4_regime_rule", {"regime_by_rule": (lambda: x.regime_rule("vol", "rm"), "CASE WHEN coalesce(vol > 0.35, false) OR coalesce(rm < -0.2, false) THEN 0 WHEN coalesce(vol > 0.22, false) OR coalesce(rm < -0.1, false) THEN 1 ELSE 2 END")})
 
 
 @query("f5_score_floor", "SELECT pair, t, z FROM spine WHERE z >= 1.5")
@@ -91,12 +90,12 @@ def f7(spark, sf_dir):
     return p.week_prices(spark, sf_dir).select("ticker", F.contains("ticker", F.lit("IN")).alias("has_in"), F.col("ticker").rlike("UNITED|CHINA|RAN").alias("any_of")).distinct()
 
 
-_columns("f9_forward_fill", {"filled": (x.ffill(F.when(F.col("t") % 7 == 0, F.col("z")), w, 0.0), "coalesce(last_value(CASE WHEN t % 7 = 0 THEN z END IGNORE NULLS) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING), 0.0)")})
+_columns("f9_forward_fill", {"filled": (lambda: x.ffill(F.when(F.col("t") % 7 == 0, F.col("z")), x.pair_window(), 0.0), "coalesce(last_value(CASE WHEN t % 7 = 0 THEN z END IGNORE NULLS) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING), 0.0)")})
 
 
 @query("f10_fill_default", "SELECT pair, t, coalesce(last_value(CASE WHEN t % 5 = 0 AND z IS NOT NULL THEN abs(z) < 1 END IGNORE NULLS) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING), true) AS healthy FROM spine")
 def f10(spark, sf_dir):
-    return spine(spark, sf_dir).select("pair", "t", x.ffill(F.when((F.col("t") % 5 == 0) & F.col("z").isNotNull(), F.abs("z") < 1), w, True).alias("healthy"))
+    return spine(spark, sf_dir).select("pair", "t", x.ffill(F.when((F.col("t") % 5 == 0) & F.col("z").isNotNull(), F.abs("z") < 1), x.pair_window(), True).alias("healthy"))
 
 
 @query("f11_min_rows", "SELECT pair, count(*)::BIGINT AS n, count(*) < 330 AS rejected, CASE WHEN count(*) < 330 THEN 'fewer than 330 rows' END AS reason FROM panel GROUP BY 1")
@@ -140,7 +139,7 @@ def x5(spark, sf_dir):
 
 @query("x6_days", f"SELECT pair, t, (date - lag(date) OVER {O})::INT AS days FROM panel")
 def x6(spark, sf_dir):
-    return p.week_panel(spark, sf_dir).select("pair", "t", F.datediff("date", F.lag("date").over(w)).alias("days"))
+    return p.week_panel(spark, sf_dir).select("pair", "t", F.datediff("date", F.lag("date").over(x.pair_window())).alias("days"))
 
 
 @query("x7_lookback", "SELECT DISTINCT date, (date - 365)::DATE AS since, strftime(date, '%Y%m%d') AS stamp FROM prices")

@@ -13,7 +13,6 @@ from covary.plans.relational import _PERIODS_SQL
 from covary.plans.scalar import r6
 from covary.sources import panel as p
 
-w = x.pair_window()
 
 
 def signal_sql(entry=1.5, leave=0.5, source="spine", regime="regime", name="sig"):
@@ -112,7 +111,7 @@ def k8(spark, sf_dir):
 
 @query("k9_health_sizing", BT + "SELECT pair, t, signal * (CASE WHEN h < 0.4 THEN 0.0 WHEN h < 0.6 THEN 0.5 WHEN h < 0.8 THEN 0.75 ELSE 1.0 END)::DOUBLE AS sized FROM (SELECT *, coalesce(last_value(CASE WHEN t % 5 = 0 AND z IS NOT NULL THEN abs(z) / 2 END IGNORE NULLS) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING), 1.0) AS h FROM bt)")
 def k9(spark, sf_dir):
-    score = x.ffill(F.when((F.col("t") % 5 == 0) & F.col("z").isNotNull(), F.abs("z") / 2), w, 1.0)
+    score = x.ffill(F.when((F.col("t") % 5 == 0) & F.col("z").isNotNull(), F.abs("z") / 2), x.pair_window(), 1.0)
     return folds.signals(spine(spark, sf_dir)).select("pair", "t", (F.col("signal") * x.size_by_health(score)).alias("sized"))
 
 
