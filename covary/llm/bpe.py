@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from covary.llm.words import spread
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 FOLD_BYTES = 96
 _BUCKETS = 1 << 17
 _NO_RANK = 1 << 30
@@ -205,8 +205,11 @@ def _expand(ranks_path: str):
     return run
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id_col, ids binary): each row's token ids as little-endian unsigned 32-bit integers. See the module for cases."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+    """(id_col, ids binary): each row's token ids as little-endian unsigned 32-bit integers. See the module for cases.
+
+    With decoded, the ids are decoded at once, by the same Python worker, into a further column (see decode).
+    """
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     odd = text.rlike(r"\p{Cn}")
@@ -218,7 +221,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     blocks = words.mapInArrow(_blocks(ranks_path, pattern, block_bytes), f"ids array<{kind}>, counts binary, codes binary, restart boolean, vocabulary array<array<int>>")
     table = rank_map(ranks_path)
     fold = F.transform("vocabulary", lambda w: F.when(F.size(w) > FOLD_BYTES, F.concat(F.array(F.lit(-1)), w)).otherwise(fold_merges(w, table)))
-    out = blocks.withColumn("vocabulary", fold).mapInArrow(_expand(ranks_path), f"id {kind}, ids binary")
+    expand, back = _expand(ranks_path), _decode(ranks_path)
+    folded = blocks.withColumn("vocabulary", fold)
+    out = folded.mapInArrow(lambda batches: back(expand(batches)), f"id {kind}, ids binary, decoded binary") if decoded else folded.mapInArrow(expand, f"id {kind}, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -265,8 +270,7 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN)
-    return decode(ids, path).select(
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -49,7 +49,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes of text each, or of one row."""
     _, at = text_bytes(column)
     start = 0
