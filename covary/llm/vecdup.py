@@ -5,7 +5,7 @@ radii over a bounded sample (SAMPLE vectors, at most PIVOTS pivots), every vecto
 about PART rows, and each part a cover tree: a node's children cover it with half its radius. Two parts meet only if their cells'
 pivots and radii allow the threshold; two trees are then traversed together, node pairs whose centres are further apart than both
 covering radii and the threshold distance are dropped, pairs that lie within it entirely are linked whole, and what remains is
-compared by cosine in double precision. So the links found are exactly those that a comparison of all pairs finds.
+compared by cosine in double precision, as soon as going down to the children of a node pair would cost more than it drops. So the links found are exactly those that a comparison of all pairs finds.
 
 Cases: a vector that is null, empty, zero, or holds null or non-finite components links with nothing (n_links 0, kept); vectors of
 different lengths do not link; equal vectors link with each other; a null id links by its vector and has no component of its own;
@@ -29,6 +29,7 @@ PIVOTS = 256
 SAMPLE = 4096
 LEAF = 8
 SLACK = 1e-9
+PAIR_COST = 20_000  # what a pair of nodes costs, in comparisons
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -94,6 +95,14 @@ class CoverTree:
         return 0
 
 
+def _sizes(tree: CoverTree) -> np.ndarray:
+    """The points below every node; children come after their parents."""
+    out = np.array([0 if m is None else len(m) for m in tree.members], float)
+    for node in range(len(out) - 1, -1, -1):
+        out[node] += sum(out[c] for c in tree.children[node])
+    return out
+
+
 def links(a: CoverTree, b: CoverTree, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float):
     """Blocks (rows of a, rows of b, linked: matrix or None for all) that hold every pair with a cosine of the threshold or more."""
     if not a.centre or not b.centre:
@@ -115,25 +124,37 @@ def links(a: CoverTree, b: CoverTree, raw_a: np.ndarray, raw_b: np.ndarray, thre
     def exact(x, y):
         return (raw_a[x] @ raw_b[y].T) / (norm_a[x][:, None] * norm_b[y][None, :]) >= threshold
 
+    def compare(x, y):
+        for i in range(0, len(x), 512):
+            found = exact(x[i : i + 512], y)
+            if found.any():
+                yield x[i : i + 512], y, found
+
+    sizes_a, sizes_b = _sizes(a), _sizes(b)
+
     todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
         # a leaf stands for itself, another node for its children
         left = np.array(a.children[x] or [x])
         right = np.array(b.children[y] or [y])
+        held = []
         for i in range(0, len(left), 2048):
             some = left[i : i + 2048]
             d = distances(a.points[ca[some]], b.points[cb[right]])
             both = ra[some][:, None] + rb[right][None, :]
-            open_ = d <= limit + both + SLACK
+            held.append((some, d, both, d <= limit + both + SLACK))
+        work = sum(float(sizes_a[some] @ open_ @ sizes_b[right]) + PAIR_COST * int(open_.sum()) for some, _, _, open_ in held)
+        if held and work >= sizes_a[x] * sizes_b[y]:  # going down would cost more than it drops
+            yield from compare(rows(a, x), rows(b, y))
+            continue
+        for some, d, both, open_ in held:
             for p, q in zip(*np.nonzero(open_), strict=True):
                 u, v = int(some[p]), int(right[q])
                 if d[p, q] + both[p, q] <= limit - SLACK:
                     yield rows(a, u), rows(b, v), None
                 elif a.members[u] is not None and b.members[v] is not None:
-                    found = exact(a.members[u], b.members[v])
-                    if found.any():
-                        yield a.members[u], b.members[v], found
+                    yield from compare(a.members[u], b.members[v])
                 else:
                     todo.append((u, v))
 
@@ -185,8 +206,8 @@ def _meet(threshold: float):
             else:
                 na[x] += found @ times_b[y]
                 nb[y] += found.T @ times_a[x]
-                i, j = np.nonzero(found)  # leaves: few, or all at one place
-                joined = [(x[i], y[j])] if len(i) <= 64 * LEAF else [(x[k], y[m]) for k, m in _forest(found)]
+                i, j = np.nonzero(found)
+                joined = [(x[i], y[j])] if len(i) <= 4 * sum(found.shape) else [(x[k], y[m]) for k, m in _forest(found)]
             for p, q in joined:
                 edges.update(zip(ids_a[p].tolist(), ids_b[q].tolist(), strict=True))
         if same:  # every pair was met from both sides, and each class with itself
