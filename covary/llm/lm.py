@@ -1,16 +1,17 @@
 """Language-model scores by a Brown class bigram: exchange clustering, class transitions and word emissions.
 
 Words are lower-cased (A-Z) runs of non-space; a text ends with an end token, which is also its left context. Statistics come from
-every training document. The CLUSTERED most frequent words are put into CLASSES classes by exchange: a word moves to the class
-that raises the likelihood of the class bigram most, in sweeps over batches of words whose neighbour counts Spark holds; all other
-words, unseen ones too, fall into RARE classes by their last letters. Then
+every training document. Exchange puts a seed of frequent words, which grows with the vocabulary, into CLASSES classes: a word moves
+to the class that raises the likelihood of the class bigram most, in sweeps over batches of words whose neighbour counts Spark holds.
+Then WIDE sweeps move every training word by the same gain over all its neighbours; before the first of them words outside the seed
+stand in classes by their last letters. An unseen word takes the class of most training words with its last letters. Then
 
     P(text) = product of P(class | class before) * P(word | class),
 
-with transitions drawn towards the classes' shares and add-one emissions that leave one unseen word a share.
+with transitions drawn towards the classes' shares and add-one emissions that leave one unseen word of each class a share.
 
-Words are counted under 64-bit hashes. Counts of the FREQUENT most frequent words (a bounded table) are broadcast; all others meet
-their counts in a shuffle join, so that no table in a task grows with the corpus.
+Words are counted under 64-bit hashes. Counts and classes of the FREQUENT most frequent words (a bounded table) are broadcast; all
+others meet theirs in a shuffle join, so that no table in a task grows with the corpus.
 
 Cases: a null or empty text is one end token; a null id is in the training fold (its text form counts as empty); repeated rows are
 scored each by itself; without training documents every word is unseen and N is 0; other columns are not read.
@@ -18,23 +19,32 @@ scored each by itself; without training documents every word is unseen and N is
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.store import materialize
+from covary.llm.store import discard, materialize
 from covary.llm.words import U, slices, text_bytes, word_hashes
 
 FREQUENT = 1 << 18
-CLUSTERED = 2048
+SEED = 2048  # words at least
 CLASSES = 48
 RARE = 16
 SWEEPS = 3
 BATCHES = 4
-_K = CLASSES + RARE + 1
-_END = _K - 1
+WIDE = 2
+PER_BUCKET = 16_000  # words
+TOKENS = 1 << 20  # held at a time
+_END = CLASSES
+_M = CLASSES + 1  # classes of the model; while words are placed, those by letters follow
+_K = _M + RARE
+_SELF = 2 * _K  # codes of contexts: class after, _K + class before, the word itself after, _OWN + its own class
+_OWN = 1000
+_OTHER = 255
 
 
 def fold(id_col: str, modulus: int) -> Column:
@@ -73,8 +83,8 @@ class Frequent:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
-def _bigrams(frequent):
-    """Counts of neighbours that are both to be clustered; classes hold their ranks here."""
+def _bigrams(frequent, size):
+    """Counts of neighbours that are both in the seed; classes hold their ranks here."""
 
     def run(batches):
         table = frequent.value
@@ -83,8 +93,8 @@ def _bigrams(frequent):
                 at = table.find(hashes)
                 rank = np.where(at >= 0, table.classes[at], -1) if len(table.classes) else at
                 both = (texts[1:] == texts[:-1]) & (rank[1:] >= 0) & (rank[:-1] >= 0)
-                pairs, n = np.unique(rank[:-1][both] * CLUSTERED + rank[1:][both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((pairs // CLUSTERED).astype(np.int32)), pa.array((pairs % CLUSTERED).astype(np.int32)), pa.array(n)], ["v", "w", "n"])
+                pairs, n = np.unique(rank[:-1][both] * size + rank[1:][both], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((pairs // size).astype(np.int32)), pa.array((pairs % size).astype(np.int32)), pa.array(n)], ["v", "w", "n"])
 
     return run
 
@@ -93,26 +103,37 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def best_class(own: int, after: np.ndarray, before: np.ndarray, itself: float, table: np.ndarray) -> tuple[int, float]:
-    """(class, gain over its own) of a word with the given class counts of its neighbours, others than itself."""
-    m = table.astype(float).copy()
-    m[own] -= after
-    m[:, own] -= before
-    m[own, own] -= itself
-    rows, columns = m.sum(1), m.sum(0)
-    k = len(m)
-    one = np.arange(k)
-    to = _xlogx(m + after) - _xlogx(m)
-    to[one, one] = 0
-    of = _xlogx(m + before[:, None]) - _xlogx(m)
-    of[one, one] = 0
-    corner = m[one, one]
-    value = to.sum(1) + of.sum(0) + _xlogx(corner + after + before + itself) - _xlogx(corner)
-    # its class gains the word as first of its followers and as second of those before it
-    value -= _xlogx(rows + after.sum() + itself) - _xlogx(rows)
-    value -= _xlogx(columns + before.sum() + itself) - _xlogx(columns)
-    best = int(np.argmax(value))
-    return best, float(value[best] - value[own])
+def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np.ndarray, table: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class below free, gain over its own, inf if that is none of them) of words with the given class counts of their neighbours, a row each, others than itself."""
+    every = np.arange(len(own))
+    inside = np.flatnonzero(own < free)
+    value = np.zeros((len(own), free))
+    for counts, others, m in ((after, before, table), (before, after, table.T)):
+        w, j = np.nonzero(counts)
+        n = counts[w, j][:, None]
+        rest = m[:free, j].T.astype(float)
+        mine = own[w] < free
+        rest[np.flatnonzero(mine), own[w][mine]] -= n[mine, 0]
+        same = np.flatnonzero(j == own[w])
+        rest[same] -= others[w[same], :free]
+        gain = _xlogx(rest + n) - _xlogx(rest)
+        corner = np.flatnonzero(j < free)
+        gain[corner, j[corner]] = 0
+        if len(w):
+            heads = np.flatnonzero(np.diff(w, prepend=-1))
+            value[w[heads]] += np.add.reduceat(gain, heads)
+        # the class gains the word as first of its followers, and as second of those before it
+        total = counts.sum(1) + itself
+        sums = np.repeat(m.sum(1)[None, :free].astype(float), len(own), 0)
+        sums[inside, own[inside]] -= total[inside]
+        value -= _xlogx(sums + total[:, None]) - _xlogx(sums)
+    corner = np.repeat(np.diag(table)[None, :free].astype(float), len(own), 0)
+    corner[inside, own[inside]] -= (after + before)[inside, own[inside]] + itself[inside]
+    value += _xlogx(corner + after[:, :free] + before[:, :free] + itself[:, None]) - _xlogx(corner)
+    best = value.argmax(1)
+    stay = np.full(len(own), -np.inf)
+    stay[inside] = value[inside, own[inside]]
+    return best, value[every, best] - stay
 
 
 def exchange(neighbours: DataFrame, n_words: int, classes: int = CLASSES, sweeps: int = SWEEPS, batches: int = BATCHES) -> np.ndarray:
@@ -146,9 +167,9 @@ def exchange(neighbours: DataFrame, n_words: int, classes: int = CLASSES, sweeps
                         n = np.fromiter((y["n"] for y in x), float, len(x))
                         itself = float(n[w == v].sum())
                         sides.append(np.bincount(of[w[w != v]], n[w != v], classes))
-                    best, gain = best_class(int(of[v]), *sides, itself, m)
-                    if gain > 1e-9:
-                        out.append((v, best))
+                    best, gain = best_classes(of[v : v + 1], *(x[None] for x in sides), np.array([itself]), m, classes)
+                    if gain[0] > 1e-9:
+                        out.append((v, int(best[0])))
             yield pd.DataFrame(out, columns=["v", "best"])
 
         return run
@@ -165,66 +186,215 @@ def exchange(neighbours: DataFrame, n_words: int, classes: int = CLASSES, sweeps
     return own
 
 
-def _sequence(table: Frequent, hashes: np.ndarray, texts: np.ndarray, rare: np.ndarray, n: int):
-    """(places in the table, classes before, classes) over words and end tokens; ends come last in each text."""
-    at = table.find(hashes)
-    known = np.where(at >= 0, table.classes[at], -1) if len(table.classes) else at
-    own = np.where(known >= 0, known, CLASSES + rare)
-    bounds = np.searchsorted(texts, np.arange(n + 1))
-    before = np.empty(len(own), np.int64)
-    before[1:] = own[:-1]
-    first = bounds[:-1][bounds[:-1] < bounds[1:]]
-    before[first] = _END
-    last = np.where(bounds[1:] > bounds[:-1], own[np.maximum(bounds[1:] - 1, 0)] if len(own) else _END, _END)
-    return at, before, own, last
+_CONTEXTS = "hash bigint, via bigint, code int, n bigint, codes binary, counts binary"
+
+
+def _contexts(frequent, letters: bool):
+    """Counts of the classes beside each word: packed where the neighbour's class is known, else a row (via: the neighbour) to be joined.
 
+    letters: words outside the table or without a class in it stand in the class of their letters.
+    """
+
+    def packed(hashes, after, before):
+        unique, word = np.unique(hashes, return_inverse=True)
+        code, word = np.concatenate([after, before]).astype(np.int64), np.concatenate([word, word])
+        both, n = np.unique((word * 256 + code)[code != _OTHER], return_counts=True)
+        at = np.searchsorted(both // 256, np.arange(len(unique) + 1)).astype(np.int32)
+        codes, counts = _binary((both % 256).astype(np.uint8), at), _binary(n.astype(np.int32), at)
+        none = pa.nulls(len(unique), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), none, none.cast(pa.int32()), none, codes, counts], ["hash", "via", "code", "n", "codes", "counts"])
 
-def _transitions(frequent):
     def run(batches):
-        total = np.zeros(_K * _K, np.int64)
+        table, held, size = frequent.value, [], 0
         for batch in batches:
-            for start, stop, hashes, texts, rare in _words(batch.column("text")):
-                _, before, own, last = _sequence(frequent.value, hashes, texts, rare, stop - start)
-                total += np.bincount(before * _K + own, minlength=_K * _K) + np.bincount(last * _K + _END, minlength=_K * _K)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
+            for _, _, hashes, texts, rare in _words(batch.column("text")):
+                if not len(hashes):
+                    continue
+                at = table.find(hashes)
+                own = np.where(at >= 0, table.classes[at], -1) if len(table.classes) else at
+                own = np.where(own >= 0, own, _M + rare if letters else _OTHER)
+                after, before = np.full(len(own), _END), np.full(len(own), _K + _END)
+                near = np.flatnonzero(texts[1:] == texts[:-1])
+                after[near] = own[near + 1]
+                before[near + 1] = np.where(own[near] == _OTHER, _OTHER, _K + own[near])
+                twice = near[hashes[near] == hashes[near + 1]]
+                after[twice], before[twice + 1] = _SELF, _OTHER
+                held.append((hashes, after.astype(np.uint8), before.astype(np.uint8)))
+                size += len(hashes)
+                other = near[hashes[near] != hashes[near + 1]]
+                to, of = other[own[other + 1] == _OTHER], other[own[other] == _OTHER]
+                if len(to) + len(of):
+                    none = pa.nulls(len(to) + len(of), pa.binary())
+                    code = np.repeat([0, _K], [len(to), len(of)]).astype(np.int32)
+                    target, via = np.concatenate([hashes[to], hashes[of + 1]]), np.concatenate([hashes[to + 1], hashes[of]])
+                    yield pa.RecordBatch.from_arrays([pa.array(target.view(np.int64)), pa.array(via.view(np.int64)), pa.array(code), pa.array(np.ones(len(code), np.int64)), none, none], ["hash", "via", "code", "n", "codes", "counts"])
+                if size >= TOKENS:
+                    yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
+
+    return run
+
+
+def _bucket(group: pa.Table):
+    """(hashes, own classes, counts by word and code) of a group's words."""
+    group = group.combine_chunks()
+    hashes, word = np.unique(group["hash"].to_numpy(), return_inverse=True)
+    code = group["code"].fill_null(-1).to_numpy()
+    n = group["n"].fill_null(0).to_numpy()
+    own = np.zeros(len(hashes), np.int64)
+    mine = code >= _OWN
+    own[word[mine]] = code[mine] - _OWN
+    single = (code >= 0) & ~mine
+    total = np.bincount(word[single] * (_SELF + 1) + code[single], n[single], len(hashes) * (_SELF + 1)).astype(float)
+    for codes, counts in zip(group["codes"].chunks, group["counts"].chunks, strict=True):
+        data, at = text_bytes(codes)
+        times, _ = text_bytes(counts)
+        total += np.bincount(np.repeat(word, np.diff(at)) * (_SELF + 1) + data, times.view(np.int32) if len(times) else None, len(total))
+    return hashes, own, total.reshape(len(hashes), _SELF + 1)
+
+
+def _table(group: pa.Table) -> pa.Table:
+    """Class bigrams of a group's words with what follows, and of the end token with the words."""
+    _, own, n = _bucket(group)
+    m = np.zeros((_K, _K))
+    np.add.at(m, own, n[:, :_K])
+    np.add.at(m, (own, own), n[:, _SELF])
+    np.add.at(m[_END], own, n[:, _K + _END])
+    at = np.flatnonzero(m)
+    return pa.table({"at": at, "n": m.ravel()[at]})
+
+
+def _moved(table):
+    def run(group: pa.Table) -> pa.Table:
+        hashes, own, n = _bucket(group)
+        to = own.copy()
+        for start in range(0, len(own), 1000):  # bounds what is held
+            part = slice(start, start + 1000)
+            best, gain = best_classes(own[part], n[part, :_K], n[part, _K:_SELF], n[part, _SELF], table.value, CLASSES)
+            to[part] = np.where(gain > 1e-9, best, own[part])
+        return pa.table({"hash": hashes, "class": pa.array(to, pa.int32())})
 
     return run
 
 
-def _score(frequent, model):
-    """Per row: what the broadcast table and the classes give, and the other words with their numbers."""
+def wide_sweep(train: DataFrame, words: DataFrame, frequent, n_words: int, first: bool) -> DataFrame:
+    """(hash, class) of every training word, moved to its best class over all its neighbours.
+
+    words: (hash, class, frequent) of all of them; frequent: the broadcast table with the same classes. first: some still stand in classes by letters.
+    """
+    sc = train.sparkSession.sparkContext
+    found = materialize(train.mapInArrow(_contexts(frequent, first), _CONTEXTS), "contexts")
+    all_ = found.filter("via is null").drop("via")
+    empty = F.lit(None).cast("binary")
+    if not first:
+        tail = words.filter("not frequent").select(F.col("hash").alias("via"), "class")
+        met = found.filter("via is not null").select("hash", "via", "code", "n").groupBy("hash", "via", "code").agg(F.sum("n").alias("n")).join(tail.hint("merge"), "via")
+        met = met.groupBy("hash", (F.col("code") + F.col("class")).alias("code")).agg(F.sum("n").alias("n"))
+        all_ = all_.unionByName(materialize(met.withColumns({"codes": empty, "counts": empty}), "met"))
+    own = words.select("hash", (F.col("class") + _OWN).cast("int").alias("code"), F.lit(0).cast("bigint").alias("n"), empty.alias("codes"), empty.alias("counts"))
+    all_ = all_.unionByName(own)
+    groups = all_.groupBy(F.pmod(F.xxhash64("hash"), F.lit(max(1, n_words // PER_BUCKET))).alias("bucket"))
+    got = groups.applyInArrow(_table, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(_K * _K)
+    table[got["at"]] = got["n"]
+    moved = materialize(groups.applyInArrow(_moved(sc.broadcast(table.reshape(_K, _K))), "hash bigint, class int"), "classes")
+    discard(train.sparkSession, found._covary_path)
+    return moved
+
+
+def _binary(parts: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """parts[bounds[i] : bounds[i + 1]] as the bytes of value i."""
+    at = (bounds * parts.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(parts))])
+
+
+def _encode(frequent):
+    """Per row: the classes of its words (_OTHER outside the table), the other words with their numbers, and which of these stands at each such place."""
 
     def run(batches):
-        table, (transition, emission, base) = frequent.value, model.value
+        table = frequent.value
         log_counts = np.log10(table.counts + 1.0)
         for batch in batches:
             for start, stop, hashes, texts, rare in _words(batch.column("text")):
                 n = stop - start
-                at, before, own, last = _sequence(table, hashes, texts, rare, n)
+                at = table.find(hashes)
                 there = at >= 0
+                own = np.where(there, table.classes[at], _OTHER) if len(table.classes) else np.full(len(at), _OTHER)
                 word = np.where(there, log_counts[at], 0.0) if len(log_counts) else np.zeros(len(at))
-                score = np.bincount(texts, transition[before, own] + emission[own] + word, n) + transition[last, _END]
-                count = np.bincount(texts, minlength=n)
-                plain = np.bincount(texts, word, n) - count * base[1] + base[0]
+                every = np.arange(n + 1)
                 other = np.flatnonzero(~there)
                 order = other[np.lexsort((hashes[other], texts[other]))]
                 new = np.ones(len(order), bool)
                 new[1:] = (texts[order][1:] != texts[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
                 heads = np.flatnonzero(new)
                 times = np.diff(np.append(heads, len(order)))
-                bounds = np.searchsorted(texts[order][heads], np.arange(n + 1)).astype(np.int32)
+                bounds = np.searchsorted(texts[order][heads], every).astype(np.int32)
+                which = np.zeros(len(own), np.int32)
+                which[order] = np.cumsum(new) - 1
+                which = which[other] - bounds[texts[other]]
                 words = pa.StructArray.from_arrays([pa.array(hashes[order][heads].view(np.int64)), pa.array(times.astype(np.int32))], ["hash", "times"])
-                known = np.bincount(texts, there, n).astype(np.int64) + int(base[2])
                 part = batch.slice(start, n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("row"), part.column("held_out"), pa.array(count.astype(np.int64) + 1), pa.array(known), pa.array(plain), pa.array(score), pa.ListArray.from_arrays(pa.array(bounds), words)],
-                    ["id", "row", "held_out", "n_tokens", "known", "base", "score", "others"],
+                    [part.column("id"), part.column("row"), part.column("held_out"), pa.array(np.bincount(texts, there, n).astype(np.int64)), pa.array(np.bincount(texts, word, n)), _binary(own.astype(np.uint8), np.searchsorted(texts, every)), _binary(which, np.searchsorted(texts[other], every)), _binary(rare[order][heads].astype(np.uint8), bounds), pa.ListArray.from_arrays(pa.array(bounds), words)],
+                    ["id", "row", "held_out", "known", "plain", "classes", "which", "rare", "others"],
                 )
 
     return run
 
 
+def _filled(unseen: np.ndarray):
+    """The classes of all words of each row, given those of its other words that training has; unseen: by letters."""
+
+    def run(batches):
+        for batch in batches:
+            got, at = text_bytes(batch.column("classes"))
+            got = got.copy()
+            which, places = text_bytes(batch.column("which"))
+            rare, firsts = text_bytes(batch.column("rare"))
+            classes = unseen[rare]
+            found = batch.column("found")
+            rows = np.repeat(np.arange(len(batch)), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            flat = found.flatten()
+            classes[firsts[rows] + flat.field("k").to_numpy()] = flat.field("class").to_numpy()
+            got[got == _OTHER] = classes[which.view(np.int32) + np.repeat(firsts[:-1], np.diff(places) // 4)] if len(which) else 0
+            names = [x for x in batch.schema.names if x not in ("classes", "which", "rare", "found")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), _binary(got, at)], [*names, "classes"])
+
+    return run
+
+
+def _sequence(column: pa.Array):
+    """(text, class before, class) over words and end tokens."""
+    data, at = text_bytes(column)
+    n = len(at) - 1
+    own = np.insert(data, at[1:], _END).astype(np.int64)
+    return np.repeat(np.arange(n), np.diff(at) + 1), np.concatenate([[_END], own[:-1]]).astype(np.int64)[: len(own)], own
+
+
+def _transitions(batches):
+    total = np.zeros(_M * _M, np.int64)
+    for batch in batches:
+        _, before, own = _sequence(batch.column("classes"))
+        total += np.bincount(before * _M + own, minlength=_M * _M)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
+
+
+def _score(model):
+    def run(batches):
+        transition, emission = model.value
+        for batch in batches:
+            texts, before, own = _sequence(batch.column("classes"))
+            score = np.bincount(texts, transition[before, own] + emission[own], len(batch)) + batch.column("plain").to_numpy()
+            names = [x for x in batch.schema.names if x != "classes"]
+            tokens = np.bincount(texts, minlength=len(batch)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(tokens), pa.array(score)], [*names, "n_tokens", "score"])
+
+    return run
+
+
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row, learning where held_out is false."""
     spark = docs.sparkSession
@@ -242,57 +412,72 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     least = int(allowed.min()) if len(allowed) else 1 << 20
     top = counts.filter(bucket >= least).toPandas().sort_values("hash", key=lambda h: h.to_numpy().view(np.uint64)).reset_index(drop=True)
     hashes, numbers = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.lexsort((hashes, -numbers))[:CLUSTERED]
+    seed = max(SEED, 2 * math.isqrt(distinct))
+    order = np.lexsort((hashes, -numbers))[:seed]
     ranks = np.full(len(top), -1)
     ranks[order] = np.arange(len(order))
 
     clustered = np.zeros(len(order), np.int64)
     if len(order):
         shared = sc.broadcast(Frequent(hashes, numbers, ranks))
-        pairs = materialize(train.mapInArrow(_bigrams(shared), "v int, w int, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n")), "bigrams")
+        pairs = materialize(train.mapInArrow(_bigrams(shared, len(order)), "v int, w int, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n")), "bigrams")
         after = pairs.groupBy("v").agg(F.collect_list(F.struct("w", "n")).alias("after"))
         before = pairs.groupBy(F.col("w").alias("v")).agg(F.collect_list(F.struct(F.col("v").alias("w"), "n")).alias("before"))
         clustered = exchange(materialize(after.join(before, "v", "full"), "neighbours"), len(order))
     classes = np.full(len(top), -1)
     classes[order] = clustered
+
+    # all words: those of the seed in their classes, the others by letters, then swept
+    frequent = (bucket >= least).alias("frequent")
+    start = spark.createDataFrame(pd.DataFrame({"hash": hashes.view(np.int64)[order], "seeded": clustered.astype(np.int32)}), "hash bigint, seeded int")
+    words = counts.join(F.broadcast(start), "hash", "left").select("hash", "n", "rare", frequent, F.coalesce("seeded", F.col("rare") + _M).alias("class"))
+    for sweep in range(WIDE if len(top) else 0):
+        moved = wide_sweep(train, words, sc.broadcast(Frequent(hashes, numbers, classes)), distinct, sweep == 0)
+        words = materialize(counts.select("hash", "n", "rare", frequent).join(moved.hint("merge"), "hash"), "words")
+        classes = words.filter("frequent").select("hash", "class").toPandas().sort_values("hash", key=lambda h: h.to_numpy().view(np.uint64))["class"].to_numpy(np.int64)
     table = sc.broadcast(Frequent(hashes, numbers, classes))
 
-    got = train.mapInArrow(_transitions(table), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros(_K * _K)
-    seen[got["at"]] = got["n"]
-    seen = seen.reshape(_K, _K)
-    share = (seen.sum(0) + 1) / (seen.sum() + _K)
-    transition = np.log10((seen + _K * share) / (seen.sum(1, keepdims=True) + _K))
-    # emission: what is subtracted from log10(count + 1), by class
-    size, kinds = np.zeros(_K), np.zeros(_K)
-    np.add.at(size, clustered, numbers[order])
-    np.add.at(kinds, clustered, 1)
-    inside = np.bincount(top["rare"].to_numpy(np.int64)[order], numbers[order], RARE), np.bincount(top["rare"].to_numpy(np.int64)[order], minlength=RARE)
-    by_rare = levels.groupby("rare")[["n", "words"]].sum().reindex(range(RARE), fill_value=0)
-    size[CLASSES:_END] = by_rare["n"].to_numpy() - inside[0]
-    kinds[CLASSES:_END] = by_rare["words"].to_numpy() - inside[1] + 1
-    emission = -np.log10(np.maximum(size + kinds, 1))
-    end = np.log10((n_train + 1) / (tokens + distinct + 1)), np.log10(tokens + distinct + 1), float(n_train > 0)
-    model = sc.broadcast((transition, emission, end))
-
-    scored = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        _score(table, model), f"id {docs.schema[id_col].dataType.simpleString()}, row bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, others array<struct<hash:bigint,times:int>>"
+    by_class = words.groupBy("rare", "class").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).toPandas()  # at most RARE x CLASSES rows
+    size, kinds, shape = np.zeros(_M), np.zeros(_M), np.zeros((RARE, CLASSES))
+    np.add.at(size, by_class["class"].to_numpy(int), by_class["n"].to_numpy(float))
+    np.add.at(kinds, by_class["class"].to_numpy(int), by_class["words"].to_numpy(float))
+    shape[by_class["rare"].to_numpy(int), by_class["class"].to_numpy(int)] = by_class["words"]
+    unseen = np.where(shape.any(1), shape.argmax(1), shape.sum(0).argmax()).astype(np.uint8)
+
+    encoded = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        _encode(table), f"id {docs.schema[id_col].dataType.simpleString()}, row bigint, held_out boolean, known bigint, plain double, classes binary, which binary, rare binary, others array<struct<hash:bigint,times:int>>"
+    )
+    encoded = materialize(encoded, "encoded")
+    others = encoded.select("row", F.posexplode("others").alias("k", "o")).select("row", "k", "o.hash", "o.times")
+    met = others.join(words.filter("not frequent").select("hash", "n", "class").hint("merge"), "hash")
+    met = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found_n"), F.collect_list(F.struct("k", "class")).alias("found"))
+    joined = encoded.drop("others").join(met.hint("merge"), "row", "left").select(
+        "id", "held_out", (F.col("known") + F.coalesce("found_n", F.lit(0))).alias("known"), (F.col("plain") + F.coalesce("more", F.lit(0.0))).alias("plain"), "classes", "which", "rare", "found"
     )
-    scored = materialize(scored, "scores")
-    others = scored.select("row", F.explode("others").alias("o")).select("row", "o.hash", "o.times")
-    rare = others.join(counts.filter(bucket < least).select("hash", "n"), "hash").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found"))
-    out = scored.drop("others").join(rare, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    score = F.col("score") + more
-    return out.select(
+    kept = "id {}, held_out boolean, known bigint, plain double".format(docs.schema[id_col].dataType.simpleString())
+    filled = materialize(joined.mapInArrow(_filled(unseen), kept + ", classes binary"), "classes")
+    discard(spark, encoded._covary_path)
+
+    got = filled.filter("not held_out").select("classes").mapInArrow(_transitions, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros(_M * _M)
+    seen[got["at"]] = got["n"]
+    seen = seen.reshape(_M, _M)
+    share = (seen.sum(0) + 1) / (seen.sum() + _M)
+    transition = np.log10((seen + _M * share) / (seen.sum(1, keepdims=True) + _M))
+    emission = -np.log10(size + kinds + 1)  # subtracted from log10(count + 1)
+    emission[_END] = 0
+    all_words = math.log10(tokens + distinct + 1)
+    end = math.log10((n_train + 1) / (tokens + distinct + 1))
+    scored = filled.mapInArrow(_score(sc.broadcast((transition, emission))), kept + ", n_tokens bigint, score double")
+    return scored.select(
         "id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("found", F.lit(0))).cast("bigint").alias("n_known"),
+        (F.col("known") + int(n_train > 0)).cast("bigint").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        (F.col("plain") - (F.col("n_tokens") - 1) * F.lit(all_words) + F.lit(end)).alias("base_score"),
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 

@@ -203,6 +203,52 @@ def test_language_model(spark):
     assert lm.score_texts(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_best_classes_raise_the_likelihood_most():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 4, (12, 12)) * rng.integers(0, 2, (12, 12))
+    of = rng.integers(0, 5, 12)
+    def table(of):
+        m = np.zeros((5, 5))
+        np.add.at(m, (of[:, None], of[None, :]), pairs)
+        return m
+    def likelihood(of):
+        f = lambda v: np.where(v > 0, v * np.log(np.maximum(v, 1)), 0).sum()
+        m = table(of)
+        return f(m) - f(m.sum(0)) - f(m.sum(1))
+    hot = np.eye(5)[of]
+    itself = np.diag(pairs).astype(float)
+    off = pairs - np.diag(np.diag(pairs))
+    best, gain = lm.best_classes(of, off @ hot, off.T @ hot, itself, table(of), 3)
+    for v in range(12):
+        got = [likelihood(np.where(np.arange(12) == v, c, of)) for c in range(3)]
+        assert got[best[v]] == pytest.approx(max(got)) and (gain[v] == np.inf if of[v] >= 3 else gain[v] == pytest.approx(max(got) - likelihood(of)))
+
+
+def test_language_model_places_words_outside_the_seed_and_the_table(spark, monkeypatch):
+    """Rare words that stand in one context are of one class whatever their letters, with or without a broadcast table."""
+    import random
+
+    random.seed(2)
+    noun, verb = [random.choice("abcdefgh") + random.choice("stuvwxyz") + str(i) for i in range(60)], [random.choice("stuvwxyz") + random.choice("abcdefgh") + "q" * (i % 7) + str(i) for i in range(60)]
+    texts = [f"the {random.choice(noun)} can {random.choice(verb)} now" for _ in range(400)] + ["the n1 can v1 now", "the v1 can n1 now"]
+    noun, verb = noun[0], verb[0]
+    texts = [*texts, f"the {noun} can {verb} now", f"the {verb} can {noun} now", f"{noun} {noun} {verb}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") >= 402
+    monkeypatch.setattr(lm, "SEED", 3)
+    monkeypatch.setattr(lm.math, "isqrt", lambda n: 2)
+    scores = []
+    for frequent in (1 << 18, 8):
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        got = {r["id"]: r for r in lm.score_texts(docs, held).collect()}
+        assert len(got) == len(texts) and got[402]["n_known"] == 6
+        assert got[402]["score"] > got[403]["score"] + 2
+        scores.append([got[i]["score"] for i in range(len(texts))])
+    assert scores[0] == pytest.approx(scores[1])
+
+
 def test_mixing(spark):
     import random
 
