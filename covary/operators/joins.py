@@ -31,6 +31,14 @@ def walk_forward_folds(spark, n_rows: int, least: int = 504, step: int = 63, tes
     return spark.createDataFrame(rows, "fold int, train_end_t int, test_start_t int, test_end_t int")
 
 
+def in_own_folds(df: DataFrame, least: int = 504, step: int = 63, test: int = 126, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """Every row once for each fold (column fold) whose test window it lies in; the walk goes over all of its group's rows t = 0, 1, ..., however many."""
+    last = F.max("t").over(Window.partitionBy(*keys))
+    first, most = F.floor((F.col("t") - least - test) / step) + 1, F.floor(F.least(F.col("t") - least, F.col("_last") + 1 - least - test) / step)
+    number = F.when(most >= F.greatest(first, F.lit(0)), F.sequence(F.greatest(first, F.lit(0)).cast("int"), most.cast("int")))
+    return df.withColumn("_last", last).withColumn("fold", F.explode(number)).drop("_last")
+
+
 def in_periods(df: DataFrame, periods: DataFrame) -> DataFrame:
     """df once for every named period (name, start, end) that its date lies in; the periods are few and are broadcast."""
     return df.join(F.broadcast(periods), F.col("date").between(F.col("start"), F.col("end")))

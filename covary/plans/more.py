@@ -9,7 +9,7 @@ from covary.functions import exprs as x
 from covary.plans.base import query, spine
 from covary.plans.research import HEALTH, _health
 from covary.plans.scalar import r6
-from covary.plans.trading import BT, backtest
+from covary.plans.trading import BT, backtest, fold_metrics
 from covary.sources import panel as p
 
 
@@ -30,6 +30,21 @@ def b17(spark, sf_dir):
     return v.withColumn("rk", rank).groupBy("pair").agg(r6(F.corr("f", "rk")).alias("trend"), r6(F.avg((F.col("v") > 0).cast("int"))).alias("consistency"))
 
 
+@query("b17_fold_trend_whole")
+def b17_whole(spark, sf_dir):
+    """Rank correlation of Sharpe and return with the number of the fold, over all folds of each pair (null below four, or where they are all alike), and the verdict on them."""
+    v = fold_metrics(spark, sf_dir).withColumns({c: F.round(c, 10) for c in ("sharpe", "total")})
+    rank = lambda c: F.rank().over(Window.partitionBy("pair").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("pair", c)) - 1) / 2.0
+    v = v.withColumn("by_sharpe", rank("sharpe")).withColumn("by_total", rank("total"))
+    trend = lambda c: F.when(F.count(F.lit(1)) >= 4, r6(F.try_divide(F.covar_pop("fold", c), F.stddev_pop("fold") * F.stddev_pop(c))))
+    got = v.groupBy("pair").agg(
+        F.count(F.lit(1)).alias("folds"), trend("by_sharpe").alias("sharpe_trend"), trend("by_total").alias("return_trend"),
+        r6(F.avg((F.col("total") > 0).cast("int"))).alias("consistency"), r6(F.avg("total")).alias("mean_return"), r6(F.avg("sharpe")).alias("mean_sharpe"),
+    )
+    good = (F.col("mean_return") > 0) & (F.col("consistency") >= 0.6) & (F.col("mean_sharpe") > 0.3)
+    return got.withColumn("verdict", F.when(good, "pass").when((F.col("mean_return") > 0) & (F.col("consistency") >= 0.5), "marginal").otherwise("fail"))
+
+
 _SNAP = HEALTH + ", snap AS (SELECT pair, arg_max(round(score, 4), t) AS score, arg_max(checks_passed, t) >= 2 AS healthy, round(100 * avg((checks_passed >= 2)::INT) FILTER (k <= 13), 4) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY t DESC) AS k FROM health) GROUP BY 1)"
 
 

@@ -195,3 +195,14 @@ def b16(spark, sf_dir):
     folds_ = j.walk_forward_folds(spark, 320, 150, 30, 50)
     d = backtest(spark, sf_dir).join(F.broadcast(folds_), F.col("t").between(F.col("test_start_t"), F.col("test_end_t")))
     return d.groupBy("fold", "pair").agg(F.count("net").alias("n"), F.round(F.sum("net"), 5).alias("total"), r6(F.avg((F.col("net") > 0).cast("int"))).alias("win_rate"))
+
+
+def fold_metrics(spark, sf_dir):
+    """Metrics of every test window of every pair's own walk."""
+    return b.metrics(j.in_own_folds(backtest(spark, sf_dir), 150, 30, 50), ["pair", "fold"])
+
+
+@query("b16_walk_forward_whole")
+def b16_whole(spark, sf_dir):
+    """The walk over as many folds as each pair's rows allow; b16_walk_forward and its SQL stop at five."""
+    return rounded(fold_metrics(spark, sf_dir))

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from covary.plans import registry
@@ -55,3 +56,21 @@ def test_every_query_has_its_sql():
 def test_entry(spark):
     df = entry.entry(spark)
     assert {"pair", "sharpe"} <= set(df.columns) and df.count() > 0
+
+
+def test_walks_cover_each_pairs_own_rows(spark):
+    from covary.operators import joins as j
+
+    rows = [(k, t) for k, n in {"long": 357, "short": 230, "none": 199}.items() for t in range(n)]
+    got = {(r["pair"], r["fold"]): (r["a"], r["z"], r["n"]) for r in j.in_own_folds(spark.createDataFrame(rows, "pair string, t int"), 150, 30, 50).groupBy("pair", "fold").agg(F.min("t").alias("a"), F.max("t").alias("z"), F.count("t").alias("n")).collect()}
+    assert got == {(k, f): (150 + 30 * f, 199 + 30 * f, 50) for k, folds in (("long", 6), ("short", 2)) for f in range(folds)}
+
+
+def test_whole_walk_has_a_sixth_fold_and_its_trend(spark):
+    sf = "/root/testdata/sf0.01"
+    walk = {(r["pair"], r["fold"]): r for r in registry.QUERIES["b16_walk_forward_whole"](spark, sf).collect()}
+    five = registry.QUERIES["b16_walk_forward"](spark, sf).collect()
+    assert max(f for _, f in walk) == 5 and {(r["pair"], r["fold"]) for r in five} >= {k for k in walk if k[1] < 5}
+    for r in registry.QUERIES["b17_fold_trend_whole"](spark, sf).collect():
+        own = [w["total"] for (pair, _), w in walk.items() if pair == r["pair"]]
+        assert r["folds"] == len(own) and r["consistency"] == pytest.approx(sum(v > 0 for v in own) / len(own), abs=1e-6)
