@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from covary.llm.words import U, mix, powers, spread, text_bytes
+from covary.llm.words import STEP, U, mix, spread, text_bytes
 
 
 @cache
@@ -51,7 +51,7 @@ class Words:
         every = spread(starts, lengths)
         first = np.cumsum(lengths) - lengths
         within = np.arange(len(every)) - np.repeat(first, lengths)
-        values = mix(self.low[every].astype(np.uint64) + U(1)) * powers(int(lengths.max()))[within]
+        values = mix(self.low[every].astype(np.uint64) ^ within.astype(np.uint64) * STEP)
         return mix(np.add.reduceat(values, first) ^ (lengths.astype(np.uint64) * U(0xD6E8FEB86659FD93) + U(salt)))
 
     def unique(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,8 +74,10 @@ def add_columns(df: DataFrame, text_col: str, compute, fields: list[tuple[str, T
     """
     names = {n.lower() for n, *_ in fields}
     kept = [c for c in df.columns if c.lower() not in names]
-    text = df[text_col].cast("string")
-    source = df.select(*[df[c] for c in kept], text.alias("_text_of_row"))
+    # the text goes to the worker once, also where it stays a column
+    stays = text_col in kept and df.schema[text_col].dataType == T.StringType()
+    place = kept.index(text_col) if stays else len(kept)
+    source = df.select(*[df[c] for c in kept], *([] if stays else [df[text_col].cast("string").alias("_text_of_row")]))
     schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, t) for n, t, _ in fields]])
 
     def run(batches):
@@ -84,10 +86,10 @@ def add_columns(df: DataFrame, text_col: str, compute, fields: list[tuple[str, T
         def texts():
             for batch in batches:
                 held.append(batch)
-                yield batch.column(batch.num_columns - 1)
+                yield batch.column(place)
 
         for made in compute(texts()):
             batch = held.pop()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(x, t) for x, (_, _, t) in zip(made, fields, strict=True)]], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *[pa.array(x, t) for x, (_, _, t) in zip(made, fields, strict=True)]], [f.name for f in schema])
 
     return source.mapInArrow(run, schema)

@@ -9,26 +9,14 @@ import pyarrow as pa
 
 U = np.uint64
 _rng = np.random.default_rng(20240501)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_STEP = U(0x9E3779B97F4A7C15)
+_CELLS = _rng.integers(0, 2**64, (64, 256), dtype=np.uint64).ravel()
+STEP = U(0x9E3779B97F4A7C15)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 4096), _STEP, np.uint64)
-        steps[0] = 1
-        _powers = np.cumprod(steps, dtype=np.uint64)
-    return _powers[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of splitmix64)."""
     h = h ^ (h >> U(30))
@@ -38,6 +26,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def cells(body: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """A random 64-bit number for each byte at its place in its word (a sum of these tells words apart, whatever pattern they have)."""
+    out = _CELLS[(within & 63) << 8 | body]
+    far = np.flatnonzero(within > 63)
+    if len(far):
+        out[far] = mix(out[far] ^ (within[far] >> 6).astype(np.uint64) * STEP)
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, none of them empty."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    at = spread(starts, lengths)
+    values = cells(data[at], np.arange(len(at)) - np.repeat(first, lengths))
+    return mix(np.add.reduceat(values, first) ^ (lengths.astype(np.uint64) * U(0xD6E8FEB86659FD93)))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string column; a null is an empty text."""
     if column.null_count:
@@ -86,7 +93,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True, cut: np.nd
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts, lengths
     within = np.arange(len(places)) - np.repeat(first, lengths)
     body = data[places]
-    values = _BYTE[LOWER[body] if lower else body] * powers(int(lengths.max()))[within]
+    values = cells(LOWER[body] if lower else body, within)
     hashes = mix(np.add.reduceat(values, first) ^ (lengths.astype(np.uint64) * U(0xD6E8FEB86659FD93)))
     return hashes, np.searchsorted(at, starts, "right") - 1, starts, lengths
 
