@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
+    """A new folder's URI under spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Where neither is set, a local session (as in tests) gets a temporary folder and a cluster an error, as its machines share none.
+    """
+    sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
+        at = sc._jsc.sc().getCheckpointDir()
+        base = at.get() if at.isDefined() else None
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = sc.applicationId
         base = _own.setdefault(app, "") or _own.__setitem__(app, tempfile.mkdtemp(prefix="spark-")) or _own[app]
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}" if base.startswith("/") else base
-    return f"{base.rstrip('/')}/covary-{name}-{uuid.uuid4().hex}"
+        base = f"file://{base}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if full.startswith("file:/") and not full.startswith("file://"):
+        full = "file://" + full[len("file:") :]
+    return f"{full.rstrip('/')}/covary-{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +51,29 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def place_file(uri: str, name: str, build) -> None:
+    """Writes a file of a deterministic name, in a task: build(sink) under a name of its own, then moved into place.
+
+    A task that runs again replaces the file by an equal one; a move alone fails on file systems that do not replace.
+    """
+    fs, root = pafs.FileSystem.from_uri(uri)
+    part = f"{root}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(part) as sink:
+        build(sink)
+    try:
+        fs.move(part, f"{root}/{name}")
+    except OSError:
+        fs.delete_file(f"{root}/{name}")
+        fs.move(part, f"{root}/{name}")
+
+
+def read_file(uri: str, name: str) -> bytes:
+    fs, root = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(f"{root}/{name}") as source:
+        return source.read()
+
+
 def fresh(taken, name: str) -> str:
     """name, with underscores in front until no column has it."""
     lower = {c.lower() for c in taken}

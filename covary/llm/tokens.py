@@ -1,8 +1,8 @@
 """Token ids in Arrow files of fixed-size-list batches, for zero-copy random access to sequences of equal length.
 
 A shard is one range of documents in ascending id order: their ids end to end, cut into sequences of `length` (the last one
-padded, its mask false there), written as an Arrow IPC file whose batches hold `ids` (fixed_size_list of uint16 or uint32) and
-`mask` (fixed_size_list of bool), and beside it an index file with each document's start within the shard and its tokens.
+padded, its mask 0 there), written as an Arrow IPC file whose batches hold `ids` (fixed_size_list of uint16 or uint32) and
+`mask` (fixed_size_list of uint8), and beside it an index file with each document's start within the shard and its tokens.
 The manifest has a row per shard. A memory-mapped file gives any sequence as a view: sequence i is row i % rows of batch i // rows.
 
 Files have deterministic names and are renamed into place, so a task that runs again leaves the same file.
@@ -19,11 +19,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covary.llm.store import shared_dir
+from covary.llm.store import place_file, shared_dir
 from covary.llm.words import slices, spread, text_bytes, word_hashes
 
 LENGTH = 2048
@@ -40,9 +41,13 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # a special token's string within a text is ordinary text
-    return out
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _added(path: str) -> list[bytes]:
+    """The strings of added tokens, which the tokenizer finds in a text before it cuts words."""
+    return [t.content.encode() for t in _tokenizer(path).get_added_tokens_decoder().values()]
 
 
 class _Pieces:
@@ -92,12 +97,31 @@ def _pieces(path: str) -> _Pieces:
     return _Pieces(path)
 
 
+def _with_special(column: pa.Array, special: np.ndarray, tokenizer_path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """encode_texts where some texts are encoded whole."""
+    every = np.arange(len(column))
+    ids, per = encode_texts(column.filter(pa.array(~special)), tokenizer_path, end_id)
+    plain = np.split(ids, np.cumsum(per)[:-1]) if len(per) else []
+    parts = dict(zip(every[~special].tolist(), plain, strict=True))
+    for i in every[special].tolist():
+        got = _tokenizer(tokenizer_path).encode(column[i].as_py(), add_special_tokens=False).ids
+        parts[i] = np.array([*got, end_id], np.uint32)
+    ordered = [parts[i] for i in every.tolist()]
+    return np.concatenate(ordered), np.array([len(x) for x in ordered], np.int64)
+
+
 def encode_texts(column: pa.Array, tokenizer_path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts end to end, each with end_id behind it; their numbers).
 
     The tokenizer drops white space and never joins across it, nor across a letter and the punctuation behind it,
-    so the pieces between encode on their own; each distinct piece is encoded once.
+    so the pieces between encode on their own; each distinct piece is encoded once. A text that holds the string of an added token
+    is encoded whole by the tokenizer.
     """
+    special = np.zeros(len(column), bool)
+    for token in _added(tokenizer_path):
+        special |= np.asarray(pc.match_substring(column.fill_null(""), token.decode()))
+    if special.any():
+        return _with_special(column, special, tokenizer_path, end_id)
     data, at = text_bytes(column)
     cut = np.zeros(len(data), bool)
     cut[1:] = _AFTER[data[1:]] & _LETTER[data[:-1]]
@@ -114,23 +138,13 @@ def encode_texts(column: pa.Array, tokenizer_path: str, end_id: int) -> tuple[np
     return out, per
 
 
-def _place(fs: pafs.FileSystem, root: str, name: str, build) -> None:
-    """Writes a file under a name of its own, then moves it into place."""
-    part = f"{root}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
-    fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(part) as sink:
-        build(sink)
-    fs.move(part, f"{root}/{name}")
-
-
 def _write(uri: str, tokenizer_path: str, end_id: int, length: int, rows: int, small: bool, kind: pa.DataType):
-    schema = pa.schema([("ids", pa.list_(pa.uint16() if small else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+    schema = pa.schema([("ids", pa.list_(pa.uint16() if small else pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
 
     def run(batches):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        fs, root = pafs.FileSystem.from_uri(uri)
         owners, sizes = [], []
         name = f"shard-{shard:06d}.arrow"
 
@@ -139,7 +153,7 @@ def _write(uri: str, tokenizer_path: str, end_id: int, length: int, rows: int, s
             with pa.ipc.new_file(sink, schema) as out:
 
                 def put(ids, used):
-                    mask = np.arange(len(ids)) < used
+                    mask = (np.arange(len(ids)) < used).astype(np.uint8)
                     out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema))
 
                 for batch in batches:
@@ -167,7 +181,7 @@ def _write(uri: str, tokenizer_path: str, end_id: int, length: int, rows: int, s
             yield from rest_of
 
         batches = chain()
-        _place(fs, root, name, sequences)
+        place_file(uri, name, sequences)
         sizes = np.concatenate(sizes)
         start = np.cumsum(sizes) - sizes
         index = pa.record_batch([pa.concat_arrays(owners), pa.array(start), pa.array(sizes)], ["id", "start", "n_tokens"])
@@ -176,7 +190,7 @@ def _write(uri: str, tokenizer_path: str, end_id: int, length: int, rows: int, s
             with pa.ipc.new_file(sink, index.schema) as out:
                 out.write_batch(index)
 
-        _place(fs, root, name + ".index", entries)
+        place_file(uri, name + ".index", entries)
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(sizes)], pa.int64()), pa.array([int(sizes.sum())], pa.int64())], ["shard", "file", "n_docs", "n_tokens"])
 
     return run
@@ -209,15 +223,15 @@ class Shard:
         index = fs.open_input_file(f"{root}/{name}.index")
         self.index = pa.ipc.open_file(index).read_all()
 
-    def batch(self, i: int) -> tuple[np.ndarray, pa.Array]:
+    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         got = self.reader.get_batch(i)
-        return got.column("ids").flatten().to_numpy(zero_copy_only=True), got.column("mask")
+        return got.column("ids").flatten().to_numpy(zero_copy_only=True), got.column("mask").flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, mask) of one sequence."""
-        got, row = self.reader.get_batch(i // self.rows), i % self.rows
-        ids = got.column("ids").flatten().to_numpy(zero_copy_only=True)
-        return ids[row * self.length : (row + 1) * self.length], np.asarray(got.column("mask")[row].values)
+        (ids, mask), row = self.batch(i // self.rows), i % self.rows
+        here = slice(row * self.length, (row + 1) * self.length)
+        return ids[here], mask[here]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         step = self.rows * self.length
