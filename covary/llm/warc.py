@@ -4,7 +4,9 @@ The reader deals byte ranges of the archives out to tasks. A task scans its rang
 record's member only if its first bytes inflate to a WARC version line and the whole member inflates with a right checksum, and
 then follows members one after another; a record belongs to the range in which its member starts, so none is read twice or missed.
 
-Cases: a null payload is an empty one; a null key is written as an empty header and read as null; equal payloads of at least
+A task's rows are sorted before they are written, so that a task that runs again writes the same bytes.
+
+Cases: a null payload is an empty one; a null key or url is read back as null, an empty one as empty; equal payloads of at least
 min_bytes have the record with the smallest key as response (null keys last; rows that repeat that key are responses, too), the
 others are revisits; an empty table writes no archive; other columns of the input are not read.
 """
@@ -13,16 +15,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import uuid
 import zlib
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.store import shared_dir
+from covary.llm.store import place_file, shared_dir
 
 SPLIT_BYTES = 8 << 20
 _MAGIC = b"\x1f\x8b\x08"
@@ -30,8 +32,20 @@ _CHUNK = 1 << 18
 _READ = "key string, url string, record_type string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 
 
-def record(key: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """One WARC/1.1 record as a gzip member. A revisit holds the HTTP headers only, which give the payload's length."""
+def _line(value: str) -> str:
+    """A header's value on one line; a percent sign is escaped too, so that _value undoes it."""
+    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _value(line: str) -> str:
+    return line.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
+def record(key: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    """One WARC/1.1 record as a gzip member. A revisit holds the HTTP headers only, which give the payload's length.
+
+    A null key or url has no header of its own. The target URI stands as it is but for line breaks.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [
@@ -39,13 +53,13 @@ def record(key: str, url: str, payload: bytes, digest: str, refers_to: str | Non
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {url} {digest}')}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Row-Key: {key}",
     ]
+    lines += [f"{name}: {_line(x)}" for name, x in (("X-Row-Key", key), ("X-Row-URL", url)) if x is not None]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Key: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Key: {_line(refers_to)}"]
     lines.append(f"Content-Length: {len(block)}")
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -59,30 +73,31 @@ def parse(data: bytes) -> tuple:
     http, _, payload = block.partition(b"\r\n\r\n")
     said = int(http.rpartition(b"Content-Length: ")[2])
     kind = fields["WARC-Type"]
-    return fields["X-Row-Key"] or None, fields["WARC-Target-URI"] or None, kind, fields.get("X-Refers-To-Key"), fields["WARC-Payload-Digest"].removeprefix("sha1:"), said, payload if kind == "response" else None
+    key, url, refers_to = (_value(x) if (x := fields.get(name)) is not None else None for name in ("X-Row-Key", "X-Row-URL", "X-Refers-To-Key"))
+    return key, url, kind, refers_to, fields["WARC-Payload-Digest"].removeprefix("sha1:"), said, payload if kind == "response" else None
 
 
 def _write(uri: str):
     def run(batches):
         from pyspark import TaskContext
 
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
-        fs, root = pafs.FileSystem.from_uri(uri)
-        part, n, size = f"{root}/.{name}.{os.urandom(4).hex()}", 0, 0
-        sink = None
-        for batch in batches:
-            for key, url, html, refers in zip(*(batch.column(c) for c in ("key", "url", "payload", "refers_to")), strict=True):
-                if sink is None:
-                    fs.create_dir(root, recursive=True)
-                    sink = fs.open_output_stream(part)
-                payload = (html.as_py() or "").encode()
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                made = record(key.as_py() or "", (url.as_py() or "").replace("\r", "%0D").replace("\n", "%0A"), payload, digest, refers.as_py())
-                sink.write(made)
-                n, size = n + 1, size + len(made)
-        if sink is not None:
-            sink.close()
-            fs.move(part, f"{root}/{name}")
+        first = next(batches, None)
+        if first is None:
+            return
+        name, n, size = f"part-{TaskContext.get().partitionId():06d}.warc.gz", 0, 0
+
+        def records(sink):
+            nonlocal n, size
+            for batch in chain([first], batches):
+                for key, url, html, refers in zip(*(batch.column(c) for c in ("key", "url", "payload", "refers_to")), strict=True):
+                    payload = (html.as_py() or "").encode()
+                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    made = record(key.as_py(), url.as_py(), payload, digest, refers.as_py())
+                    sink.write(made)
+                    n, size = n + 1, size + len(made)
+
+        place_file(uri, name, records)
+        if n:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], ["file", "bytes", "records"])
 
     return run
@@ -102,7 +117,7 @@ def write_warc(df: DataFrame, uri: str, key_col: str = "page_id", url_col: str =
     keyed = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     marked = keyed.join(twins.select(F.col("key").alias("k"), F.col("digest").alias("d"), "first"), F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
     out = marked.select(F.col("key").cast("string").alias("key"), "url", "payload", F.col("first").cast("string").alias("refers_to"))
-    manifest = out.mapInArrow(_write(uri), "file string, bytes bigint, records bigint")
+    manifest = out.sortWithinPartitions("key", F.xxhash64("url", "payload")).mapInArrow(_write(uri), "file string, bytes bigint, records bigint")
     return df.sparkSession.createDataFrame(manifest.toArrow())  # a row per archive
 
 
