@@ -2,7 +2,7 @@
 n-grams, from the longest on until a length has known ones.
 
 The model is fitted on at most about SAMPLE training documents, those whose hash of the id falls below a share (all, if there are
-fewer); it keeps the WORDS most frequent words and GRAMS most frequent n-grams seen twice. Prediction reads nothing but the text.
+fewer); it keeps every word and n-gram that these hold TWICE or more. Prediction reads nothing but the text.
 
 Cases: a null text or one without a letter is 'und' with score 0; rows without a language teach nothing; a model without languages
 says 'und' of everything; repeated rows and null ids are rows like others; very long texts are scored whole.
@@ -23,8 +23,7 @@ from covary.llm.lm import fold
 from covary.llm.words import slices, spread
 
 SAMPLE = 6000
-WORDS = 1 << 17
-GRAMS = 1 << 18
+TWICE = 2  # what the sample holds less often says nothing
 LONGEST = 5
 UNKNOWN = "und"
 
@@ -73,14 +72,13 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     found = rows.groupBy("lang").count().orderBy("lang").collect()  # a row per language
     languages, total = [r["lang"] for r in found], sum(r["count"] for r in found)
     if total > sample:
-        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * sample / total))
+        rows = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int((1 << 20) * sample / total))
     counts = rows.select("text", "lang").mapInArrow(_count(languages), "size int, hash bigint, language int, n bigint")
-    by_gram = counts.groupBy("size", "hash").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("language") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(languages))]).filter("n > 1")
-    words = by_gram.filter("size = 0").orderBy(F.desc("n"), "hash").limit(WORDS).toPandas()
-    grams = by_gram.filter("size > 0").orderBy(F.desc("n"), "hash").limit(GRAMS).toPandas()
+    by_gram = counts.groupBy("size", "hash").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("language") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(languages))]).filter(F.col("n") >= TWICE)
+    found = by_gram.drop("n").toPandas()  # of a bounded sample
     hashes, scores = [], []
     for n in range(LONGEST + 1):
-        table = words if n == 0 else grams[grams["size"] == n]
+        table = found[found["size"] == n]
         keys = table["hash"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
         seen = table[[f"n{k}" for k in range(len(languages))]].to_numpy(float)[order] + 0.5

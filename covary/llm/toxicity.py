@@ -31,7 +31,7 @@ from covary.llm.lm import fold
 from covary.llm.words import slices
 
 SAMPLE = 20_000
-LEXICON = 1 << 16
+LEAST, LIKELIER = 3, 0.7  # toxic documents with an entry of the lexicon, at least, and its log ratio
 BEGINNINGS = (4, 6)
 STRONG = 3.0
 
@@ -42,8 +42,9 @@ _SIGNS = re.escape("".join(LOOKS))
 _LETTERS = "a-zà-öø-ÿ"
 SUSPECT = re.compile(
     rf"(?<![{_LETTERS}0-9])(?:[{_LETTERS}{_SIGNS}](?:[ ._*-]+[{_LETTERS}{_SIGNS}](?![{_LETTERS}0-9])){{2,}})"
-    rf"|[{_LETTERS}{_SIGNS}]*(?:[{_LETTERS}][{_SIGNS}]+[{_LETTERS}]|([{_LETTERS}])\1\1)[{_LETTERS}{_SIGNS}]*"
-    rf"|[{_SIGNS}]+[{_LETTERS}]{{2,}}"
+    # both begin where their run of letters or signs does, so that a run is tried once and not from each of its places
+    rf"|(?<![{_LETTERS}{_SIGNS}])[{_LETTERS}{_SIGNS}]*(?:[{_LETTERS}][{_SIGNS}]+[{_LETTERS}]|([{_LETTERS}])\1\1)[{_LETTERS}{_SIGNS}]*"
+    rf"|(?<![{_SIGNS}])[{_SIGNS}]+[{_LETTERS}]{{2,}}"
 )
 SIGN_COST, DROP_COST, KEEP_COST, RUN_COST, LETTER_COST = 1.0, 0.3, 2.0, 0.7, 0.05
 _SIZE = len(ALPHABET) + 2  # an edge, the letters, any other letter
@@ -96,10 +97,10 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
 
 def restore(span: str, model: np.ndarray) -> str:
     """The likeliest reading: Viterbi over the lattice, a state being the last two characters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings in lattice(span):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (value, text) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (value, path) in states.items():
             for letters, cost in readings:
                 p, q, total = a, b, value - cost
                 for c in letters:
@@ -107,9 +108,20 @@ def restore(span: str, model: np.ndarray) -> str:
                     total += float(model[p, q, r]) + LETTER_COST
                     p, q = q, r
                 if (p, q) not in after or total > after[p, q][0]:
-                    after[p, q] = (total, text + letters)
+                    after[p, q] = (total, (path, letters))
         states = after
-    return max((value + float(model[a, b, 0]), text) for (a, b), (value, text) in states.items())[1]
+    _, path = max(((value + float(model[a, b, 0]), path) for (a, b), (value, path) in states.items()), key=lambda x: x[0])
+    out = []
+    while path is not None:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def reader(model: np.ndarray):
+    """restore, with readings of spans of ordinary length kept."""
+    short = lru_cache(1 << 15)(lambda span: restore(span, model))
+    return lambda span: short(span) if len(span) <= 64 else restore(span, model)
 
 
 def restored_words(text: str, read) -> list[str]:
@@ -154,8 +166,7 @@ def _with_restored(column: pa.Array, read) -> pa.Array:
 
 def _count(characters):
     def run(batches):
-        model = characters.value
-        read = lru_cache(1 << 16)(lambda span: restore(span, model))
+        read = reader(characters.value)
         for batch in batches:
             for start, stop in slices(batch.column("text")):
                 words = Words(_with_restored(batch.column("text").slice(start, stop - start), read))
@@ -177,7 +188,7 @@ def _measure(shared):
 
     def compute(texts):
         model = shared.value
-        read = lru_cache(1 << 16)(lambda span: restore(span, model.characters))
+        read = reader(model.characters)
         for column in texts:
             parts = []
             for start, stop in slices(column):
@@ -224,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("_labelled"), F.col(label_col).alias("toxic")).filter("_labelled is not null and toxic is not null").groupBy("_labelled").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = known.count()
     if total > sample:
-        known = known.filter(F.pmod(F.xxhash64("_labelled"), F.lit(1 << 20)) < int((1 << 20) * sample / total))
+        known = known.filter(F.pmod(F.xxhash64(F.lit("sample"), "_labelled"), F.lit(1 << 20)) < int((1 << 20) * sample / total))
     rows = docs.select(F.col(id_col).alias("_labelled"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "_labelled")  # at most about `sample` labels
     part = F.pmod(F.xxhash64(F.lit("part"), "_labelled"), F.lit(3))
     shared = spark.sparkContext.broadcast(characters)
@@ -237,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(characters, *empty, np.array([np.log(max(share, 1e-12) / max(1 - share, 1e-12)), 0, 0, 0]))
     counts = lexicon.select("text", "toxic").mapInArrow(_count(shared), "hash bigint, toxic bigint, clean bigint").groupBy("hash").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     weight = F.log((F.col("a") + 0.5) / (p + 1)) - F.log((F.col("b") + 0.5) / (q + 1))
-    found = counts.filter("hash <> 0 and a >= 3").withColumn("weight", weight).filter("weight > 0.7").orderBy(F.desc(F.col("weight") * F.col("a")), "hash").limit(LEXICON).toPandas()
+    found = counts.filter((F.col("hash") != 0) & (F.col("a") >= LEAST)).withColumn("weight", weight).filter(F.col("weight") > LIKELIER).select("hash", "weight").toPandas()  # of a bounded sample
     hashes = found["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     model = Model(characters, hashes[order], found["weight"].to_numpy(float)[order], np.zeros(4))
