@@ -1,9 +1,9 @@
 """Mixing sources to target weights: blocks of words, multinomial draws per output shard, and pseudorandom block order.
 
 The words of a source's documents, laid end to end, are cut into blocks of BLOCK words. A source's target fixes how many block
-slots it fills: rounds over all its blocks, then a last round over its full blocks that takes only what is left of the target. Each output shard draws how many of its slots every source
-gets: multinomial draws conditional on the sources' slot counts, which is a multivariate hypergeometric split down a tree of shard
-ranges, so that a shard's counts need no other shard. A source's slots go through a pseudorandom permutation of its block numbers,
+slots it fills: rounds over all its blocks, then a last round over its full blocks that takes only what is left of the target. Each
+output shard draws how many of its slots every source gets: multinomial draws by what the sources have left, down a tree of shard
+ranges, so that a shard's counts need no other shard and all slots are dealt. A source's slots go through a pseudorandom permutation of its block numbers,
 one per round over its blocks, and blocks are joined by (source, number). All draws are keyed by SEED: reruns agree.
 
 The order of a source's documents is by a hash of the id, in 4096 groups, so that running sums need no task per source.
@@ -100,13 +100,10 @@ def split_slots(counts: list[int], shard: int, shards: int) -> tuple[np.ndarray,
 
 
 def _draw(rng, counts: np.ndarray, n: int) -> np.ndarray:
-    if counts.sum() < 10**9:
-        return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    # beyond the draw's range: multinomial, which such counts hardly tell apart, mended to what every source has
-    part = np.minimum(rng.multinomial(n, counts / counts.sum()), counts)
+    """n slots over the sources: a multinomial draw by what each has left, mended where that is less than it drew."""
+    part = np.minimum(rng.multinomial(n, counts / max(1, counts.sum())), counts)
     for i in np.argsort(part - counts, kind="stable"):
-        more = min(n - int(part.sum()), int(counts[i] - part[i]))
-        part[i] += more
+        part[i] += min(n - int(part.sum()), int(counts[i] - part[i]))
     return part
 
 
@@ -173,8 +170,8 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix as documents, with the columns of docs: a document once for every whole round, and the words of its last round's spans."""
     mixed = mix(docs, id_col, text_col, source_col, **options)
     names = {c: fresh(docs.columns, c) for c in ("hash", "copy", "rounds", "spans", "part")}
-    same = Window.partitionBy(F.col(id_col), F.col(names["hash"])).orderBy(F.lit(0))
     rows = docs.withColumn(names["hash"], F.xxhash64(text_col))
+    same = Window.partitionBy(F.col(id_col), F.col(names["hash"])).orderBy(F.xxhash64(*docs.columns))
     rows = rows.withColumn(names["copy"], F.row_number().over(same))  # equal rows share a mix by number
     theirs = mixed.withColumn("copy", F.row_number().over(Window.partitionBy("id", "hash").orderBy("taken", "rounds")))
     theirs = theirs.select(F.col("id").alias("_mixed_id"), F.col("hash").alias("_mixed_hash"), F.col("copy").alias("_mixed_copy"), F.col("rounds").alias(names["rounds"]), F.filter("spans", lambda x: x["round"] == F.col("rounds")).alias(names["spans"]))
