@@ -275,3 +275,39 @@ def test_permutation(spark):
     for n in (1, 2, 7, 100):
         df = spark.range(n).select(F.col("id").alias("x"), F.lit(n).cast("bigint").alias("n"))
         assert sorted(r["x"] for r in mixing.permute(df, "x", "n", F.lit("k")).collect()) == list(range(n))
+
+
+def test_words_of_thue_and_morse_stay_apart(spark):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {r["component_id"] for r in neardup.near_duplicates(df).collect()} == {1, 2}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    uri = f"file:///tmp/spark-tokens-{uuid.uuid4().hex}"
+    got = tokens.read_tokens(tokens.write_tokens(df, uri, path, end_id=2), uri).collect()
+    want = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4")) for i, x in ((1, a), (2, b))}
+    assert {r["doc_id"]: r["ids_crc32"] for r in got} == want
+    words = langid.Words(__import__("pyarrow").array([a, b]))
+    assert len(words.unique()[0]) == 2
+
+
+def test_token_files_find_added_tokens_as_the_library_does(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["<|startoftext|> hi", "a<|endoftext|>b", "plain", "<|endof text|>", None, "x" * 10 + "<|startoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    uri = f"file:///tmp/spark-tokens-{uuid.uuid4().hex}"
+    got = tokens.read_tokens(tokens.write_tokens(df, uri, path, end_id=2), uri).collect()
+    want = {i: zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")) for i, x in enumerate(texts)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in got} == want
+
+
+def test_toxicity_of_very_long_words_and_odd_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = [(1, "ab" * 500_000, "x"), (2, "a1" * 20_000, "x"), (3, "1" * 1_000_000, "x"), (4, "a " * 200_000, "x"), (5, "same text", "x"), (5, "same text", "x"), (None, None, None)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, score string"), model).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs.limit(3), toxicity.fit(docs.limit(0), labels.limit(0))).collect())
