@@ -1,10 +1,13 @@
 """Language-model scores by a Brown class bigram: exchange clustering, class transitions and word emissions.
 
 Words are lower-cased (A-Z) runs of non-space; a text ends with an end token, which is also its left context. Statistics come from
-every training document. Exchange puts a seed of frequent words, which grows with the vocabulary, into CLASSES classes: a word moves
-to the class that raises the likelihood of the class bigram most, in sweeps over batches of words whose neighbour counts Spark holds.
-Then WIDE sweeps move every training word by the same gain over all its neighbours; before the first of them words outside the seed
-stand in classes by their last letters. An unseen word takes the class of most training words with its last letters. Then
+every training document. Exchange clustering puts the SEED most frequent words into CLASSES classes, one word after another: a word
+moves to the class that raises the likelihood of the class bigram most, and the counts of classes move with it, so that the likelihood
+never falls. One task does that, as the seed's bigrams are at most SEED squared. Then WIDE sweeps give every other training word the
+class of the greatest gain over all its neighbours, in buckets of words side by side, each with its own copy of the classes' counts
+that it keeps up to date as it moves its words. As neighbours, the FREQUENT most frequent words stand in their classes of the sweep
+before, words beyond them (and in the first sweep all words outside the seed) in classes by their last letters. An unseen word takes
+the class of most training words with its last letters. Then
 
     P(text) = product of P(class | class before) * P(word | class),
 
@@ -14,7 +17,8 @@ Words are counted under 64-bit hashes. Counts and classes of the FREQUENT most f
 others meet theirs in a shuffle join, so that no table in a task grows with the corpus.
 
 Cases: a null or empty text is one end token; a null id is in the training fold (its text form counts as empty); repeated rows are
-scored each by itself; without training documents every word is unseen and N is 0; other columns are not read.
+scored each by itself; very long texts are scored whole; without training documents every word is unseen and N is 0; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -27,23 +31,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covary.llm.store import discard, materialize
+from covary.llm.store import bounded_batches, discard, materialize
 from covary.llm.words import U, slices, text_bytes, word_hashes
 
-FREQUENT = 1 << 18
-SEED = 2048  # words at least
+FREQUENT = 1 << 20
+SEED = 2048  # words
 CLASSES = 48
 RARE = 16
-SWEEPS = 3
-BATCHES = 4
+SWEEPS = 4
 WIDE = 2
 PER_BUCKET = 16_000  # words
 TOKENS = 1 << 20  # held at a time
 _END = CLASSES
-_M = CLASSES + 1  # classes of the model; while words are placed, those by letters follow
-_K = _M + RARE
-_SELF = 2 * _K  # codes of contexts: class after, _K + class before, the word itself after, _OWN + its own class
-_OWN = 1000
+_M = CLASSES + 1  # classes and the end token
+_K = _M + RARE  # with the classes by letters
+_SELF = 2 * _K  # codes of contexts: class after, _K + class before, the word itself after
 _OTHER = 255
 
 
@@ -79,26 +81,38 @@ class Frequent:
         """Places, -1 for words that are not there."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        order = np.argsort(hashes)  # looked up in order, the table stays in the cache
+        found = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
+        out = np.empty(len(hashes), np.int64)
+        out[order] = np.where(self.hashes[found] == hashes[order], found, -1)
+        return out
 
 
 def _bigrams(frequent, size):
-    """Counts of neighbours that are both in the seed; classes hold their ranks here."""
+    """Counts of neighbours of which one is in the seed; classes hold the seed's ranks here. Words outside it are `size`, the end token size + 1."""
 
     def run(batches):
         table = frequent.value
         for batch in batches:
-            for _, _, hashes, texts, _ in _words(batch.column("text")):
+            for start, stop, hashes, texts, _ in _words(batch.column("text")):
                 at = table.find(hashes)
                 rank = np.where(at >= 0, table.classes[at], -1) if len(table.classes) else at
-                both = (texts[1:] == texts[:-1]) & (rank[1:] >= 0) & (rank[:-1] >= 0)
-                pairs, n = np.unique(rank[:-1][both] * size + rank[1:][both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((pairs // size).astype(np.int32)), pa.array((pairs % size).astype(np.int32)), pa.array(n)], ["v", "w", "n"])
+                rank = np.where(rank >= 0, rank, size).astype(np.int64)
+                _, before, own = _with_ends(rank, texts, stop - start, size + 1)
+                some = (own != before) & ((own < size) | (before < size)) | (own < size) & (own == before)
+                pairs, n = np.unique(before[some] * (size + 2) + own[some], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((pairs // (size + 2)).astype(np.int32)), pa.array((pairs % (size + 2)).astype(np.int32)), pa.array(n)], ["v", "w", "n"])
 
     return run
 
 
+def _with_ends(own: np.ndarray, texts: np.ndarray, n: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, class before, class) of words and end tokens, given the words' classes and texts."""
+    bounds = np.searchsorted(texts, np.arange(n + 1))
+    every = np.insert(own, bounds[1:], end)
+    return np.repeat(np.arange(n), np.diff(bounds) + 1), np.concatenate([[end], every[:-1]])[: len(every)], every
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -136,170 +150,159 @@ def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself:
     return best, value[every, best] - stay
 
 
-def exchange(neighbours: DataFrame, n_words: int, classes: int = CLASSES, sweeps: int = SWEEPS, batches: int = BATCHES) -> np.ndarray:
-    """The class of every word 0 .. n_words-1. neighbours: (v, after, before: arrays of struct<w, n>), a row per word."""
-    sc = neighbours.sparkSession.sparkContext
-    own = np.arange(n_words) % classes
-
-    def totals(shared):
-        def run(frames):
-            m, of = np.zeros((classes, classes)), shared.value
-            for frame in frames:
-                for v, after in zip(frame["v"], frame["after"], strict=True):
-                    for x in [after] if after is not None else []:
-                        w = np.fromiter((y["w"] for y in x), int, len(x))
-                        m[of[v]] += np.bincount(of[w], np.fromiter((y["n"] for y in x), float, len(x)), classes)
-            at = np.flatnonzero(m)
-            yield pd.DataFrame({"at": at, "n": m.ravel()[at]})
-
-        return run
-
-    def moves(shared, table):
-        def run(frames):
-            of, m = shared.value, table.value
-            out = []
-            for frame in frames:
-                for v, after, before in zip(frame["v"], frame["after"], frame["before"], strict=True):
-                    sides, itself = [], 0.0
-                    for x in (after, before):
-                        x = x if x is not None else []
-                        w = np.fromiter((y["w"] for y in x), int, len(x))
-                        n = np.fromiter((y["n"] for y in x), float, len(x))
-                        itself = float(n[w == v].sum())
-                        sides.append(np.bincount(of[w[w != v]], n[w != v], classes))
-                    best, gain = best_classes(of[v : v + 1], *(x[None] for x in sides), np.array([itself]), m, classes)
-                    if gain[0] > 1e-9:
-                        out.append((v, int(best[0])))
-            yield pd.DataFrame(out, columns=["v", "best"])
-
-        return run
-
-    for step in range(sweeps * batches):
-        shared = sc.broadcast(own)
-        got = neighbours.select("v", "after").mapInPandas(totals(shared), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-        table = np.zeros(classes * classes)
-        table[got["at"]] = got["n"]
-        table = sc.broadcast(table.reshape(classes, classes))
-        found = neighbours.filter(F.col("v") % batches == step % batches).mapInPandas(moves(shared, table), "v int, best int").toPandas()
-        own = own.copy()
-        own[found["v"]] = found["best"]
-    return own
-
-
-_CONTEXTS = "hash bigint, via bigint, code int, n bigint, codes binary, counts binary"
-
-
-def _contexts(frequent, letters: bool):
-    """Counts of the classes beside each word: packed where the neighbour's class is known, else a row (via: the neighbour) to be joined.
-
-    letters: words outside the table or without a class in it stand in the class of their letters.
+def likelihood(table: np.ndarray) -> float:
+    """Of the class bigram, without the part that no classes change."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def move(table: np.ndarray, old: np.ndarray, new: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np.ndarray) -> None:
+    """Moves words, a row each, from their old to their new classes in the table of class bigrams."""
+    for classes, sign in ((old, -1), (new, 1)):
+        np.add.at(table, classes, sign * after)
+        np.add.at(table.T, classes, sign * before)
+        np.add.at(table, (classes, classes), sign * itself)
+
+
+def exchange(v: np.ndarray, w: np.ndarray, n: np.ndarray, size: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, list[float]]:
+    """(class of every word below size, likelihood at first and after every sweep) from bigrams (v, w) and their counts n.
+
+    Words from size on stand in fixed classes of their own. Words move one after another, the most frequent first.
     """
+    others = int(max(v.max(initial=size), w.max(initial=size))) + 1 - size
+    of = np.concatenate([np.arange(size) % classes, classes + np.arange(others)])
+    table = np.zeros((classes + others, classes + others))
+    np.add.at(table, (of[v], of[w]), n)
+    sides = []
+    for x, y in ((v, w), (w, v)):  # followers of each word, words before each
+        order = np.argsort(x, kind="stable")
+        sides.append((np.searchsorted(x[order], np.arange(size + 1)), y[order], n[order].astype(float)))
+    said = [likelihood(table)]
+    for _ in range(sweeps):
+        moved = 0
+        for word in range(size):
+            counts, itself = [], 0.0
+            for bounds, near, times in sides:
+                near, times = near[bounds[word] : bounds[word + 1]], times[bounds[word] : bounds[word + 1]]
+                itself = float(times[near == word].sum())
+                counts.append(np.bincount(of[near], np.where(near == word, 0.0, times), classes + others)[None])
+            own = of[word : word + 1].copy()
+            best, gain = best_classes(own, *counts, np.array([itself]), table, classes)
+            if gain[0] > 1e-9:
+                move(table, own, best, *counts, np.array([itself]))
+                of[word] = best[0]
+                moved += 1
+        said.append(likelihood(table))
+        if not moved:
+            break
+    return of[:size], said
+
+
+def _exchanged(size: int):
+    def run(batches):
+        got = pa.Table.from_batches(list(batches), pa.schema([("v", pa.int32()), ("w", pa.int32()), ("n", pa.int64())]))
+        own, _ = exchange(*(got[c].to_numpy().astype(np.int64) for c in ("v", "w", "n")), size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(own.astype(np.int32))], ["word", "class"])
+
+    return run
+
+
+_CONTEXTS = "hash bigint, rare int, codes binary, counts binary, at array<int>, n array<bigint>"
+
+
+def _contexts(frequent):
+    """Per word of a task, how often each class stands beside it: packed codes, with counts of at most 255 each; last, the task's counts of class bigrams."""
 
-    def packed(hashes, after, before):
-        unique, word = np.unique(hashes, return_inverse=True)
+    def packed(hashes, rare, after, before):
+        unique, first, word = np.unique(hashes, return_index=True, return_inverse=True)
         code, word = np.concatenate([after, before]).astype(np.int64), np.concatenate([word, word])
         both, n = np.unique((word * 256 + code)[code != _OTHER], return_counts=True)
-        at = np.searchsorted(both // 256, np.arange(len(unique) + 1)).astype(np.int32)
-        codes, counts = _binary((both % 256).astype(np.uint8), at), _binary(n.astype(np.int32), at)
-        none = pa.nulls(len(unique), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), none, none.cast(pa.int32()), none, codes, counts], ["hash", "via", "code", "n", "codes", "counts"])
+        times = -(-n // 255)
+        both, last = np.repeat(both, times), np.cumsum(times) - 1
+        part = np.full(len(both), 255, np.uint8)
+        part[last] = n - (times - 1) * 255
+        bounds = np.searchsorted(both // 256, np.arange(len(unique) + 1))
+        none = pa.nulls(len(unique), pa.list_(pa.int32())), pa.nulls(len(unique), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(rare[first].astype(np.int32)), _binary((both % 256).astype(np.uint8), bounds), _binary(part, bounds), *none], ["hash", "rare", "codes", "counts", "at", "n"])
 
     def run(batches):
         table, held, size = frequent.value, [], 0
+        total = np.zeros(_K * _K, np.int64)
         for batch in batches:
-            for _, _, hashes, texts, rare in _words(batch.column("text")):
+            for start, stop, hashes, texts, rare in _words(batch.column("text")):
                 if not len(hashes):
+                    total[_END * _K + _END] += stop - start
                     continue
                 at = table.find(hashes)
                 own = np.where(at >= 0, table.classes[at], -1) if len(table.classes) else at
-                own = np.where(own >= 0, own, _M + rare if letters else _OTHER)
+                own = np.where(own >= 0, own, _M + rare)
+                _, before_, own_ = _with_ends(own, texts, stop - start, _END)
+                total += np.bincount(before_ * _K + own_, minlength=_K * _K)
                 after, before = np.full(len(own), _END), np.full(len(own), _K + _END)
                 near = np.flatnonzero(texts[1:] == texts[:-1])
-                after[near] = own[near + 1]
-                before[near + 1] = np.where(own[near] == _OTHER, _OTHER, _K + own[near])
+                after[near], before[near + 1] = own[near + 1], _K + own[near]
                 twice = near[hashes[near] == hashes[near + 1]]
                 after[twice], before[twice + 1] = _SELF, _OTHER
-                held.append((hashes, after.astype(np.uint8), before.astype(np.uint8)))
+                held.append((hashes, rare.astype(np.uint8), after.astype(np.uint8), before.astype(np.uint8)))
                 size += len(hashes)
-                other = near[hashes[near] != hashes[near + 1]]
-                to, of = other[own[other + 1] == _OTHER], other[own[other] == _OTHER]
-                if len(to) + len(of):
-                    none = pa.nulls(len(to) + len(of), pa.binary())
-                    code = np.repeat([0, _K], [len(to), len(of)]).astype(np.int32)
-                    target, via = np.concatenate([hashes[to], hashes[of + 1]]), np.concatenate([hashes[to + 1], hashes[of]])
-                    yield pa.RecordBatch.from_arrays([pa.array(target.view(np.int64)), pa.array(via.view(np.int64)), pa.array(code), pa.array(np.ones(len(code), np.int64)), none, none], ["hash", "via", "code", "n", "codes", "counts"])
                 if size >= TOKENS:
                     yield packed(*map(np.concatenate, zip(*held, strict=True)))
                     held, size = [], 0
         if held:
             yield packed(*map(np.concatenate, zip(*held, strict=True)))
+        some = np.flatnonzero(total)
+        one = pa.array([0, len(some)], pa.int32())
+        lists = pa.ListArray.from_arrays(one, pa.array(some.astype(np.int32))), pa.ListArray.from_arrays(one, pa.array(total[some]))
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], ["hash", "rare", "codes", "counts", "at", "n"])
 
     return run
 
 
-def _bucket(group: pa.Table):
-    """(hashes, own classes, counts by word and code) of a group's words."""
-    group = group.combine_chunks()
-    hashes, word = np.unique(group["hash"].to_numpy(), return_inverse=True)
-    code = group["code"].fill_null(-1).to_numpy()
-    n = group["n"].fill_null(0).to_numpy()
-    own = np.zeros(len(hashes), np.int64)
-    mine = code >= _OWN
-    own[word[mine]] = code[mine] - _OWN
-    single = (code >= 0) & ~mine
-    total = np.bincount(word[single] * (_SELF + 1) + code[single], n[single], len(hashes) * (_SELF + 1)).astype(float)
-    for codes, counts in zip(group["codes"].chunks, group["counts"].chunks, strict=True):
-        data, at = text_bytes(codes)
-        times, _ = text_bytes(counts)
-        total += np.bincount(np.repeat(word, np.diff(at)) * (_SELF + 1) + data, times.view(np.int32) if len(times) else None, len(total))
-    return hashes, own, total.reshape(len(hashes), _SELF + 1)
-
-
-def _table(group: pa.Table) -> pa.Table:
-    """Class bigrams of a group's words with what follows, and of the end token with the words."""
-    _, own, n = _bucket(group)
-    m = np.zeros((_K, _K))
-    np.add.at(m, own, n[:, :_K])
-    np.add.at(m, (own, own), n[:, _SELF])
-    np.add.at(m[_END], own, n[:, _K + _END])
-    at = np.flatnonzero(m)
-    return pa.table({"at": at, "n": m.ravel()[at]})
-
-
-def _moved(table):
+def _placed(shared):
+    """The words of a bucket in their best classes; those of the seed stay."""
+
     def run(group: pa.Table) -> pa.Table:
-        hashes, own, n = _bucket(group)
-        to = own.copy()
-        for start in range(0, len(own), 1000):  # bounds what is held
-            part = slice(start, start + 1000)
-            best, gain = best_classes(own[part], n[part, :_K], n[part, _K:_SELF], n[part, _SELF], table.value, CLASSES)
-            to[part] = np.where(gain > 1e-9, best, own[part])
-        return pa.table({"hash": hashes, "class": pa.array(to, pa.int32())})
+        frequent, seeded, table = shared.value
+        hashes, first, word = np.unique(group["hash"].to_numpy().view(np.uint64), return_index=True, return_inverse=True)
+        total, row = np.zeros((len(hashes), _SELF + 1), np.float32), 0
+        for codes, counts in zip(group["codes"].chunks, group["counts"].chunks, strict=True):
+            data, at = text_bytes(codes)
+            times, _ = text_bytes(counts)
+            mine = np.repeat(word[row : row + len(codes)], np.diff(at))
+            np.add.at(total, (mine, data), times)
+            row += len(codes)
+        at = frequent.find(hashes)
+        known = np.where(at >= 0, frequent.classes[at], -1) if len(frequent.classes) else at
+        own = np.where(known >= 0, known, _M + group["rare"].to_numpy()[first])
+        fixed = (at >= 0) & seeded[at] if len(seeded) else np.zeros(len(hashes), bool)
+        to, table = own.copy(), table.copy()
+        times = total.sum(1)
+        order = np.flatnonzero(~fixed)
+        order = order[np.argsort(-times[order], kind="stable")]
+        most, i = max(1.0, times.sum() / 256), 0
+        while i < len(order):  # a word of weight by itself, lighter ones together, against counts that have all moves before
+            j = i + max(1, min(1000, int(np.searchsorted(np.cumsum(times[order[i : i + 1000]]), most, "right"))))
+            some = order[i:j]
+            after, before, itself = (x.astype(float) for x in (total[some, :_K], total[some, _K:_SELF], total[some, _SELF]))
+            best, gain = best_classes(own[some], after, before, itself, table, CLASSES)
+            to[some] = np.where(gain > 1e-9, best, own[some])
+            move(table, own[some], to[some], after, before, itself)
+            i = j
+        return pa.table({"hash": hashes.view(np.int64), "class": pa.array(to, pa.int32())})
 
     return run
 
 
-def wide_sweep(train: DataFrame, words: DataFrame, frequent, n_words: int, first: bool) -> DataFrame:
-    """(hash, class) of every training word, moved to its best class over all its neighbours.
-
-    words: (hash, class, frequent) of all of them; frequent: the broadcast table with the same classes. first: some still stand in classes by letters.
-    """
+def wide_sweep(train: DataFrame, frequent: Frequent, seeded: np.ndarray, n_words: int, n_tokens: int) -> DataFrame:
+    """(hash, class) of every training word in its best class over all its neighbours. seeded: which of the frequent words stay."""
     sc = train.sparkSession.sparkContext
-    found = materialize(train.mapInArrow(_contexts(frequent, first), _CONTEXTS), "contexts")
-    all_ = found.filter("via is null").drop("via")
-    empty = F.lit(None).cast("binary")
-    if not first:
-        tail = words.filter("not frequent").select(F.col("hash").alias("via"), "class")
-        met = found.filter("via is not null").select("hash", "via", "code", "n").groupBy("hash", "via", "code").agg(F.sum("n").alias("n")).join(tail.hint("merge"), "via")
-        met = met.groupBy("hash", (F.col("code") + F.col("class")).alias("code")).agg(F.sum("n").alias("n"))
-        all_ = all_.unionByName(materialize(met.withColumns({"codes": empty, "counts": empty}), "met"))
-    own = words.select("hash", (F.col("class") + _OWN).cast("int").alias("code"), F.lit(0).cast("bigint").alias("n"), empty.alias("codes"), empty.alias("counts"))
-    all_ = all_.unionByName(own)
-    groups = all_.groupBy(F.pmod(F.xxhash64("hash"), F.lit(max(1, n_words // PER_BUCKET))).alias("bucket"))
-    got = groups.applyInArrow(_table, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    shared = sc.broadcast(frequent)
+    found = materialize(train.mapInArrow(_contexts(shared), _CONTEXTS), "contexts")
+    got = found.filter("at is not null").select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n")).toPandas()  # at most _K squared rows
     table = np.zeros(_K * _K)
     table[got["at"]] = got["n"]
-    moved = materialize(groups.applyInArrow(_moved(sc.broadcast(table.reshape(_K, _K))), "hash bigint, class int"), "classes")
+    buckets = max(1, n_words // PER_BUCKET, n_tokens // 4_000_000)
+    groups = found.filter("hash is not null").select("hash", "rare", "codes", "counts").groupBy(F.pmod(F.xxhash64("hash"), F.lit(buckets)).alias("bucket"))
+    moved = materialize(groups.applyInArrow(_placed(sc.broadcast((frequent, seeded, table.reshape(_K, _K)))), "hash bigint, class int"), "classes")
     discard(train.sparkSession, found._covary_path)
     return moved
 
@@ -369,8 +372,7 @@ def _sequence(column: pa.Array):
     """(text, class before, class) over words and end tokens."""
     data, at = text_bytes(column)
     n = len(at) - 1
-    own = np.insert(data, at[1:], _END).astype(np.int64)
-    return np.repeat(np.arange(n), np.diff(at) + 1), np.concatenate([[_END], own[:-1]]).astype(np.int64)[: len(own)], own
+    return _with_ends(data.astype(np.int64), np.repeat(np.arange(n), np.diff(at)), n, _END)
 
 
 def _transitions(batches):
@@ -397,7 +399,7 @@ def _score(model):
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row, learning where held_out is false."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
     train = rows.filter(~F.col("held_out")).select("text")
@@ -412,29 +414,26 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     least = int(allowed.min()) if len(allowed) else 1 << 20
     top = counts.filter(bucket >= least).toPandas().sort_values("hash", key=lambda h: h.to_numpy().view(np.uint64)).reset_index(drop=True)
     hashes, numbers = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    seed = max(SEED, 2 * math.isqrt(distinct))
-    order = np.lexsort((hashes, -numbers))[:seed]
-    ranks = np.full(len(top), -1)
+    order = np.lexsort((hashes, -numbers))[:SEED]
+    ranks = np.full(len(top), -1, np.int32)
     ranks[order] = np.arange(len(order))
 
-    clustered = np.zeros(len(order), np.int64)
+    classes, seeded = np.full(len(top), -1, np.int32), ranks >= 0
+    words = counts.select("hash", "n", "rare", (bucket >= least).alias("frequent"))
     if len(order):
         shared = sc.broadcast(Frequent(hashes, numbers, ranks))
-        pairs = materialize(train.mapInArrow(_bigrams(shared, len(order)), "v int, w int, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n")), "bigrams")
-        after = pairs.groupBy("v").agg(F.collect_list(F.struct("w", "n")).alias("after"))
-        before = pairs.groupBy(F.col("w").alias("v")).agg(F.collect_list(F.struct(F.col("v").alias("w"), "n")).alias("before"))
-        clustered = exchange(materialize(after.join(before, "v", "full"), "neighbours"), len(order))
-    classes = np.full(len(top), -1)
-    classes[order] = clustered
-
-    # all words: those of the seed in their classes, the others by letters, then swept
-    frequent = (bucket >= least).alias("frequent")
-    start = spark.createDataFrame(pd.DataFrame({"hash": hashes.view(np.int64)[order], "seeded": clustered.astype(np.int32)}), "hash bigint, seeded int")
-    words = counts.join(F.broadcast(start), "hash", "left").select("hash", "n", "rare", frequent, F.coalesce("seeded", F.col("rare") + _M).alias("class"))
-    for sweep in range(WIDE if len(top) else 0):
-        moved = wide_sweep(train, words, sc.broadcast(Frequent(hashes, numbers, classes)), distinct, sweep == 0)
-        words = materialize(counts.select("hash", "n", "rare", frequent).join(moved.hint("merge"), "hash"), "words")
-        classes = words.filter("frequent").select("hash", "class").toPandas().sort_values("hash", key=lambda h: h.to_numpy().view(np.uint64))["class"].to_numpy(np.int64)
+        pairs = train.mapInArrow(_bigrams(shared, len(order)), "v int, w int, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n"))
+        clustered = pairs.repartition(1).mapInArrow(_exchanged(len(order)), "word int, class int").toPandas()  # a row per word of the seed
+        classes[order[clustered["word"]]] = clustered["class"]
+        for _ in range(WIDE):
+            moved = wide_sweep(train, Frequent(hashes, numbers, classes), seeded, distinct, tokens)
+            placed = materialize(words.join(moved.hint("merge"), "hash"), "words")
+            got = placed.filter("frequent").select("hash", "class").toPandas()
+            classes = classes.copy()
+            classes[np.searchsorted(hashes, got["hash"].to_numpy(np.int64).view(np.uint64))] = got["class"]
+        words = placed
+    else:
+        words = words.withColumn("class", F.lit(0))
     table = sc.broadcast(Frequent(hashes, numbers, classes))
 
     by_class = words.groupBy("rare", "class").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).toPandas()  # at most RARE x CLASSES rows
