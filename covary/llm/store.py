@@ -35,6 +35,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{full.rstrip('/')}/covary-{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> SparkSession:
+    """The session, which sends Python workers Arrow batches of at most so many bytes: texts may be long, and two or three copies of a batch are held."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, most)
+    return spark
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)

@@ -5,7 +5,8 @@ leaves of LEAF vectors, and every node keeps the tight box of its vectors. For a
 bounds its node; nodes are visited best first until the best bound is below the kth score known. A first pass searches each query
 in one shard and hands that kth score to the search of all others, and each shard's search goes on with what it has found.
 
-Queries meet shards in blocks: a block of queries is sent to a task with one shard, never all pairs through a shuffle.
+Every shard's tree is built once and kept as a file of the shared folder, as are blocks of queries with the kth scores known; a task
+reads a tree and a block by name, so that no vector goes through a shuffle more than once. What a search gives is k rows a query at most.
 
 Cases: vectors that are null or hold null or non-finite components take no part, neither do rows without id; vectors of another
 length than the query's have no score with it; equal scores go to the smaller id; rows that repeat an id are candidates each, but
@@ -15,13 +16,14 @@ not for queries of that id, which asks once, with the least of its vectors; fewe
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covary.llm.store import materialize
+from covary.llm.store import discard, materialize, place_file, read_file, shared_dir
 
 SHARD = 8192
 LEAF = 128
@@ -92,24 +94,74 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _search(k: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": [], "least": []}
-        if left.num_rows and right.num_rows:
-            tree = Tree(_matrix(right["vector"]), right["id"].to_numpy())
-            queries, owners = _matrix(left["asked"]), left["asker"].to_numpy()
-            least = left["least"].to_numpy(zero_copy_only=False).astype(np.float64)
-            least = np.where(np.isnan(least), -np.inf, least)
-            for i in range(0, len(queries), 256):
-                bounds = tree.bounds(queries[i : i + 256])
-                for j in range(len(bounds)):
-                    q = i + j
-                    found = tree.search(queries[q], bounds[j], int(owners[q]), k, least[q])
-                    out["query_id"] += [int(owners[q])] * len(found)
-                    out["score"] += [int(s) for s, _ in found]
-                    out["vec_id"] += [-v for _, v in found]
-                    out["least"] += [int(found[-1][0]) if len(found) == k else None] * len(found)
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.int64()), "least": pa.array(out["least"], pa.int64())})
+def _pack(uri: str, name: str, **arrays) -> None:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    place_file(uri, name, lambda sink: sink.write(out.getvalue()))
+
+
+def _unpack(uri: str, name: str):
+    return np.load(io.BytesIO(read_file(uri, name)))
+
+
+def _plant(uri: str):
+    """A shard's tree, written as a file; returns the shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tree = Tree(_matrix(table["vector"]), table["id"].to_numpy())
+        width, shard = table["width"][0].as_py(), table["shard"][0].as_py()
+        _pack(uri, f"tree-{width}-{shard}", vectors=tree.vectors, ids=tree.ids, low=tree.low, high=tree.high, span=tree.span, children=tree.children)
+        return table.select(["width", "shard"]).slice(0, 1)
+
+    return run
+
+
+def _tree(uri: str, width: int, shard: int) -> Tree:
+    got, tree = _unpack(uri, f"tree-{width}-{shard}"), Tree.__new__(Tree)
+    tree.vectors, tree.ids, tree.low, tree.high = (got[c] for c in ("vectors", "ids", "low", "high"))
+    tree.span, tree.children = got["span"].tolist(), got["children"].tolist()
+    return tree
+
+
+def _ask(uri: str):
+    """A block of queries, written as a file; returns the block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        width, block = table["width"][0].as_py(), table["block"][0].as_py()
+        _pack(uri, f"queries-{width}-{block}", vectors=_matrix(table["asked"]), ids=table["asker"].to_numpy())
+        return table.select(["width", "block"]).slice(0, 1)
+
+    return run
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _search(uri: str, k: int, first: bool):
+    """(width, block, shard) -> what the block's queries find in the shard; the first search of a block leaves its kth scores as a file."""
+
+    def run(batches):
+        name, tree = None, None
+        for batch in batches:
+            for width, block, shard in zip(*(batch.column(c).to_pylist() for c in ("width", "block", "shard")), strict=True):
+                if name != (width, shard):  # rows come in order of shards
+                    name, tree = (width, shard), _tree(uri, width, shard)
+                asked = _unpack(uri, f"queries-{width}-{block}")
+                queries, owners = asked["vectors"], asked["ids"]
+                least = np.full(len(owners), -np.inf) if first else _unpack(uri, f"least-{width}-{block}")["least"]
+                out = [[], [], []]
+                for i in range(0, len(queries), 256):
+                    bounds = tree.bounds(queries[i : i + 256])
+                    for q in range(i, i + len(bounds)):
+                        found = tree.search(queries[q], bounds[q - i], int(owners[q]), k, least[q])
+                        out[0] += [int(owners[q])] * len(found)
+                        out[1] += [-v for _, v in found]
+                        out[2] += [int(s) for s, _ in found]
+                        if first and len(found) == k:
+                            least[q] = found[-1][0]
+                if first:
+                    _pack(uri, f"least-{width}-{block}", least=least)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=_FOUND)
 
     return run
 
@@ -131,26 +183,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     width = F.size("vector").alias("width")
     candidates = rows.select("id", "vector", width, F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
     asked = rows.filter("asks").groupBy("id").agg(F.min("vector").alias("vector")).select(F.col("id").alias("asker"), F.col("vector").alias("asked"), width, F.pmod(F.xxhash64(F.lit("q"), "id"), F.lit(blocks)).cast("int").alias("block"))
-    form = "query_id bigint, vec_id bigint, score bigint, least bigint"
-    keys = ["width", "block", "shard"]
+    uri = shared_dir(spark, "topk")
+    form, n = "query_id bigint, vec_id bigint, score bigint", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    trees = materialize(candidates.groupBy("width", "shard").applyInArrow(_plant(uri), "width int, shard int"), "shards")
+    asked = materialize(asked.groupBy("width", "block").applyInArrow(_ask(uri), "width int, block int"), "blocks")
+    # a few numbers a pair of block and shard; the vectors are read by name
+    met = asked.join(trees, "width").withColumn("home", F.min_by("shard", F.pmod(F.col("shard") - F.col("block"), F.lit(shards))).over(Window.partitionBy("width", "block")))
 
-    def meet(queries_of: DataFrame, at: DataFrame) -> DataFrame:
-        queries_of = queries_of.select("asker", "asked", "least", *[F.col(c).alias(c) for c in keys])
-        return queries_of.groupBy(*keys).cogroup(at.groupBy(*keys)).applyInArrow(_search(k), form)
+    def search(pairs: DataFrame, first: bool) -> DataFrame:
+        ordered = pairs.select("width", "block", "shard").repartition(n, "width", "block", "shard").sortWithinPartitions("width", "shard", "block")
+        return materialize(ordered.mapInArrow(_search(uri, k, first), form), "found")
 
     # first each block in one shard, which gives every query a kth score to start from
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    here = candidates.withColumn("block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b % shards == F.col("shard"))))
-    first = meet(asked.withColumn("shard", home).withColumn("least", F.lit(None).cast("bigint")), here)
-
-    first = materialize(first, "first")
-    least = first.groupBy(F.col("query_id").alias("asker")).agg(F.max("least").alias("least"))
-    others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
-    spread_q = asked.join(least, "asker", "left").withColumn("shard", F.explode(others))
-    spread_v = candidates.withColumn("block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b % shards != F.col("shard"))))
-    found = first.union(meet(spread_q, spread_v)) if shards > 1 else first
-    # each query's k best of at most k per shard: two stages of minima, no window over all of them
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+    found = search(met.filter("shard = home"), True)
+    if shards > 1:
+        found = found.union(search(met.filter("shard <> home"), False))
+    discard(spark, uri)
+    # each query's k best of at most k per shard, in two levels, so that no group grows with the shards
+    entry, top = F.struct((-F.col("score")).alias("s"), "vec_id"), lambda x: F.slice(F.array_sort(x), 1, k)
+    part = found.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, int(shards**0.5)))).alias("part")).agg(top(F.collect_list(entry)).alias("best"))
+    best = part.groupBy("query_id").agg(top(F.flatten(F.collect_list("best"))).alias("best"))
     out = best.select("query_id", F.posexplode("best").alias("pos", "b"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 

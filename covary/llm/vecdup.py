@@ -1,11 +1,14 @@
 """All pairs of vectors with a cosine of at least a threshold, by dual traversal of cover trees.
 
 Equal vectors are one class with a multiplicity. Classes are dealt to cells around pivots: the nested levels of a cover with halving
-radii over a bounded sample (SAMPLE vectors, at most PIVOTS pivots), every vector to its nearest. A cell's vectors make parts of
-about PART rows, and each part a cover tree: a node's children cover it with half its radius. Two parts meet only if their cells'
-pivots and radii allow the threshold; two trees are then traversed together, node pairs whose centres are further apart than both
-covering radii and the threshold distance are dropped, pairs that lie within it entirely are linked whole, and what remains is
-compared by cosine in double precision, as soon as going down to the children of a node pair would cost more than it drops. So the links found are exactly those that a comparison of all pairs finds.
+radii over a bounded sample (SAMPLE vectors; one pivot for each PART vectors, as far as the sample goes), every vector to its nearest.
+A cell's vectors make parts of about PART rows, and each part a cover tree, whose nodes' children cover them with half their radius;
+it is built once and kept as a file of the shared folder. Two parts meet only if their cells' pivots and radii allow the threshold;
+a task reads the two trees and traverses them together: node pairs whose centres are further apart than both covering radii and the
+threshold distance are dropped, pairs that lie within it entirely are linked whole, others go down to their children, and leaves
+that are left are compared by cosine in double precision. So the links found are exactly those that a comparison of all pairs finds.
+Centres of all children of two nodes are compared at once; where vectors are spread evenly in many dimensions, that is most of the
+work, as no two of them share a node small enough to drop others.
 
 Cases: a vector that is null, empty, zero, or holds null or non-finite components links with nothing (n_links 0, kept); vectors of
 different lengths do not link; equal vectors link with each other; a null id links by its vector and has no component of its own;
@@ -22,14 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covary.llm.components import components
-from covary.llm.store import materialize
+from covary.llm.store import discard, materialize, place_file, read_file, shared_dir
 
 PART = 4096
-PIVOTS = 256
 SAMPLE = 4096
 LEAF = 8
-SLACK = 1e-9
-PAIR_COST = 20_000  # what a pair of nodes costs, in comparisons
+SLACK = 1e-6  # above the error of distances, sqrt(2 - 2 cos): that of a cosine, some 1e-14, is at most 2e-7 behind the root
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -95,22 +96,23 @@ class CoverTree:
         return 0
 
 
-def _sizes(tree: CoverTree) -> np.ndarray:
-    """The points below every node; children come after their parents."""
-    out = np.array([0 if m is None else len(m) for m in tree.members], float)
-    for node in range(len(out) - 1, -1, -1):
-        out[node] += sum(out[c] for c in tree.children[node])
-    return out
+def links(a: CoverTree, b: CoverTree, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float, tally: dict | None = None):
+    """Blocks (rows of a, rows of b, linked) that hold every pair with a cosine of the threshold or more.
 
-
-def links(a: CoverTree, b: CoverTree, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float):
-    """Blocks (rows of a, rows of b, linked: matrix or None for all) that hold every pair with a cosine of the threshold or more."""
+    linked is None where all rows of a are linked with all of b, a matrix, or, of one dimension, says so of row i of a and row i of b.
+    tally counts the pairs of centres compared, of nodes dropped and of vectors compared.
+    """
     if not a.centre or not b.centre:
         return
+    tally = {} if tally is None else tally
     limit = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     norm_a, norm_b = np.linalg.norm(raw_a, axis=1), np.linalg.norm(raw_b, axis=1)
     ra, rb = np.array(a.radius), np.array(b.radius)
     ca, cb = np.array(a.centre), np.array(b.centre)
+    single_a, single_b = (np.array([m is not None and len(m) == 1 for m in t.members]) for t in (a, b))
+
+    def count(what, n):
+        tally[what] = tally.get(what, 0) + int(n)
 
     def rows(tree, node):
         out, todo = [], [node]
@@ -121,16 +123,19 @@ def links(a: CoverTree, b: CoverTree, raw_a: np.ndarray, raw_b: np.ndarray, thre
             todo += tree.children[x]
         return np.concatenate(out)
 
-    def exact(x, y):
-        return (raw_a[x] @ raw_b[y].T) / (norm_a[x][:, None] * norm_b[y][None, :]) >= threshold
-
     def compare(x, y):
-        for i in range(0, len(x), 512):
-            found = exact(x[i : i + 512], y)
+        count("vectors", len(x) * len(y))
+        found = (raw_a[x] @ raw_b[y].T) / (norm_a[x][:, None] * norm_b[y][None, :]) >= threshold
+        if found.any():
+            yield x, y, found
+
+    def compare_each(x, y):
+        count("vectors", len(x))
+        for i in range(0, len(x), 65_536):
+            p, q = x[i : i + 65_536], y[i : i + 65_536]
+            found = np.einsum("ij,ij->i", raw_a[p], raw_b[q]) / (norm_a[p] * norm_b[q]) >= threshold
             if found.any():
-                yield x[i : i + 512], y, found
-
-    sizes_a, sizes_b = _sizes(a), _sizes(b)
+                yield p[found], q[found], np.ones(int(found.sum()), bool)
 
     todo = [(0, 0)]
     while todo:
@@ -138,25 +143,23 @@ def links(a: CoverTree, b: CoverTree, raw_a: np.ndarray, raw_b: np.ndarray, thre
         # a leaf stands for itself, another node for its children
         left = np.array(a.children[x] or [x])
         right = np.array(b.children[y] or [y])
-        held = []
-        for i in range(0, len(left), 2048):
-            some = left[i : i + 2048]
+        for i in range(0, len(left), 1024):
+            some = left[i : i + 1024]
             d = distances(a.points[ca[some]], b.points[cb[right]])
             both = ra[some][:, None] + rb[right][None, :]
-            held.append((some, d, both, d <= limit + both + SLACK))
-        work = sum(float(sizes_a[some] @ open_ @ sizes_b[right]) + PAIR_COST * int(open_.sum()) for some, _, _, open_ in held)
-        if held and work >= sizes_a[x] * sizes_b[y]:  # going down would cost more than it drops
-            yield from compare(rows(a, x), rows(b, y))
-            continue
-        for some, d, both, open_ in held:
-            for p, q in zip(*np.nonzero(open_), strict=True):
-                u, v = int(some[p]), int(right[q])
-                if d[p, q] + both[p, q] <= limit - SLACK:
-                    yield rows(a, u), rows(b, v), None
-                elif a.members[u] is not None and b.members[v] is not None:
-                    yield from compare(a.members[u], b.members[v])
+            p, q = np.nonzero(d <= limit + both + SLACK)
+            count("centres", d.size)
+            count("dropped", d.size - len(p))
+            u, v, near = some[p], right[q], d[p, q] + both[p, q] <= limit - SLACK
+            alone = single_a[u] & single_b[v]
+            yield from compare_each(ca[u[alone]], cb[v[alone]])
+            for m, n, inside in zip(u[~alone].tolist(), v[~alone].tolist(), near[~alone].tolist(), strict=True):
+                if inside:
+                    yield rows(a, m), rows(b, n), None
+                elif a.members[m] is not None and b.members[n] is not None:
+                    yield from compare(a.members[m], b.members[n])
                 else:
-                    todo.append((u, v))
+                    todo.append((m, n))
 
 
 def _pack(**arrays) -> bytes:
@@ -165,16 +168,26 @@ def _pack(**arrays) -> bytes:
     return out.getvalue()
 
 
-def _grow(table: pa.Table) -> pa.Table:
-    """A part's cover tree and vectors as one row."""
-    raw = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-    tree = CoverTree(unit(raw.astype(np.float64)))
-    members = [m if m is not None else np.zeros(0, int) for m in tree.members]
-    parents = np.full(len(members), -1)
-    for node, below in enumerate(tree.children):
-        parents[below] = node
-    blob = _pack(ids=table["rep"].to_numpy(), times=table["times"].to_numpy(), raw=raw, centre=tree.centre, radius=tree.radius, parent=parents, members=np.concatenate(members), sizes=[len(m) for m in members])
-    return pa.table({"width": table["width"][:1], "cell": table["cell"][:1], "part": table["part"][:1], "tree": pa.array([blob], pa.binary())})
+def _name(width, cell, part) -> str:
+    return f"{width}-{cell}-{part}.tree"
+
+
+def _grow(uri: str):
+    """A part's cover tree and vectors, written as a file; returns the part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        raw = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        tree = CoverTree(unit(raw.astype(np.float64)))
+        members = [m if m is not None else np.zeros(0, int) for m in tree.members]
+        parents = np.full(len(members), -1)
+        for node, below in enumerate(tree.children):
+            parents[below] = node
+        blob = _pack(ids=table["rep"].to_numpy(), times=table["times"].to_numpy(), raw=raw, centre=tree.centre, radius=tree.radius, parent=parents, members=np.concatenate(members), sizes=[len(m) for m in members])
+        part = table.select(["width", "cell", "part"]).slice(0, 1)
+        place_file(uri, _name(*(part[c][0].as_py() for c in part.column_names)), lambda sink: sink.write(blob))
+        return part
+
+    return run
 
 
 def _load(blob: bytes):
@@ -190,34 +203,68 @@ def _load(blob: bytes):
     return tree, raw, got["ids"], got["times"]
 
 
-def _meet(threshold: float):
-    """The two parts of a pair (or one, with itself): rows (a, b null, links of a) and edges (a, b, null) that connect what is linked."""
+def _meet(uri: str, threshold: float):
+    """Pairs of parts (or one, with itself) -> rows (a, b null, links of a) and edges (a, b, null) that connect what is linked."""
 
-    def run(table: pa.Table) -> pa.Table:
-        sides = [_load(x.as_py()) for _, x in sorted(zip(table["side"].to_pylist(), table["tree"], strict=True), key=lambda t: t[0])]
-        (a, raw_a, ids_a, times_a), (b, raw_b, ids_b, times_b) = sides[0], sides[-1]
-        same = len(sides) == 1
+    def met(one, other, same):
+        (a, raw_a, ids_a, times_a), (b, raw_b, ids_b, times_b) = one, other
         na, nb, edges = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64), set()
         for x, y, found in links(a, b, raw_a, raw_b, threshold):
             if found is None:
                 na[x] += times_b[y].sum()
                 nb[y] += times_a[x].sum()
                 joined = [(x[:1].repeat(len(y)), y), (x, y[:1].repeat(len(x)))]
+            elif found.ndim == 1:
+                np.add.at(na, x, times_b[y])
+                np.add.at(nb, y, times_a[x])
+                joined = [(x, y)]
             else:
                 na[x] += found @ times_b[y]
                 nb[y] += found.T @ times_a[x]
                 i, j = np.nonzero(found)
                 joined = [(x[i], y[j])] if len(i) <= 4 * sum(found.shape) else [(x[k], y[m]) for k, m in _forest(found)]
             for p, q in joined:
-                edges.update(zip(ids_a[p].tolist(), ids_b[q].tolist(), strict=True))
+                p, q = ids_a[p], ids_b[q]
+                apart = p != q
+                edges.update(zip(p[apart].tolist(), q[apart].tolist(), strict=True))
         if same:  # every pair was met from both sides, and each class with itself
-            na -= times_a * (np.einsum("ij,ij->i", raw_a, raw_a) > 0)
-            nb = nb[:0]
-            ids_b = ids_b[:0]
+            na -= times_a
+            ids_b, nb = ids_b[:0], nb[:0]
         nodes, n = np.concatenate([ids_a, ids_b]), np.concatenate([na, nb])
         nodes, n = nodes[n > 0], n[n > 0]
-        edges = [(p, q) for p, q in edges if p != q]
-        return pa.table({"a": pa.array([*nodes.tolist(), *(p for p, _ in edges)], pa.int64()), "b": pa.array([None] * len(nodes) + [q for _, q in edges], pa.int64()), "n": pa.array([*n.tolist(), *([None] * len(edges))], pa.int64())})
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*nodes.tolist(), *(p for p, _ in edges)], pa.int64()), pa.array([None] * len(nodes) + [q for _, q in edges], pa.int64()), pa.array([*n.tolist(), *([None] * len(edges))], pa.int64())],
+            ["a", "b", "n"],
+        )
+
+    def run(batches):
+        name, one = None, None
+        for batch in batches:
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                if x != name:  # rows come in order of x
+                    name, one = x, _load(read_file(uri, x))
+                yield met(one, one if y == x else _load(read_file(uri, y)), x == y)
+
+    return run
+
+
+def _adjacent(shared, limit: float):
+    """Cells -> the names of parts of theirs and of the same or later cells that may hold linked vectors."""
+
+    def run(batches):
+        pivots, cells = shared.value
+        for batch in batches:
+            for width, cell in zip(batch.column("width").to_pylist(), batch.column("cell").to_pylist(), strict=True):
+                number, parts, radius = cells[width]
+                at = int(np.searchsorted(number, cell))
+                d = distances(pivots[width][cell][None], pivots[width][number[at:]])[0]
+                x, y = [], []
+                for k in np.flatnonzero(d <= radius[at] + radius[at:] + limit + SLACK).tolist():
+                    for i in range(parts[at]):
+                        for j in range(i if k == 0 else 0, parts[at + k]):
+                            x.append(_name(width, cell, i))
+                            y.append(_name(width, number[at + k], j))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string())], ["x", "y"])
 
     return run
 
@@ -275,32 +322,34 @@ def pair_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     tops = {}
     for w, n in sizes.items():
         points = [r["vector"] for r in sample if r["width"] == w] or [r["vector"] for r in classes.filter(F.col("width") == w).limit(1).collect()]
-        points, want = unit(np.array(points, np.float64)), min(PIVOTS, -(-n // part))
+        points, want = unit(np.array(points, np.float64)), min(len(points), -(-n // part))
         centres, radius = [0], 2.0
         while len(centres) < want and radius > 1e-3:
             radius /= 2
             centres, _ = cover(points, np.arange(len(points)), radius, centres)
         tops[w] = points[centres[:want]]
-    pivots = spark.sparkContext.broadcast(tops)
-    placed = materialize(classes.select("rep", "times", "width", "vector").mapInArrow(_assign(pivots), f"rep bigint, times bigint, width int, vector array<{kind}>, cell int, far double"), "cells")
-    cells = placed.groupBy("width", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # at most PIVOTS for each length
-    limit = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    near = [
-        (x["width"], x["cell"], -(-x["n"] // part), y["cell"], -(-y["n"] // part))
-        for x in cells
-        for y in cells
-        if x["width"] == y["width"] and distances(tops[x["width"]][x["cell"]][None], tops[x["width"]][y["cell"]][None])[0, 0] <= x["radius"] + y["radius"] + limit + SLACK
-    ]
-    if not near:
+    sc = spark.sparkContext
+    placed = materialize(classes.select("rep", "times", "width", "vector").mapInArrow(_assign(sc.broadcast(tops)), f"rep bigint, times bigint, width int, vector array<{kind}>, cell int, far double"), "cells")
+    cells = placed.groupBy("width", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+    cells = cells.orderBy("width", "cell").toPandas()  # at most 2 SAMPLE rows for each length
+    if not len(cells):
         return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    adjacent = spark.createDataFrame(near, "width int, cell int, parts int, other int, other_parts int")
-    own = adjacent.select("width", "cell", "parts").distinct()
+    cells["parts"] = -(-cells["n"] // part)
+    of_width = {int(w): (x["cell"].to_numpy(), x["parts"].to_numpy(), x["radius"].to_numpy()) for w, x in cells.groupby("width")}
+    limit = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
+    uri = shared_dir(spark, "trees")
+    own = spark.createDataFrame(cells[["width", "cell", "parts"]], "width int, cell int, parts int")
     dealt = placed.join(F.broadcast(own), ["width", "cell"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "rep"), F.col("parts")).cast("int"))
-    trees = materialize(dealt.select("width", "cell", "part", "rep", "times", "vector").groupBy("width", "cell", "part").applyInArrow(_grow, "width int, cell int, part int, tree binary"), "trees")
-    met = trees.join(F.broadcast(adjacent), ["width", "cell"]).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-    me, you = F.struct("cell", "part"), F.struct(F.col("other").alias("cell"), F.col("other_part").alias("part"))
-    pairs = met.select(F.struct("width", F.least(me, you).alias("x"), F.greatest(me, you).alias("y")).alias("pair"), F.when(me <= you, 0).otherwise(1).alias("side"), "tree")
-    found = materialize(pairs.groupBy("pair").applyInArrow(_meet(threshold), "a bigint, b bigint, n bigint"), "links")
+    grown = materialize(dealt.select("width", "cell", "part", "rep", "times", "vector").groupBy("width", "cell", "part").applyInArrow(_grow(uri), "width int, cell int, part int"), "parts")
+    names = grown.select(F.concat_ws("", F.concat_ws("-", "width", "cell", "part"), F.lit(".tree")).alias("name"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = own.repartition(n, "width", "cell").mapInArrow(_adjacent(sc.broadcast((tops, of_width)), limit), "x string, y string")
+    for side in ("x", "y"):  # a hash may leave a part empty
+        pairs = pairs.join(names.withColumnRenamed("name", side), side, "left_semi")
+    pairs = pairs.select("x", "y").repartition(n, "x", "y").sortWithinPartitions("x", "y")
+    found = materialize(pairs.mapInArrow(_meet(uri, threshold), "a bigint, b bigint, n bigint"), "links")
+    discard(spark, uri)
 
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(found.filter("b is not null").select("a", "b"))
