@@ -1,9 +1,11 @@
 """Byte-level BPE over rank files: the words of a block of documents are folded once each with Spark's higher-order functions.
 
-Encoding runs without a shuffle. A text is split by the pattern in the JVM; a task gathers blocks of documents and keeps
-each distinct word once; `aggregate` folds ranked merges over the word's byte array, looking pairs up in a literal rank map;
-a block's documents are then put together from the words' ids. Memory is bounded by BLOCK_BYTES of text and TASK_WORDS words,
-never by the vocabulary of the corpus. Words over FOLD_BYTES bytes, for which a fold is quadratic, are merged by a heap in the task instead.
+`aggregate` folds ranked merges over a word's byte array, looking pairs up in a literal rank map. The words of a sample of about
+SAMPLE documents are folded once and sent to all tasks (COMMON words at most). Encoding itself runs without a shuffle: a text is split
+by the pattern in the JVM; a task gathers blocks of documents and folds each of their other words once; a block's documents are then
+put together from the words' ids. Which words the sample holds decides who folds them, never the result. Memory is bounded by
+BLOCK_BYTES of text, COMMON and TASK_WORDS words, never by the vocabulary of the corpus. A word over FOLD_BYTES bytes, for which a
+fold is quadratic, is merged by a heap in the task, to the same ids.
 
 Cases: a null or empty text has no ids and decodes to no bytes; rows with a null or repeated id are encoded one by one;
 other columns of the input are not read; an empty table gives an empty table; ids outside the rank file do not decode (error).
@@ -18,16 +20,23 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covary.llm.words import spread
+from covary.llm.store import bounded_batches
+from covary.llm.words import span_hashes, spread
 
 BLOCK_BYTES = 4 << 20
-FOLD_BYTES = 96
-_BUCKETS = 1 << 17
-_NO_RANK = 1 << 30
+FOLD_BYTES = 256
+SAMPLE = 8_000
+COMMON = 1 << 20
+_NO_RANK = 1 << 30  # above every rank
+_LAST = _NO_RANK << 20
+_MASK = (1 << 20) - 1
+_PLAN_TEXT = 100_000
+_SLOTS = 262_139  # a prime
 TASK_WORDS = 1 << 20
 _SPACES = r"\t-\r \x85\xa0  -     　"
 
@@ -56,12 +65,37 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{_SPACES}").replace(r"\s", f"[{_SPACES}]").replace(r"\S", f"[^{_SPACES}]")
 
 
-def rank_map(path: str) -> Column:
-    """The pairs as one literal: an array of buckets, each a few pairs packed as left, right and rank of 20 bits each."""
-    table: list[list[int]] = [[] for _ in range(_BUCKETS)]
+def _places(left, right):
+    """The two slots of a pair, of numbers or of columns."""
+    return [(left * a + right * b) % _SLOTS for a, b in ((736_338_717, 1_021_477_133), (402_653_189, 879_190_747))]
+
+
+@cache
+def rank_slots(path: str) -> list[int]:
+    """Every pair packed as left, right and rank of 20 bits each, in one of its two slots of a flat table; -1 where none is.
+
+    A pair that finds its slot taken moves the other pair to that one's other slot (cuckoo hashing), so that two reads find any pair.
+    """
+    table = [-1] * _SLOTS
     for (left, right), rank in pair_ranks(path).items():
-        table[(left * 31 + right) % _BUCKETS].append((left << 20 | right) << 20 | rank)
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<bigint>>")
+        entry, at = (left << 20 | right) << 20 | rank, -1
+        for _ in range(1000):
+            one, two = _places(entry >> 40, entry >> 20 & _MASK)
+            at = two if at == one else one
+            table[at], entry = entry, table[at]
+            if entry < 0:
+                break
+        else:
+            raise ValueError(f"{path}: too many pairs for a table of {_SLOTS} slots")
+    return table
+
+
+def rank_map(path: str) -> Column:
+    """The table of pairs as one literal. Plans are then printed up to a length only, as the driver keeps their text."""
+    spark = SparkSession.active()
+    if int(spark.conf.get("spark.sql.maxPlanStringLength")) > _PLAN_TEXT:
+        spark.conf.set("spark.sql.maxPlanStringLength", _PLAN_TEXT)
+    return F.from_json(F.lit(json.dumps(rank_slots(path), separators=(",", ":"))), "array<bigint>")
 
 
 def _let(value: Column, body) -> Column:
@@ -69,30 +103,34 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_merges(pieces: Column, table: Column) -> Column:
-    """Merges the leftmost pair of lowest rank until none is left; the state keeps each neighbouring pair's rank."""
-    none = F.lit(_NO_RANK)
-
-    def rank(left, right):
-        left = left.cast("bigint")
-        found = F.filter(F.get(table, (left * 31 + right) % _BUCKETS), lambda e: F.shiftright(e, 20) == left * (1 << 20) + right)
-        return F.coalesce(F.get(found, F.lit(0)).bitwiseAND(F.lit((1 << 20) - 1)).cast("int"), none)
-
-    def merge(state, at):
-        p, r = state["p"], state["r"]
-        new = F.get(r, at - 1)
-        edges = F.array(F.when(at > 1, rank(F.get(p, at - 2), new)), F.when(at < F.size(r), rank(new, F.get(p, at + 1))))
-        return F.struct(
-            F.concat(F.slice(p, 1, at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
-            F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), F.filter(edges, lambda e: e.isNotNull()), F.slice(r, at + 2, F.size(r))).alias("r"),
-        )
+    """Merges the leftmost pair of lowest rank until none is left.
+
+    The state holds, for each piece, the rank of the pair that it begins above the piece's own id: equal values are equal pairs,
+    so the least value is the pair of lowest rank and its first place the leftmost one.
+    """
+
+    def begin(left, right):
+        """left with the rank of the pair above it."""
+        key = left * (1 << 20) + right
+        one, two = (F.get(table, at.cast("int")) for at in _places(left, right))
+        rank = F.when(F.shiftright(one, 20) == key, one.bitwiseAND(F.lit(_MASK))).when(F.shiftright(two, 20) == key, two.bitwiseAND(F.lit(_MASK))).otherwise(F.lit(_NO_RANK).cast("bigint"))
+        return rank * (1 << 20) + left
+
+    def own(value):
+        return value.bitwiseAND(F.lit(_MASK))
+
+    def merge(state, low, at):
+        new = F.shiftright(low, 20)
+        before = F.transform(F.slice(state, F.greatest(at - 1, F.lit(1)), F.least(at - 1, F.lit(1))), lambda x: begin(own(x), new))
+        here = F.when(at + 1 >= F.size(state), F.array(new + _LAST)).otherwise(F.transform(F.slice(state, at + 2, F.lit(1)), lambda x: begin(new, own(x))))
+        return F.concat(F.slice(state, F.lit(1), F.greatest(at - 2, F.lit(0))), before, here, F.slice(state, at + 2, F.size(state)))
 
     def step(state, _):
-        low = F.array_min(state["r"])
-        return F.when(F.coalesce(low, none) == none, state).otherwise(_let(F.array_position(state["r"], low).cast("int"), lambda at: merge(state, at)))
+        return _let(F.array_min(state), lambda low: F.when(low >= _LAST, state).otherwise(_let(F.array_position(state, low).cast("int"), lambda at: merge(state, low, at))))
 
-    pairs = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x, i: rank(x, F.get(pieces, i + 1)))
-    start = F.struct(pieces.alias("p"), pairs.alias("r"))
-    return F.when(F.size(pieces) < 2, pieces).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(pieces)), start, step, lambda s: s["p"]))
+    wide = F.transform(pieces, lambda x: x.cast("bigint"))
+    start = F.transform(wide, lambda x, i: F.when(i + 1 < F.size(pieces), begin(x, F.get(pieces, i + 1).cast("bigint"))).otherwise(x + _LAST))
+    return F.when(F.size(pieces) < 2, pieces).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(pieces)), start, step, lambda s: F.transform(s, lambda x: own(x).cast("int"))))
 
 
 def merge_long(pieces: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -115,10 +153,42 @@ def merge_long(pieces: list[int], pairs: dict[tuple[int, int], int]) -> list[int
     return [x for x in ids if x >= 0]
 
 
-def _blocks(ranks_path: str, pattern: str, block_bytes: int):
-    """Documents with their words -> a row per block: ids, each document's words, their places in the task's vocabulary, and what the block adds to that."""
+class Common:
+    """Words that are folded beforehand, found by their bytes."""
+
+    def __init__(self, words: pa.Array):
+        data, at = _bytes_of(words)
+        hashes = span_hashes(data, at[:-1], np.diff(at))
+        self.order = np.argsort(hashes)
+        self.hashes, self.words = hashes[self.order], words.take(pa.array(self.order))
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 for others; equal hashes are confirmed by the words themselves."""
+        if not len(self.hashes) or not len(words):
+            return np.full(len(words), -1)
+        data, at = _bytes_of(words)
+        hashes = span_hashes(data, at[:-1], np.diff(at))
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = np.asarray(pc.equal(self.words.take(pa.array(place)), words))
+        return np.where(same, place, -1)
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _blocks(ranks_path: str, pattern: str, block_bytes: int, common):
+    """Documents with their words -> a row per block: ids, each document's words, their places in the task's vocabulary, and what the block adds to that.
+
+    The places of common words are those in their table, those of a task's other words come behind them.
+    """
 
     def run(batches):
+        table_of = common.value
+        ahead = len(table_of.hashes)
         byte_rank = np.array([load_ranks(ranks_path)[bytes([b])] for b in range(256)], np.int32)
         parse = regex.compile(pattern)
         kept, size, known = [], 0, {}
@@ -130,8 +200,11 @@ def _blocks(ranks_path: str, pattern: str, block_bytes: int):
             restart = len(known) > TASK_WORDS
             if restart:
                 known.clear()
-            before = len(known)
-            places = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], np.int64)
+            before = len(known) + ahead
+            places = table_of.find(coded.dictionary)
+            rest = np.flatnonzero(places < 0)
+            others = coded.dictionary.take(pa.array(rest)).to_pylist()
+            places[rest] = [known.setdefault(w, len(known) + ahead) for w in others]
             vocabulary = coded.dictionary.take(pa.array(np.flatnonzero(places >= before))).cast(pa.binary())
             counts = np.diff(np.concatenate([[0], *[np.asarray(x.value_lengths().fill_null(0)) for x in table["words"].chunks]]).cumsum())
             at = np.frombuffer(vocabulary.buffers()[1], np.int32)[: len(vocabulary) + 1] if len(vocabulary) else np.zeros(1, np.int32)
@@ -169,9 +242,10 @@ def _blocks(ranks_path: str, pattern: str, block_bytes: int):
     return run
 
 
-def _expand(ranks_path: str):
+def _expand(ranks_path: str, common):
     def run(batches):
-        pairs, all_ids, all_lengths = None, np.zeros(0, np.int32), np.zeros(0, np.int64)
+        pairs, (common_ids, common_lengths) = None, common.value
+        all_ids, all_lengths = common_ids, common_lengths
         for batch in batches:
             for r in range(batch.num_rows):
                 counts = np.frombuffer(batch.column("counts")[r].as_py(), "<i4").astype(np.int64)
@@ -189,7 +263,7 @@ def _expand(ranks_path: str):
                     at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
                     ids = np.concatenate(parts)
                 if batch.column("restart")[r].as_py():
-                    all_ids, all_lengths = all_ids[:0], all_lengths[:0]
+                    all_ids, all_lengths = common_ids, common_lengths
                 ids, lengths = all_ids, all_lengths = np.concatenate([all_ids, ids]), np.concatenate([all_lengths, np.diff(at)])
                 at = np.concatenate([[0], np.cumsum(lengths)])
                 bounds = np.concatenate([[0], np.cumsum(counts)])
@@ -205,23 +279,46 @@ def _expand(ranks_path: str):
     return run
 
 
+def common_words(df: DataFrame, table: Column, ranks_path: str, pattern: str, id_col: str, text_col: str) -> tuple[Common, tuple[np.ndarray, np.ndarray]]:
+    """The words of a sample of documents, and in their order all their ids end to end with the number of each word's."""
+    total = df.count()
+    share = int((1 << 20) * min(1.0, SAMPLE / max(1, total)))
+    some = df.filter(F.pmod(F.xxhash64(F.lit("words"), id_col), F.lit(1 << 20)) < share)
+    words = some.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(pattern)), F.lit(0))).alias("word"))
+    words = words.filter(F.octet_length("word").between(1, 64)).distinct().limit(COMMON)
+    of_byte = load_ranks(ranks_path)
+    of_byte = F.array(*[F.lit(of_byte[bytes([b])]) for b in range(256)])
+    coded = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.get(of_byte, F.conv(F.hex(F.substring(F.col("word").cast("binary"), i, F.lit(1))), 16, 10).cast("int")))
+    got = words.select("word", _let(table, lambda t: _let(coded, lambda w: fold_merges(w, t))).alias("ids")).toArrow().combine_chunks()
+    if not got.num_rows:
+        return Common(pa.array([], pa.string())), (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    column = got["word"].combine_chunks() if isinstance(got["word"], pa.ChunkedArray) else got["word"]
+    ids = got["ids"].combine_chunks() if isinstance(got["ids"], pa.ChunkedArray) else got["ids"]
+    found = Common(column.cast(pa.string()))
+    ids = ids.take(pa.array(found.order))
+    return found, (ids.flatten().to_numpy().astype(np.int32), ids.value_lengths().to_numpy().astype(np.int64))
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
     """(id_col, ids binary): each row's token ids as little-endian unsigned 32-bit integers. See the module for cases.
 
     With decoded, the ids are decoded at once, by the same Python worker, into a further column (see decode).
     """
     kind = df.schema[id_col].dataType.simpleString()
+    sc = bounded_batches(df.sparkSession).sparkContext
     text = F.coalesce(F.col(text_col), F.lit(""))
     odd = text.rlike(r"\p{Cn}")
+    table = rank_map(ranks_path)
+    found, common_ids = common_words(df, table, ranks_path, pattern, id_col, text_col)
     words = df.select(
         F.col(id_col).alias("id"),
         F.when(odd, text).alias("odd"),
         F.when(odd, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))).alias("words"),
     )
-    blocks = words.mapInArrow(_blocks(ranks_path, pattern, block_bytes), f"ids array<{kind}>, counts binary, codes binary, restart boolean, vocabulary array<array<int>>")
-    table = rank_map(ranks_path)
-    fold = F.transform("vocabulary", lambda w: F.when(F.size(w) > FOLD_BYTES, F.concat(F.array(F.lit(-1)), w)).otherwise(fold_merges(w, table)))
-    expand, back = _expand(ranks_path), _decode(ranks_path)
+    blocks = words.mapInArrow(_blocks(ranks_path, pattern, block_bytes, sc.broadcast(found)), f"ids array<{kind}>, counts binary, codes binary, restart boolean, vocabulary array<array<int>>")
+    # bound to a variable, the literal stands in the plan once
+    fold = _let(table, lambda t: F.transform("vocabulary", lambda w: F.when(F.size(w) > FOLD_BYTES, F.concat(F.array(F.lit(-1)), w)).otherwise(fold_merges(w, t))))
+    expand, back = _expand(ranks_path, sc.broadcast(common_ids)), _decode(ranks_path)
     folded = blocks.withColumn("vocabulary", fold)
     out = folded.mapInArrow(lambda batches: back(expand(batches)), f"id {kind}, ids binary, decoded binary") if decoded else folded.mapInArrow(expand, f"id {kind}, ids binary")
     return out.withColumnRenamed("id", id_col)

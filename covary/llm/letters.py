@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from covary.llm.store import bounded_batches
 from covary.llm.words import STEP, U, mix, spread, text_bytes
 
 
@@ -74,6 +75,7 @@ def add_columns(df: DataFrame, text_col: str, compute, fields: list[tuple[str, T
     """
     names = {n.lower() for n, *_ in fields}
     kept = [c for c in df.columns if c.lower() not in names]
+    bounded_batches(df.sparkSession)
     # the text goes to the worker once, also where it stays a column
     stays = text_col in kept and df.schema[text_col].dataType == T.StringType()
     place = kept.index(text_col) if stays else len(kept)

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covary.llm.store import place_file, shared_dir
+from covary.llm.store import bounded_batches, place_file, shared_dir
 from covary.llm.words import slices, spread, text_bytes, word_hashes
 
 LENGTH = 2048
@@ -198,7 +198,7 @@ def _write(uri: str, tokenizer_path: str, end_id: int, length: int, rows: int, s
 
 def write_tokens(df: DataFrame, uri: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, rows: int = ROWS, shards: int | None = None) -> DataFrame:
     """Writes shards under uri and returns the manifest (shard, file, n_docs, n_tokens, base: tokens of the shards before)."""
-    spark = df.sparkSession
+    spark = bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
     small = _tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))

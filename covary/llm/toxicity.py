@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from covary.llm.letters import Words, add_columns, lookup
 from covary.llm.lm import fold
+from covary.llm.store import bounded_batches
 from covary.llm.words import slices
 
 SAMPLE = 20_000
@@ -230,7 +231,7 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns from the labelled rows; the character model from all rows of docs."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     characters = char_model(docs, text_col)
     known = labels.select(F.col(id_col).alias("_labelled"), F.col(label_col).alias("toxic")).filter("_labelled is not null and toxic is not null").groupBy("_labelled").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = known.count()

@@ -39,6 +39,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     """64-bit hashes of byte ranges, none of them empty."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(starts) > 1 << 15:  # bounds what is held
+        return np.concatenate([span_hashes(data, starts[i : i + (1 << 15)], lengths[i : i + (1 << 15)]) for i in range(0, len(starts), 1 << 15)])
     first = np.cumsum(lengths) - lengths
     at = spread(starts, lengths)
     values = cells(data[at], np.arange(len(at)) - np.repeat(first, lengths))
