@@ -26,7 +26,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from covary.llm.store import bounded_batches, discard, materialize
 from covary.llm.words import U, slices, text_bytes, word_hashes
 
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 SEED = 2048  # words
 CLASSES = 48
 RARE = 16
@@ -55,36 +54,65 @@ def fold(id_col: str, modulus: int) -> Column:
 
 
 def _words(column: pa.Array):
-    """(hashes, text of each, rare class of each, number of texts) by slices of the column."""
+    """(keys, text of each) by slices of the column: a key is a hash of the word whose lowest bits are its class by letters."""
     for start, stop in slices(column):
         data, at = text_bytes(column.slice(start, stop - start))
         hashes, texts, starts, lengths = word_hashes(data, at)
-        last = data[starts + lengths - 1].astype(np.int64) | 32
-        before = np.where(lengths > 1, data[starts + lengths - 2].astype(np.int64) | 32, 0)
-        yield start, stop, hashes, texts, (last * 31 + before * 17) % RARE
+        last = data[starts + lengths - 1].astype(np.uint64) | U(32)
+        before = np.where(lengths > 1, data[starts + lengths - 2].astype(np.uint64) | U(32), U(0))
+        yield start, stop, hashes & ~U(RARE - 1) | (last * U(31) + before * U(17)) % U(RARE), texts
+
+
+def _letters(keys: np.ndarray) -> np.ndarray:
+    return (keys & U(RARE - 1)).astype(np.int64)
 
 
 def _count(batches):
+    held, size = [], 0
+
+    def counted():
+        unique, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n)], ["hash", "n"])
+
     for batch in batches:
-        for _, _, hashes, _, rare in _words(batch.column("text")):
-            unique, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(rare[first].astype(np.int32)), pa.array(n)], ["hash", "rare", "n"])
+        for _, _, keys, _ in _words(batch.column("text")):
+            held.append(keys)
+            size += len(keys)
+            if size >= TOKENS:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
 
 
 class Frequent:
-    """Sorted hashes of the frequent words with their counts, and the class of each (-1: by its last letters)."""
+    """Sorted keys of the frequent words with their counts, and the class of each (-1: by its last letters)."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, classes: np.ndarray):
         self.hashes, self.counts, self.classes = hashes, counts, classes
+        self.first = None
+
+    def _index(self) -> None:
+        """Where the keys of each beginning start; made where it is used."""
+        bits = max(1, len(self.hashes)).bit_length()
+        self.shift = U(64 - bits)
+        first = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.first = np.append(first, len(self.hashes)).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places, -1 for words that are not there."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        order = np.argsort(hashes)  # looked up in order, the table stays in the cache
-        found = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
-        out = np.empty(len(hashes), np.int64)
-        out[order] = np.where(self.hashes[found] == hashes[order], found, -1)
+        """Places, -1 for words that are not there: keys of equal first bits, hardly ever more than a few, are tried in turn."""
+        if self.first is None:
+            self._index()
+        top = (hashes >> self.shift).astype(np.int64)
+        at, stop = self.first[top], self.first[top + 1]
+        out, left = np.full(len(hashes), -1), np.flatnonzero(at < stop)
+        at, stop, sought = at[left], stop[left], hashes[left]
+        while len(left):
+            hit = self.hashes[at] == sought
+            out[left[hit]] = at[hit]
+            at += 1
+            more = ~hit & (at < stop)
+            left, at, stop, sought = left[more], at[more], stop[more], sought[more]
         return out
 
 
@@ -94,7 +122,7 @@ def _bigrams(frequent, size):
     def run(batches):
         table = frequent.value
         for batch in batches:
-            for start, stop, hashes, texts, _ in _words(batch.column("text")):
+            for start, stop, hashes, texts in _words(batch.column("text")):
                 at = table.find(hashes)
                 rank = np.where(at >= 0, table.classes[at], -1) if len(table.classes) else at
                 rank = np.where(rank >= 0, rank, size).astype(np.int64)
@@ -124,13 +152,23 @@ def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself:
     value = np.zeros((len(own), free))
     for counts, others, m in ((after, before, table), (before, after, table.T)):
         w, j = np.nonzero(counts)
-        n = counts[w, j][:, None]
-        rest = m[:free, j].T.astype(float)
-        mine = own[w] < free
-        rest[np.flatnonzero(mine), own[w][mine]] -= n[mine, 0]
-        same = np.flatnonzero(j == own[w])
-        rest[same] -= others[w[same], :free]
-        gain = _xlogx(rest + n) - _xlogx(rest)
+        n = counts[w, j]
+        cell = m[:free].T.astype(float)  # a class's count with each context
+        small = np.arange(1.0, 9.0)
+        steps = _xlogx(cell[None] + small[:, None, None]) - _xlogx(cell)[None]  # what small counts add, for all words
+        direct = (n > len(small)) | (j == own[w])
+        gain = np.empty((len(w), free))
+        looked, worked = np.flatnonzero(~direct), np.flatnonzero(direct)
+        gain[looked] = steps[n[looked].astype(int) - 1, j[looked]]
+        mine = looked[own[w[looked]] < free]
+        at = cell[j[mine], own[w[mine]]]
+        gain[mine, own[w[mine]]] = _xlogx(at) - _xlogx(at - n[mine])
+        rest, more = cell[j[worked]], n[worked][:, None]
+        mine = np.flatnonzero(own[w[worked]] < free)
+        rest[mine, own[w[worked[mine]]]] -= more[mine, 0]
+        same = np.flatnonzero(j[worked] == own[w[worked]])
+        rest[same] -= others[w[worked[same]], :free]
+        gain[worked] = _xlogx(rest + more) - _xlogx(rest)
         corner = np.flatnonzero(j < free)
         gain[corner, j[corner]] = 0
         if len(w):
@@ -138,12 +176,15 @@ def best_classes(own: np.ndarray, after: np.ndarray, before: np.ndarray, itself:
             value[w[heads]] += np.add.reduceat(gain, heads)
         # the class gains the word as first of its followers, and as second of those before it
         total = counts.sum(1) + itself
-        sums = np.repeat(m.sum(1)[None, :free].astype(float), len(own), 0)
-        sums[inside, own[inside]] -= total[inside]
-        value -= _xlogx(sums + total[:, None]) - _xlogx(sums)
-    corner = np.repeat(np.diag(table)[None, :free].astype(float), len(own), 0)
-    corner[inside, own[inside]] -= (after + before)[inside, own[inside]] + itself[inside]
-    value += _xlogx(corner + after[:, :free] + before[:, :free] + itself[:, None]) - _xlogx(corner)
+        sums = m.sum(1)[:free].astype(float)
+        kinds, which = np.unique(total, return_inverse=True)
+        lost = (_xlogx(sums[None] + kinds[:, None]) - _xlogx(sums)[None])[which]
+        lost[inside, own[inside]] = _xlogx(sums[own[inside]]) - _xlogx(sums[own[inside]] - total[inside])
+        value -= lost
+    added = after[:, :free] + before[:, :free] + itself[:, None]
+    w, c = np.nonzero(added)
+    n, corner = added[w, c], np.diag(table)[c]
+    value[w, c] += np.where(own[w] == c, _xlogx(corner) - _xlogx(corner - n), _xlogx(corner + n) - _xlogx(corner))
     best = value.argmax(1)
     stay = np.full(len(own), -np.inf)
     stay[inside] = value[inside, own[inside]]
@@ -206,53 +247,60 @@ def _exchanged(size: int):
     return run
 
 
-_CONTEXTS = "hash bigint, rare int, codes binary, counts binary, at array<int>, n array<bigint>"
+_CONTEXTS = "hash bigint, codes binary, counts binary, at array<int>, n array<bigint>"
 
 
 def _contexts(frequent):
     """Per word of a task, how often each class stands beside it: packed codes, with counts of at most 255 each; last, the task's counts of class bigrams."""
 
-    def packed(hashes, rare, after, before):
-        unique, first, word = np.unique(hashes, return_index=True, return_inverse=True)
-        code, word = np.concatenate([after, before]).astype(np.int64), np.concatenate([word, word])
-        both, n = np.unique((word * 256 + code)[code != _OTHER], return_counts=True)
+    def packed(table, held):
+        keys, at, after, before = map(np.concatenate, zip(*held, strict=True))
+        rare = np.flatnonzero(at < 0)
+        others, which = np.unique(keys[rare], return_inverse=True)
+        at[rare] = len(table.hashes) + which
+        both = np.concatenate([at << 8 | after, (at << 8 | before)[before != _OTHER]])
+        both, n = np.unique(both, return_counts=True)
         times = -(-n // 255)
         both, last = np.repeat(both, times), np.cumsum(times) - 1
         part = np.full(len(both), 255, np.uint8)
         part[last] = n - (times - 1) * 255
-        bounds = np.searchsorted(both // 256, np.arange(len(unique) + 1))
-        none = pa.nulls(len(unique), pa.list_(pa.int32())), pa.nulls(len(unique), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(rare[first].astype(np.int32)), _binary((both % 256).astype(np.uint8), bounds), _binary(part, bounds), *none], ["hash", "rare", "codes", "counts", "at", "n"])
+        heads = np.flatnonzero(np.diff(both >> 8, prepend=-1))
+        word, bounds = both[heads] >> 8, np.append(heads, len(both))
+        there = word < len(table.hashes)
+        hashes = np.empty(len(word), np.uint64)
+        hashes[there], hashes[~there] = table.hashes[word[there]], others[word[~there] - len(table.hashes)]
+        none = pa.nulls(len(word), pa.list_(pa.int32())), pa.nulls(len(word), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), _binary((both & 255).astype(np.uint8), bounds), _binary(part, bounds), *none], ["hash", "codes", "counts", "at", "n"])
 
     def run(batches):
         table, held, size = frequent.value, [], 0
         total = np.zeros(_K * _K, np.int64)
         for batch in batches:
-            for start, stop, hashes, texts, rare in _words(batch.column("text")):
-                if not len(hashes):
+            for start, stop, keys, texts in _words(batch.column("text")):
+                if not len(keys):
                     total[_END * _K + _END] += stop - start
                     continue
-                at = table.find(hashes)
+                at = table.find(keys)
                 own = np.where(at >= 0, table.classes[at], -1) if len(table.classes) else at
-                own = np.where(own >= 0, own, _M + rare)
+                own = np.where(own >= 0, own, _M + _letters(keys))
                 _, before_, own_ = _with_ends(own, texts, stop - start, _END)
                 total += np.bincount(before_ * _K + own_, minlength=_K * _K)
                 after, before = np.full(len(own), _END), np.full(len(own), _K + _END)
                 near = np.flatnonzero(texts[1:] == texts[:-1])
                 after[near], before[near + 1] = own[near + 1], _K + own[near]
-                twice = near[hashes[near] == hashes[near + 1]]
+                twice = near[keys[near] == keys[near + 1]]
                 after[twice], before[twice + 1] = _SELF, _OTHER
-                held.append((hashes, rare.astype(np.uint8), after.astype(np.uint8), before.astype(np.uint8)))
-                size += len(hashes)
+                held.append((keys, at, after, before))
+                size += len(keys)
                 if size >= TOKENS:
-                    yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                    yield packed(table, held)
                     held, size = [], 0
         if held:
-            yield packed(*map(np.concatenate, zip(*held, strict=True)))
+            yield packed(table, held)
         some = np.flatnonzero(total)
         one = pa.array([0, len(some)], pa.int32())
         lists = pa.ListArray.from_arrays(one, pa.array(some.astype(np.int32))), pa.ListArray.from_arrays(one, pa.array(total[some]))
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], ["hash", "rare", "codes", "counts", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *lists], ["hash", "codes", "counts", "at", "n"])
 
     return run
 
@@ -262,17 +310,18 @@ def _placed(shared):
 
     def run(group: pa.Table) -> pa.Table:
         frequent, seeded, table = shared.value
-        hashes, first, word = np.unique(group["hash"].to_numpy().view(np.uint64), return_index=True, return_inverse=True)
-        total, row = np.zeros((len(hashes), _SELF + 1), np.float32), 0
+        hashes, word = np.unique(group["hash"].to_numpy().view(np.uint64), return_inverse=True)
+        total, row = np.zeros(len(hashes) * (_SELF + 1)), 0
         for codes, counts in zip(group["codes"].chunks, group["counts"].chunks, strict=True):
             data, at = text_bytes(codes)
             times, _ = text_bytes(counts)
             mine = np.repeat(word[row : row + len(codes)], np.diff(at))
-            np.add.at(total, (mine, data), times)
+            total += np.bincount(mine * (_SELF + 1) + data, times, len(total))
             row += len(codes)
+        total = total.reshape(len(hashes), _SELF + 1)
         at = frequent.find(hashes)
         known = np.where(at >= 0, frequent.classes[at], -1) if len(frequent.classes) else at
-        own = np.where(known >= 0, known, _M + group["rare"].to_numpy()[first])
+        own = np.where(known >= 0, known, _M + _letters(hashes))
         fixed = (at >= 0) & seeded[at] if len(seeded) else np.zeros(len(hashes), bool)
         to, table = own.copy(), table.copy()
         times = total.sum(1)
@@ -301,9 +350,12 @@ def wide_sweep(train: DataFrame, frequent: Frequent, seeded: np.ndarray, n_words
     table = np.zeros(_K * _K)
     table[got["at"]] = got["n"]
     buckets = max(1, n_words // PER_BUCKET, n_tokens // 4_000_000)
-    groups = found.filter("hash is not null").select("hash", "rare", "codes", "counts").groupBy(F.pmod(F.xxhash64("hash"), F.lit(buckets)).alias("bucket"))
-    moved = materialize(groups.applyInArrow(_placed(sc.broadcast((frequent, seeded, table.reshape(_K, _K)))), "hash bigint, class int"), "classes")
+    groups = found.filter("hash is not null").select("hash", "codes", "counts").groupBy(F.pmod(F.xxhash64("hash"), F.lit(buckets)).alias("bucket"))
+    model = sc.broadcast((frequent, seeded, table.reshape(_K, _K)))
+    moved = materialize(groups.applyInArrow(_placed(model), "hash bigint, class int"), "classes")
     discard(train.sparkSession, found._covary_path)
+    shared.destroy()
+    model.destroy()
     return moved
 
 
@@ -320,7 +372,7 @@ def _encode(frequent):
         table = frequent.value
         log_counts = np.log10(table.counts + 1.0)
         for batch in batches:
-            for start, stop, hashes, texts, rare in _words(batch.column("text")):
+            for start, stop, hashes, texts in _words(batch.column("text")):
                 n = stop - start
                 at = table.find(hashes)
                 there = at >= 0
@@ -340,7 +392,7 @@ def _encode(frequent):
                 words = pa.StructArray.from_arrays([pa.array(hashes[order][heads].view(np.int64)), pa.array(times.astype(np.int32))], ["hash", "times"])
                 part = batch.slice(start, n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("row"), part.column("held_out"), pa.array(np.bincount(texts, there, n).astype(np.int64)), pa.array(np.bincount(texts, word, n)), _binary(own.astype(np.uint8), np.searchsorted(texts, every)), _binary(which, np.searchsorted(texts[other], every)), _binary(rare[order][heads].astype(np.uint8), bounds), pa.ListArray.from_arrays(pa.array(bounds), words)],
+                    [part.column("id"), part.column("row"), part.column("held_out"), pa.array(np.bincount(texts, there, n).astype(np.int64)), pa.array(np.bincount(texts, word, n)), _binary(own.astype(np.uint8), np.searchsorted(texts, every)), _binary(which, np.searchsorted(texts[other], every)), _binary(_letters(hashes[order][heads]).astype(np.uint8), bounds), pa.ListArray.from_arrays(pa.array(bounds), words)],
                     ["id", "row", "held_out", "known", "plain", "classes", "which", "rare", "others"],
                 )
 
@@ -404,39 +456,44 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
     train = rows.filter(~F.col("held_out")).select("text")
 
-    counts = materialize(train.mapInArrow(_count, "hash bigint, rare int, n bigint").groupBy("hash").agg(F.sum("n").alias("n"), F.max("rare").alias("rare")), "counts")
+    counts = materialize(train.mapInArrow(_count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")), "counts")
+    letters = F.col("hash").bitwiseAND(F.lit(RARE - 1)).cast("int").alias("rare")
     n_train = train.count()
     bucket = F.floor(F.log2("n") * 8).cast("int")
-    levels = counts.groupBy(bucket.alias("level"), "rare").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).toPandas()  # at most 512 x RARE rows
+    levels = counts.groupBy(bucket.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).toPandas()  # at most 512 rows
     tokens, distinct = int(levels["n"].sum()) + n_train, int(levels["words"].sum()) + (n_train > 0)
     by_level = levels.groupby("level")["words"].sum().sort_index(ascending=False).cumsum()
     allowed = by_level[by_level <= FREQUENT].index
     least = int(allowed.min()) if len(allowed) else 1 << 20
-    top = counts.filter(bucket >= least).toPandas().sort_values("hash", key=lambda h: h.to_numpy().view(np.uint64)).reset_index(drop=True)
-    hashes, numbers = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = counts.filter(bucket >= least).select("hash", "n").toArrow()
+    hashes, numbers = top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    by_hash = np.argsort(hashes)
+    hashes, numbers = hashes[by_hash], numbers[by_hash]
+    del top, by_hash
     order = np.lexsort((hashes, -numbers))[:SEED]
-    ranks = np.full(len(top), -1, np.int32)
+    ranks = np.full(len(hashes), -1, np.int32)
     ranks[order] = np.arange(len(order))
 
-    classes, seeded = np.full(len(top), -1, np.int32), ranks >= 0
-    words = counts.select("hash", "n", "rare", (bucket >= least).alias("frequent"))
+    classes, seeded = np.full(len(hashes), -1, np.int32), ranks >= 0
+    words = counts.select("hash", "n", (bucket >= least).alias("frequent"))
     if len(order):
         shared = sc.broadcast(Frequent(hashes, numbers, ranks))
         pairs = train.mapInArrow(_bigrams(shared, len(order)), "v int, w int, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n"))
         clustered = pairs.repartition(1).mapInArrow(_exchanged(len(order)), "word int, class int").toPandas()  # a row per word of the seed
+        shared.destroy()
         classes[order[clustered["word"]]] = clustered["class"]
         for _ in range(WIDE):
             moved = wide_sweep(train, Frequent(hashes, numbers, classes), seeded, distinct, tokens)
             placed = materialize(words.join(moved.hint("merge"), "hash"), "words")
-            got = placed.filter("frequent").select("hash", "class").toPandas()
+            got = placed.filter("frequent").select("hash", "class").toArrow()
             classes = classes.copy()
-            classes[np.searchsorted(hashes, got["hash"].to_numpy(np.int64).view(np.uint64))] = got["class"]
+            classes[np.searchsorted(hashes, got["hash"].to_numpy().view(np.uint64))] = got["class"].to_numpy()
         words = placed
     else:
         words = words.withColumn("class", F.lit(0))
     table = sc.broadcast(Frequent(hashes, numbers, classes))
 
-    by_class = words.groupBy("rare", "class").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).toPandas()  # at most RARE x CLASSES rows
+    by_class = words.groupBy(letters, "class").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).toPandas()  # at most RARE x CLASSES rows
     size, kinds, shape = np.zeros(_M), np.zeros(_M), np.zeros((RARE, CLASSES))
     np.add.at(size, by_class["class"].to_numpy(int), by_class["n"].to_numpy(float))
     np.add.at(kinds, by_class["class"].to_numpy(int), by_class["words"].to_numpy(float))
