@@ -39,7 +39,7 @@ def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 CTES = f"""WITH RECURSIVE prices AS (
   SELECT date_trunc('week', l_shipdate)::DATE AS date, n_name AS ticker, r_name AS sector, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT / count(l_extendedprice) / 100.0 AS close
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
-market AS (SELECT date, round(avg(close), 4) AS m FROM prices GROUP BY 1),
+market AS (SELECT date, round(sum(round(close * 1e6)::BIGINT)::BIGINT / count(close) / 1e6, 4) AS m FROM prices GROUP BY 1),
 pairs AS (SELECT a.ticker || '/' || b.ticker AS pair, a.ticker AS ticker_y, b.ticker AS ticker_x, a.sector FROM (SELECT DISTINCT ticker, sector FROM prices) a
   JOIN (SELECT DISTINCT ticker, sector FROM prices) b ON a.sector = b.sector AND a.ticker < b.ticker),
 panel AS (SELECT pair, s.sector, a.date, (row_number() OVER (PARTITION BY pair ORDER BY a.date) - 1)::INT AS t, a.close AS y, b.close AS x, m

@@ -50,7 +50,9 @@ def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market(prices: DataFrame) -> DataFrame:
-    return prices.groupBy("date").agg(F.round(F.avg("close"), 4).alias("m"))
+    """(date, m): the mean close of the date, from whole millionths, so that no order of addition changes it."""
+    whole = F.round(F.col("close") * 1e6).cast("bigint")
+    return prices.groupBy("date").agg(F.round(F.sum(whole) / F.count("close") / 1e6, 4).alias("m"))
 
 
 def sector_pairs(prices: DataFrame) -> DataFrame:
