@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covary.llm.store import bounded_batches
+from covary.llm.store import bounded_batches, lower
 from covary.llm.words import span_hashes, spread
 
 BLOCK_BYTES = 4 << 20
@@ -92,9 +92,7 @@ def rank_slots(path: str) -> list[int]:
 
 def rank_map(path: str) -> Column:
     """The table of pairs as one literal. Plans are then printed up to a length only, as the driver keeps their text."""
-    spark = SparkSession.active()
-    if int(spark.conf.get("spark.sql.maxPlanStringLength")) > _PLAN_TEXT:
-        spark.conf.set("spark.sql.maxPlanStringLength", _PLAN_TEXT)
+    lower(SparkSession.active(), "spark.sql.maxPlanStringLength", _PLAN_TEXT)
     return F.from_json(F.lit(json.dumps(rank_slots(path), separators=(",", ":"))), "array<bigint>")
 
 

@@ -37,10 +37,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> SparkSession:
     """The session, which sends Python workers Arrow batches of at most so many bytes: texts may be long, and two or three copies of a batch are held."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    lower(spark, "spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return spark
+
+
+def lower(spark: SparkSession, key: str, most: int) -> None:
+    """Sets a number of bytes in the session's settings to `most` where it is more."""
     if int(spark.conf.get(key).rstrip("b")) > most:
         spark.conf.set(key, most)
-    return spark
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
