@@ -54,7 +54,8 @@ def test_legacy_machine():
     for r in rows:
         state, (p,) = step(state, *r)
         out.append(p)
-    assert out == [0, -1, -1, -1, 0, -1, -1, 0, 0] or out == [0, -1, -1, -1, -1, 0, 1, 0, 0]
+    # held to the least hold, stopped at 1.5 times the level, long at once below it, flat when the legs part, flat in a crisis
+    assert out == [0, -1, -1, -1, -1, 0, 1, 0, 0]
 
 
 def test_z_scores_are_those_of_the_expressions(spark):
