@@ -30,6 +30,7 @@ from covary.llm.store import discard, materialize, place_file, read_file, shared
 PART = 4096
 SAMPLE = 4096
 LEAF = 8
+TIGHT = 0.1  # a leaf of several points is no wider
 SLACK = 1e-6  # above the error of distances, sqrt(2 - 2 cos): that of a cosine, some 1e-14, is at most 2e-7 behind the root
 
 
@@ -77,6 +78,15 @@ class CoverTree:
         while todo:
             some, centre, reach, parent = todo.pop()
             far = float(distances(self.points[centre : centre + 1], self.points[some]).max())
+            if parent >= 0 and len(some) <= LEAF and far > TIGHT:
+                # a wide leaf drops nothing: its few points are leaves by themselves
+                for point in some.tolist():
+                    self.children[parent].append(len(self.centre))
+                    self.centre.append(point)
+                    self.radius.append(0.0)
+                    self.children.append([])
+                    self.members.append(np.array([point]))
+                continue
             node = len(self.centre)
             self.centre.append(centre)
             self.radius.append(far)
