@@ -64,9 +64,11 @@ def _trigrams(batches):
     total = np.zeros(_SIZE**3, np.int64)
     for batch in batches:
         for start, stop in slices(batch.column("text")):
-            s = _symbols(Words(batch.column("text").slice(start, stop - start)).low)
-            use = (s[1:-1] > 0) | (s[:-2] > 0)
-            total += np.bincount((s[:-2] * _SIZE + s[1:-1])[use] * _SIZE + s[2:][use], minlength=len(total))
+            words = Words(batch.column("text").slice(start, stop - start))
+            s = _symbols(words.low)
+            use, third = (s[1:-1] > 0) | (s[:-2] > 0), s[2:].copy()
+            third[words.at[1:] - 1] = 0  # behind a text's end, whatever text is next in the batch
+            total += np.bincount((s[:-2] * _SIZE + s[1:-1])[use] * _SIZE + third[use], minlength=len(total))
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
 
