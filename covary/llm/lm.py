@@ -198,10 +198,12 @@ def likelihood(table: np.ndarray) -> float:
 
 def move(table: np.ndarray, old: np.ndarray, new: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np.ndarray) -> None:
     """Moves words, a row each, from their old to their new classes in the table of class bigrams."""
-    for classes, sign in ((old, -1), (new, 1)):
-        np.add.at(table, classes, sign * after)
-        np.add.at(table.T, classes, sign * before)
-        np.add.at(table, (classes, classes), sign * itself)
+    some = np.flatnonzero(old != new)
+    row, change = np.arange(len(some)), np.zeros((len(some), len(table)))
+    change[row, old[some]], change[row, new[some]] = -1, 1
+    table += change.T @ after[some] + (change.T @ before[some]).T
+    corner = np.arange(len(table))
+    table[corner, corner] += change.T @ itself[some]
 
 
 def exchange(v: np.ndarray, w: np.ndarray, n: np.ndarray, size: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, list[float]]:
@@ -316,7 +318,7 @@ def _placed(shared):
             data, at = text_bytes(codes)
             times, _ = text_bytes(counts)
             mine = np.repeat(word[row : row + len(codes)], np.diff(at))
-            total += np.bincount(mine * (_SELF + 1) + data, times, len(total))
+            np.add.at(total, mine * (_SELF + 1) + data, times.astype(float))
             row += len(codes)
         total = total.reshape(len(hashes), _SELF + 1)
         at = frequent.find(hashes)
