@@ -28,4 +28,14 @@ def test_stages_on_odd_rows_and_none(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             frame = stage(spark, frame, SF)
         assert frame.columns == docs.columns
-        frame.count()
+        coded = corpus_pipeline.STAGES[-1][1](spark, frame, SF)
+        assert coded.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and coded.count() == frame.count()
+
+
+def test_last_stage_on_odd_rows_with_clashing_columns(spark):
+    rows = [(1, None, "x"), (None, "", "x"), (2, "twice", "x"), (2, "twice", "x"), (3, "long " * 50_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    got = corpus_pipeline.encode(spark, docs, SF).collect()
+    want = sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows)
+    assert sorted((str(r["doc_id"]), r["decoded_sha256"]) for r in got) == want
+    assert all((r["n_tokens"] == 0) == (not len(r["ids"])) for r in got)
