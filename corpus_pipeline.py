@@ -34,7 +34,10 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of every group linked at a similarity of 0.8 or more; of rows that repeat an id and its text, one."""
+    """Keeps one document, that of the smallest id, of every group linked at a similarity of 0.8 or more; of rows that repeat an id and its text, one.
+
+    Rows that repeat an id with different texts share one fate; rows of null ids and rows without words are linked with nothing and stay.
+    """
     marks = neardup.near_duplicates(docs, share=80, of=100)
     gone = marks.filter(~F.col("kept")).select("id").distinct()
     once = docs.dropDuplicates([c for c in ("doc_id", "text") if c in docs.columns])
