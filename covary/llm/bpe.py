@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covary.llm.store import bounded_batches, lower
+from covary.llm.store import bounded_batches, gives_back, lower
 from covary.llm.words import span_hashes, spread
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 FOLD_BYTES = 256
 SAMPLE = 8_000
 COMMON = 1 << 20
@@ -313,12 +313,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         F.when(odd, text).alias("odd"),
         F.when(odd, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))).alias("words"),
     )
-    blocks = words.mapInArrow(_blocks(ranks_path, pattern, block_bytes, sc.broadcast(found)), f"ids array<{kind}>, counts binary, codes binary, restart boolean, vocabulary array<array<int>>")
+    blocks = words.mapInArrow(gives_back(_blocks(ranks_path, pattern, block_bytes, sc.broadcast(found))), f"ids array<{kind}>, counts binary, codes binary, restart boolean, vocabulary array<array<int>>")
     # bound to a variable, the literal stands in the plan once
     fold = _let(table, lambda t: F.transform("vocabulary", lambda w: F.when(F.size(w) > FOLD_BYTES, F.concat(F.array(F.lit(-1)), w)).otherwise(fold_merges(w, t))))
     expand, back = _expand(ranks_path, sc.broadcast(common_ids)), _decode(ranks_path)
     folded = blocks.withColumn("vocabulary", fold)
-    out = folded.mapInArrow(lambda batches: back(expand(batches)), f"id {kind}, ids binary, decoded binary") if decoded else folded.mapInArrow(expand, f"id {kind}, ids binary")
+    out = folded.mapInArrow(gives_back(lambda batches: back(expand(batches))), f"id {kind}, ids binary, decoded binary") if decoded else folded.mapInArrow(gives_back(expand), f"id {kind}, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from covary.llm.letters import Words, add_columns, lookup
 from covary.llm.lm import fold
+from covary.llm.store import gives_back
 from covary.llm.words import slices, spread
 
 SAMPLE = 6000
@@ -73,7 +74,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     languages, total = [r["lang"] for r in found], sum(r["count"] for r in found)
     if total > sample:
         rows = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int((1 << 20) * sample / total))
-    counts = rows.select("text", "lang").mapInArrow(_count(languages), "size int, hash bigint, language int, n bigint")
+    counts = rows.select("text", "lang").mapInArrow(gives_back(_count(languages)), "size int, hash bigint, language int, n bigint")
     by_gram = counts.groupBy("size", "hash").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("language") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(languages))]).filter(F.col("n") >= TWICE)
     found = by_gram.drop("n").toPandas()  # of a bounded sample
     hashes, scores = [], []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from covary.llm.store import bounded_batches
+from covary.llm.store import bounded_batches, gives_back
 from covary.llm.words import STEP, U, mix, spread, text_bytes
 
 
@@ -94,4 +94,4 @@ def add_columns(df: DataFrame, text_col: str, compute, fields: list[tuple[str, T
             batch = held.pop()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *[pa.array(x, t) for x, (_, _, t) in zip(made, fields, strict=True)]], [f.name for f in schema])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(gives_back(run), schema)

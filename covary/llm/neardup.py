@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covary.llm.components import components
-from covary.llm.store import bounded_batches, discard, materialize
+from covary.llm.store import bounded_batches, discard, gives_back, materialize
 from covary.llm.words import U, mix, slices, text_bytes, word_hashes
 
 K = 5
 PERMUTATIONS = 140
 SHARE, OF = 85, 100
 BLOCK = 256
+SLICE = 1 << 18  # bytes of text that are hashed at once
 
 _rng = np.random.default_rng(11)
 _FACTORS = (_rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -81,7 +82,7 @@ def band_keys(signature: np.ndarray, n: int, rows: int) -> np.ndarray:
 def _signatures(n: int, rows: int):
     def run(batches):
         for batch in batches:
-            for start, stop in slices(batch.column("text")):
+            for start, stop in slices(batch.column("text"), SLICE):
                 sets = shingle_sets(batch.column("text").slice(start, stop - start))
                 keys = [(int(x.sum() >> U(1)), int((mix(x ^ U(0x5851F42D4C957F2D))).sum() >> U(1))) if len(x) else (0, 0) for x in sets]
                 found = np.array([band_keys(min_max(x), n, rows) if len(x) else np.zeros(n, np.uint64) for x in sets]).reshape(len(sets), n)
@@ -128,7 +129,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, share: int, of: int) -> DataFram
     left = pairs.hint("merge").join(kept.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.hint("merge").join(kept.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     kind = pairs.schema["a"].dataType.simpleString()
-    found = both.mapInArrow(_confirm(share, of), f"a {kind}, b {kind}, linked boolean")
+    found = both.mapInArrow(gives_back(_confirm(share, of)), f"a {kind}, b {kind}, linked boolean")
     out = materialize(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "confirmed")
     discard(pairs.sparkSession, kept._covary_path)
     return out
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    made = materialize(rows.mapInArrow(_signatures(*layout(share, of)), f"id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "signatures")
+    made = materialize(rows.mapInArrow(gives_back(_signatures(*layout(share, of))), f"id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "signatures")
     some = made.filter("n > 0 and id is not null")
     classes = materialize(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,19 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> SparkSession:
     return spark
 
 
+def gives_back(run):
+    """run, an iterator over Arrow batches in a Python worker, which returns freed memory to the machine at its end: Spark keeps workers for later stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in some C libraries
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def lower(spark: SparkSession, key: str, most: int) -> None:
     """Sets a number of bytes in the session's settings to `most` where it is more."""
     if int(spark.conf.get(key).rstrip("b")) > most:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from covary.llm.letters import Words, add_columns, lookup
 from covary.llm.lm import fold
-from covary.llm.store import bounded_batches
+from covary.llm.store import bounded_batches, gives_back
 from covary.llm.words import slices
 
 SAMPLE = 20_000
@@ -75,7 +75,7 @@ def _trigrams(batches):
 
 def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log probability of a character after two others, over the words of all documents (a table of fixed size)."""
-    got = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_trigrams, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(gives_back(_trigrams), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(_SIZE**3)
     n[got["at"]] = got["n"]
     n = n.reshape(_SIZE, _SIZE, _SIZE)
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not p or not q:
         share = (p + 0.0) / max(1, p + q)
         return Model(characters, *empty, np.array([np.log(max(share, 1e-12) / max(1 - share, 1e-12)), 0, 0, 0]))
-    counts = lexicon.select("text", "toxic").mapInArrow(_count(shared), "hash bigint, toxic bigint, clean bigint").groupBy("hash").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    counts = lexicon.select("text", "toxic").mapInArrow(gives_back(_count(shared)), "hash bigint, toxic bigint, clean bigint").groupBy("hash").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     weight = F.log((F.col("a") + 0.5) / (p + 1)) - F.log((F.col("b") + 0.5) / (q + 1))
     found = counts.filter((F.col("hash") != 0) & (F.col("a") >= LEAST)).withColumn("weight", weight).filter(F.col("weight") > LIKELIER).select("hash", "weight").toPandas()  # of a bounded sample
     hashes = found["hash"].to_numpy(np.int64).view(np.uint64)
