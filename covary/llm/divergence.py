@@ -1,6 +1,7 @@
 """How a source's words differ from those of its language and of the language's other sources: exact count-cell ranking.
 
-A term is a run of letters (bytes of ASCII that are none end it, all else belongs to it). Per language the V terms of at least
+A term is a run of letters (bytes of ASCII that are none end it, all else belongs to it). Tasks count terms by 64-bit hashes, and compare
+every occurrence with the term that its hash stands for; a slice of text in which two terms share a hash is counted by the terms themselves. Per language the V terms of at least
 LEAST_DOCS documents are kept. With count c of N kept occurrences, p = 1 + floor(SCALE * (c + 2) / (N + 2 * V)); the divergence
 of p and q is floor((p - q)^2 / (p + q)). All of it is integer arithmetic, decimals where 64 bits do not suffice.
 
@@ -19,33 +20,109 @@ are documents each; ids are not read; an empty table gives none; other columns a
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covary.llm.store import materialize
+from covary.llm.store import bounded_batches, gives_back, materialize
+from covary.llm.words import LOWER, slices, spread, text_bytes, word_hashes
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
 BLOCK = 2048  # terms
 TILE = 64  # sources
+HELD = 1 << 19  # counts that a task holds before it hands them on
+
+_OUTSIDE = np.ones(256, bool)
+_OUTSIDE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 _P = f"1 + (cast({{c}} + 2 as decimal(20, 0)) * cast({SCALE} as decimal(10, 0))) div cast({{n}} + 2 * v as decimal(20, 0))"
 _F = "((p - q) * (p - q)) div (p + q)"
 
 
+def _summed(columns: list[np.ndarray], keys: int) -> list[np.ndarray]:
+    """Rows of equal first `keys` columns as one, the other columns summed."""
+    order = np.lexsort(columns[:keys])
+    columns = [c[order] for c in columns]
+    first = np.ones(len(order), bool)
+    first[1:] = np.any([c[1:] != c[:-1] for c in columns[:keys]], 0)
+    at = np.flatnonzero(first)
+    return [c[at] for c in columns[:keys]] + [np.add.reduceat(c, at) if len(at) else c for c in columns[keys:]]
+
+
+class _Counts:
+    """Occurrences and documents of (group, term) of a task's rows, handed on as Arrow batches."""
+
+    def __init__(self):
+        self.groups, self.parts, self.terms, self.size, self.seen = {}, [], [], 0, 0
+
+    def add(self, groups: np.ndarray, column: pa.Array) -> bool:
+        """Counts the texts of a slice, whose rows are of the given groups; False if two of its terms share a hash."""
+        data, at = text_bytes(column)
+        hashes, texts, starts, lengths = word_hashes(data, at, space=_OUTSIDE)
+        if not len(hashes):
+            return True
+        kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        like = starts[first][which]
+        if (lengths != lengths[first][which]).any() or (LOWER[data[spread(starts, lengths)]] != LOWER[data[spread(like, lengths)]]).any():
+            return False
+        body = LOWER[data[spread(starts[first], lengths[first])]]
+        ends = np.append(0, np.cumsum(lengths[first])).astype(np.int32)
+        self.terms.append((kinds, pa.StringArray.from_buffers(len(kinds), pa.py_buffer(ends), pa.py_buffer(body))))
+        # words come in order of texts: a text's words are told apart by its number before the term's
+        key, c = np.unique(texts * len(kinds) + which, return_counts=True)
+        key, c, d = _summed([groups[key // len(kinds)] * len(kinds) + key % len(kinds), c, np.ones(len(key), np.int64)], 1)
+        self.parts.append((key // len(kinds), key % len(kinds) + self.seen, c, d))
+        self.size, self.seen = self.size + len(key), self.seen + len(kinds)
+        return True
+
+    def rows(self) -> pa.RecordBatch:
+        group, term, c, d = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else [np.zeros(0, np.int64)] * 4
+        terms = pa.concat_arrays([t for _, t in self.terms]) if self.terms else pa.array([], pa.string())
+        if len(self.terms) > 1:
+            _, first, which = np.unique(np.concatenate([k for k, _ in self.terms]), return_index=True, return_inverse=True)
+            if pc.all(pc.equal(terms, terms.take(pa.array(first[which])))).as_py():  # else terms of one hash differ, and slices stay apart
+                group, term, c, d = _summed([group, first[which][term], c, d], 2)
+        names = [pa.array([g[i] for g in self.groups] or [""], pa.string()).take(pa.array(group)) for i in (0, 1)]
+        out = pa.RecordBatch.from_arrays([*names, terms.take(pa.array(term)), pa.array(c), pa.array(d)], ["lang", "source", "term", "c", "d"])
+        self.parts, self.terms, self.size, self.seen = [], [], 0, 0
+        return out
+
+
+def _plain(lang: str, source: str, text: str) -> list[tuple]:
+    """A text's counts by the terms themselves."""
+    terms = Counter(re.findall(TERM.encode(), text.encode().lower()))
+    return [(lang, source, t.decode(), c, 1) for t, c in terms.items()]
+
+
+def _count(batches):
+    counts = _Counts()
+    for batch in batches:
+        pairs = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
+        groups = np.array([counts.groups.setdefault(p, len(counts.groups)) for p in pairs], np.int64)
+        text = batch.column("text")
+        for start, stop in slices(text):
+            if not counts.add(groups[start:stop], text.slice(start, stop - start)):
+                rows = [r for i in range(start, stop) for r in _plain(*pairs[i], text[i].as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "source", "term", "c", "d"])
+            if counts.size > HELD:
+                yield counts.rows()
+    yield counts.rows()
+
+
 def term_counts(docs: DataFrame, least: int = LEAST_DOCS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, c, all, one) of the kept terms: occurrences in the group and in the language; one is 1 in one row of each (lang, term)."""
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    words = F.regexp_extract_all(F.translate(empty(text_col), UPPER, LOWER), F.lit(TERM), F.lit(0))
-    rows = docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), words.alias("words"))
-    uses = rows.select("lang", "source", F.explode("words").alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))
-    holds = rows.select("lang", "source", F.explode(F.array_distinct("words")).alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))
-    counts = uses.unionAll(holds).groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    bounded_batches(docs.sparkSession)
+    empty = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
+    rows = docs.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text"))
+    counts = rows.mapInArrow(gives_back(_count), "lang string, source string, term string, c bigint, d bigint").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
     same = Window.partitionBy("lang", "term")
     return (
         counts.withColumn("all", F.sum("c").over(same)).withColumn("docs", F.sum("d").over(same)).withColumn("least", F.min("source").over(same))
@@ -88,7 +165,10 @@ _SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.s
 
 
 def _pair_sums(table: pa.Table) -> pa.Table:
-    """Sums over a block's terms for each pair of sources of two tiles. A source's row without a term has its p at a count of 0."""
+    """Sums over a block's terms for each pair of sources of two tiles, as what they are above the cell of two counts of 0.
+
+    A source's row without a term has its p at a count of 0; in it, v is the multiplicity that its language has in that cell to begin with.
+    """
     a, b = table["a"][0].as_py(), table["b"][0].as_py()
     known = table["term"].is_valid().to_numpy()
     sources = table["source"].combine_chunks().dictionary_encode()
@@ -99,6 +179,7 @@ def _pair_sums(table: pa.Table) -> pa.Table:
     terms = table["term"].combine_chunks().filter(pa.array(known)).dictionary_encode()
     here = np.repeat(zero[:, None], len(terms.dictionary), 1)
     here[which[known], terms.indices.to_numpy()] = p[known]
+    every = int(table["v"].to_numpy()[~known].max())
     coded = [np.unique(row, return_inverse=True) for row in here]
     out = ([], [], [])
     for i in np.flatnonzero(of == a):
@@ -109,6 +190,7 @@ def _pair_sums(table: pa.Table) -> pa.Table:
                 total = int(m @ _divergence(x[:, None], y[None, :]).ravel())
             else:
                 total = int(_divergence(here[i], here[j]).sum())
+            total += (every - len(at_x)) * int(_divergence(zero[i], zero[j]))
             for column, value in zip(out, (i, j, total), strict=True):
                 column.append(value)
     left, right = (names.take(pa.array(x, pa.int32())) for x in out[:2])
@@ -123,10 +205,11 @@ def source_pairs(kept: DataFrame, known: DataFrame, block: int = BLOCK, tile: in
         "lang", "source", "n", "v", F.greatest(F.lit(1), F.ceil(F.col("v") / block)).alias("blocks"), F.ceil(F.col("sources") / tile).alias("tiles"),
         F.pmod(F.xxhash64("source"), F.ceil(F.col("sources") / tile)).alias("tile"),
     )
-    used = kept.join(dealt, ["lang", "source"]).select("lang", "source", "term", F.expr(_P.format(c="c", n="n")).alias("p"), F.pmod(F.xxhash64("term"), "blocks").alias("block"), "tile", "tiles")
-    unused = dealt.select("lang", "source", F.lit(None).cast("string").alias("term"), F.when(F.col("v") > 0, F.expr(_P.format(c="0", n="n"))).otherwise(1).alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "tile", "tiles")
+    used = kept.join(dealt, ["lang", "source"]).select("lang", "source", "term", F.expr(_P.format(c="c", n="n")).alias("p"), F.pmod(F.xxhash64("term"), "blocks").alias("block"), F.lit(0).cast("bigint").alias("v"), "tile", "tiles")
+    unused = dealt.select("lang", "source", F.lit(None).cast("string").alias("term"), F.when(F.col("v") > 0, F.expr(_P.format(c="0", n="n"))).otherwise(1).alias("p"), "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "tile", "tiles")
+    unused = unused.withColumn("v", F.when(F.col("block") == 0, F.col("v")).otherwise(0))
     met = used.unionByName(unused).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("lang", "source", "term", "p", "block", "tile", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
+    met = met.select("lang", "source", "term", "p", "v", "block", "tile", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
     sums = met.groupBy("lang", "block", "a", "b").applyInArrow(_pair_sums, "lang string, source string, item string, value bigint")
     value = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     down = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
@@ -146,7 +229,7 @@ def op11_source_divergence(spark, sf_dir: str) -> DataFrame:
 
 
 OP11_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS w FROM documents),
 c AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT r) AS d FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
 k AS (SELECT *, sum(c) OVER (PARTITION BY lang, term) AS cc FROM c QUALIFY sum(d) OVER (PARTITION BY lang, term) >= {LEAST_DOCS}),
 t AS (SELECT DISTINCT lang, term, cc FROM k),

@@ -68,12 +68,12 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def word_spans(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def word_spans(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None, space: np.ndarray = SPACE) -> tuple[np.ndarray, ...]:
     """Words [^\\x20\\x09-\\x0D]+ of every text: (starts, lengths, positions of word bytes, each word's first among them).
 
-    cut marks further bytes at which a word begins.
+    cut marks further bytes at which a word begins; space has the bytes that are in no word.
     """
-    inside = ~SPACE[data]
+    inside = ~space[data]
     begins = np.ones(len(data), bool)
     begins[1:] = ~inside[:-1]
     edge = at[:-1]
@@ -88,9 +88,9 @@ def word_spans(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None)
     return starts, lengths, places, first
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True, cut: np.ndarray | None = None, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hash, text, start, length) of every word, in order; A-Z are lower-cased first if lower."""
-    starts, lengths, places, first = word_spans(data, at, cut)
+    starts, lengths, places, first = word_spans(data, at, cut, space)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts, lengths
     within = np.arange(len(places)) - np.repeat(first, lengths)
