@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covary.functions import exprs as x
+from covary.operators import unitroot
 
 SIZES = (8, 12, 18, 27, 40, 60)
 
@@ -65,9 +66,12 @@ def health_score(df_p: Column, hurst: Column, eg_p: Column) -> Column:
     return (F.greatest(F.lit(0.0), 1 - df_p / 0.10) + F.least(F.greatest(1 - 2 * hurst, F.lit(0.0)), F.lit(1.0)) + F.greatest(F.lit(0.0), 1 - eg_p / 0.10)) / 3
 
 
-def rolling_health(df: DataFrame, window: int = 126, step: int = 5) -> DataFrame:
-    """(pair, date, t, df_p, hurst, eg_p, half_life, checks_passed, health_score, healthy) at every step-th row; healthy before a full window."""
+def rolling_health(df: DataFrame, window: int = 126, step: int = 5, lagged: bool = False) -> DataFrame:
+    """(pair, date, t, df_p, hurst, eg_p, half_life, checks_passed, health_score, healthy) at every step-th row; healthy before a full window. lagged: tests choose their lags."""
     d = rolling_pairs(df, window).filter(F.col("t") % step == 0)
+    if lagged:
+        tests = unitroot.rolling_lagged(df, window, step).select("pair", "t", "df_p", "eg_p")
+        d = d.drop("df_p", "eg_p").join(tests, ["pair", "t"], "left")
     h = rolling_hurst(df, window, step)
     out = d.join(h, ["pair", "t"], "left")
     early = F.col("t") < window

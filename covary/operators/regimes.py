@@ -104,3 +104,30 @@ def permutation_importance(model: PipelineModel, test: DataFrame, columns: list[
     moved = moved.withColumns({c: F.when(F.col("feature") == c, F.col("value")).otherwise(F.col(c)) for c in columns})
     hit = predict(model, moved).groupBy("feature").agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("a"))
     return hit.select("feature", (F.lit(base) - F.col("a")).alias("importance"))
+
+
+def shapley(df: DataFrame, columns: list[str], value, rows: int = 500, draws: int = 10, seed: int = 42, keys: tuple[str, ...] = ("pair", "t")) -> DataFrame:
+    """(keys.., feature, shapley): what each feature adds to a row's value, over random orders in which features join.
+
+    value(df) gives df with a column `value` from the columns. `rows` rows of the least hashes are explained, each `draws` times: the
+    features of a row replace those of another row (that of the next hash) in a random order, and every step's change of value
+    belongs to the feature that came in. All coalitions of all rows are scored as one table.
+    """
+    d = len(columns)
+    drawn = F.xxhash64(F.lit(seed), *keys)
+    some = df.select(*keys, F.array(*[F.col(c).cast("double") for c in columns]).alias("own")).withColumn("_h", drawn)
+    some = some.orderBy("_h", *keys).limit(rows)
+    by_hash = Window.orderBy("_h", *keys)  # `rows` rows
+    some = some.withColumn("_i", F.row_number().over(by_hash)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    each = some.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    # every draw meets another row: as many places on as the draw says, around the end
+    other = some.select(F.col("_i").alias("_j"), F.col("own").alias("other"))
+    each = each.withColumn("_j", (F.col("_i") - 1 + F.pmod(F.xxhash64(F.lit(seed), "_i", "_draw"), F.greatest(F.col("_n") - 1, F.lit(1))) + 1) % F.col("_n") + 1).join(other, "_j")
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda c: F.struct(F.xxhash64(F.lit(seed), "_i", "_draw", c).alias("h"), c.alias("c"))))
+    each = each.withColumn("_order", F.transform(order, lambda v: v["c"])).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    mixed = [F.when(F.array_position(F.slice("_order", 1, F.col("_step")), F.lit(i)) > 0, F.get("own", F.lit(i))).otherwise(F.get("other", F.lit(i))).alias(c) for i, c in enumerate(columns)]
+    scored = value(each.select(*keys, "_draw", "_order", "_step", *mixed)).select(*keys, "_draw", "_order", "_step", "value")
+    change = F.col("value") - F.lag("value").over(Window.partitionBy(*keys, "_draw").orderBy("_step"))
+    steps = scored.withColumn("_change", change).filter("_step > 0").withColumn("_c", F.get("_order", F.col("_step") - 1))
+    named = F.element_at(F.array(*map(F.lit, columns)), (F.col("_c") + 1).cast("int"))
+    return steps.groupBy(*keys, named.alias("feature")).agg(F.avg("_change").alias("shapley"))

@@ -233,54 +233,3 @@ def paired_bootstrap(df: DataFrame, ours: str, theirs: str, times: int = 10_000,
     names = ["pair", "n", "ours", "theirs", "diff", "se", "low", "high", "p", "cohens_d"]
     rows = df.filter(F.col(ours).isNotNull() & F.col(theirs).isNotNull()).select("pair", "t", F.col(ours).alias("a"), F.col(theirs).alias("b"))
     return rows.groupBy("pair").applyInPandas(run, "pair string, n long, ours double, theirs double, diff double, se double, low double, high double, p double, cohens_d double")
-
-
-def random_schedules(df: DataFrame, trades: DataFrame, times: int = 10_000, seed: int = 42, least: int = 3) -> DataFrame:
-    """(pair, n_trades, sharpe, total, p_sharpe, p_total, low, high): the actual returns against random entries, holds and directions.
-
-    df: pair, t, net, spread_return; trades: pair, duration_days. As many trades as there were, geometric gaps, normal holds of two rows
-    and more. Pairs with fewer than `least` trades get p 1 and zeros.
-    """
-
-    def one(rng, n, n_trades, mean, sd):
-        signal, i, placed = np.zeros(n), 0, 0
-        while placed < n_trades and i < n - 2:
-            i += int(rng.geometric(min(1.0, n_trades / n)))
-            if i >= n - 2:
-                break
-            hold = min(max(2, int(rng.normal(mean, sd))), n - i - 1)
-            signal[i : i + hold] = rng.choice((-1, 1))
-            i, placed = i + hold, placed + 1
-        return signal
-
-    def geometric(r):
-        n = r.shape[1]
-        total = np.prod(1 + r, 1) - 1
-        vol = r.std(1) * math.sqrt(252)
-        annual = np.where(total > -1, np.maximum(1 + total, 0) ** (252 / n) - 1, -1.0)
-        return np.where(vol > 0, annual / np.where(vol > 0, vol, 1), 0.0), total
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("t")
-        pair, n_trades = frame["pair"].iloc[0], int(frame["n_trades"].iloc[0])
-        if n_trades < least:
-            return pd.DataFrame([(pair, n_trades, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0)], columns=names)
-        mean, sd = max(int(frame["mean_days"].iloc[0]), 2), max(int(frame["sd_days"].iloc[0]), 1)
-        net, spread = frame["net"].dropna().to_numpy(float), frame["spread_return"].dropna().to_numpy(float)
-        total = np.prod(1 + net) - 1
-        vol = net.std(ddof=1) * math.sqrt(252)
-        annual = (1 + total) ** (252 / len(net)) - 1 if total > -1 else -1.0
-        sharpe = annual / vol if vol > 0 else 0.0
-        rng, got = np.random.default_rng(_seed(seed, pair)), []
-        for start in range(0, times, 500):
-            held = np.stack([one(rng, len(spread), n_trades, mean, sd) for _ in range(min(500, times - start))])
-            made = np.roll(held, 1, 1) * spread
-            made[:, 0] = 0
-            got.append(np.stack(geometric(made)))
-        sims = np.concatenate(got, 1)
-        return pd.DataFrame([(pair, n_trades, sharpe, total, (sims[0] >= sharpe).mean(), (sims[1] >= total).mean(), *np.percentile(sims[0], [2.5, 97.5]))], columns=names)
-
-    names = ["pair", "n_trades", "sharpe", "total", "p_sharpe", "p_total", "low", "high"]
-    told = trades.groupBy("pair").agg(F.count(F.lit(1)).alias("n_trades"), F.avg("duration_days").alias("mean_days"), F.stddev_pop("duration_days").alias("sd_days"))
-    rows = df.select("pair", "t", "net", "spread_return").join(told, "pair", "left").fillna(0, ["n_trades", "mean_days", "sd_days"])
-    return rows.groupBy("pair").applyInPandas(run, "pair string, n_trades long, sharpe double, total double, p_sharpe double, p_total double, low double, high double")

@@ -13,8 +13,9 @@ from covary.plans.research import PD, _health
 from covary.plans.scalar import r6
 from covary.plans.trading import backtest
 from covary.sources import panel as p
+from covary.sources.sinks import written
 
-TREES_OF_STUDIES = 60  # of the forests that are only compared with each other
+PARTITIONS = 32  # of the rows that a forest is fitted on: part of the forest's definition, as its seed is
 
 
 def feature_table(spark, sf_dir):
@@ -48,11 +49,16 @@ def m1(spark, sf_dir):
 
 
 def _ran(spark, sf_dir, forest=None, columns=None):
-    f = feature_table(spark, sf_dir)
-    model = (forest or rg.Forest()).fit(f.filter("period = 'train'"), columns)
+    f = written(feature_table(spark, sf_dir), "features")
+    model = (forest or rg.Forest()).fit(in_order(f.filter("period = 'train'")), columns)
     return model, f
 
 
+def in_order(f):
+    """The rows dealt by pair and in order of time, so that a forest draws the same rows however its input was partitioned."""
+    return f.repartition(PARTITIONS, "pair").sortWithinPartitions("pair", "t")
+
+
 @query("m5_forest_regimes")
 def m5(spark, sf_dir):
     """Classes and gated classes of a forest fitted on the train rows (the gate: probability of normal below 0.6 means crisis)."""
@@ -77,7 +83,7 @@ def _rounded(df, d=6):
 
 def importances(spark, sf_dir, repeats: int = 10):
     """(feature, impurity, permutation)."""
-    model, f = _ran(spark, sf_dir, rg.Forest(TREES_OF_STUDIES))
+    model, f = _ran(spark, sf_dir, rg.Forest())
     built_in = spark.createDataFrame([(c, float(v)) for c, v in zip(rg.FEATURES, model.stages[-1].featureImportances.toArray(), strict=True)], "feature string, impurity double")
     moved = rg.permutation_importance(model, f.filter("period = 'oos'"), repeats=repeats).withColumnRenamed("importance", "permutation")
     return built_in.join(moved, "feature", "full").na.fill(0.0)
@@ -89,13 +95,21 @@ def m7(spark, sf_dir):
     return _rounded(importances(spark, sf_dir))
 
 
+@query("m7_shapley")
+def m7_shapley(spark, sf_dir):
+    """What each feature adds to the forest's probability of a normal regime after the split: mean and mean size over 500 rows, ten random orders each."""
+    model, f = _ran(spark, sf_dir)
+    got = rg.shapley(f.filter("period = 'oos'"), rg.FEATURES, lambda df: rg.predict(model, df).withColumnRenamed("p_normal", "value"))
+    return got.groupBy("feature").agg(r6(F.avg("shapley")).alias("mean"), r6(F.avg(F.abs("shapley"))).alias("mean_size"))
+
+
 @query("m11_consensus_rank")
 def m11(spark, sf_dir):
     """Features by the mean of their ranks under both importances and their correlation with the label (21 rows)."""
     f = feature_table(spark, sf_dir).filter("period = 'oos'")
     linked = f.agg(*[F.abs(F.try_divide(F.covar_pop(c, "label"), F.stddev_pop(c) * F.stddev_pop("label"))).alias(c) for c in rg.FEATURES])
     linked = linked.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c), F.lit(0.0)).alias("linear")) for c in rg.FEATURES])).alias("v")).select("v.*")
-    t = importances(spark, sf_dir, 3).join(linked, "feature", "full").na.fill(0.0)
+    t = importances(spark, sf_dir).join(linked, "feature", "full").na.fill(0.0)
     rank = lambda c: F.rank().over(Window.orderBy(F.desc(c))) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
     t = t.withColumns({f"{c}_rank": rank(c) for c in ("impurity", "permutation", "linear")})
     mean = (F.col("impurity_rank") + F.col("permutation_rank") + F.col("linear_rank")) / 3
@@ -105,10 +119,10 @@ def m11(spark, sf_dir):
 @query("m8_group_ablation")
 def m8(spark, sf_dir):
     """What the forest loses without each group of features: nine fits, one for every list of columns."""
-    f = feature_table(spark, sf_dir).cache()
+    f = written(feature_table(spark, sf_dir), "features")
     out = None
     for name, gone in {"all": [], **rg.GROUPS}.items():
-        model = rg.Forest(TREES_OF_STUDIES).fit(f.filter("period = 'train'"), [c for c in rg.FEATURES if c not in gone])
+        model = rg.Forest().fit(in_order(f.filter("period = 'train'")), [c for c in rg.FEATURES if c not in gone])
         got = rg.scores(rg.predict(model, f.filter("period = 'oos'")).withColumn("without", F.lit(name)), ["without"])
         out = got if out is None else out.unionByName(got)
     full = F.max(F.when(F.col("without") == "all", F.col("accuracy"))).over(Window.partitionBy())  # nine rows

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from covary.functions import exprs as x
 from covary.operators import joins as j
+from covary.operators import monitor as mo
 from covary.operators.hedge import naive_spread
 from covary.plans.base import query, spine
 from covary.plans.scalar import _columns, r6
@@ -278,11 +279,11 @@ def a15(spark, sf_dir):
     return _monitor(spine(spark, sf_dir).filter("z is not null").withColumn("s", F.expr(_SIG)))
 
 
-@query("a16_alerts", f"SELECT sector, list_filter([CASE WHEN flat_pct > 80 THEN 'mostly flat' END, CASE WHEN long_pct > 2 * short_pct THEN 'long bias' END, CASE WHEN short_pct > 2 * long_pct THEN 'short bias' END, CASE WHEN sure_pct < 5 THEN 'few sure signals' END, CASE WHEN mean_z > 0.8 THEN 'wide spreads' END], lambda a: a IS NOT NULL) AS alerts FROM (SELECT sector, {_MONITOR} FROM (SELECT *, {_SIG} AS s FROM spine WHERE z IS NOT NULL) GROUP BY 1)")
+@query("a16_alerts", f"SELECT sector, {mo.alerts_sql()} AS alerts FROM (SELECT *, round(n / greatest(days, 1), 4) AS per_day FROM (SELECT sector, {mo.MEASURES_SQL} FROM (SELECT *, {_SIG} AS signal FROM spine WHERE z IS NOT NULL) GROUP BY 1))")
 def a16(spark, sf_dir):
-    m = _monitor(spine(spark, sf_dir).filter("z is not null").withColumn("s", F.expr(_SIG)).groupBy("sector"))
-    rules = F.array(F.when(F.col("flat_pct") > 80, "mostly flat"), F.when(F.col("long_pct") > 2 * F.col("short_pct"), "long bias"), F.when(F.col("short_pct") > 2 * F.col("long_pct"), "short bias"), F.when(F.col("sure_pct") < 5, "few sure signals"), F.when(F.col("mean_z") > 0.8, "wide spreads"))
-    return m.select("sector", F.filter(rules, lambda a: a.isNotNull()).alias("alerts"))
+    """The alerts of all eight rules by sector."""
+    s = spine(spark, sf_dir).filter("z is not null").withColumn("signal", F.expr(_SIG))
+    return s.groupBy("sector").agg(*mo.measures()).withColumn("per_day", mo.per_day()).select("sector", mo.alerts().alias("alerts"))
 
 
 @query("a17_pivot", "SELECT sector, count(*) FILTER (regime = 0)::BIGINT AS r0, count(*) FILTER (regime = 1)::BIGINT AS r1, count(*) FILTER (regime = 2)::BIGINT AS r2 FROM spine GROUP BY 1")

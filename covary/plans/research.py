@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from covary.functions import exprs as x
 from covary.operators import diagnostics as d
+from covary.operators import unitroot as u
 from covary.plans.base import query, spine
 from covary.plans.scalar import _K, _columns, r6
 from covary.plans.trading import BT, backtest
@@ -106,14 +107,17 @@ score AS (SELECT pair, sector, n, CASE WHEN n < 252 THEN 0 ELSE CASE WHEN ep < 0
 """
 
 
-def pair_scores(panel, min_rows: int = 252):
-    """(pair, sector, n, score, hl, r): one window over the pair for the hedge, one aggregate for all the rest."""
+def pair_scores(panel, min_rows: int = 252, lagged: bool = False):
+    """(pair, sector, n, score, hl, r): one window over the pair for the hedge, one aggregate for all the rest. lagged: tests choose their lags, at most one for the spread."""
     q = Window.partitionBy("pair")
     s = panel.withColumn("n", F.count(F.lit(1)).over(q)).withColumn("b", F.regr_slope("y", "x").over(q)).withColumn("a", F.regr_intercept("y", "x").over(q)).withColumn("r", F.corr("y", "x").over(q))
     s = s.withColumn("s", F.col("y") - F.col("b") * F.col("x")).withColumn("u", F.col("y") - F.col("a") - F.col("b") * F.col("x")).withColumn("s1", F.lag("s").over(x.pair_window())).withColumn("u1", F.lag("u").over(x.pair_window()))
     ds, du = F.col("s") - F.col("s1"), F.col("u") - F.col("u1")
-    g = s.groupBy("pair", "sector").agg(F.max("n").alias("n"), F.max("r").alias("r"), F.regr_slope(ds, F.col("s1")).alias("th"), F.regr_sxx(ds, F.col("s1")).alias("sxx"), F.regr_sxy(ds, F.col("s1")).alias("sxy"), F.regr_syy(ds, F.col("s1")).alias("syy"), F.sum(F.col("u1") * F.col("u1")).alias("uu"), F.sum(F.col("u1") * du).alias("ud"), F.sum(du * du).alias("dd"), F.count("s1").alias("m"))
+    s = s.withColumn("ds", ds).withColumn("ds1", F.lag("ds").over(x.pair_window()))
+    g = s.groupBy("pair", "sector").agg(u.one_lag(F.col("s1"), F.col("ds"), F.col("ds1"))[0].alias("dt1"), F.max("n").alias("n"), F.max("r").alias("r"), F.regr_slope(ds, F.col("s1")).alias("th"), F.regr_sxx(ds, F.col("s1")).alias("sxx"), F.regr_sxy(ds, F.col("s1")).alias("sxy"), F.regr_syy(ds, F.col("s1")).alias("syy"), F.sum(F.col("u1") * F.col("u1")).alias("uu"), F.sum(F.col("u1") * du).alias("ud"), F.sum(du * du).alias("dd"), F.count("s1").alias("m"))
     g = g.withColumn("dt", F.round(F.expr("sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (m - 2) / sxx)"), 6)).withColumn("et", F.round(F.expr("ud / uu / sqrt((dd - ud * ud / uu) / (m - 1) / uu)"), 6))
+    if lagged:
+        g = g.withColumn("dt", F.round("dt1", 6)).join(u.whole_lagged(panel).select("pair", "eg_tau"), "pair", "left").withColumn("et", F.round("eg_tau", 6))
     g = g.withColumn("dp", x.unit_root_p("dt", 1)).withColumn("ep", x.unit_root_p("et", 2)).withColumn("hl", F.when(F.col("th") < 0, -0.6931471805599453 / F.col("th")).otherwise(999.0))
     bands = lambda c, levels, below=True: F.coalesce(*[F.when((c < v) if below else (c > v), pts) for v, pts in levels], F.lit(0))
     score = bands(F.col("ep"), [(0.01, 50), (0.05, 35), (0.10, 15)]) + bands(F.abs("r"), [(0.8, 20), (0.6, 12), (0.4, 5)], False) + bands(F.col("dp"), [(0.01, 30), (0.05, 20), (0.10, 10)])

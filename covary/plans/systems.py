@@ -10,6 +10,7 @@ from covary.functions import udfs
 from covary.operators import backtest as b
 from covary.operators import folds
 from covary.operators import joins as j
+from covary.operators import schedules as sc
 from covary.operators import systems as sy
 from covary.operators.systems import NO_STOP, System
 from covary.plans.base import query, spine
@@ -17,6 +18,7 @@ from covary.plans.research import HEALTH, _health
 from covary.plans.scalar import r6
 from covary.plans.trading import _kalman_sql, metric_sql, rounded, signal_sql
 from covary.sources import panel as p
+from covary.sources.sinks import written
 
 R = folds.Rules
 BASELINES = [
@@ -102,18 +104,18 @@ def systems_sql(systems: list[System]) -> str:
     return QUANTILES + ",\n" + ",\n".join(parts) + "\n"
 
 
-MOST = 1e6  # measures beyond it are given as it: a short wild series compounds to any number
-_LIMITED = ("total", "annual", "vol", "sharpe", "max_drawdown")
+LARGE = 1e6  # a short wild series compounds to any number: from here on measures are given to seven digits
+_WILD = ("total", "annual", "vol", "sharpe", "max_drawdown")
 
 
-def limit_sql(sql: str) -> str:
-    return "SELECT * REPLACE (" + ", ".join(f"least(greatest({c}, -{MOST}), {MOST}) AS {c}" for c in _LIMITED) + f") FROM ({sql})"
+def digits_sql(sql: str) -> str:
+    return "SELECT * REPLACE (" + ", ".join(f"CASE WHEN abs({c}) >= {LARGE} AND isfinite({c}) THEN printf('%.6e', {c})::DOUBLE ELSE {c} END AS {c}" for c in _WILD) + f") FROM ({sql})"
 
 
 def measured(df, by):
-    """Rounded metrics within limits."""
-    m = rounded(b.metrics(df, by))
-    return m.withColumns({c: x.clip(c, -MOST, MOST) for c in _LIMITED})
+    """Rounded metrics; large ones to seven digits, which no order of multiplication changes."""
+    large = lambda c: F.when((F.abs(c) >= LARGE) & (F.abs(c) < float("inf")), F.format_string("%.6e", c).cast("double")).otherwise(F.col(c))
+    return rounded(b.metrics(df, by)).withColumns({c: large(c) for c in _WILD})
 
 
 def run_systems(spark, sf_dir, systems):
@@ -142,7 +144,7 @@ def k7(spark, sf_dir):
 _HELD = "SELECT 'buy and hold' AS system, pair, t, (ry + rx) / 2 AS net FROM spine WHERE date > DATE '{0}' UNION ALL SELECT 'market', pair, t, rm FROM spine WHERE date > DATE '{0}'".format(p.SPLIT)
 
 
-@query("b13_baseline_battery", systems_sql(BASELINES) + f", seven AS (SELECT system, pair, t, net FROM sysbt WHERE period = 'oos' UNION ALL {_HELD})" + limit_sql(metric_sql("seven", "system, pair")))
+@query("b13_baseline_battery", systems_sql(BASELINES) + f", seven AS (SELECT system, pair, t, net FROM sysbt WHERE period = 'oos' UNION ALL {_HELD})" + digits_sql(metric_sql("seven", "system, pair")))
 def b13(spark, sf_dir):
     """Seven methods over every pair after the split: the method is a column of one job."""
     ran = run_systems(spark, sf_dir, BASELINES).filter("period = 'oos'")
@@ -152,15 +154,16 @@ def b13(spark, sf_dir):
     return measured(every.select("v.system", "pair", "t", "v.net"), ["system", "pair"])
 
 
-_ABLATED = systems_sql(ABLATIONS) + f", ab AS ({limit_sql(metric_sql('(SELECT * FROM sysbt WHERE period = ' + chr(39) + 'oos' + chr(39) + ')', 'system, pair'))})"
+_ABLATED = systems_sql(ABLATIONS) + f", ab AS ({digits_sql(metric_sql('(SELECT * FROM sysbt WHERE period = ' + chr(39) + 'oos' + chr(39) + ')', 'system, pair'))})"
 
 
-@query("b14_ablation_battery", _ABLATED + """SELECT system, pair, total, sharpe, round(sharpe - max(sharpe) FILTER (system = 'full') OVER (PARTITION BY pair), 5) AS delta FROM ab""")
+@query("b14_ablation_battery", _ABLATED + """SELECT *, (row_number() OVER (PARTITION BY pair ORDER BY delta, system))::INT AS place FROM (SELECT system, pair, total, sharpe, round(sharpe - max(sharpe) FILTER (system = 'full') OVER (PARTITION BY pair), 5) AS delta FROM ab)""")
 def b14(spark, sf_dir):
-    """Nine systems, each without one component, and what that does to the Sharpe ratio of the full one."""
+    """Nine systems, each without one component, what that does to the Sharpe ratio of the full one, and the place of the loss (1: most is lost without it)."""
     m = measured(run_systems(spark, sf_dir, ABLATIONS).filter("period = 'oos'"), ["system", "pair"])
     full = F.max(F.when(F.col("system") == "full", F.col("sharpe"))).over(Window.partitionBy("pair"))
-    return m.select("system", "pair", "total", "sharpe", F.round(F.col("sharpe") - full, 5).alias("delta"))
+    m = m.select("system", "pair", "total", "sharpe", F.round(F.col("sharpe") - full, 5).alias("delta"))
+    return m.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy("delta", "system")))
 
 
 @query("b20_attribution_parts", _ABLATED + """SELECT pair, round(max(total) FILTER (system = 'full'), 6) AS full_total, round(max(total) FILTER (system = 'full') - max(total) FILTER (system = 'no regime'), 6) AS regime_timing, round(max(total) FILTER (system = 'full') - max(total) FILTER (system = 'no kalman'), 6) AS kalman,
@@ -172,41 +175,64 @@ def b20(spark, sf_dir):
     return m.groupBy("pair").agg(r6(of("full")).alias("full_total"), *[F.round(of("full") - of(n), 6).alias(a) for n, a in (("no regime", "regime_timing"), ("no kalman", "kalman"), ("no least hold", "holding"))])
 
 
+AGGRESSIVE = System("aggressive", rules=R(1.0, 0.3, 1.5, 0.2, min_hold=2))
+
+
+@query("b20_attribution_whole")
+def b20_whole(spark, sf_dir):
+    """Four alphas of every pair and their sum: regime timing, entries by z-score against random ones on tradeable rows, sizing against eager rules, adaptive hedge."""
+    kinds = [*(s for s in ABLATIONS if s.name in ("full", "no regime", "no kalman", "no least hold")), AGGRESSIVE]
+    ran = run_systems(spark, sf_dir, kinds).filter("period = 'oos'")
+    full = ran.filter("system = 'full'").withColumn("spread_return", F.col("ry") - F.col("hedge") * F.col("rx"))
+    timing = sc.entry_alpha(full, b.trades(full)).select("pair", "n_trades", F.col("alpha").alias("mean_reversion"), "random_mean", "random_sd", "p")
+    of = lambda n: F.max(F.when(F.col("system") == n, F.col("total")))
+    parts = {"regime_timing": "no regime", "sizing": "aggressive", "kalman": "no kalman", "holding": "no least hold"}
+    sides = ran.groupBy("system", "pair").agg(x.compound("net").alias("total")).groupBy("pair").agg(of("full").alias("total"), *[(of("full") - of(n)).alias(a) for a, n in parts.items()])
+    both = sides.join(timing, "pair").withColumn("sum_of_alphas", F.col("regime_timing") + F.col("mean_reversion") + F.col("sizing") + F.col("kalman"))
+    return _rounded_all(both)
+
+
 # walk-forward with a hedge refitted on every fold's train rows ------------------------------------------------------------
 
 LEAST, STEP, TEST = 150, 30, 50
-_WALK = QUANTILES + f""",
-wf0 AS (SELECT s.*, f.f::INT AS fold, s.pair || '#' || f.f AS k FROM (SELECT *, max(t) OVER (PARTITION BY pair) AS last FROM qspine) s JOIN range(0, 10000) f(f) ON f.f <= (s.last + 1 - {LEAST + TEST}) // {STEP} AND s.last + 1 >= {LEAST + TEST} AND s.t < {LEAST + TEST} + {STEP} * f.f),
-wf1 AS (SELECT *, regr_slope(y, x) FILTER (t < {LEAST} + {STEP} * fold) OVER q AS b2, regr_intercept(y, x) FILTER (t < {LEAST} + {STEP} * fold) OVER q AS a2 FROM wf0 WINDOW q AS (PARTITION BY k)),
-wf2 AS (SELECT *, y - b2 * x - a2 AS s2 FROM wf1),
-wf3 AS (SELECT * EXCLUDE (z), CASE WHEN count(s2) OVER w >= 20 THEN round((s2 - avg(s2) OVER w) / (stddev_samp(s2) OVER w + 1e-8), 6) END AS z FROM wf2 WINDOW w AS (PARTITION BY k ORDER BY t ROWS 19 PRECEDING)),
-{machine_sql("wfm", "wf3", R(), "k")},
-wf4 AS (SELECT s.*, m.pos AS signal, lag(m.pos) OVER w AS before, CASE WHEN count(ry) OVER r >= 20 THEN stddev_samp(ry) OVER r END AS s20, stddev_samp(ry) OVER (PARTITION BY s.k) AS sall FROM wf3 s JOIN wfm m ON m.k = s.k AND m.t = s.t WINDOW w AS (PARTITION BY s.k ORDER BY s.t), r AS (PARTITION BY s.k ORDER BY s.t ROWS 19 PRECEDING)),
-wf5 AS (SELECT *, before * (ry - b2 * rx) - moved * 5.0 / 1e4 - (moved > 0)::INT * (2 * 1.0 / 10000 + 0.1 * coalesce(s20, sall) * sqrt(10000 / 2e8)) AS net FROM (SELECT *, coalesce(abs(signal - before), 0) AS moved FROM wf4)),
-wf AS (SELECT * FROM wf5 WHERE t >= {LEAST} + {STEP} * fold)
+WALK = System("walk", z_rows=40)
+_WALK = f""",
+wf0 AS (SELECT s.*, f.f::INT AS fold, s.pair || '#' || f.f AS k FROM (SELECT *, max(t) OVER (PARTITION BY pair) AS last FROM spine) s JOIN range(0, 10000) f(f) ON f.f <= (s.last + 1 - {LEAST + TEST}) // {STEP} AND s.last + 1 >= {LEAST + TEST} AND s.t < {LEAST + TEST} + {STEP} * f.f),
+wfc AS (SELECT k, quantile_cont(vol, 0.33) FILTER (t < {LEAST} + {STEP} * fold) AS lo, quantile_cont(vol, 0.66) FILTER (t < {LEAST} + {STEP} * fold) AS hi FROM wf0 GROUP BY 1),
+wfs AS (SELECT k AS pair, pair AS base, fold, t, date, y, x, ry, rx, CASE WHEN vol IS NULL THEN 2 WHEN vol > hi THEN 0 WHEN vol > lo THEN 1 ELSE 2 END AS regime FROM wf0 JOIN wfc USING (k)),
+{_kalman_sql(True, "wfk").strip().removeprefix(",").replace("FROM spine", "FROM wfs").replace("JOIN spine", "JOIN wfs").strip()},
+wfh AS (SELECT k.pair, k.t, s.regime, k.e AS s, k.w AS hedge FROM wfk k JOIN wfs s USING (pair, t)),
+{_z_sql("wfz", "wfh", WALK.z_rows)},
+{machine_sql("wfm", "wfz", WALK.rules)},
+wf4 AS (SELECT s.*, z.hedge, m.pos AS signal, lag(m.pos) OVER w AS before, CASE WHEN count(ry) OVER r >= 20 THEN stddev_samp(ry) OVER r END AS s20, stddev_samp(ry) OVER (PARTITION BY s.pair) AS sall FROM wfs s JOIN wfz z USING (pair, t) JOIN wfm m USING (pair, t) WINDOW w AS (PARTITION BY s.pair ORDER BY s.t), r AS (PARTITION BY s.pair ORDER BY s.t ROWS 19 PRECEDING)),
+wf5 AS (SELECT *, before * (ry - hedge * rx) - moved * 5.0 / 1e4 - (moved > 0)::INT * (2 * 1.0 / 10000 + 0.1 * coalesce(s20, sall) * sqrt(10000 / 2e8)) AS net FROM (SELECT *, coalesce(abs(signal - before), 0) AS moved FROM wf4)),
+wf AS (SELECT base AS pair, fold, t, net FROM wf5 WHERE t >= {LEAST} + {STEP} * fold)
 """
 
 
-def refitted(spark, sf_dir):
-    """Test rows of every fold of every pair: hedge of the fold's train rows, z-score, machine and costs of its own."""
-    s = quantile_spine(spark, sf_dir).select("pair", "date", "t", "y", "x", "ry", "rx", "regime")
+def fold_regimes(s):
+    """s (pair, t, vol, ..) once for each fold that holds the row, with fold and the regime by that fold's train quantiles of volatility."""
     last = F.max("t").over(Window.partitionBy("pair"))
     s = s.withColumn("_last", last).withColumn("_most", F.floor((F.col("_last") + 1 - LEAST - TEST) / STEP).cast("int"))
     first = F.greatest(F.ceil((F.col("t") - (LEAST + TEST - 1)) / STEP), F.lit(0)).cast("int")
     s = s.withColumn("fold", F.explode(F.when(F.col("_most") >= first, F.sequence(first, F.col("_most"))))).drop("_last", "_most")
-    every, train = Window.partitionBy("pair", "fold"), F.col("t") < LEAST + STEP * F.col("fold")
-    y, v = F.when(train, F.col("y")), F.when(train, F.col("x"))
-    s = s.withColumn("hedge", F.regr_slope(y, v).over(every)).withColumn("spread", F.col("y") - F.col("hedge") * F.col("x") - F.regr_intercept(y, v).over(every))
-    w = x.pair_window("pair", "fold")
-    s = s.withColumn("z", F.round((F.col("spread") - x.rolling(F.avg, "spread", w, 20)) / (x.rolling(F.stddev_samp, "spread", w, 20) + 1e-8), 6))
-    made = sy.net_returns(folds.signals(s, keys=["pair", "fold"]).withColumn("costs", F.lit("all")), ("pair", "fold"))
+    every, early = Window.partitionBy("pair", "fold"), F.when(F.col("t") < LEAST + STEP * F.col("fold"), F.col("vol"))
+    s = s.withColumn("_lo", F.percentile(early, 0.33).over(every)).withColumn("_hi", F.percentile(early, 0.66).over(every))
+    v = F.col("vol")
+    return s.withColumn("regime", F.when(v.isNull(), 2).when(v > F.col("_hi"), 0).when(v > F.col("_lo"), 1).otherwise(2)).drop("_lo", "_hi")
+
+
+def walked(spark, sf_dir):
+    """Test rows of every fold of every pair: regimes of the fold's train rows, an adaptive hedge, z-score, machine and costs of its own. Nothing behind a fold's train rows is fitted on."""
+    s = fold_regimes(spine(spark, sf_dir).select("pair", "date", "t", "y", "x", "ry", "rx", "vol")).drop("vol")
+    made = sy.net_returns(sy.run_systems(s, [WALK], p.SPLIT, ("pair", "fold")), ("pair", "fold"))
     return made.filter(F.col("t") >= LEAST + STEP * F.col("fold"))
 
 
-@query("b16_walk_forward_refit", _WALK + limit_sql(metric_sql("wf", "pair, fold")))
+@query("b16_walk_forward_refit", _WALK + digits_sql(metric_sql("wf", "pair, fold")))
 def b16(spark, sf_dir):
-    """Expanding walk in which every fold fits its hedge on its own train rows only; all folds of all pairs in one job."""
-    return measured(refitted(spark, sf_dir), ["pair", "fold"])
+    """Expanding walk in which every fold is fitted on its own train rows only and runs its own filter; all folds of all pairs in one job."""
+    return measured(walked(spark, sf_dir), ["pair", "fold"])
 
 
 _TREND = """SELECT pair, count(*)::BIGINT AS folds, CASE WHEN count(*) >= 4 AND stddev_pop(rs) > 0 THEN round(corr(fold, rs), 6) END AS sharpe_trend, CASE WHEN count(*) >= 4 AND stddev_pop(rt) > 0 THEN round(corr(fold, rt), 6) END AS return_trend,
@@ -214,7 +240,7 @@ _TREND = """SELECT pair, count(*)::BIGINT AS folds, CASE WHEN count(*) >= 4 AND
   FROM (SELECT *, rank() OVER (PARTITION BY pair ORDER BY sharpe) + (count(*) OVER (PARTITION BY pair, sharpe) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY pair ORDER BY total) + (count(*) OVER (PARTITION BY pair, total) - 1) / 2.0 AS rt FROM wfx) GROUP BY 1"""
 
 
-@query("b17_refit_trend", _WALK + f", wfx AS ({limit_sql(metric_sql('wf', 'pair, fold'))})" + _TREND)
+@query("b17_refit_trend", _WALK + f", wfx AS ({digits_sql(metric_sql('wf', 'pair, fold'))})" + _TREND)
 def b17(spark, sf_dir):
     """Rank correlation of a fold's Sharpe ratio and return with its number, consistency and verdict, over the refitted walk."""
     v = b16(spark, sf_dir)
@@ -253,7 +279,7 @@ def by_regime_source(spark, sf_dir):
     return s.select("pair", "date", "t", "ry", "rx", "vol", F.col("beta").alias("hedge"), "z", F.col("v.source").alias("source"), F.col("v.regime").alias("regime"))
 
 
-@query("b21_regime_value", _SOURCES + limit_sql(metric_sql(f"(SELECT * FROM rgb WHERE date > DATE '{p.SPLIT}')", "source, pair")))
+@query("b21_regime_value", _SOURCES + digits_sql(metric_sql(f"(SELECT * FROM rgb WHERE date > DATE '{p.SPLIT}')", "source, pair")))
 def b21(spark, sf_dir):
     """What regimes of four sources are worth to the same machine: the source is a key."""
     made = sy.net_returns(folds.signals(by_regime_source(spark, sf_dir), keys=["source", "pair"]).withColumn("costs", F.lit("all")), ("source", "pair"))
@@ -303,23 +329,34 @@ def k9(spark, sf_dir):
     return healthy_signals(spark, sf_dir).select("pair", "t", (F.col("signal") * x.size_by_health(F.round("health_score", 6))).alias("sized"))
 
 
-_FILTERED = _HEALTHY + """, fl AS (SELECT pair, t, date, ry, rx, beta, k.kind, healthy, signal AS raw, CASE WHEN k.kind = 'filtered' THEN gated ELSE signal END AS signal FROM hg CROSS JOIN (VALUES ('filtered'), ('unfiltered')) k(kind)),
+_FILTERED = HEALTH + systems_sql([System("full")]) + """, fh AS (SELECT s.pair, s.t, s.date, s.ry, s.rx, a.hedge, a.signal AS raw, coalesce(last_value(checks_passed >= 2 IGNORE NULLS) OVER w, true) AS healthy
+  FROM spine s JOIN arms a ON a.pair = s.pair AND a.t = s.t LEFT JOIN health h ON h.pair = s.pair AND h.t = s.t WINDOW w AS (PARTITION BY s.pair ORDER BY s.t ROWS UNBOUNDED PRECEDING)),
+fgate(pair, t, sick, pos) AS (SELECT DISTINCT pair, -1, 0, 0 FROM fh UNION ALL SELECT h.pair, h.t, CASE WHEN healthy THEN 0 ELSE sick + 1 END, CASE WHEN healthy THEN h.raw WHEN g.pos = 0 OR sick + 1 > 5 THEN 0 ELSE g.pos END FROM fgate g JOIN fh h ON h.pair = g.pair AND h.t = g.t + 1),
+fl AS (SELECT h.pair, h.t, h.ry, h.rx, hedge, k.kind, healthy, raw, CASE WHEN k.kind = 'filtered' THEN g.pos ELSE raw END AS signal FROM fh h JOIN fgate g ON g.pair = h.pair AND g.t = h.t CROSS JOIN (VALUES ('filtered'), ('unfiltered')) k(kind)),
 fl1 AS (SELECT *, lag(signal) OVER w AS before, CASE WHEN count(ry) OVER r >= 20 THEN stddev_samp(ry) OVER r END AS s20, stddev_samp(ry) OVER (PARTITION BY kind, pair) AS sall FROM fl WINDOW w AS (PARTITION BY kind, pair ORDER BY t), r AS (PARTITION BY kind, pair ORDER BY t ROWS 19 PRECEDING)),
-flb AS (SELECT *, before * (ry - beta * rx) - moved * 5.0 / 1e4 - (moved > 0)::INT * (2 * 1.0 / 10000 + 0.1 * coalesce(s20, sall) * sqrt(10000 / 2e8)) AS net FROM (SELECT *, coalesce(abs(signal - before), 0) AS moved FROM fl1))
+flb AS (SELECT *, before * (ry - hedge * rx) - moved * 5.0 / 1e4 - (moved > 0)::INT * (2 * 1.0 / 10000 + 0.1 * coalesce(s20, sall) * sqrt(10000 / 2e8)) AS net FROM (SELECT *, coalesce(abs(signal - before), 0) AS moved FROM fl1))
 """
 
 
-@query("b19_filter_comparison", _FILTERED + f""", fm AS ({limit_sql(metric_sql("flb", "kind, pair"))}), fs AS (SELECT pair, round(avg(healthy::INT), 6) AS healthy, round(count(*) FILTER (raw <> 0 AND signal = 0) / greatest(1, count(*) FILTER (raw <> 0)), 6) AS blocked FROM flb WHERE kind = 'filtered' GROUP BY 1)
+def gated_system(spark, sf_dir):
+    """The full system's rows (adaptive hedge) with its pair's rolling health as of each row and the gated signal; written once, as much derives from it."""
+    s = run_systems(spark, sf_dir, [System("full")]).select("pair", "t", "ry", "rx", "hedge", "signal")
+    h = _health(spark, sf_dir).select("pair", "t", "healthy")
+    s = s.join(h, ["pair", "t"], "left").withColumn("healthy", x.ffill("healthy", x.pair_window(), True))
+    return written(folds.health_gate(s), "gated")
+
+
+@query("b19_filter_comparison", _FILTERED + f""", fm AS ({digits_sql(metric_sql("flb", "kind, pair"))}), fs AS (SELECT pair, round(avg(healthy::INT), 6) AS healthy, round(count(*) FILTER (raw <> 0 AND signal = 0) / greatest(1, count(*) FILTER (raw <> 0)), 6) AS blocked FROM flb WHERE kind = 'filtered' GROUP BY 1)
 SELECT pair, healthy, blocked, a.total AS filtered_total, u.total AS unfiltered_total, a.sharpe AS filtered_sharpe, u.sharpe AS unfiltered_sharpe, a.max_drawdown AS filtered_drawdown, u.max_drawdown AS unfiltered_drawdown
 FROM fs JOIN (SELECT * FROM fm WHERE kind = 'filtered') a USING (pair) JOIN (SELECT * FROM fm WHERE kind = 'unfiltered') u USING (pair)""")
 def b19(spark, sf_dir):
-    """Backtest with and without the health gate, side by side, with the share of healthy rows and of blocked positions."""
-    s = healthy_signals(spark, sf_dir)
+    """Backtest of the adaptive system with and without the health gate, side by side, with the share of healthy rows and of blocked positions."""
+    s = gated_system(spark, sf_dir)
     both = s.withColumn("v", F.explode(F.array(F.struct(F.lit("filtered").alias("kind"), F.col("gated").alias("s")), F.struct(F.lit("unfiltered").alias("kind"), F.col("signal").alias("s")))))
-    both = both.select("pair", "t", "ry", "rx", "healthy", F.col("signal").alias("raw"), F.col("beta").alias("hedge"), F.col("v.kind").alias("kind"), F.col("v.s").alias("signal"), F.lit("all").alias("costs"))
+    both = both.select("pair", "t", "ry", "rx", "hedge", F.col("v.kind").alias("kind"), F.col("v.s").alias("signal"), F.lit("all").alias("costs"))
     m = measured(sy.net_returns(both, ("kind", "pair")), ["kind", "pair"])
-    of = lambda k, c, d: F.round(F.max(F.when(F.col("kind") == k, F.col(c))), d)
-    side = m.groupBy("pair").agg(*[of(k, c, d).alias(f"{k}_{n}") for c, n, d in (("total", "total", 6), ("sharpe", "sharpe", 5), ("max_drawdown", "drawdown", 6)) for k in ("filtered", "unfiltered")])
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    side = m.groupBy("pair").agg(*[of(k, c).alias(f"{k}_{n}") for c, n in (("total", "total"), ("sharpe", "sharpe"), ("max_drawdown", "drawdown")) for k in ("filtered", "unfiltered")])
     shares = s.groupBy("pair").agg(r6(F.avg(F.col("healthy").cast("int"))).alias("healthy"), r6(F.count_if((F.col("signal") != 0) & (F.col("gated") == 0)) / F.greatest(F.lit(1), F.count_if(F.col("signal") != 0))).alias("blocked"))
     return shares.join(side, "pair")
 
@@ -399,15 +436,22 @@ def d11(spark, sf_dir):
 # legacy system ------------------------------------------------------------------------------------------------------------
 
 
+TRAINED = 252  # rows on which the legacy system's regimes are fitted
+
+
 def legacy_panel(spark, sf_dir):
-    """The spine with what the legacy machine reads: three time frames, trend, correlation and the pair's half-life."""
-    w = x.pair_window()
-    s = quantile_spine(spark, sf_dir)
-    for n in (30, 60, 90):
-        s = s.withColumn(f"z{n}", F.round(x.zscore("spread", w, n), 6))
+    """What the legacy machine reads: spread and hedge of the adaptive filter, regimes by quantiles of the first rows, three time frames, trend, correlation and the pair's half-life."""
+    w, q = x.pair_window(), Window.partitionBy("pair")
+    s = spine(spark, sf_dir).select("pair", "date", "t", "y", "x", "ry", "rx", "rm", "vol")
+    early, v = F.when(F.col("t") < TRAINED, F.col("vol")), F.col("vol")
+    s = s.withColumn("_lo", F.percentile(early, 0.33).over(q)).withColumn("_hi", F.percentile(early, 0.66).over(q))
+    s = s.withColumn("regime", F.when(v.isNull(), 2).when(v > F.col("_hi"), 0).when(v > F.col("_lo"), 1).otherwise(2)).drop("_lo", "_hi")
+    s = folds.kalman(s).withColumnRenamed("innovation", "spread").drop("innovation_sd")
+    for name, n in (("z", 60), ("z30", 30), ("z60", 60), ("z90", 90)):
+        s = s.withColumn(name, F.round(x.zscore("spread", w, n), 6))
     lagged = F.when(F.col("t") < 500, F.lag("spread").over(w))
     s = s.withColumn("l", lagged).withColumn("d", F.when(F.col("t") < 500, F.col("spread") - F.col("l")))
-    theta = F.regr_slope("d", "l").over(Window.partitionBy("pair"))
+    theta = F.regr_slope("d", "l").over(q)
     half = F.when(theta < 0, F.least(F.greatest(-0.6931471805599453 / theta, F.lit(5.0)), F.lit(60.0))).otherwise(60.0)
     return s.withColumn("trend", x.rolling(F.avg, "z", w, 5, before=True)).withColumn("corr", x.rolling(F.corr, ["y", "x"], w, 30)).withColumn("half_life", F.round(half, 6)).drop("l", "d")
 
@@ -435,14 +479,14 @@ def k10(spark, sf_dir):
 @query("b23_legacy_backtest")
 def b23(spark, sf_dir):
     """The legacy system and, beside it, the machine without least hold and correlation floor: adaptive hedge, monitor that forces flat, sizing by z and volatility, no costs; days by regime and state."""
-    s = legacy_panel(spark, sf_dir)
+    s = written(legacy_panel(spark, sf_dir), "legacy")
     states = legacy_monitor(s.select("pair", "date", "t", "y", "x", "spread")).select("pair", "t", "state")
     s = sy.legacy_signals(s)
     s = sy.legacy_signals(s, min_hold=0, min_corr=0.0, name="free")
     s = s.join(states, ["pair", "t"], "left").withColumn("state", x.ffill("state", x.pair_window(), "HEALTHY"))
     s = s.withColumn("signal", F.when(F.col("state") == "BROKEN", 0).otherwise(F.col("signal")))
     size = x.position_size("z", F.coalesce("vol", F.lit(0.15)))
-    sr = F.col("ry") - F.col("beta") * F.col("rx")
+    sr = F.col("ry") - F.col("hedge") * F.col("rx")
     w = x.pair_window()
     s = s.withColumn("sized", F.lag("signal").over(w) * F.coalesce(F.lag(size).over(w), F.lit(1.0)) * sr).withColumn("plain", F.lag("free").over(w) * sr)
     m = b.metrics(s.withColumn("v", F.explode(F.array(F.struct(F.lit("legacy").alias("system"), F.col("sized").alias("net")), F.struct(F.lit("free").alias("system"), F.col("plain").alias("net"))))).select("pair", "t", "v.*"), ["system", "pair"])
@@ -478,7 +522,7 @@ def t2(spark, sf_dir):
 def t3(spark, sf_dir):
     """Is it the timing? The full system against 10 000 random schedules of as many trades."""
     s = _full(spark, sf_dir)
-    return _rounded_all(sy.random_schedules(s, b.trades(s)))
+    return _rounded_all(sc.random_schedules(s, b.trades(s)))
 
 
 @query("t4_paired_sharpe")
@@ -587,7 +631,7 @@ def b22(spark, sf_dir):
     side = m.groupBy("pair").agg(*[r6(of(k, c)).alias(f"{k}_{c}") for k in ("train", "oos") for c in ("total", "sharpe", "max_drawdown")])
     after = s.filter("period = 'oos'").withColumn("spread_return", F.col("ry") - F.col("hedge") * F.col("rx"))
     market = after.groupBy("pair").agg((F.product(1 + F.col("rm")) - 1).alias("market_total"), r6(F.avg((F.col("regime") == 0).cast("int"))).alias("crisis"))
-    timing = sy.random_schedules(after, b.trades(after), times=1000).select("pair", "n_trades", F.round("p_sharpe", 4).alias("p_timing"))
+    timing = sc.random_schedules(after, b.trades(after), times=1000).select("pair", "n_trades", F.round("p_sharpe", 4).alias("p_timing"))
     interval = sy.bootstrap(after, times=1000, block=1).filter("measure = 'sharpe'").select("pair", r6("low").alias("low"), r6("high").alias("high"))
     out = side.join(market, "pair").join(timing, "pair", "left").join(interval, "pair", "left")
     return out.withColumn("alpha", r6(F.col("oos_total") - F.col("market_total"))).drop("market_total")
@@ -610,8 +654,8 @@ def t7(spark, sf_dir):
     walk = b17(spark, sf_dir).select("pair", F.when((F.col("consistency") >= 0.6) & (F.col("mean_sharpe") > 0.3), 100).when((F.col("consistency") >= 0.5) & (F.col("mean_sharpe") > 0), 60).otherwise(20).alias("walk"))
     s = _full(spark, sf_dir)
     p_ = F.col("p_sharpe")
-    timing = sy.random_schedules(s, b.trades(s), times=1000).select("pair", F.when(p_ < 0.01, 100).when(p_ < 0.05, 80).when(p_ < 0.10, 60).otherwise(20).alias("timing"))
-    interval = sy.bootstrap(s, times=1000, block=1).filter("measure = 'sharpe'").select("pair", F.when(F.col("low") > 0, 100).when(F.col("point") > 0, 60).otherwise(20).alias("interval"))
+    timing = sc.random_schedules(s, b.trades(s)).select("pair", F.when(p_ < 0.01, 100).when(p_ < 0.05, 80).when(p_ < 0.10, 60).otherwise(20).alias("timing"))
+    interval = sy.bootstrap(s, block=1).filter("measure = 'sharpe'").select("pair", F.when(F.col("low") > 0, 100).when(F.col("point") > 0, 60).otherwise(20).alias("interval"))
     stress = j.in_periods(run_systems(spark, sf_dir, [System("full")]), j.periods(spark)).groupBy("pair", "name").agg((100 * (x.compound("net") - x.compound("rm"))).alias("alpha"), (100 * F.avg((F.col("moved") > 0).cast("int"))).alias("rate"))
     stress = stress.groupBy("pair").agg(F.avg("alpha").alias("a"), F.avg("rate").alias("r")).select("pair", F.when(F.col("a") > 0, 100).when(F.col("r") < 30, 80).when(F.col("a") > -3, 60).otherwise(20).alias("stress"))
     tests = t6(spark, sf_dir).join(r1(spark, sf_dir).select("pair", F.col("p").alias("p_root")), "pair")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEADER = "timestamp,pair,signal,z_score,extra"
@@ -44,3 +44,46 @@ _DUCK = _LINE.replace("'{ts},'", "strftime(ts, '%Y-%m-%d %H:%M:%S') || ','").rep
 _CUT = f"SELECT list_transform(string_split(v, ','), lambda f: regexp_replace(trim(f), '^\"|\"$', '', 'g')) AS f FROM (SELECT {_DUCK} AS v FROM events)"
 READ_SQL = f"SELECT try_cast(f[1] AS TIMESTAMP) AS timestamp, f[2] AS pair, try_cast(f[3] AS INTEGER) AS signal, try_cast(f[4] AS DOUBLE) AS z_score FROM ({_CUT}) WHERE try_cast(f[1] AS TIMESTAMP) IS NOT NULL AND try_cast(f[3] AS INTEGER) IS NOT NULL AND try_cast(f[4] AS DOUBLE) IS NOT NULL"
 REPAIR_SQL = f"SELECT f[1] || ',' || f[2] || ',' || f[3] || ',' || f[4] AS line FROM ({_CUT}) WHERE f[1] <> 'timestamp'"
+
+
+# logs on disk --------------------------------------------------------------------------------------------------------
+
+# the log's columns, in order
+FIELDS = [("timestamp", "timestamp"), ("pair", "string"), ("signal", "int"), ("z_score", "double"), ("regime", "string"), ("confidence", "double"), ("qty_y", "double"), ("qty_x", "double"), ("price_y", "double"), ("price_x", "double"), ("hedge_ratio", "double")]
+WIDEST = 32  # fields of a line that are told apart
+BAD = "corrupt_line"
+
+
+def scan_log(spark: SparkSession, path: str) -> DataFrame:
+    """(timestamp .. hedge_ratio, fields, corrupt_line): every line of a log's files, typed as far as it goes.
+
+    Lines are read as text and parsed as CSV, so quoted commas stay in their field; fields behind the last column are cut off,
+    quotes and blanks around fields go, headers and empty lines are left out. A line with too few fields, or whose time, signal
+    or z-score cannot be read, is kept whole as corrupt_line (else null).
+    """
+    wide = ", ".join(f"c{i} string" for i in range(WIDEST))
+    lines = spark.read.text(path).withColumn("value", F.trim(F.regexp_replace("value", "\r", ""))).filter("value <> ''")
+    parsed = lines.withColumn("v", F.from_csv("value", wide, {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}))
+    parts = F.array(*[F.col(f"v.c{i}") for i in range(WIDEST)])
+    clean = F.transform(parts, lambda c: F.trim(F.regexp_replace(F.trim(c), '^"+|"+$', "")))
+    commas = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), ","))  # fields of the line, quoted commas aside
+    rows = parsed.select("value", clean.alias("f"), commas.alias("fields"))
+    rows = rows.filter(F.coalesce(F.lower(F.get("f", F.lit(0))) != "timestamp", F.lit(True)))
+    typed = [F.try_to_timestamp(F.get("f", F.lit(i))) if kind == "timestamp" else F.nullif(F.get("f", F.lit(i)), F.lit("")).try_cast(kind) for i, (_, kind) in enumerate(FIELDS)]
+    out = rows.select(*[c.alias(name) for c, (name, _) in zip(typed, FIELDS, strict=True)], "fields", "value")
+    bad = (F.col("fields") < len(FIELDS)) | F.col("timestamp").isNull() | F.col("signal").isNull() | F.col("z_score").isNull()
+    return out.withColumn(BAD, F.when(bad, F.col("value"))).drop("value")
+
+
+def load_log(spark: SparkSession, path: str) -> DataFrame:
+    """The good rows of a log, with date."""
+    return scan_log(spark, path).filter(F.col(BAD).isNull()).drop(BAD, "fields").withColumn("date", F.to_date("timestamp"))
+
+
+def rewrite_log(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """Writes the good rows as CSV with a header to a new folder, corrupt lines beside it (`<to>-corrupt`), and leaves the old files as they are; (good, corrupt) counts from what was written."""
+    every = scan_log(spark, path)
+    every.filter(F.col(BAD).isNull()).drop(BAD, "fields").write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(to)
+    every.filter(F.col(BAD).isNotNull()).select(BAD).write.text(f"{to}-corrupt")
+    good = load_log(spark, to).agg(F.count(F.lit(1)).alias("good"))
+    return good.join(F.broadcast(spark.read.text(f"{to}-corrupt").agg(F.count(F.lit(1)).alias("corrupt"))))

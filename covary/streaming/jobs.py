@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from covary.operators.folds import Rules, gate_step, kalman_step, signal_step
+from covary.operators import monitor as mo
+from covary.operators.folds import Rules, kalman_step, signal_step
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -20,11 +21,16 @@ def bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> D
     return ticks.withWatermark("ts", late).groupBy(F.col("event_type").alias("ticker"), w.alias("w")).agg(F.max_by("value", "ts").alias("close"), F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")).select("ticker", F.col("w.start").alias("start"), "close", "mean", "n")
 
 
-def monitor(signals: DataFrame, width: str = "1 day", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Sliding activity measures with an alert where most rows are flat."""
-    w = F.window("ts", width, slide)
-    got = signals.withWatermark("ts", late).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("signal") != 0).alias("active"), F.avg(F.abs("z")).alias("mean_z"))
-    return got.select(F.col("w.start").alias("start"), "n", "active", "mean_z", (F.col("active") < 0.2 * F.col("n")).alias("quiet"))
+def sliding_monitor(log: DataFrame, width: str = "1 day", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """(start, measures.., alerts) of every sliding window of a log (ts, date, signal, z, regime); rows behind the watermark count in no window and in the query's progress."""
+    got = log.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w")).agg(*mo.measures())
+    got = got.select(F.col("w.start").cast("date").alias("start"), "*").drop("w").withColumn("per_day", mo.per_day())
+    return got.withColumn("alerts", mo.alerts())
+
+
+def late_groups(progress: list) -> int:
+    """What came too late, of a query's progress reports: rows of one task and window, which are summed before they are dropped, count as one."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -67,7 +73,3 @@ def stream_kalman(panel: DataFrame) -> DataFrame:
 
 def stream_signals(scored: DataFrame, rules: Rules | None = None) -> DataFrame:
     return stateful_fold(scored, "pair", "t", lambda: (0, 0, 0), signal_step(rules or Rules()), ["z", "regime"], "signal int", ["signal"])
-
-
-def stream_gate(signals: DataFrame, grace: int = 5) -> DataFrame:
-    return stateful_fold(signals, "pair", "t", lambda: (0, 0), gate_step(grace), ["signal", "healthy"], "gated int", ["gated"])

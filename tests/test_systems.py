@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from covary.functions import udfs
-from covary.operators import folds, regimes, systems
+from covary.operators import folds, regimes, schedules, systems
 from covary.plans import registry
 from tests.conftest import SF
 from tests.test_queries import TABLES, same
@@ -84,7 +84,7 @@ def test_resampling_repeats_and_brackets_the_truth(spark):
     for r in systems.paired_bootstrap(df, "net", "rm", times=2000).collect():
         assert 0 <= r["p"] <= 1 and r["low"] <= r["diff"] <= r["high"]
     trades = spark.createDataFrame([("u", d) for d in (5, 9, 12, 7)], "pair string, duration_days int")
-    got = {r["pair"]: r for r in systems.random_schedules(df.withColumn("spread_return", F.col("rm")), trades, times=300).collect()}
+    got = {r["pair"]: r for r in schedules.random_schedules(df.withColumn("spread_return", F.col("rm")), trades, times=300).collect()}
     assert got["v"]["p_sharpe"] == 1.0 and 0 <= got["u"]["p_sharpe"] <= 1 and got["u"]["n_trades"] == 4
 
 
@@ -104,5 +104,31 @@ def test_forest_learns_balances_and_ranks_features(spark):
     assert drop["tells"] > 0.2 > 0.05 > abs(drop["noise"])
 
 
+def test_shapley_values_of_a_linear_model_are_its_terms(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([("p", i, *map(float, r)) for i, r in enumerate(x)], "pair string, t int, a double, b double, c double")
+    got = regimes.shapley(df, ["a", "b", "c"], lambda d: d.withColumn("value", 2 * F.col("a") - F.col("b")), rows=60, draws=300)
+    values = {(r["t"], r["feature"]): r["shapley"] for r in got.collect()}
+    assert len(values) == 180
+    means = x.mean(0)
+    for i, r in enumerate(x):
+        others = (means * 60 - r) / 59  # a row is compared with all others
+        assert values[i, "a"] == pytest.approx(2 * (r[0] - others[0]), abs=0.35)
+        assert values[i, "b"] == pytest.approx(-(r[1] - others[1]), abs=0.18)
+        assert values[i, "c"] == pytest.approx(0, abs=1e-12)
+    size = {f: np.mean([abs(v) for (_, k), v in values.items() if k == f]) for f in "abc"}
+    assert size["a"] == pytest.approx(np.mean(np.abs(2 * (x[:, 0] - means[0]))), rel=0.02) and size["b"] == pytest.approx(np.mean(np.abs(x[:, 1] - means[1])), rel=0.02)
+
+
+def test_a_forest_does_not_depend_on_partitions(spark):
+    from covary.plans.forests import in_order
+
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(f"p{i % 7}", i // 7, int(v[0] + v[1] > 0) + int(v[1] > 1), *map(float, v)) for i, v in enumerate(rng.normal(size=(700, 2)))], "pair string, t int, label int, u double, v double")
+    said = [sorted((r["pair"], r["t"], round(r["p_normal"], 9)) for r in regimes.predict(regimes.Forest(15, 4, 5).fit(in_order(df.repartition(n)), ["u", "v"]), df).collect()) for n in (1, 5, 9)]
+    assert said[0] == said[1] == said[2]
+
+
 def test_rules_of_systems_reach_the_machine():
     assert folds.Rules(stop=systems.NO_STOP).stop > 1e8
