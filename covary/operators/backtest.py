@@ -23,7 +23,7 @@ def returns(df: DataFrame, hedge: str = "beta", keys: tuple[str, ...] = ("pair",
 
 
 def metrics(df: DataFrame, by: list[str], r: str = "net", order: str = "t") -> DataFrame:
-    """n, total, annual, vol, sharpe (geometric), max_drawdown and win_rate of a return column; zeros where it does not vary."""
+    """n, total, annual (-1 where all was lost), vol, sharpe (geometric), max_drawdown and win_rate of a return column; zeros where it does not vary."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     e = df.filter(F.col(r).isNotNull()).withColumn("_e", F.product(1 + F.col(r)).over(w)).withColumn("_p", F.max("_e").over(w))
     got = e.groupBy(*by).agg(
@@ -31,7 +31,7 @@ def metrics(df: DataFrame, by: list[str], r: str = "net", order: str = "t") -> D
         F.min(F.col("_e") / F.col("_p") - 1).alias("max_drawdown"), F.avg((F.col(r) > 0).cast("int")).alias("win_rate"),
     )
     flat = F.coalesce(F.col("vol") == 0, F.lit(True))
-    out = got.withColumn("annual", F.when(flat, 0.0).otherwise(F.pow(1 + F.col("total"), 252.0 / F.col("n")) - 1))
+    out = got.withColumn("annual", F.when(flat, 0.0).otherwise(F.pow(F.greatest(1 + F.col("total"), F.lit(0.0)), 252.0 / F.col("n")) - 1))
     out = out.withColumn("sharpe", F.when(flat, 0.0).otherwise(F.col("annual") / F.col("vol")))
     zero = lambda c: F.when(flat, 0.0).otherwise(F.col(c)).alias(c)
     return out.select(*by, "n", zero("total"), "annual", zero("vol"), "sharpe", zero("max_drawdown"), zero("win_rate"))

@@ -103,23 +103,38 @@ def whole_lagged(df: DataFrame, y: str = "y", v: str = "x") -> DataFrame:
     return out.withColumn("eg_tau", F.nanvl("eg_tau", F.lit(None).cast("double"))).withColumn("eg_p", x.unit_root_p(F.round("eg_tau", 6), 2))
 
 
-def one_lag(level: Column, step: Column, before: Column, over=None) -> tuple[Column, Column]:
-    """(statistic, lags) of the regression of a step on the level before it and, where the criterion wants it, on the step before; by central moments.
-
-    Aggregates, or with `over`, a pair of windows, rolling: over[0] has the rows that have a step before, over[1] also the first step's.
-    """
+def _moments(level: Column, step: Column, before: Column, cross, whole) -> dict[str, Column]:
+    """What the closed form needs. cross puts aggregates over the rows with a step before, whole over those with a step."""
     both = step.isNotNull() & level.isNotNull() & before.isNotNull()
     some = lambda c: F.when(both, c)
-    put = lambda e, i: e if over is None else e.over(over[i])
-    n = put(F.count(some(step)), 0).cast("double")
-    cov = lambda a, b: n * put(F.covar_pop(some(a), some(b)), 0)
-    ll, pp, dd, lp, ld, pd_ = cov(level, level), cov(before, before), cov(step, step), cov(level, before), cov(level, step), cov(before, step)
-    rss0 = dd - ld * ld / ll
+    pairs = {"ll": (level, level), "pp": (before, before), "dd": (step, step), "lp": (level, before), "ld": (level, step), "pd": (before, step)}
+    out = {k: cross(F.covar_pop(some(a), some(b))) for k, (a, b) in pairs.items()}
+    out["n"] = cross(F.count(some(step))).cast("double")
+    return out | {"m": whole(F.regr_count(step, level)).cast("double")} | {k: whole(f(step, level)) for k, f in (("sxx", F.regr_sxx), ("sxy", F.regr_sxy), ("syy", F.regr_syy))}
+
+
+def _one_lag(v: dict[str, Column]) -> tuple[Column, Column]:
+    ll, pp, dd, lp, ld, pd_ = (v["n"] * v[k] for k in ("ll", "pp", "dd", "lp", "ld", "pd"))
+    n, sxx, sxy, syy, m = (v[k] for k in ("n", "sxx", "sxy", "syy", "m"))
     det = ll * pp - lp * lp
     bl, bp = (ld * pp - pd_ * lp) / det, (pd_ * ll - ld * lp) / det
-    rss1 = dd - bl * ld - bp * pd_
+    rss0, rss1 = dd - ld * ld / ll, dd - bl * ld - bp * pd_
     lags = F.when(n * F.log(rss1 / n) + 6 < n * F.log(rss0 / n) + 4, 1).otherwise(0)
-    m = put(F.regr_count(step, level), 1).cast("double")
-    sxx, sxy, syy = (put(f(step, level), 1) for f in (F.regr_sxx, F.regr_sxy, F.regr_syy))
     free = sxy / sxx / F.sqrt((syy - sxy * sxy / sxx) / (m - 2) / sxx)
     return F.when(lags == 1, bl / F.sqrt(rss1 / (n - 3) * pp / det)).otherwise(free), lags
+
+
+def one_lag(level: Column, step: Column, before: Column) -> tuple[Column, Column]:
+    """(statistic, lags), as aggregates, of the regression of a step on the level before it and, where the criterion wants it, on the step before."""
+    return _one_lag(_moments(level, step, before, lambda e: e, lambda e: e))
+
+
+def rolling_one_lag(df: DataFrame, window: int = 126, s: str = "spread", keys: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """df with tau and lags of the `window` rows before each row; the moments are one pass of window aggregates."""
+    w = x.pair_window(*keys)
+    d = df.withColumn("_l", F.lag(s).over(w)).withColumn("_d", F.col(s) - F.col("_l")).withColumn("_p", F.lag("_d").over(w))
+    cross, whole = (lambda e, k=k: e.over(w.rowsBetween(-(window - k), -1)) for k in (2, 1))
+    made = _moments(F.col("_l"), F.col("_d"), F.col("_p"), cross, whole)
+    d = d.withColumns({f"_m_{k}": c for k, c in made.items()})
+    tau, lags = _one_lag({k: F.col(f"_m_{k}") for k in made})
+    return d.withColumns({"tau": tau, "lags": lags}).drop("_l", "_d", "_p", *[f"_m_{k}" for k in made])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from covary.functions import exprs as x
 from covary.operators import diagnostics as d
 from covary.operators import orders as o
 from covary.operators import ranks
@@ -43,7 +42,7 @@ def d14(spark, sf_dir):
 @query("j13_desk", _ORDERS + f""", lst AS (SELECT pair, arg_max(l.t, l.t) AS t, arg_max(action, l.t) AS action, arg_max(signal, l.t)::INT AS signal, arg_max(ord.z, l.t) AS z, arg_max(qy, l.t) AS qy, arg_max(qx, l.t) AS qx FROM ol l JOIN ord USING (pair, t) WHERE ord.z IS NOT NULL GROUP BY 1),
 legs AS (SELECT symbol, sum(q)::BIGINT AS held FROM (SELECT string_split(pair, '/')[1] AS symbol, qy AS q FROM lst UNION ALL SELECT string_split(pair, '/')[2], qx FROM lst) GROUP BY 1 HAVING sum(q) <> 0),
 px AS (SELECT ticker AS symbol, arg_max(close, date) AS price FROM prices GROUP BY 1)
-SELECT pair, action, signal, round(z, 4) AS z, coalesce(a.held, 0) AS held_y, coalesce(b.held, 0) AS held_x, round(p.price, 4) AS price_y, round(q.price, 4) AS price_x, round(abs(qy * p.price) + abs(qx * q.price), 2) AS value, round((abs(qy * p.price) + abs(qx * q.price)) / {ACCOUNT.value}, 8) AS share
+SELECT pair, action, signal, z, coalesce(a.held, 0) AS held_y, coalesce(b.held, 0) AS held_x, round(p.price, 4) AS price_y, round(q.price, 4) AS price_x, round(abs(qy * p.price) + abs(qx * q.price), 2) AS value, round((abs(qy * p.price) + abs(qx * q.price)) / {ACCOUNT.value}, 8) AS share
 FROM lst LEFT JOIN legs a ON a.symbol = string_split(pair, '/')[1] LEFT JOIN legs b ON b.symbol = string_split(pair, '/')[2] JOIN px p ON p.symbol = string_split(pair, '/')[1] JOIN px q ON q.symbol = string_split(pair, '/')[2]""")
 def j13(spark, sf_dir):
     """Latest signals with the account's positions by symbol (a symbol without one: 0), the latest price of each symbol, and the pair's share of the account."""
@@ -58,7 +57,7 @@ def j13(spark, sf_dir):
         out = out.join(side(held, "held", leg), f"ticker_{leg}", "left").join(side(price, "price", leg), f"ticker_{leg}")
     value = o.held_value("qty_y", "price_y", "qty_x", "price_x")
     return out.select(
-        "pair", "action", "signal", F.round("z", 4).alias("z"), *[F.coalesce(f"held_{k}", F.lit(0)).alias(f"held_{k}") for k in "yx"], *[F.round(f"price_{k}", 4).alias(f"price_{k}") for k in "yx"],
+        "pair", "action", "signal", "z", *[F.coalesce(f"held_{k}", F.lit(0)).alias(f"held_{k}") for k in "yx"], *[F.round(f"price_{k}", 4).alias(f"price_{k}") for k in "yx"],
         F.round(value, 2).alias("value"), F.round(value / ACCOUNT.value, 8).alias("share"),
     )
 
@@ -109,11 +108,8 @@ SELECT pair, t, more::INT AS lags, round(CASE WHEN more THEN bl / sqrt(rss1 / 12
 @query("r1_rolling_one_lag", _ONE)
 def r1_one(spark, sf_dir):
     """Rolling test with one lagged difference where the criterion wants it, in closed form over moments of the window; no Python runs."""
-    w = x.pair_window()
-    s = spine(spark, sf_dir).select("pair", "t", F.lag("spread").over(w).alias("l"), x.diff("spread", w).alias("d"))
-    s = s.withColumn("p", F.lag("d").over(w))
-    tau, lags = u.one_lag(F.col("l"), F.col("d"), F.col("p"), (w.rowsBetween(-124, -1), w.rowsBetween(-125, -1)))
-    return s.withColumns({"tau": tau, "lags": lags}).filter("t >= 126 and t % 5 = 0").select("pair", "t", "lags", F.round("tau", 5).alias("tau"))
+    s = u.rolling_one_lag(spine(spark, sf_dir).select("pair", "t", "spread"))
+    return s.filter("t >= 126 and t % 5 = 0").select("pair", "t", "lags", F.round("tau", 5).alias("tau"))
 
 
 @query("r1_r2_rolling_lagged")

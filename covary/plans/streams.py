@@ -79,12 +79,12 @@ class Replay:
         return self.spark.read.schema(made(self.stream()).schema).parquet(self.out + "/rows")
 
 
-@query("e2_stream_system", systems_sql([System("full")]) + "SELECT pair, t::BIGINT AS t, round(z.z, 4) AS z, round(z.hedge, 6) AS hedge, m.pos AS signal FROM m_0 m JOIN z_0 z USING (pair, t)")
+@query("e2_stream_system", systems_sql([System("full")]) + "SELECT pair, t::BIGINT AS t, z.z, round(z.hedge, 6) AS hedge, m.pos AS signal FROM m_0 m JOIN z_0 z USING (pair, t)")
 def e2_system(spark, sf_dir):
     """The whole system on a stream of bars: adaptive hedge, z-score and machine as typed state, carried over six triggers and a restart."""
     rows = quantile_spine(spark, sf_dir).select("pair", F.col("t").cast("bigint").alias("t"), "y", "x", "regime")
     got = Replay(written(rows, "bars")).all(lambda s: stateful.stateful(s, stateful.System()))
-    return got.select("pair", "t", F.round("z", 4).alias("z"), F.round("hedge", 6).alias("hedge"), "signal")
+    return got.select("pair", "t", "z", F.round("hedge", 6).alias("hedge"), "signal")
 
 
 @query("e3_stream_gate", _HEALTHY + "SELECT h.pair, h.t::BIGINT AS t, g.pos AS gated, g.sick FROM hh h JOIN hgate g ON g.pair = h.pair AND g.t = h.t")

@@ -108,14 +108,19 @@ LARGE = 1e6  # a short wild series compounds to any number: from here on measure
 _WILD = ("total", "annual", "vol", "sharpe", "max_drawdown")
 
 
-def digits_sql(sql: str) -> str:
-    return "SELECT * REPLACE (" + ", ".join(f"CASE WHEN abs({c}) >= {LARGE} AND isfinite({c}) THEN printf('%.6e', {c})::DOUBLE ELSE {c} END AS {c}" for c in _WILD) + f") FROM ({sql})"
+def digits_sql(sql: str, columns=_WILD) -> str:
+    return "SELECT * REPLACE (" + ", ".join(f"CASE WHEN abs({c}) >= {LARGE} AND isfinite({c}) THEN printf('%.6e', {c})::DOUBLE ELSE {c} END AS {c}" for c in columns) + f") FROM ({sql})"
 
 
-def measured(df, by):
-    """Rounded metrics; large ones to seven digits, which no order of multiplication changes."""
+def digits(df, columns=_WILD):
+    """df with large values to seven digits, which no order of multiplication changes."""
     large = lambda c: F.when((F.abs(c) >= LARGE) & (F.abs(c) < float("inf")), F.format_string("%.6e", c).cast("double")).otherwise(F.col(c))
-    return rounded(b.metrics(df, by)).withColumns({c: large(c) for c in _WILD})
+    return df.withColumns({c: large(c) for c in columns})
+
+
+def measured(df, by):
+    """Rounded metrics."""
+    return digits(rounded(b.metrics(df, by)))
 
 
 def run_systems(spark, sf_dir, systems):
@@ -157,12 +162,12 @@ def b13(spark, sf_dir):
 _ABLATED = systems_sql(ABLATIONS) + f", ab AS ({digits_sql(metric_sql('(SELECT * FROM sysbt WHERE period = ' + chr(39) + 'oos' + chr(39) + ')', 'system, pair'))})"
 
 
-@query("b14_ablation_battery", _ABLATED + """SELECT *, (row_number() OVER (PARTITION BY pair ORDER BY delta, system))::INT AS place FROM (SELECT system, pair, total, sharpe, round(sharpe - max(sharpe) FILTER (system = 'full') OVER (PARTITION BY pair), 5) AS delta FROM ab)""")
+@query("b14_ablation_battery", _ABLATED + "SELECT *, (row_number() OVER (PARTITION BY pair ORDER BY delta, system))::INT AS place FROM (" + digits_sql("SELECT system, pair, total, sharpe, round(sharpe - max(sharpe) FILTER (system = 'full') OVER (PARTITION BY pair), 5) AS delta FROM ab", ("delta",)) + ")")
 def b14(spark, sf_dir):
     """Nine systems, each without one component, what that does to the Sharpe ratio of the full one, and the place of the loss (1: most is lost without it)."""
     m = measured(run_systems(spark, sf_dir, ABLATIONS).filter("period = 'oos'"), ["system", "pair"])
     full = F.max(F.when(F.col("system") == "full", F.col("sharpe"))).over(Window.partitionBy("pair"))
-    m = m.select("system", "pair", "total", "sharpe", F.round(F.col("sharpe") - full, 5).alias("delta"))
+    m = digits(m.select("system", "pair", "total", "sharpe", F.round(F.col("sharpe") - full, 5).alias("delta")), ("delta",))
     return m.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy("delta", "system")))
 
 
@@ -240,7 +245,7 @@ _TREND = """SELECT pair, count(*)::BIGINT AS folds, CASE WHEN count(*) >= 4 AND
   FROM (SELECT *, rank() OVER (PARTITION BY pair ORDER BY sharpe) + (count(*) OVER (PARTITION BY pair, sharpe) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY pair ORDER BY total) + (count(*) OVER (PARTITION BY pair, total) - 1) / 2.0 AS rt FROM wfx) GROUP BY 1"""
 
 
-@query("b17_refit_trend", _WALK + f", wfx AS ({digits_sql(metric_sql('wf', 'pair, fold'))})" + _TREND)
+@query("b17_refit_trend", _WALK + f", wfx AS ({digits_sql(metric_sql('wf', 'pair, fold'))})" + digits_sql(_TREND, ("mean_return", "mean_sharpe")))
 def b17(spark, sf_dir):
     """Rank correlation of a fold's Sharpe ratio and return with its number, consistency and verdict, over the refitted walk."""
     v = b16(spark, sf_dir)
@@ -250,7 +255,8 @@ def b17(spark, sf_dir):
     share = F.avg((F.col("total") > 0).cast("int"))
     got = v.groupBy("pair").agg(F.count(F.lit(1)).alias("folds"), trend("rs").alias("sharpe_trend"), trend("rt").alias("return_trend"), r6(share).alias("consistency"), F.round(F.avg("total"), 8).alias("mean_return"), F.round(F.avg("sharpe"), 8).alias("mean_sharpe"), share.alias("_c"))
     good = (F.col("mean_return") > 0) & (F.col("_c") >= 0.6) & (F.col("mean_sharpe") > 0.3)
-    return got.withColumn("verdict", F.when(good, "pass").when((F.col("mean_return") > 0) & (F.col("_c") >= 0.5), "marginal").otherwise("fail")).drop("_c")
+    got = got.withColumn("verdict", F.when(good, "pass").when((F.col("mean_return") > 0) & (F.col("_c") >= 0.5), "marginal").otherwise("fail")).drop("_c")
+    return digits(got, ("mean_return", "mean_sharpe"))
 
 
 # regimes by source --------------------------------------------------------------------------------------------------------
