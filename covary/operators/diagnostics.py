@@ -1,16 +1,19 @@
-"""Rolling diagnostics in closed form over windows of the rows before the current one: no solver runs per window."""
+"""Rolling diagnostics over windows of the rows before the current one: closed forms of window sums, and for rescaled ranges strided views; no solver runs per window."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covary.functions import exprs as x
 from covary.operators import unitroot
 
 SIZES = (8, 12, 18, 27, 40, 60)
+PART = 512  # windows that are held at once
 
 
 def rolling_pairs(df: DataFrame, window: int = 126, s: str = "spread") -> DataFrame:
@@ -44,22 +47,43 @@ def rolling_pairs(df: DataFrame, window: int = 126, s: str = "spread") -> DataFr
     return d.drop(*[c for c in d.columns if c.startswith("_")])
 
 
+def hurst_exponents(windows: np.ndarray, sizes=SIZES) -> np.ndarray:
+    """The slope of log rescaled range over log block size of every row of windows; 0.5 where fewer than three sizes vary, within 0 and 1."""
+    n, width = windows.shape
+    logs = np.full((n, len(sizes)), np.nan)
+    for j, k in enumerate(sizes):
+        if width // k < 1:
+            continue
+        blocks = windows[:, : width // k * k].reshape(n, -1, k)
+        walk = np.cumsum(blocks - blocks.mean(2, keepdims=True), 2)
+        sd = blocks.std(2, ddof=1)
+        moves = sd > 1e-10
+        ratio = np.where(moves, (walk.max(2) - walk.min(2)) / np.where(moves, sd, 1), 0.0)
+        some = moves.any(1)
+        logs[some, j] = np.log(ratio[some].sum(1) / moves[some].sum(1))
+    there = np.isfinite(logs)
+    count = there.sum(1)
+    x_, y = np.where(there, np.log(sizes), 0.0), np.where(there, logs, 0.0)
+    safe = np.maximum(count, 1)[:, None]
+    dx = np.where(there, x_ - x_.sum(1, keepdims=True) / safe, 0.0)
+    slope = (dx * y).sum(1) / np.where(count >= 2, (dx * dx).sum(1), 1)
+    return np.where(count < 3, 0.5, np.clip(slope, 0.0, 1.0))
+
+
 def rolling_hurst(df: DataFrame, window: int = 126, step: int = 5, s: str = "spread") -> DataFrame:
-    """(pair, t, hurst) at every step-th row with a full window before it: the slope of log rescaled range over log block size.
+    """(pair, t, hurst) at every step-th row with a full window before it; rows are numbered from 0.
 
-    A row goes to the windows that hold it and there to a block of every size; sums run within blocks, which stay small.
+    A pair's windows are strided views of its series within the pair's group, a part of them at a time, so a row is exchanged once.
     """
-    ends = F.filter(F.sequence(F.col("t") + 1, F.col("t") + window), lambda i: (i % step == 0) & (i >= window) & (i <= F.col("_last")))
-    d = df.select("pair", "t", F.col(s).alias("s"), F.max("t").over(Window.partitionBy("pair")).alias("_last")).withColumn("i", F.explode(ends))
-    d = d.withColumn("k", F.explode(F.array(*map(F.lit, SIZES)))).withColumn("pos", F.col("t") - (F.col("i") - window))
-    d = d.withColumn("block", F.expr("pos div k")).filter(F.col("block") < F.expr(f"{window} div k"))
-    by = ["pair", "i", "k", "block"]
-    inside = Window.partitionBy(*by)
-    d = d.withColumn("dev", F.col("s") - F.avg("s").over(inside)).withColumn("walk", F.sum("dev").over(inside.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = d.groupBy(*by).agg((F.max("walk") - F.min("walk")).alias("r"), F.stddev_samp("s").alias("sd")).filter("sd > 1e-10")
-    points = blocks.groupBy("pair", "i", "k").agg(F.avg(F.col("r") / F.col("sd")).alias("rs"))
-    slope = F.regr_slope(F.log("rs"), F.log("k"))
-    return points.groupBy("pair", F.col("i").alias("t")).agg(F.when(F.count(F.lit(1)) < 3, 0.5).otherwise(F.least(F.greatest(slope, F.lit(0.0)), F.lit(1.0))).alias("hurst"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        v = frame.sort_values("t")["s"].to_numpy(float)
+        ends = np.arange(-(-window // step) * step, len(v), step)
+        views = np.lib.stride_tricks.sliding_window_view(v, window) if len(ends) else None
+        got = [hurst_exponents(views[part - window]) for part in np.array_split(ends, -(-len(ends) // PART))] if len(ends) else [np.zeros(0)]
+        return pd.DataFrame({"pair": frame["pair"].iloc[0], "t": ends, "hurst": np.concatenate(got)})
+
+    return df.select("pair", "t", F.col(s).alias("s")).groupBy("pair").applyInPandas(run, "pair string, t int, hurst double")
 
 
 def health_score(df_p: Column, hurst: Column, eg_p: Column) -> Column:

@@ -72,6 +72,8 @@ def align(pairs: DataFrame, prices: DataFrame, with_market: bool = True) -> Data
     x = prices.select(F.col("ticker").alias("ticker_x"), "date", F.col("close").alias("x"))
     out = pairs.join(y, "ticker_y").join(x, ["ticker_x", "date"])
     out = out.join(market(prices), "date") if with_market else out.withColumn("m", F.lit(None).cast("double"))
+    # pairs are few and their work is long: by a number of its own the exchange is not folded into fewer tasks by its size
+    out = out.repartition(int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair")
     return out.select("pair", "sector", "date", (F.row_number().over(Window.partitionBy("pair").orderBy("date")) - 1).alias("t"), "y", "x", "m")
 
 
