@@ -124,9 +124,14 @@ def _one_lag(v: dict[str, Column]) -> tuple[Column, Column]:
     return F.when(lags == 1, bl / F.sqrt(rss1 / (n - 3) * pp / det)).otherwise(free), lags
 
 
-def one_lag(level: Column, step: Column, before: Column) -> tuple[Column, Column]:
-    """(statistic, lags), as aggregates, of the regression of a step on the level before it and, where the criterion wants it, on the step before."""
-    return _one_lag(_moments(level, step, before, lambda e: e, lambda e: e))
+def one_lag_sums(level: Column, step: Column, before: Column) -> list[Column]:
+    """The aggregates that one_lag needs, of the regression of a step on the level before it and, where the criterion wants it, on the step before."""
+    return [c.alias(f"_m_{k}") for k, c in _moments(level, step, before, lambda e: e, lambda e: e).items()]
+
+
+def one_lag() -> tuple[Column, Column]:
+    """(statistic, lags) from the columns of one_lag_sums."""
+    return _one_lag({k: F.col(f"_m_{k}") for k in ("ll", "pp", "dd", "lp", "ld", "pd", "n", "m", "sxx", "sxy", "syy")})
 
 
 def rolling_one_lag(df: DataFrame, window: int = 126, s: str = "spread", keys: tuple[str, ...] = ("pair",)) -> DataFrame:
@@ -136,5 +141,5 @@ def rolling_one_lag(df: DataFrame, window: int = 126, s: str = "spread", keys: t
     cross, whole = (lambda e, k=k: e.over(w.rowsBetween(-(window - k), -1)) for k in (2, 1))
     made = _moments(F.col("_l"), F.col("_d"), F.col("_p"), cross, whole)
     d = d.withColumns({f"_m_{k}": c for k, c in made.items()})
-    tau, lags = _one_lag({k: F.col(f"_m_{k}") for k in made})
+    tau, lags = one_lag()
     return d.withColumns({"tau": tau, "lags": lags}).drop("_l", "_d", "_p", *[f"_m_{k}" for k in made])

@@ -108,21 +108,21 @@ score AS (SELECT pair, sector, n, CASE WHEN n < 252 THEN 0 ELSE CASE WHEN ep < 0
 
 
 def pair_scores(panel, min_rows: int = 252, lagged: bool = False):
-    """(pair, sector, n, score, hl, r): one window over the pair for the hedge, one aggregate for all the rest. lagged: tests choose their lags, at most one for the spread."""
+    """(pair, sector, n, score, hl, r, dp, ep): one window over the pair for the hedge, one aggregate for all the rest. lagged: tests choose their lags, at most one for the spread."""
     q = Window.partitionBy("pair")
     s = panel.withColumn("n", F.count(F.lit(1)).over(q)).withColumn("b", F.regr_slope("y", "x").over(q)).withColumn("a", F.regr_intercept("y", "x").over(q)).withColumn("r", F.corr("y", "x").over(q))
     s = s.withColumn("s", F.col("y") - F.col("b") * F.col("x")).withColumn("u", F.col("y") - F.col("a") - F.col("b") * F.col("x")).withColumn("s1", F.lag("s").over(x.pair_window())).withColumn("u1", F.lag("u").over(x.pair_window()))
     ds, du = F.col("s") - F.col("s1"), F.col("u") - F.col("u1")
     s = s.withColumn("ds", ds).withColumn("ds1", F.lag("ds").over(x.pair_window()))
-    g = s.groupBy("pair", "sector").agg(u.one_lag(F.col("s1"), F.col("ds"), F.col("ds1"))[0].alias("dt1"), F.max("n").alias("n"), F.max("r").alias("r"), F.regr_slope(ds, F.col("s1")).alias("th"), F.regr_sxx(ds, F.col("s1")).alias("sxx"), F.regr_sxy(ds, F.col("s1")).alias("sxy"), F.regr_syy(ds, F.col("s1")).alias("syy"), F.sum(F.col("u1") * F.col("u1")).alias("uu"), F.sum(F.col("u1") * du).alias("ud"), F.sum(du * du).alias("dd"), F.count("s1").alias("m"))
+    g = s.groupBy("pair", "sector").agg(*(u.one_lag_sums(F.col("s1"), F.col("ds"), F.col("ds1")) if lagged else []), F.max("n").alias("n"), F.max("r").alias("r"), F.regr_slope(ds, F.col("s1")).alias("th"), F.regr_sxx(ds, F.col("s1")).alias("sxx"), F.regr_sxy(ds, F.col("s1")).alias("sxy"), F.regr_syy(ds, F.col("s1")).alias("syy"), F.sum(F.col("u1") * F.col("u1")).alias("uu"), F.sum(F.col("u1") * du).alias("ud"), F.sum(du * du).alias("dd"), F.count("s1").alias("m"))
     g = g.withColumn("dt", F.round(F.expr("sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (m - 2) / sxx)"), 6)).withColumn("et", F.round(F.expr("ud / uu / sqrt((dd - ud * ud / uu) / (m - 1) / uu)"), 6))
     if lagged:
-        g = g.withColumn("dt", F.round("dt1", 6)).join(u.whole_lagged(panel).select("pair", "eg_tau"), "pair", "left").withColumn("et", F.round("eg_tau", 6))
+        g = g.withColumn("dt", F.round(u.one_lag()[0], 6)).join(u.whole_lagged(panel).select("pair", "eg_tau"), "pair", "left").withColumn("et", F.round("eg_tau", 6))
     g = g.withColumn("dp", x.unit_root_p("dt", 1)).withColumn("ep", x.unit_root_p("et", 2)).withColumn("hl", F.when(F.col("th") < 0, -0.6931471805599453 / F.col("th")).otherwise(999.0))
     bands = lambda c, levels, below=True: F.coalesce(*[F.when((c < v) if below else (c > v), pts) for v, pts in levels], F.lit(0))
     score = bands(F.col("ep"), [(0.01, 50), (0.05, 35), (0.10, 15)]) + bands(F.abs("r"), [(0.8, 20), (0.6, 12), (0.4, 5)], False) + bands(F.col("dp"), [(0.01, 30), (0.05, 20), (0.10, 10)])
     score = score + F.when(F.col("th") >= 0, -15).when(F.col("hl").between(5, 30), 10).when(F.col("hl") > 100, -10).otherwise(0)
-    return g.select("pair", "sector", "n", F.when(F.col("n") < min_rows, 0).otherwise(score).alias("score"), "hl", "r")
+    return g.select("pair", "sector", "n", F.when(F.col("n") < min_rows, 0).otherwise(score).alias("score"), "hl", "r", "dp", "ep")
 
 
 @query("d2_pair_score", SCORE + "SELECT pair, sector, n::BIGINT AS n, score::INT AS score, round(hl, 5) AS half_life, round(r, 6) AS r FROM score")
@@ -189,15 +189,15 @@ def d14(spark, sf_dir):
 
 # inference -----------------------------------------------------------------------------------------------------------
 
-_PV = "(SELECT pair AS label, round(2 * (1 - abs(2 * (md5_number / 4294967296.0) - 1)) * 0.04, 6) AS p FROM (SELECT pair, ('0x' || substr(md5(pair), 1, 8))::BIGINT AS md5_number FROM pairs))"
+_PV = "(SELECT pair AS label, round(dp, 6) AS p FROM sc4 WHERE dp IS NOT NULL)"
 
 
 def _p_values(spark, sf_dir):
-    u = F.conv(F.substring(F.md5(F.col("pair").cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return p.sector_pairs(p.week_prices(spark, sf_dir)).select(F.col("pair").alias("label"), r6(2 * (1 - F.abs(2 * (u / 4294967296.0) - 1)) * 0.04).alias("p"))
+    """Every pair's p of a unit root in its spread, over all rows."""
+    return pair_scores(p.week_panel(spark, sf_dir)).filter("dp is not null").select(F.col("pair").alias("label"), r6("dp").alias("p"))
 
 
-@query("t8_t11_corrections", f"""SELECT label, p, k::INT AS k, least(1.0, p * m / k) AS simple_adjusted, p <= 0.05 * k / m AS simple_pass, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS bh_adjusted, k <= coalesce(max(CASE WHEN p <= 0.05 * k / m THEN k END) OVER (), 0) AS bh_pass,
+@query("t8_t11_corrections", SCORE + f"""SELECT label, p, k::INT AS k, least(1.0, p * m / k) AS simple_adjusted, p <= 0.05 * k / m AS simple_pass, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS bh_adjusted, k <= coalesce(max(CASE WHEN p <= 0.05 * k / m THEN k END) OVER (), 0) AS bh_pass,
   least(1.0, p * m) AS bonferroni, least(1.0, max(p * (m - k + 1)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) AS holm_adjusted, min((p <= 0.05 / (m - k + 1))::INT) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) = 1 AS holm_pass FROM (SELECT *, row_number() OVER (ORDER BY p, label) AS k, count(*) OVER () AS m FROM {_PV})""")
 def t8(spark, sf_dir):
     """Benjamini-Hochberg (row by row, and step-up with monotone adjustment), Bonferroni and Holm over a table of p-values."""

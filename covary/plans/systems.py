@@ -346,7 +346,7 @@ flb AS (SELECT *, before * (ry - hedge * rx) - moved * 5.0 / 1e4 - (moved > 0)::
 
 def gated_system(spark, sf_dir):
     """The full system's rows (adaptive hedge) with its pair's rolling health as of each row and the gated signal; written once, as much derives from it."""
-    s = run_systems(spark, sf_dir, [System("full")]).select("pair", "t", "ry", "rx", "hedge", "signal")
+    s = run_systems(spark, sf_dir, [System("full")]).select("pair", "date", "t", "ry", "rx", "z", "hedge", "signal")
     h = _health(spark, sf_dir).select("pair", "t", "healthy")
     s = s.join(h, ["pair", "t"], "left").withColumn("healthy", x.ffill("healthy", x.pair_window(), True))
     return written(folds.health_gate(s), "gated")

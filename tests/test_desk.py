@@ -127,8 +127,9 @@ def test_one_lag_in_closed_form_equals_the_fit(spark):
 
     w = x.pair_window()
     s = spark.createDataFrame(rows, "pair string, t int, s double").withColumn("l", F.lag("s").over(w)).withColumn("d", F.col("s") - F.col("l")).withColumn("p", F.lag("d").over(w))
-    tau, lags = unitroot.one_lag(F.col("l"), F.col("d"), F.col("p"))
-    for r in s.groupBy("pair").agg(tau.alias("tau"), lags.alias("lags")).collect():
+    tau, lags = unitroot.one_lag()
+    sums = s.groupBy("pair").agg(*unitroot.one_lag_sums(F.col("l"), F.col("d"), F.col("p")))
+    for r in sums.select("pair", tau.alias("tau"), lags.alias("lags")).collect():
         want = udfs.lagged_unit_root(np.array([v for k, _, v in rows if k == r["pair"]]), 1)
         assert (r["tau"], r["lags"]) == (pytest.approx(want[0], rel=1e-9), want[1])
 
