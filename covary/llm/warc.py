@@ -124,12 +124,11 @@ def write_warc(df: DataFrame, uri: str, key_col: str = "page_id", url_col: str =
 def members(stream, start: int, end: int):
     """Inflated records whose gzip members start in [start, end)."""
     stream.seek(start)
-    held, base = b"", start  # bytes of the file from base on
+    held, base = bytearray(), start  # bytes of the file from base on; grows and sheds its front in place
 
     def fill() -> bool:
-        nonlocal held
         more = stream.read(_CHUNK)
-        held += more
+        held.extend(more)
         return bool(more)
 
     def inflate(at: int) -> tuple[bytes, int] | None:
@@ -157,7 +156,8 @@ def members(stream, start: int, end: int):
             at = held.find(_MAGIC, at)
             while at < 0 and base + len(held) < end + 2:
                 keep = max(0, len(held) - 2)
-                base, held = base + keep, held[keep:]
+                base += keep
+                del held[:keep]
                 if not fill():
                     return
                 at = held.find(_MAGIC)
@@ -172,7 +172,8 @@ def members(stream, start: int, end: int):
             at, following = at + 1, False
             continue
         yield got[0]
-        base, held, at, following = base + got[1], held[got[1] :], 0, True
+        base, at, following = base + got[1], 0, True
+        del held[: got[1]]
         if not held and not fill():
             return
 

@@ -78,6 +78,22 @@ def test_warc(spark):
     assert warc.write_warc(pages.limit(0), uri + "e").count() == 0
 
 
+def test_warc_reads_one_very_long_record_in_linear_time():
+    import io
+    import time
+
+    took = []
+    for n in (8, 32):
+        body = np.random.default_rng(n).integers(0, 256, n << 20, dtype=np.uint8).tobytes()  # does not shrink
+        file = warc.record("1", "u", body, "D", None) + warc.record("2", "u", b"x", "D", None)
+        began = time.process_time()
+        got = [warc.parse(r) for r in warc.members(io.BytesIO(file), 0, len(file))]
+        took.append(time.process_time() - began)
+        assert [r[0] for r in got] == ["1", "2"] and got[0][-1] == body
+        assert [warc.parse(r)[0] for r in warc.members(io.BytesIO(file), 1, len(file))] == ["2"]
+    assert took[1] < 10 * took[0] + 0.5
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(5)
