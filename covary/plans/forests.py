@@ -9,9 +9,9 @@ from covary.functions import exprs as x
 from covary.functions import udfs
 from covary.operators import regimes as rg
 from covary.plans.base import query, spine
-from covary.plans.research import PD, _health
+from covary.plans.research import HEALTH, PD, _health
 from covary.plans.scalar import r6
-from covary.plans.trading import backtest
+from covary.plans.trading import BT, backtest
 from covary.sources import panel as p
 from covary.sources.sinks import written
 
@@ -29,17 +29,18 @@ def _roll(agg: str, n: int, least: int | None = None, c: str = "m") -> str:
     return f"CASE WHEN count({c}) {w} >= {n if least is None else least} THEN {agg}({c}) {w} END"
 
 
-def _features_sql() -> str:
+def _features_sql(last: str | None = None) -> str:
     o = "OVER (PARTITION BY pair ORDER BY t)"
     first = {f"vol_{n}": f"{_roll('stddev_samp', n, c='rm_')} * sqrt(252)" for n in rg.VOL} | {f"dd_{n}": f"m / ({_roll('max', n, 1)}) - 1" for n in rg.DOWN} | {f"ret_{n}": f"m / lag(m, {n}) {o} - 1" for n in rg.RET}
     first |= {"s20": _roll("avg", 20), "s50": _roll("avg", 50), "rr": f"ratio / lag(ratio) {o} - 1", "pair_corr": f"CASE WHEN count(y) OVER ({PD} 29 PRECEDING AND CURRENT ROW) >= 30 THEN corr(y, x) OVER ({PD} 29 PRECEDING AND CURRENT ROW) END", "rng": f"({_roll('max', 20)} - {_roll('min', 20)}) / ({_roll('avg', 60)})"}
     filled = ", ".join(f"round(coalesce(last_value({c} IGNORE NULLS) OVER ({PD} UNBOUNDED PRECEDING AND CURRENT ROW), 0.0), 5) AS {c}" for c in rg.FEATURES)
+    filled = filled if last is None else ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER ({PD} UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS {c}" for c in rg.FEATURES)
     return f""",
 f0 AS (SELECT *, m / lag(m) {o} - 1 AS rm_, y / x AS ratio FROM panel),
 f1 AS (SELECT *, {", ".join(f"{e} AS {c}" for c, e in first.items())} FROM f0),
 f2 AS (SELECT *, vol_5 - vol_60 AS vol_trend, vol_5 / (vol_20 + 1e-8) AS vol_accel, m / s20 - 1 AS trend, s20 / s50 - 1 AS trend_strength, rng AS range_expansion, pair_corr - lag(pair_corr, 10) {o} AS corr_change, {_roll('stddev_samp', 20, c='rr')} * sqrt(252) AS pair_vol FROM f1),
-f3 AS (SELECT *, pair_vol / nullif({_roll('avg', 60, c='pair_vol')}, 0) AS pair_vol_spike FROM f2)
-SELECT pair, t, {filled} FROM f3"""
+f3 AS (SELECT *, pair_vol / nullif({_roll('avg', 60, c='pair_vol')}, 0) AS pair_vol_spike FROM f2){"" if last is None else ","}
+{"" if last is None else "f4 AS ("}SELECT pair, t, {filled} FROM f3{"" if last is None else ")" + last}"""
 
 
 @query("m1_features_whole", _features_sql())
@@ -129,7 +130,13 @@ def m8(spark, sf_dir):
     return _rounded(out.withColumn("loss", full - F.col("accuracy")))
 
 
-@query("m9_class_scores")
+_LABELLED = _features_sql(""", lb AS (SELECT CASE WHEN vol_20 > 0.35 OR dd_60 < -0.20 OR vol_accel > 2.5 OR pair_corr < -0.1 THEN 0 WHEN vol_20 > 0.22 OR dd_60 < -0.10 OR vol_accel > 1.8 OR pair_vol_spike > 1.5 THEN 1 ELSE 2 END AS label,
+  CASE WHEN vol_20 > 0.35 THEN 0 WHEN vol_20 > 0.22 THEN 1 ELSE 2 END AS said FROM f4),
+ck AS (SELECT k::INT AS regime, count(*) FILTER (label = k AND said = k) AS hit, count(*) FILTER (label = k) AS support, count(*) FILTER (said = k) AS n FROM lb CROSS JOIN range(3) r(k) GROUP BY 1)
+SELECT regime, support::BIGINT AS support, round(coalesce(hit / nullif(n, 0), 0), 6) AS precision, round(coalesce(hit / nullif(support, 0), 0), 6) AS recall, round(coalesce(2.0 * hit / nullif(n + support, 0), 0), 6) AS f1 FROM ck""")
+
+
+@query("m9_class_scores", _LABELLED)
 def m9(spark, sf_dir):
     """Precision, recall and F1 of each class of the simple rule against the labels by all features."""
     f = feature_table(spark, sf_dir).withColumn("said", F.when(F.col("vol_20") > 0.35, 0).when(F.col("vol_20") > 0.22, 1).otherwise(2))
@@ -141,7 +148,15 @@ def m9(spark, sf_dir):
     return g.select(F.col("k").alias("regime"), "support", r6(precision).alias("precision"), r6(recall).alias("recall"), r6(f1).alias("f1"))
 
 
-@query("m13_state_vectors")
+_STATE = HEALTH + f"{BT} , sv AS (SELECT b.*, coalesce(last_value(h.score IGNORE NULLS) OVER w, 1.0) AS hs, coalesce(last_value(g.half_life IGNORE NULLS) OVER w, 20.0) AS hl, b.z - lag(b.z) OVER o AS dz, CASE WHEN count(b.spread) OVER r >= 20 THEN stddev_samp(b.spread) OVER r END AS sd20, stddev_samp(b.spread) OVER (PARTITION BY b.pair) AS sd, " + """
+  last_value(CASE WHEN b.signal <> coalesce(b.before, 0) THEN b.t END IGNORE NULLS) OVER w AS since, sum(b.net) OVER (PARTITION BY b.pair ORDER BY b.t ROWS 125 PRECEDING) AS profit
+  FROM bt b LEFT JOIN health h ON h.pair = b.pair AND h.t = b.t LEFT JOIN (SELECT pair, t, half_life FROM dg WHERE t % 5 = 0) g ON g.pair = b.pair AND g.t = b.t
+  WINDOW w AS (PARTITION BY b.pair ORDER BY b.t ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY b.pair ORDER BY b.t), r AS (PARTITION BY b.pair ORDER BY b.t ROWS 19 PRECEDING))
+SELECT pair, t, round(least(greatest(coalesce(z, 0.0), -5.0), 5.0) / 5, 6) AS z, round(least(greatest(coalesce(dz, 0.0), -2.0), 2.0) / 2, 7) AS dz, round(least(greatest(coalesce(sd20 / nullif(sd, 0), 1.0), 0.0), 3.0) / 3, 6) AS spread_vol, round(hs, 6) AS health, round(least(greatest(hl, 0.0), 60.0) / 60, 6) AS half_life,
+  signal::DOUBLE AS position, round(least(greatest(CASE WHEN signal = 0 THEN 0 ELSE t - coalesce(since, t) END, 0), 30) / 30.0, 6)::DOUBLE AS held, round(least(greatest(coalesce(profit, 0.0), -0.5), 0.5) * 2, 6) AS profit, regime / 2.0::DOUBLE AS regime FROM sv"""
+
+
+@query("m13_state_vectors", _STATE)
 def m13(spark, sf_dir):
     """Clipped state features of every row: z, its change, volatility of the spread, health, half-life, position, rows held, recent profit, regime."""
     w = x.pair_window()
@@ -151,7 +166,7 @@ def m13(spark, sf_dir):
     s = s.withColumn("since", F.last(F.when(change, F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     held = F.when(F.col("signal") == 0, 0).otherwise(F.col("t") - F.coalesce("since", F.col("t")))
     return s.select(
-        "pair", "t", r6(x.clip(F.coalesce("z", F.lit(0.0)), -5.0, 5.0) / 5).alias("z"), r6(x.clip(F.coalesce(x.diff("z", w), F.lit(0.0)), -2.0, 2.0) / 2).alias("dz"),
+        "pair", "t", r6(x.clip(F.coalesce("z", F.lit(0.0)), -5.0, 5.0) / 5).alias("z"), F.round(x.clip(F.coalesce(x.diff("z", w), F.lit(0.0)), -2.0, 2.0) / 2, 7).alias("dz"),
         r6(x.clip(F.coalesce(F.try_divide(x.rolling(F.stddev_samp, "spread", w, 20), F.stddev_samp("spread").over(Window.partitionBy("pair"))), F.lit(1.0)), 0.0, 3.0) / 3).alias("spread_vol"), r6("health_score").alias("health"),
         r6(x.clip("hl", 0.0, 60.0) / 60).alias("half_life"), F.col("signal").cast("double").alias("position"), r6(x.clip(held, 0, 30) / 30.0).alias("held"),
         r6(x.clip(F.coalesce(x.rolling(F.sum, "net", w, 126, 1), F.lit(0.0)), -0.5, 0.5) * 2).alias("profit"), (F.col("regime") / 2.0).alias("regime"),

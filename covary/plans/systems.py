@@ -14,7 +14,7 @@ from covary.operators import schedules as sc
 from covary.operators import systems as sy
 from covary.operators.systems import NO_STOP, System
 from covary.plans.base import query, spine
-from covary.plans.research import HEALTH, _health
+from covary.plans.research import HEALTH, _health, p_sql
 from covary.plans.scalar import r6
 from covary.plans.trading import _kalman_sql, metric_sql, rounded, signal_sql
 from covary.sources import panel as p
@@ -477,7 +477,14 @@ def legacy_monitor(df, window: int = 60, step: int = 20):
     return got.select("pair", "t", F.round("eg_p", 4).alias("p"), state.alias("state"))
 
 
-@query("k10_legacy_monitor")
+_LEGACY = f""", lw AS (SELECT pair, t, y, x, lag(y) OVER o AS y1, lag(x) OVER o AS x1, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a FROM spine WINDOW o AS (PARTITION BY pair ORDER BY t), w AS (PARTITION BY pair ORDER BY t ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+le AS (SELECT o.pair, o.t, sum((i.y1 - o.a - o.b * i.x1) ^ 2) AS uu, sum((i.y1 - o.a - o.b * i.x1) * ((i.y - i.y1) - o.b * (i.x - i.x1))) AS ud, sum(((i.y - i.y1) - o.b * (i.x - i.x1)) ^ 2) AS dd
+  FROM lw o JOIN lw i ON i.pair = o.pair AND i.t BETWEEN o.t - 59 AND o.t - 1 WHERE o.t >= 60 AND o.t % 20 = 0 GROUP BY 1, 2),
+lt AS (SELECT pair, t, round(ud / uu / sqrt((dd - ud * ud / uu) / 58 / uu), 6) AS tau FROM le), lp AS (SELECT pair, t, {p_sql('tau', 2)} AS p FROM lt)
+SELECT pair, t, round(p, 4) AS p, CASE WHEN p > 0.10 THEN 'WARNING' WHEN p > 0.05 THEN 'BROKEN' ELSE 'HEALTHY' END AS state FROM lp"""
+
+
+@query("k10_legacy_monitor", _LEGACY)
 def k10(spark, sf_dir):
     return legacy_monitor(spine(spark, sf_dir).select("pair", "date", "t", "y", "x", "spread"))
 
@@ -562,7 +569,12 @@ def t5(spark, sf_dir):
 @query("t6_return_tests_p")
 def t6(spark, sf_dir):
     """Normality, mean above zero, autocorrelation over ten lags, skew and excess kurtosis of the system's returns, with p-values."""
-    s = _full(spark, sf_dir).filter("net is not null").select("pair", "t", "net")
+    return return_tests(_full(spark, sf_dir))
+
+
+def return_tests(s):
+    """The tests of a table (pair, t, net)."""
+    s = s.filter("net is not null").select("pair", "t", "net")
     q, w = Window.partitionBy("pair"), x.pair_window()
     s = s.withColumn("dev", F.col("net") - F.avg("net").over(q))
     g = s.groupBy("pair").agg(F.count("net").alias("n"), F.sum(F.col("dev") * F.col("dev")).alias("ss"), F.skewness("net").alias("g1"), F.kurtosis("net").alias("g2"), F.avg("net").alias("mu"), F.stddev_samp("net").alias("sd"))
@@ -631,14 +643,14 @@ def r2(spark, sf_dir):
 @query("b22_universe_record")
 def b22(spark, sf_dir):
     """A row per pair: the full system before and after the split, what it adds to the market, trades, timing test, interval and crisis share."""
-    s = run_systems(spark, sf_dir, [System("full")])
+    s = written(run_systems(spark, sf_dir, [System("full")]), "system")  # four tables derive from it
     m = b.metrics(s, ["pair", "period"])
     of = lambda k, c: F.max(F.when(F.col("period") == k, F.col(c)))
     side = m.groupBy("pair").agg(*[r6(of(k, c)).alias(f"{k}_{c}") for k in ("train", "oos") for c in ("total", "sharpe", "max_drawdown")])
     after = s.filter("period = 'oos'").withColumn("spread_return", F.col("ry") - F.col("hedge") * F.col("rx"))
     market = after.groupBy("pair").agg((F.product(1 + F.col("rm")) - 1).alias("market_total"), r6(F.avg((F.col("regime") == 0).cast("int"))).alias("crisis"))
-    timing = sc.random_schedules(after, b.trades(after), times=1000).select("pair", "n_trades", F.round("p_sharpe", 4).alias("p_timing"))
-    interval = sy.bootstrap(after, times=1000, block=1).filter("measure = 'sharpe'").select("pair", r6("low").alias("low"), r6("high").alias("high"))
+    timing = sc.random_schedules(after, b.trades(after)).select("pair", "n_trades", F.round("p_sharpe", 4).alias("p_timing"))
+    interval = sy.bootstrap(after, block=1).filter("measure = 'sharpe'").select("pair", r6("low").alias("low"), r6("high").alias("high"))
     out = side.join(market, "pair").join(timing, "pair", "left").join(interval, "pair", "left")
     return out.withColumn("alpha", r6(F.col("oos_total") - F.col("market_total"))).drop("market_total")
 
@@ -658,13 +670,14 @@ def a19(spark, sf_dir):
 def t7(spark, sf_dir):
     """Scores of every pair by walk, timing, interval, stress, and tests, and their mean."""
     walk = b17(spark, sf_dir).select("pair", F.when((F.col("consistency") >= 0.6) & (F.col("mean_sharpe") > 0.3), 100).when((F.col("consistency") >= 0.5) & (F.col("mean_sharpe") > 0), 60).otherwise(20).alias("walk"))
-    s = _full(spark, sf_dir)
+    ran = written(run_systems(spark, sf_dir, [System("full")]), "system")  # timing, interval, stress and tests derive from it
+    s = ran.filter("period = 'oos'").withColumn("spread_return", F.col("ry") - F.col("hedge") * F.col("rx"))
     p_ = F.col("p_sharpe")
     timing = sc.random_schedules(s, b.trades(s)).select("pair", F.when(p_ < 0.01, 100).when(p_ < 0.05, 80).when(p_ < 0.10, 60).otherwise(20).alias("timing"))
     interval = sy.bootstrap(s, block=1).filter("measure = 'sharpe'").select("pair", F.when(F.col("low") > 0, 100).when(F.col("point") > 0, 60).otherwise(20).alias("interval"))
-    stress = j.in_periods(run_systems(spark, sf_dir, [System("full")]), j.periods(spark)).groupBy("pair", "name").agg((100 * (x.compound("net") - x.compound("rm"))).alias("alpha"), (100 * F.avg((F.col("moved") > 0).cast("int"))).alias("rate"))
+    stress = j.in_periods(ran, j.periods(spark)).groupBy("pair", "name").agg((100 * (x.compound("net") - x.compound("rm"))).alias("alpha"), (100 * F.avg((F.col("moved") > 0).cast("int"))).alias("rate"))
     stress = stress.groupBy("pair").agg(F.avg("alpha").alias("a"), F.avg("rate").alias("r")).select("pair", F.when(F.col("a") > 0, 100).when(F.col("r") < 30, 80).when(F.col("a") > -3, 60).otherwise(20).alias("stress"))
-    tests = t6(spark, sf_dir).join(r1(spark, sf_dir).select("pair", F.col("p").alias("p_root")), "pair")
+    tests = return_tests(s).join(r1(spark, sf_dir).select("pair", F.col("p").alias("p_root")), "pair")
     part = lambda c: F.when(F.col(c) < 0.05, 50).when(F.col(c) < 0.10, 25).otherwise(0)
     tests = tests.select("pair", (part("p_mean") + part("p_root")).alias("tests"))
     swept = sy.net_returns(sy.run_systems(quantile_spine(spark, sf_dir).select("pair", "date", "t", "y", "x", "ry", "rx", "rm", "regime", "spread", "beta"), SWEEP, p.SPLIT))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from covary.functions import exprs as x
 from covary.operators import backtest as b
-from covary.operators import folds
+from covary.operators import folds, jvmfolds
 from covary.operators import joins as j
 from covary.plans.base import query, spine
 from covary.plans.relational import _PERIODS_SQL
@@ -45,7 +45,7 @@ def metric_sql(source: str, by: str, r: str = "net"):
 
 
 def backtest(spark, sf_dir):
-    out = b.returns(folds.signals(spine(spark, sf_dir)))
+    out = b.returns(jvmfolds.signals(spine(spark, sf_dir)))
     return out.withColumn("period", x.mark_period("date", p.SPLIT))
 
 

@@ -8,7 +8,7 @@ from tests.conftest import SF
 from tests.test_queries import TABLES, same
 
 
-@pytest.mark.parametrize("name", ["j4_rolling_merge", "a17_sweep_pivot", "b4_equity_curves", "j14_sector_zip", "s4_universe_fallback", "d8_scan_whole", "d13_latest_whole", "d7_rotation_average"])
+@pytest.mark.parametrize("name", ["j4_rolling_merge", "a17_sweep_pivot", "b4_equity_curves", "j14_sector_zip", "s4_universe_fallback", "d8_scan_whole", "d13_latest_whole", "d7_rotation_average", "k10_legacy_monitor", "m9_class_scores", "m13_state_vectors"])
 def test_query_equals_duckdb(spark, name):
     con = duckdb.connect()
     for table in TABLES:
