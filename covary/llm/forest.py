@@ -33,7 +33,7 @@ TREES = 16
 LEAF = 32
 QUERIES = 4096
 K = 10
-RECALL = 0.95
+RECALL = 0.98
 SAMPLE = 128
 CHUNK = 128  # queries whose margins are held at once
 
