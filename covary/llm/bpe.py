@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from covary.llm.store import bounded_batches, gives_back, lower
 from covary.llm.words import span_hashes, spread
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 FOLD_BYTES = 256
 SAMPLE = 8_000
 COMMON = 1 << 20
@@ -37,7 +37,7 @@ _LAST = _NO_RANK << 20
 _MASK = (1 << 20) - 1
 _PLAN_TEXT = 100_000
 _SLOTS = 262_139  # a prime
-TASK_WORDS = 1 << 20
+TASK_WORDS = 1 << 18
 _SPACES = r"\t-\r \x85\xa0  -     　"
 
 
@@ -178,7 +178,7 @@ def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _blocks(ranks_path: str, pattern: str, block_bytes: int, common):
+def _blocks(ranks_path: str, pattern: str, block_bytes: int, task_words: int, common):
     """Documents with their words -> a row per block: ids, each document's words, their places in the task's vocabulary, and what the block adds to that.
 
     The places of common words are those in their table, those of a task's other words come behind them.
@@ -195,7 +195,7 @@ def _blocks(ranks_path: str, pattern: str, block_bytes: int, common):
             table = pa.Table.from_batches(kept).combine_chunks()
             words = pa.concat_arrays([x.flatten() for x in table["words"].chunks] or [pa.array([], pa.string())])
             coded = words.dictionary_encode()
-            restart = len(known) > TASK_WORDS
+            restart = len(known) > task_words
             if restart:
                 known.clear()
             before = len(known) + ahead
@@ -240,10 +240,29 @@ def _blocks(ranks_path: str, pattern: str, block_bytes: int, common):
     return run
 
 
+class _Row:
+    """Numbers behind given ones, in an array that doubles where it is full; the given one is never written to."""
+
+    def __init__(self, given: np.ndarray):
+        self.room, self.n = given, len(given)
+
+    def add(self, more: np.ndarray) -> np.ndarray:
+        """All numbers so far."""
+        n = self.n + len(more)
+        if n > len(self.room):
+            room = np.empty(max(n, 2 * self.n), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : n] = more
+        self.n = n
+        return self.room[:n]
+
+
 def _expand(ranks_path: str, common):
     def run(batches):
         pairs, (common_ids, common_lengths) = None, common.value
-        all_ids, all_lengths = common_ids, common_lengths
+        common_at = np.concatenate([[0], np.cumsum(common_lengths)])
+        all_ids, all_at = _Row(common_ids), _Row(common_at)
         for batch in batches:
             for r in range(batch.num_rows):
                 counts = np.frombuffer(batch.column("counts")[r].as_py(), "<i4").astype(np.int64)
@@ -261,16 +280,17 @@ def _expand(ranks_path: str, common):
                     at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
                     ids = np.concatenate(parts)
                 if batch.column("restart")[r].as_py():
-                    all_ids, all_lengths = common_ids, common_lengths
-                ids, lengths = all_ids, all_lengths = np.concatenate([all_ids, ids]), np.concatenate([all_lengths, np.diff(at)])
-                at = np.concatenate([[0], np.cumsum(lengths)])
+                    all_ids, all_at = _Row(common_ids), _Row(common_at)
+                at = all_at.add(at[1:] + all_ids.n)
+                ids = all_ids.add(ids)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 owners = batch.column("ids")[r].values
                 for start in range(0, len(counts), 512):
                     stop = min(start + 512, len(counts))
                     own = codes[bounds[start] : bounds[stop]]
-                    flat = ids[spread(at[own], lengths[own])].astype("<u4")
-                    ends = np.concatenate([[0], np.cumsum(lengths[own])])[bounds[start : stop + 1] - bounds[start]] * 4
+                    lengths = at[own + 1] - at[own]
+                    flat = ids[spread(at[own], lengths)].astype("<u4")
+                    ends = np.concatenate([[0], np.cumsum(lengths)])[bounds[start : stop + 1] - bounds[start]] * 4
                     packed = pa.Array.from_buffers(pa.binary(), stop - start, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
                     yield pa.RecordBatch.from_arrays([owners.slice(start, stop - start), packed], ["id", "ids"])
 
@@ -297,7 +317,7 @@ def common_words(df: DataFrame, table: Column, ranks_path: str, pattern: str, id
     return found, (ids.flatten().to_numpy().astype(np.int32), ids.value_lengths().to_numpy().astype(np.int64))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False, task_words: int = TASK_WORDS) -> DataFrame:
     """(id_col, ids binary): each row's token ids as little-endian unsigned 32-bit integers. See the module for cases.
 
     With decoded, the ids are decoded at once, by the same Python worker, into a further column (see decode).
@@ -313,7 +333,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         F.when(odd, text).alias("odd"),
         F.when(odd, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))).alias("words"),
     )
-    blocks = words.mapInArrow(gives_back(_blocks(ranks_path, pattern, block_bytes, sc.broadcast(found))), f"ids array<{kind}>, counts binary, codes binary, restart boolean, vocabulary array<array<int>>")
+    blocks = words.mapInArrow(gives_back(_blocks(ranks_path, pattern, block_bytes, task_words, sc.broadcast(found))), f"ids array<{kind}>, counts binary, codes binary, restart boolean, vocabulary array<array<int>>")
     # bound to a variable, the literal stands in the plan once
     fold = _let(table, lambda t: F.transform("vocabulary", lambda w: F.when(F.size(w) > FOLD_BYTES, F.concat(F.array(F.lit(-1)), w)).otherwise(fold_merges(w, t))))
     expand, back = _expand(ranks_path, sc.broadcast(common_ids)), _decode(ranks_path)

@@ -39,6 +39,17 @@ def test_bpe_round_trip(docs):
     assert bpe.encode(docs.limit(0), BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_vocabulary_of_a_task_starts_anew(spark):
+    """Blocks of a few texts and a vocabulary of 40 words: words come back after they were dropped, with long ones among them."""
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(BPE), special_tokens={})
+    letters = "abcdefghijklmnopqrst"
+    number = lambda n: letters[n // 20] + letters[n % 20]
+    texts = [" ".join(number((i * 37 + j * j) % 211) + "qz" * (150 if j == i % 7 else 33) for j in range(9)) for i in range(1500)]  # all too long for the sample's words
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = bpe.encode(df, BPE, public_tokenizers.PATTERN, block_bytes=4096, task_words=40).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == dict(enumerate(enc.encode_ordinary_batch(texts)))
+
+
 def test_bpe_long_words_merge_like_the_fold():
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(BPE), special_tokens={})
     ranks = bpe.load_ranks(BPE)
