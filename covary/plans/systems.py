@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -55,15 +57,29 @@ def quantile_spine(spark, sf_dir):
     return s.withColumn("regime", F.when(v.isNull(), 2).when(v > F.col("_hi"), 0).when(v > F.col("_lo"), 1).otherwise(2)).drop("_lo", "_hi")
 
 
-def machine_sql(name: str, source: str, rules: R, pair: str = "pair") -> str:
-    """The signal machine over (pair, t, z, regime) of a source, as a recursive walk."""
+def _move_sql(rules: R) -> str:
+    """The machine's next position from a row s and the state g; rules of numbers or of columns."""
     e = f"(CASE WHEN s.regime = 1 THEN {rules.entry_volatile} ELSE {rules.entry} END)"
     q = f"(CASE WHEN s.regime = 1 THEN {rules.exit_volatile} ELSE {rules.exit} END)"
-    new = f"""CASE WHEN s.z IS NULL OR s.regime IS NULL THEN g.pos
+    return f"""CASE WHEN s.z IS NULL OR s.regime IS NULL THEN g.pos
       WHEN g.pos <> 0 THEN CASE WHEN -g.pos * s.z > {e} * {rules.stop} OR s.t - g.since > {rules.max_hold} OR (s.regime <> 0 AND s.t - g.since >= {rules.min_hold} AND abs(s.z) < {q}) THEN 0 ELSE g.pos END
       WHEN s.regime <> 0 AND s.z > {e} THEN -1 WHEN s.regime <> 0 AND s.z < -{e} THEN 1 ELSE 0 END"""
+
+
+def machine_sql(name: str, source: str, rules: R, pair: str = "pair") -> str:
+    """The signal machine over (pair, t, z, regime) of a source, as a recursive walk."""
     return f"""{name}({pair}, t, pos, since) AS (SELECT DISTINCT {pair}, -1, 0, 0 FROM {source}
-    UNION ALL SELECT s.{pair}, s.t, {new}, CASE WHEN g.pos = 0 THEN s.t ELSE g.since END FROM {name} g JOIN {source} s ON s.{pair} = g.{pair} AND s.t = g.t + 1)"""
+    UNION ALL SELECT s.{pair}, s.t, {_move_sql(rules)}, CASE WHEN g.pos = 0 THEN s.t ELSE g.since END FROM {name} g JOIN {source} s ON s.{pair} = g.{pair} AND s.t = g.t + 1)"""
+
+
+def grid_sql(name: str, source: str, systems: list[System]) -> str:
+    """The same machine for every setting of a grid at once: name(system, pair, t, pos, since)."""
+    number = lambda v: f"'{v!r}'::DOUBLE"
+    rows = ", ".join(f"('{s.name}', {', '.join(number(v) for v in (s.rules.entry, s.rules.exit, s.rules.entry_volatile, s.rules.exit_volatile))}, {s.rules.max_hold})" for s in systems)
+    move = _move_sql(R("r.enter", "r.leave", "r.enter_volatile", "r.leave_volatile", max_hold="r.longest"))
+    return f"""grid AS (SELECT * FROM (VALUES {rows}) v(system, enter, leave, enter_volatile, leave_volatile, longest)),
+{name}(system, pair, t, pos, since) AS (SELECT system, pair, -1, 0, 0 FROM grid CROSS JOIN (SELECT DISTINCT pair FROM {source})
+    UNION ALL SELECT g.system, s.pair, s.t, {move}, CASE WHEN g.pos = 0 THEN s.t ELSE g.since END FROM {name} g JOIN grid r ON r.system = g.system JOIN {source} s ON s.pair = g.pair AND s.t = g.t + 1)"""
 
 
 def _z_sql(name: str, source: str, n: int) -> str:
@@ -73,8 +89,8 @@ def _z_sql(name: str, source: str, n: int) -> str:
     FROM {source} WINDOW w AS (PARTITION BY pair ORDER BY t ROWS {n - 1} PRECEDING), e AS (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING)))"""
 
 
-def systems_sql(systems: list[System]) -> str:
-    """CTEs up to sysbt(system, pair, t, date, period, signal, net, rm) of the systems."""
+def systems_sql(systems: list[System], settings: list[System] = ()) -> str:
+    """CTEs up to sysbt(system, pair, t, date, period, signal, net, rm) of the systems, or of one system's settings that differ in their rules alone."""
     parts, arms = [], []
     calm = "calm AS (SELECT * REPLACE (2 AS regime) FROM spine)"
     parts.append(calm)
@@ -94,8 +110,8 @@ def systems_sql(systems: list[System]) -> str:
               WHEN abs(s.z) < 0.1 OR (g.pos = 1 AND s.z > 4) OR (g.pos = -1 AND s.z < -4) THEN 0 ELSE g.pos END FROM m_{i} g JOIN z_{i} s ON s.pair = g.pair AND s.t = g.t + 1)""")
         else:
             parts.append(_z_sql(f"z_{i}", f"h_{s.hedge}_{int(s.gated)}", s.z_rows))
-            parts.append(machine_sql(f"m_{i}", f"z_{i}", s.rules))
-        arms.append(f"SELECT '{s.name}' AS system, '{s.costs}' AS costs, m.pair, m.t, m.pos AS signal, z.hedge FROM m_{i} m JOIN z_{i} z USING (pair, t)")
+            parts.append(grid_sql(f"m_{i}", f"z_{i}", settings) if settings else machine_sql(f"m_{i}", f"z_{i}", s.rules))
+        arms.append(f"SELECT {'m.system' if settings else repr(s.name) + ' AS system'}, '{s.costs}' AS costs, m.pair, m.t, m.pos AS signal, z.hedge FROM m_{i} m JOIN z_{i} z USING (pair, t)")
     parts.append(f"arms AS ({' UNION ALL '.join(arms)})")
     parts.append("""sy0 AS (SELECT a.*, s.date, s.ry, s.rx, s.rm, lag(signal) OVER w AS before, CASE WHEN count(ry) OVER r >= 20 THEN stddev_samp(ry) OVER r END AS s20, stddev_samp(ry) OVER (PARTITION BY system, a.pair) AS sall
   FROM arms a JOIN spine s ON s.pair = a.pair AND s.t = a.t WINDOW w AS (PARTITION BY system, a.pair ORDER BY a.t), r AS (PARTITION BY system, a.pair ORDER BY a.t ROWS 19 PRECEDING))""")
@@ -104,6 +120,19 @@ def systems_sql(systems: list[System]) -> str:
     return QUANTILES + ",\n" + ",\n".join(parts) + "\n"
 
 
+def t_cdf_sql(t: str, df: str) -> str:
+    """Student's t distribution for whole degrees of freedom: a finite sum of powers of a cosine (other than the library's continued fraction)."""
+    sine, cos2 = f"(abs({t}) / sqrt({df} + {t} * {t}))", f"greatest({df} / ({df} + {t} * {t}), 1e-300)"
+    even = f"{sine} * list_sum(list_transform(range(({df} // 2)::BIGINT), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1) + j * ln({cos2}))))"
+    odd = f"2 / pi() * (atan(abs({t}) / sqrt({df})) + {sine} * sqrt({cos2}) * coalesce(list_sum(list_transform(range((({df} - 1) // 2)::BIGINT), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5) + j * ln({cos2})))), 0))"
+    return f"(0.5 + sign({t}) * least(CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END, 1) / 2)"
+
+
+def chi2_sf_sql(v: str, df: int) -> str:
+    """The upper tail for an even number of degrees of freedom."""
+    return f"(exp(-{v} / 2) * ({' + '.join(f'({v} / 2) ** {i} / {math.factorial(i)}' for i in range(df // 2))}))"
+
+
 LARGE = 1e6  # a short wild series compounds to any number: from here on measures are given to seven digits
 _WILD = ("total", "annual", "vol", "sharpe", "max_drawdown")
 
@@ -462,7 +491,23 @@ def legacy_panel(spark, sf_dir):
     return s.withColumn("trend", x.rolling(F.avg, "z", w, 5, before=True)).withColumn("corr", x.rolling(F.corr, ["y", "x"], w, 30)).withColumn("half_life", F.round(half, 6)).drop("l", "d")
 
 
-@query("k6_legacy_signals")
+_CONFIRMED = f""",
+lcut AS (SELECT pair, quantile_cont(vol, 0.33) AS lo, quantile_cont(vol, 0.66) AS hi FROM spine WHERE t < {TRAINED} GROUP BY 1),
+lspine AS (SELECT s.* REPLACE (CASE WHEN vol IS NULL THEN 2 WHEN vol > hi THEN 0 WHEN vol > lo THEN 1 ELSE 2 END AS regime) FROM spine s LEFT JOIN lcut USING (pair))""" + _kalman_sql(True, "lk").replace("FROM spine", "FROM lspine").replace("JOIN spine", "JOIN lspine") + """,
+lks AS (SELECT k.pair, k.t, s.regime, k.w AS hedge, k.e AS s, s.y, s.x FROM lk k JOIN lspine s USING (pair, t)),
+""" + ",\n".join(_z_sql(f"lz{n}", "lks", n) for n in (30, 60, 90)) + """,
+lhalf AS (SELECT pair, round(CASE WHEN theta < 0 THEN least(greatest(-ln(2) / theta, 5.0), 60.0) ELSE 60.0 END, 6) AS half FROM (SELECT pair, regr_slope(s - before, before) AS theta FROM (SELECT pair, t, s, lag(s) OVER (PARTITION BY pair ORDER BY t) AS before FROM lks) WHERE t < 500 GROUP BY 1)),
+lin AS (SELECT k.pair, k.t, k.regime, c.z, a.z AS z30, b.z AS z90, CASE WHEN k.regime = 1 THEN 2.5 ELSE 2.0 END AS lim, CASE WHEN k.regime = 1 THEN 0.3 ELSE 0.5 END AS near, floor(half * 3)::INT AS most, CASE WHEN count(c.z) OVER w5 = 5 THEN avg(c.z) OVER w5 END AS trend, CASE WHEN count(*) OVER w30 = 30 THEN corr(k.y, k.x) OVER w30 END AS legs
+  FROM lks k JOIN lz30 a USING (pair, t) JOIN lz60 c USING (pair, t) JOIN lz90 b USING (pair, t) JOIN lhalf USING (pair) WINDOW w5 AS (PARTITION BY k.pair ORDER BY k.t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w30 AS (PARTITION BY k.pair ORDER BY k.t ROWS 29 PRECEDING)),
+lsee AS (SELECT *, CASE WHEN z30 > lim AND z > lim AND z90 > 0.8 * lim AND (t < 5 OR coalesce(z > trend, false)) THEN -1 WHEN -z30 > lim AND -z > lim AND -z90 > 0.8 * lim AND (t < 5 OR coalesce(z < trend, false)) THEN 1 ELSE 0 END AS enter FROM lin),
+lmach(pair, t, pos, since, seen) AS (SELECT DISTINCT pair, -1, 0, 0, 0.0::DOUBLE FROM lsee
+  UNION ALL SELECT s.pair, s.t, CASE WHEN s.z IS NULL THEN g.pos WHEN coalesce(s.legs < 0.5, false) OR s.regime = 0 THEN 0 WHEN g.pos = 0 THEN s.enter
+    WHEN -g.pos * s.z > 1.5 * s.lim OR s.t - g.since > s.most OR (s.t - g.since >= 3 AND (coalesce(s.near > abs(s.z30), false) OR s.near > abs(s.z) OR (s.regime = 1 AND abs(g.seen) < 2.5))) THEN 0 ELSE g.pos END,
+    CASE WHEN g.pos = 0 THEN s.t ELSE g.since END, CASE WHEN g.pos = 0 THEN coalesce(s.z, 0) ELSE g.seen END FROM lmach g JOIN lsee s ON s.pair = g.pair AND s.t = g.t + 1)
+SELECT pair, t, pos AS signal FROM lmach WHERE t >= 0"""
+
+
+@query("k6_legacy_signals", _CONFIRMED)
 def k6(spark, sf_dir):
     """Positions of the machine with several confirmations."""
     return sy.legacy_signals(legacy_panel(spark, sf_dir)).select("pair", "t", "signal")
@@ -556,7 +601,9 @@ def t12(spark, sf_dir):
     ).withColumns({f"{c}_pass": F.col(c) <= 0.05 for c in ("bh", "bonferroni", "holm")})
 
 
-@query("t5_diebold_mariano_p")
+@query("t5_diebold_mariano_p", systems_sql([System("full")]) + f""", dm AS (SELECT pair, count(*) AS n, avg(d) / sqrt(greatest(var_samp(d) / count(*), 1e-12)) AS stat FROM (SELECT pair, net * net - rm * rm AS d FROM sysbt WHERE period = 'oos' AND net IS NOT NULL AND rm IS NOT NULL) GROUP BY 1),
+dp AS (SELECT *, 2 * (1 - {t_cdf_sql('abs(stat)', '(n - 1)')}) AS p FROM dm)
+SELECT pair, n, round(stat, 6) AS stat, round(p, 6) AS p, CASE WHEN p >= 0.05 THEN 'no difference' WHEN stat < 0 THEN 'less variable' ELSE 'more variable' END AS conclusion FROM dp""")
 def t5(spark, sf_dir):
     """Squared returns of the system and the market: statistic and two-sided p of Student's t."""
     d = _full(spark, sf_dir).filter("net is not null and rm is not null").select("pair", (F.col("net") * F.col("net") - F.col("rm") * F.col("rm")).alias("d"))
@@ -566,7 +613,15 @@ def t5(spark, sf_dir):
     return g.select("pair", "n", r6("stat").alias("stat"), r6("p").alias("p"), F.when(F.col("p") >= 0.05, "no difference").when(F.col("stat") < 0, "less variable").otherwise("more variable").alias("conclusion"))
 
 
-@query("t6_return_tests_p")
+_TESTS = systems_sql([System("full")]) + f""", td AS (SELECT pair, net, net - avg(net) OVER (PARTITION BY pair) AS dev, row_number() OVER (PARTITION BY pair ORDER BY t) AS i FROM sysbt WHERE period = 'oos' AND net IS NOT NULL),
+tg AS (SELECT *, m3 / m2 ** 1.5 AS g1, m4 / (m2 * m2) - 3 AS g2, mu / (sd / sqrt(n)) AS ts FROM (SELECT pair, count(*) AS n, avg(net) AS mu, stddev_samp(net) AS sd, avg(dev ** 2) AS m2, avg(dev ** 3) AS m3, avg(dev ** 4) AS m4 FROM td GROUP BY 1) WHERE sd > 0 AND n > 20),
+tl AS (SELECT g.pair, n * (n + 2) * sum((c / (n * m2)) ** 2 / (n - k)) AS lb FROM (SELECT a.pair, k, sum(a.dev * b.dev) AS c FROM td a CROSS JOIN range(1, 11) q(k) JOIN td b ON b.pair = a.pair AND b.i = a.i - k GROUP BY 1, 2) JOIN tg g USING (pair) GROUP BY g.pair, n),
+ta AS (SELECT *, n / 6.0 * (g1 * g1 + g2 * g2 / 4) AS jb FROM tg JOIN tl USING (pair))
+SELECT pair, n, round(jb, 6) AS jarque_bera, round({chi2_sf_sql('jb', 2)}, 6) AS p_normal, round(lb, 6) AS ljung_box, round({chi2_sf_sql('lb', 10)}, 6) AS p_lags, round(ts, 6) AS t_stat, round(1 - {t_cdf_sql('ts', '(n - 1)')}, 6) AS p_mean,
+  round(g1 * sqrt(n * (n - 1)) / (n - 2), 6) AS skew, round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), 6) AS kurtosis FROM ta"""
+
+
+@query("t6_return_tests_p", _TESTS)
 def t6(spark, sf_dir):
     """Normality, mean above zero, autocorrelation over ten lags, skew and excess kurtosis of the system's returns, with p-values."""
     return return_tests(_full(spark, sf_dir))
@@ -589,7 +644,9 @@ def return_tests(s):
     return o.select("pair", "n", r6("jb").alias("jarque_bera"), r6(x.chi2_sf("jb", 2)).alias("p_normal"), r6("lb").alias("ljung_box"), r6(x.chi2_sf("lb", 10)).alias("p_lags"), r6("ts").alias("t_stat"), r6(1 - udfs.t_cdf(F.col("ts"), (n - 1).cast("double"))).alias("p_mean"), r6(skew).alias("skew"), r6(kurt).alias("kurtosis"))
 
 
-@query("a10_spearman_p")
+@query("a10_spearman_p", f""", rk AS (SELECT pair, rank() OVER (PARTITION BY pair ORDER BY ry) + (count(*) OVER (PARTITION BY pair, ry) - 1) / 2.0 AS a, rank() OVER (PARTITION BY pair ORDER BY rx) + (count(*) OVER (PARTITION BY pair, rx) - 1) / 2.0 AS b FROM spine WHERE ry IS NOT NULL AND rx IS NOT NULL),
+rr AS (SELECT *, rho * sqrt((n - 2) / greatest(1e-300, 1 - rho * rho)) AS ts FROM (SELECT pair, count(*) AS n, corr(a, b) AS rho FROM rk GROUP BY 1))
+SELECT pair, n, round(rho, 6) AS rho, round(2 * (1 - {t_cdf_sql('abs(ts)', '(n - 2)')}), 6) AS p FROM rr""")
 def a10(spark, sf_dir):
     """Rank correlation of the legs' returns with the p of its t statistic."""
     s = spine(spark, sf_dir).filter("ry is not null and rx is not null").select("pair", "ry", "rx")
@@ -599,7 +656,8 @@ def a10(spark, sf_dir):
     return g.select("pair", "n", r6("rho").alias("rho"), r6(2 * (1 - udfs.t_cdf(F.abs(t), (F.col("n") - 2).cast("double")))).alias("p"))
 
 
-@query("x9_student_t")
+@query("x9_student_t", f""", st AS (SELECT pair, avg(ry) / (stddev_samp(ry) / sqrt(count(ry))) AS ts, count(ry) - 1 AS df FROM spine GROUP BY 1)
+SELECT pair, round(ts, 6) AS t, round({t_cdf_sql('ts', 'df')}, 6) AS cdf FROM st""")
 def x9(spark, sf_dir):
     """Student's t distribution at every pair's mean return."""
     g = spine(spark, sf_dir).groupBy("pair").agg((F.avg("ry") / (F.stddev_samp("ry") / F.sqrt(F.count("ry")))).alias("t"), (F.count("ry") - 1).cast("double").alias("df"))
@@ -696,7 +754,10 @@ SWEEP = [
 ]
 
 
-@query("b15_sensitivity_whole")
+_SWEPT = metric_sql("(SELECT * FROM sysbt WHERE period = 'oos')", "system, pair")
+
+
+@query("b15_sensitivity_whole", systems_sql([System("full")], SWEEP) + f"SELECT system, pair, n, total, sharpe, max_drawdown FROM ({digits_sql(_SWEPT)})")
 def b15(spark, sf_dir):
     """All settings of entry, exit and longest hold, net of costs, after the split; a pair's rows are exchanged once for all of them."""
     m = measured(run_systems(spark, sf_dir, SWEEP).filter("period = 'oos'"), ["system", "pair"])
