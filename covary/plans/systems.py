@@ -499,15 +499,18 @@ lks AS (SELECT k.pair, k.t, s.regime, k.w AS hedge, k.e AS s, s.y, s.x FROM lk k
 lhalf AS (SELECT pair, round(CASE WHEN theta < 0 THEN least(greatest(-ln(2) / theta, 5.0), 60.0) ELSE 60.0 END, 6) AS half FROM (SELECT pair, regr_slope(s - before, before) AS theta FROM (SELECT pair, t, s, lag(s) OVER (PARTITION BY pair ORDER BY t) AS before FROM lks) WHERE t < 500 GROUP BY 1)),
 lin AS (SELECT k.pair, k.t, k.regime, c.z, a.z AS z30, b.z AS z90, CASE WHEN k.regime = 1 THEN 2.5 ELSE 2.0 END AS lim, CASE WHEN k.regime = 1 THEN 0.3 ELSE 0.5 END AS near, floor(half * 3)::INT AS most, CASE WHEN count(c.z) OVER w5 = 5 THEN avg(c.z) OVER w5 END AS trend, CASE WHEN count(*) OVER w30 = 30 THEN corr(k.y, k.x) OVER w30 END AS legs
   FROM lks k JOIN lz30 a USING (pair, t) JOIN lz60 c USING (pair, t) JOIN lz90 b USING (pair, t) JOIN lhalf USING (pair) WINDOW w5 AS (PARTITION BY k.pair ORDER BY k.t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w30 AS (PARTITION BY k.pair ORDER BY k.t ROWS 29 PRECEDING)),
-lsee AS (SELECT *, CASE WHEN z30 > lim AND z > lim AND z90 > 0.8 * lim AND (t < 5 OR coalesce(z > trend, false)) THEN -1 WHEN -z30 > lim AND -z > lim AND -z90 > 0.8 * lim AND (t < 5 OR coalesce(z < trend, false)) THEN 1 ELSE 0 END AS enter FROM lin),
-lmach(pair, t, pos, since, seen) AS (SELECT DISTINCT pair, -1, 0, 0, 0.0::DOUBLE FROM lsee
-  UNION ALL SELECT s.pair, s.t, CASE WHEN s.z IS NULL THEN g.pos WHEN coalesce(s.legs < 0.5, false) OR s.regime = 0 THEN 0 WHEN g.pos = 0 THEN s.enter
-    WHEN -g.pos * s.z > 1.5 * s.lim OR s.t - g.since > s.most OR (s.t - g.since >= 3 AND (coalesce(s.near > abs(s.z30), false) OR s.near > abs(s.z) OR (s.regime = 1 AND abs(g.seen) < 2.5))) THEN 0 ELSE g.pos END,
-    CASE WHEN g.pos = 0 THEN s.t ELSE g.since END, CASE WHEN g.pos = 0 THEN coalesce(s.z, 0) ELSE g.seen END FROM lmach g JOIN lsee s ON s.pair = g.pair AND s.t = g.t + 1)
-SELECT pair, t, pos AS signal FROM lmach WHERE t >= 0"""
+lsee AS (SELECT *, CASE WHEN z30 > lim AND z > lim AND z90 > 0.8 * lim AND (t < 5 OR coalesce(z > trend, false)) THEN -1 WHEN -z30 > lim AND -z > lim AND -z90 > 0.8 * lim AND (t < 5 OR coalesce(z < trend, false)) THEN 1 ELSE 0 END AS enter FROM lin)"""
 
 
-@query("k6_legacy_signals", _CONFIRMED)
+def confirmed_sql(name: str, min_hold: int = 3, min_corr: float = 0.5) -> str:
+    """The machine with several confirmations, as a recursive walk: name(pair, t, pos, since, seen)."""
+    return f"""{name}(pair, t, pos, since, seen) AS (SELECT DISTINCT pair, -1, 0, 0, 0.0::DOUBLE FROM lsee
+  UNION ALL SELECT s.pair, s.t, CASE WHEN s.z IS NULL THEN g.pos WHEN coalesce(s.legs < {min_corr}, false) OR s.regime = 0 THEN 0 WHEN g.pos = 0 THEN s.enter
+    WHEN -g.pos * s.z > 1.5 * s.lim OR s.t - g.since > s.most OR (s.t - g.since >= {min_hold} AND (coalesce(s.near > abs(s.z30), false) OR s.near > abs(s.z) OR (s.regime = 1 AND abs(g.seen) < 2.5))) THEN 0 ELSE g.pos END,
+    CASE WHEN g.pos = 0 THEN s.t ELSE g.since END, CASE WHEN g.pos = 0 THEN coalesce(s.z, 0) ELSE g.seen END FROM {name} g JOIN lsee s ON s.pair = g.pair AND s.t = g.t + 1)"""
+
+
+@query("k6_legacy_signals", _CONFIRMED + ", " + confirmed_sql("lmach") + " SELECT pair, t, pos AS signal FROM lmach WHERE t >= 0")
 def k6(spark, sf_dir):
     """Positions of the machine with several confirmations."""
     return sy.legacy_signals(legacy_panel(spark, sf_dir)).select("pair", "t", "signal")
@@ -525,16 +528,28 @@ def legacy_monitor(df, window: int = 60, step: int = 20):
 _LEGACY = f""", lw AS (SELECT pair, t, y, x, lag(y) OVER o AS y1, lag(x) OVER o AS x1, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a FROM spine WINDOW o AS (PARTITION BY pair ORDER BY t), w AS (PARTITION BY pair ORDER BY t ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
 le AS (SELECT o.pair, o.t, sum((i.y1 - o.a - o.b * i.x1) ^ 2) AS uu, sum((i.y1 - o.a - o.b * i.x1) * ((i.y - i.y1) - o.b * (i.x - i.x1))) AS ud, sum(((i.y - i.y1) - o.b * (i.x - i.x1)) ^ 2) AS dd
   FROM lw o JOIN lw i ON i.pair = o.pair AND i.t BETWEEN o.t - 59 AND o.t - 1 WHERE o.t >= 60 AND o.t % 20 = 0 GROUP BY 1, 2),
-lt AS (SELECT pair, t, round(ud / uu / sqrt((dd - ud * ud / uu) / 58 / uu), 6) AS tau FROM le), lp AS (SELECT pair, t, {p_sql('tau', 2)} AS p FROM lt)
-SELECT pair, t, round(p, 4) AS p, CASE WHEN p > 0.10 THEN 'WARNING' WHEN p > 0.05 THEN 'BROKEN' ELSE 'HEALTHY' END AS state FROM lp"""
+lt AS (SELECT pair, t, round(ud / uu / sqrt((dd - ud * ud / uu) / 58 / uu), 6) AS tau FROM le), lp AS (SELECT pair, t, {p_sql('tau', 2)} AS p FROM lt),
+lstate AS (SELECT pair, t, round(p, 4) AS p, CASE WHEN p > 0.10 THEN 'WARNING' WHEN p > 0.05 THEN 'BROKEN' ELSE 'HEALTHY' END AS state FROM lp)"""
 
 
-@query("k10_legacy_monitor", _LEGACY)
+@query("k10_legacy_monitor", _LEGACY + "SELECT * FROM lstate")
 def k10(spark, sf_dir):
     return legacy_monitor(spine(spark, sf_dir).select("pair", "date", "t", "y", "x", "spread"))
 
 
-@query("b23_legacy_backtest")
+_LEGACY_TESTED = _CONFIRMED + ", " + confirmed_sql("lmach") + ", " + confirmed_sql("lfree", 0, 0.0) + _LEGACY + f""",
+lb0 AS (SELECT s.pair, s.t, s.regime, s.ry - k.hedge * s.rx AS sr, f.pos AS free, m.pos, coalesce(last_value(e.state IGNORE NULLS) OVER (PARTITION BY s.pair ORDER BY s.t ROWS UNBOUNDED PRECEDING), 'HEALTHY') AS state,
+  CASE WHEN z.z IS NOT NULL THEN least(greatest((least(greatest((abs(z.z) - 2) / 2, 0.0), 0.5) + 1) * least(greatest(1 - (coalesce(s.vol, 0.15) - 0.15) / 0.15, 0.5), 1.0), 0.5), 1.5) END AS size
+  FROM lspine s JOIN lks k USING (pair, t) JOIN lz60 z USING (pair, t) JOIN lmach m USING (pair, t) JOIN lfree f USING (pair, t) LEFT JOIN lstate e USING (pair, t)),
+lb1 AS (SELECT *, CASE WHEN state = 'BROKEN' THEN 0 ELSE pos END AS signal FROM lb0),
+lb2 AS (SELECT *, lag(signal) OVER o * coalesce(lag(size) OVER o, 1.0) * sr AS sized, lag(free) OVER o * sr AS plain FROM lb1 WINDOW o AS (PARTITION BY pair ORDER BY t)),
+lb3 AS (SELECT 'legacy' AS system, pair, t, sized AS net FROM lb2 UNION ALL SELECT 'free', pair, t, plain FROM lb2),
+lb4 AS ({digits_sql(metric_sql('lb3', 'system, pair'))}),
+ldays AS (SELECT pair, {', '.join(f'count(*) FILTER (regime = {k}) AS {n}_days' for k, n in x.REGIMES.items())}, count(*) FILTER (state = 'BROKEN') AS broken_days, round(1 - count(*) FILTER (signal <> 0) / greatest(1, count(*) FILTER (free <> 0)), 6) AS filtered FROM lb2 GROUP BY 1)
+SELECT * FROM lb4 JOIN ldays USING (pair)"""
+
+
+@query("b23_legacy_backtest", _LEGACY_TESTED)
 def b23(spark, sf_dir):
     """The legacy system and, beside it, the machine without least hold and correlation floor: adaptive hedge, monitor that forces flat, sizing by z and volatility, no costs; days by regime and state."""
     s = written(legacy_panel(spark, sf_dir), "legacy")
@@ -549,7 +564,7 @@ def b23(spark, sf_dir):
     s = s.withColumn("sized", F.lag("signal").over(w) * F.coalesce(F.lag(size).over(w), F.lit(1.0)) * sr).withColumn("plain", F.lag("free").over(w) * sr)
     m = b.metrics(s.withColumn("v", F.explode(F.array(F.struct(F.lit("legacy").alias("system"), F.col("sized").alias("net")), F.struct(F.lit("free").alias("system"), F.col("plain").alias("net"))))).select("pair", "t", "v.*"), ["system", "pair"])
     days = s.groupBy("pair").agg(*[F.count_if(F.col("regime") == k).alias(f"{n}_days") for k, n in x.REGIMES.items()], F.count_if(F.col("state") == "BROKEN").alias("broken_days"), r6(1 - F.count_if(F.col("signal") != 0) / F.greatest(F.lit(1), F.count_if(F.col("free") != 0))).alias("filtered"))
-    return rounded(m).join(days, "pair")
+    return digits(rounded(m)).join(days, "pair")
 
 
 # significance -------------------------------------------------------------------------------------------------------------
@@ -592,7 +607,12 @@ def t4(spark, sf_dir):
 @query("t12_survivors")
 def t12(spark, sf_dir):
     """All pairs' paired tests with three corrections for their number; a row per pair meets in the windows."""
-    t = t4(spark, sf_dir).select("pair", "diff", "p").withColumn("k", F.row_number().over(Window.orderBy("p", "pair"))).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
+    return corrected(t4(spark, sf_dir))
+
+
+def corrected(tests):
+    """A table (pair, diff, p) with the p-values of three corrections and what passes at 5 per cent."""
+    t = tests.select("pair", "diff", "p").withColumn("k", F.row_number().over(Window.orderBy("p", "pair"))).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
     up, back = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     one = F.lit(1.0)
     return t.select(

@@ -13,7 +13,7 @@ from covary.plans import registry
 from tests.conftest import SF
 from tests.test_queries import TABLES, same
 
-NEW = ["k7_distance_machine", "k11_kalman_only", "k12_regime_only", "b13_baseline_battery", "b14_ablation_battery", "b16_walk_forward_refit", "b17_refit_trend", "b19_filter_comparison", "b21_regime_value", "m12_regime_comparison", "r8_stability", "r9_stability_ranking", "d10_rotation_log", "d11_rotation_due", "m1_features_whole", "l4_table_functions", "l5_sql_functions", "a10_spearman_p", "x9_student_t", "t5_diebold_mariano_p", "t6_return_tests_p", "b15_sensitivity_whole", "k6_legacy_signals"]
+NEW = ["k7_distance_machine", "k11_kalman_only", "k12_regime_only", "b13_baseline_battery", "b14_ablation_battery", "b16_walk_forward_refit", "b17_refit_trend", "b19_filter_comparison", "b21_regime_value", "m12_regime_comparison", "r8_stability", "r9_stability_ranking", "d10_rotation_log", "d11_rotation_due", "m1_features_whole", "l4_table_functions", "l5_sql_functions", "a10_spearman_p", "x9_student_t", "t5_diebold_mariano_p", "t6_return_tests_p", "b15_sensitivity_whole", "k6_legacy_signals", "k10_legacy_monitor", "b23_legacy_backtest"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -133,3 +133,18 @@ def test_a_forest_does_not_depend_on_partitions(spark):
 
 def test_rules_of_systems_reach_the_machine():
     assert folds.Rules(stop=systems.NO_STOP).stop > 1e8
+
+
+def test_corrections_of_many_tests(spark):
+    """Against the definitions: ties, a p of one, and a single test."""
+    from covary.plans.systems import corrected
+
+    for ps in ([0.001, 0.013, 0.013, 0.2, 0.04, 1.0, 0.012], [0.03], [0.5, 0.5]):
+        rows = {r["pair"]: r for r in corrected(spark.createDataFrame([(f"p{i}", 0.1, v) for i, v in enumerate(ps)], "pair string, diff double, p double")).collect()}
+        order, m = sorted(range(len(ps)), key=lambda i: (ps[i], i)), len(ps)
+        for k, i in enumerate(order):
+            got = rows[f"p{i}"]
+            assert got["bonferroni"] == pytest.approx(min(1, m * ps[i]))
+            assert got["bh"] == pytest.approx(min(1, min(ps[j] * m / (n + 1) for n, j in enumerate(order) if n >= k)))
+            assert got["holm"] == pytest.approx(min(1, max(ps[j] * (m - n) for n, j in enumerate(order) if n <= k)))
+            assert [got[f"{c}_pass"] for c in ("bh", "bonferroni", "holm")] == [got[c] <= 0.05 for c in ("bh", "bonferroni", "holm")]
