@@ -9,7 +9,7 @@ from covary.functions import exprs as x
 from covary.plans.base import query, spine
 from covary.plans.research import HEALTH, _health
 from covary.plans.scalar import r6
-from covary.plans.trading import BT, backtest, fold_metrics
+from covary.plans.trading import BT, WALK, backtest, fold_metrics, metric_sql
 from covary.sources import panel as p
 
 
@@ -30,7 +30,14 @@ def b17(spark, sf_dir):
     return v.withColumn("rk", rank).groupBy("pair").agg(r6(F.corr("f", "rk")).alias("trend"), r6(F.avg((F.col("v") > 0).cast("int"))).alias("consistency"))
 
 
-@query("b17_fold_trend_whole")
+_TREND = WALK + f""", fm AS ({metric_sql('walk', 'pair, fold', places=10, of_ratio=10)}),
+fr AS (SELECT *, rank() OVER (PARTITION BY pair ORDER BY sharpe) + (count(*) OVER (PARTITION BY pair, sharpe) - 1) / 2.0 AS a, rank() OVER (PARTITION BY pair ORDER BY total) + (count(*) OVER (PARTITION BY pair, total) - 1) / 2.0 AS b FROM fm),
+ft AS (SELECT pair, count(*) AS folds, CASE WHEN count(*) >= 4 THEN round(covar_pop(fold, a) / nullif(stddev_pop(fold) * stddev_pop(a), 0), 6) END AS sharpe_trend, CASE WHEN count(*) >= 4 THEN round(covar_pop(fold, b) / nullif(stddev_pop(fold) * stddev_pop(b), 0), 6) END AS return_trend,
+  round(avg((total > 0)::INT), 6) AS consistency, round(avg(total), 6) AS mean_return, round(avg(sharpe), 6) AS mean_sharpe FROM fr GROUP BY 1)
+SELECT *, CASE WHEN mean_return > 0 AND consistency >= 0.6 AND mean_sharpe > 0.3 THEN 'pass' WHEN mean_return > 0 AND consistency >= 0.5 THEN 'marginal' ELSE 'fail' END AS verdict FROM ft"""
+
+
+@query("b17_fold_trend_whole", _TREND)
 def b17_whole(spark, sf_dir):
     """Rank correlation of Sharpe and return with the number of the fold, over all folds of each pair (null below four, or where they are all alike), and the verdict on them."""
     v = fold_metrics(spark, sf_dir).withColumns({c: F.round(c, 10) for c in ("sharpe", "total")})

@@ -36,9 +36,9 @@ bt AS (SELECT *, moved * 5.0 / 1e4 AS slippage, (moved > 0)::INT * 2 * 1.0 / 100
 """
 
 
-def metric_sql(source: str, by: str, r: str = "net"):
-    return f"""SELECT {by}, n, CASE WHEN flat THEN 0 ELSE round(total, 6) END::DOUBLE AS total, round(annual, 6) AS annual, CASE WHEN flat THEN 0 ELSE round(vol, 6) END::DOUBLE AS vol,
-  CASE WHEN flat THEN 0 ELSE round(annual / vol, 5) END::DOUBLE AS sharpe, CASE WHEN flat THEN 0 ELSE round(dd, 6) END::DOUBLE AS max_drawdown, CASE WHEN flat THEN 0 ELSE round(wr, 6) END::DOUBLE AS win_rate
+def metric_sql(source: str, by: str, r: str = "net", places: int = 6, of_ratio: int = 5):
+    return f"""SELECT {by}, n, CASE WHEN flat THEN 0 ELSE round(total, {places}) END::DOUBLE AS total, round(annual, {places}) AS annual, CASE WHEN flat THEN 0 ELSE round(vol, {places}) END::DOUBLE AS vol,
+  CASE WHEN flat THEN 0 ELSE round(annual / vol, {of_ratio}) END::DOUBLE AS sharpe, CASE WHEN flat THEN 0 ELSE round(dd, {places}) END::DOUBLE AS max_drawdown, CASE WHEN flat THEN 0 ELSE round(wr, {places}) END::DOUBLE AS win_rate
   FROM (SELECT *, coalesce(vol = 0, true) AS flat, CASE WHEN coalesce(vol = 0, true) THEN 0 ELSE greatest(1 + total, 0.0) ^ (252.0 / n) - 1 END::DOUBLE AS annual FROM (
     SELECT {by}, count(*)::BIGINT AS n, product(1 + {r}) - 1 AS total, stddev_samp({r}) * sqrt(252) AS vol, min(e / pk - 1) AS dd, avg(({r} > 0)::INT) AS wr FROM (
       SELECT *, max(e) OVER (PARTITION BY {by} ORDER BY t ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT *, product(1 + {r}) OVER (PARTITION BY {by} ORDER BY t ROWS UNBOUNDED PRECEDING) AS e FROM {source} WHERE {r} IS NOT NULL)) GROUP BY {by}))"""
@@ -202,7 +202,12 @@ def fold_metrics(spark, sf_dir):
     return b.metrics(j.in_own_folds(backtest(spark, sf_dir), 150, 30, 50), ["pair", "fold"])
 
 
-@query("b16_walk_forward_whole")
+WALK = BT + """, own AS (SELECT pair, unnest(range(0, (max(t) + 1 - 200) // 30 + 1))::INT AS fold FROM bt GROUP BY 1 HAVING max(t) + 1 >= 200),
+walk AS (SELECT fold, b.* FROM bt b JOIN own o ON o.pair = b.pair AND b.t BETWEEN 150 + 30 * o.fold AND 199 + 30 * o.fold)
+"""
+
+
+@query("b16_walk_forward_whole", WALK + metric_sql("walk", "pair, fold"))
 def b16_whole(spark, sf_dir):
     """The walk over as many folds as each pair's rows allow; b16_walk_forward and its SQL stop at five."""
     return rounded(fold_metrics(spark, sf_dir))

@@ -13,7 +13,7 @@ from covary.plans import registry
 from tests.conftest import SF
 from tests.test_queries import TABLES, same
 
-NEW = ["k7_distance_machine", "k11_kalman_only", "k12_regime_only", "b13_baseline_battery", "b14_ablation_battery", "b16_walk_forward_refit", "b17_refit_trend", "b19_filter_comparison", "b21_regime_value", "m12_regime_comparison", "r8_stability", "r9_stability_ranking", "d10_rotation_log", "d11_rotation_due", "m1_features_whole", "l4_table_functions", "l5_sql_functions", "a10_spearman_p", "x9_student_t", "t5_diebold_mariano_p", "t6_return_tests_p", "b15_sensitivity_whole", "k6_legacy_signals", "k10_legacy_monitor", "b23_legacy_backtest"]
+NEW = ["k7_distance_machine", "k11_kalman_only", "k12_regime_only", "b13_baseline_battery", "b14_ablation_battery", "b16_walk_forward_refit", "b17_refit_trend", "b19_filter_comparison", "b21_regime_value", "m12_regime_comparison", "r8_stability", "r9_stability_ranking", "d10_rotation_log", "d11_rotation_due", "m1_features_whole", "l4_table_functions", "l5_sql_functions", "a10_spearman_p", "x9_student_t", "t5_diebold_mariano_p", "t6_return_tests_p", "b15_sensitivity_whole", "k6_legacy_signals", "k10_legacy_monitor", "b23_legacy_backtest", "b16_walk_forward_whole", "b17_fold_trend_whole"]
 
 
 @pytest.mark.parametrize("name", NEW)
