@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from covary.llm.letters import Words, add_columns, lookup
 from covary.llm.lm import fold
-from covary.llm.store import gives_back
+from covary.llm.store import columns, gives_back
 from covary.llm.words import slices, spread
 
 SAMPLE = 6000
@@ -76,13 +76,13 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         rows = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int((1 << 20) * sample / total))
     counts = rows.select("text", "lang").mapInArrow(gives_back(_count(languages)), "size int, hash bigint, language int, n bigint")
     by_gram = counts.groupBy("size", "hash").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("language") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(languages))]).filter(F.col("n") >= TWICE)
-    found = by_gram.drop("n").toPandas()  # of a bounded sample
+    found = columns(by_gram.drop("n"))  # of a bounded sample
     hashes, scores = [], []
     for n in range(LONGEST + 1):
-        table = found[found["size"] == n]
-        keys = table["hash"].to_numpy(np.int64).view(np.uint64)
+        own = np.flatnonzero(found["size"] == n)
+        keys = found["hash"][own].view(np.uint64)
         order = np.argsort(keys)
-        seen = table[[f"n{k}" for k in range(len(languages))]].to_numpy(float)[order] + 0.5
+        seen = np.stack([found[f"n{k}"][own][order] for k in range(len(languages))], 1) + 0.5 if languages else np.zeros((len(own), 0))
         hashes.append(keys[order])
         scores.append(np.log(seen / seen.sum(0)) if len(seen) else seen)
     return Model(languages, hashes, scores)

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from covary.llm.letters import Words, add_columns, lookup
 from covary.llm.lm import fold
-from covary.llm.store import bounded_batches, gives_back
+from covary.llm.store import bounded_batches, columns, gives_back
 from covary.llm.words import slices
 
 SAMPLE = 20_000
@@ -75,7 +75,7 @@ def _trigrams(batches):
 
 def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log probability of a character after two others, over the words of all documents (a table of fixed size)."""
-    got = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(gives_back(_trigrams), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    got = columns(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(gives_back(_trigrams), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")))
     n = np.zeros(_SIZE**3)
     n[got["at"]] = got["n"]
     n = n.reshape(_SIZE, _SIZE, _SIZE)
@@ -243,23 +243,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = F.pmod(F.xxhash64(F.lit("part"), "_labelled"), F.lit(3))
     shared = spark.sparkContext.broadcast(characters)
     lexicon, rest = rows.filter(part > 0), rows.filter(part == 0)
-    n = lexicon.groupBy("toxic").count().toPandas().set_index("toxic")["count"]
-    p, q = int(n.get(1, 0)), int(n.get(0, 0))
+    n = {r["toxic"]: r["count"] for r in lexicon.groupBy("toxic").count().collect()}  # a row per label
+    p, q = n.get(1, 0), n.get(0, 0)
     empty = np.zeros(0, np.uint64), np.zeros(0)
     if not p or not q:
         share = (p + 0.0) / max(1, p + q)
         return Model(characters, *empty, np.array([np.log(max(share, 1e-12) / max(1 - share, 1e-12)), 0, 0, 0]))
     counts = lexicon.select("text", "toxic").mapInArrow(gives_back(_count(shared)), "hash bigint, toxic bigint, clean bigint").groupBy("hash").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     weight = F.log((F.col("a") + 0.5) / (p + 1)) - F.log((F.col("b") + 0.5) / (q + 1))
-    found = counts.filter((F.col("hash") != 0) & (F.col("a") >= LEAST)).withColumn("weight", weight).filter(F.col("weight") > LIKELIER).select("hash", "weight").toPandas()  # of a bounded sample
-    hashes = found["hash"].to_numpy(np.int64).view(np.uint64)
+    found = columns(counts.filter((F.col("hash") != 0) & (F.col("a") >= LEAST)).withColumn("weight", weight).filter(F.col("weight") > LIKELIER).select("hash", "weight"))  # of a bounded sample
+    hashes = found["hash"].view(np.uint64)
     order = np.argsort(hashes)
-    model = Model(characters, hashes[order], found["weight"].to_numpy(float)[order], np.zeros(4))
-    measured = add_columns(rest.select("text", "toxic"), "text", _measure(spark.sparkContext.broadcast(model)), _columns("")).select("toxic", *_FIELDS).toPandas()
-    if measured["toxic"].nunique() < 2:  # nothing to fit the curve on
+    model = Model(characters, hashes[order], found["weight"][order], np.zeros(4))
+    measured = columns(add_columns(rest.select("text", "toxic"), "text", _measure(spark.sparkContext.broadcast(model)), _columns("")).select("toxic", *_FIELDS))
+    if len(np.unique(measured["toxic"])) < 2:  # nothing to fit the curve on
         model.curve = np.array([-4.0, 2.0, 0.0, 0.0])
     else:
-        model.curve = _curve(measured[_FIELDS].to_numpy(float), measured["toxic"].to_numpy(float))
+        model.curve = _curve(np.stack([measured[x] for x in _FIELDS], 1), measured["toxic"].astype(float))
     return model
 
 

@@ -50,6 +50,18 @@ def test_bpe_vocabulary_of_a_task_starts_anew(spark):
     assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == dict(enumerate(enc.encode_ordinary_batch(texts)))
 
 
+def test_models_reach_the_driver_as_arrow_columns_not_as_rows(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def refuse(self):
+        raise AssertionError("every row becomes an object of the driver")
+
+    monkeypatch.setattr(type(docs), "toPandas", refuse)
+    model = langid.fit(docs)
+    assert model.languages and all(len(h) and h.tolist() == sorted(set(h.tolist())) and s.shape == (len(h), len(model.languages)) for h, s in zip(model.hashes, model.scores, strict=True))
+    assert len(toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet")).hashes)
+
+
 def test_bpe_long_words_merge_like_the_fold():
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(BPE), special_tokens={})
     ranks = bpe.load_ranks(BPE)
