@@ -290,7 +290,9 @@ def m9k(spark, sf_dir):
     expected = rows.join(columns, "k").agg(F.sum(F.col("r") * F.col("c")).alias("e"))
     hit = n.agg(F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)).alias("h"), F.sum("n").alias("total"))
     po, pe = F.col("h") / F.col("total"), F.col("e") / (F.col("total") * F.col("total"))
-    return hit.join(F.broadcast(expected)).select(r6(po).alias("accuracy"), r6((po - pe) / (1 - pe)).alias("kappa"))
+    # where all rows are of one class, chance agrees as well as the prediction does: 0 / 0, which is NaN in SQL too
+    kappa = F.when(pe == 1, float("nan")).otherwise(F.try_divide(po - pe, 1 - pe))
+    return hit.join(F.broadcast(expected)).select(r6(po).alias("accuracy"), r6(kappa).alias("kappa"))
 
 
 @query("m10_transitions", "SELECT *, round(n / sum(n) OVER (PARTITION BY pair, from_regime), 6) AS prob FROM (SELECT pair, before AS from_regime, regime AS to_regime, count(*)::BIGINT AS n FROM (SELECT pair, regime, lag(regime) OVER (PARTITION BY pair ORDER BY t) AS before FROM spine) WHERE before IS NOT NULL GROUP BY 1, 2, 3)")

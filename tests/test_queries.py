@@ -74,3 +74,17 @@ def test_whole_walk_has_a_sixth_fold_and_its_trend(spark):
     for r in registry.QUERIES["b17_fold_trend_whole"](spark, sf).collect():
         own = [w["total"] for (pair, _), w in walk.items() if pair == r["pair"]]
         assert r["folds"] == len(own) and r["consistency"] == pytest.approx(sum(v > 0 for v in own) / len(own), abs=1e-6)
+
+
+def test_kappa_of_a_single_class_is_that_of_sql(spark, tmp_path):
+    con = duckdb.connect()
+    for name in ("nation", "region", "supplier", "lineitem"):
+        # prices within a tenth of a percent of each other: no week is volatile, so that truth and prediction are of one class
+        calm = " replace (1000 + l_extendedprice / 1e5 as l_extendedprice)" if name == "lineitem" else ""
+        con.execute(f"copy (select *{calm} from '{SF}/{name}.parquet') to '{tmp_path}/{name}.parquet' (format parquet)")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    assert [r[:2] for r in con.execute(registry.ORACLES["m9_confusion"]).fetchall()] == [(2, 2)]
+    (accuracy, kappa), *more = con.execute(registry.ORACLES["m9_kappa"]).fetchall()
+    got = registry.QUERIES["m9_kappa"](spark, str(tmp_path)).collect()
+    assert not more and accuracy == 1 and math.isnan(kappa)
+    assert len(got) == 1 and got[0]["accuracy"] == 1 and math.isnan(got[0]["kappa"])
