@@ -50,10 +50,14 @@ REPAIR_SQL = f"SELECT f[1] || ',' || f[2] || ',' || f[3] || ',' || f[4] AS line
 
 # the log's columns, in order
 FIELDS = [("timestamp", "timestamp"), ("pair", "string"), ("signal", "int"), ("z_score", "double"), ("regime", "string"), ("confidence", "double"), ("qty_y", "double"), ("qty_x", "double"), ("price_y", "double"), ("price_x", "double"), ("hedge_ratio", "double")]
-WIDEST = 32  # fields of a line that are told apart
 BAD = "corrupt_line"
 
 
+def _unquoted(field):
+    """The field without quotes and blanks around it; the pattern runs only where there is a quote."""
+    return F.when(F.contains(field, F.lit('"')), F.trim(F.regexp_replace(field, '^"+|"+$', ""))).otherwise(field)
+
+
 def scan_log(spark: SparkSession, path: str) -> DataFrame:
     """(timestamp .. hedge_ratio, fields, corrupt_line): every line of a log's files, typed as far as it goes.
 
@@ -61,16 +65,16 @@ def scan_log(spark: SparkSession, path: str) -> DataFrame:
     quotes and blanks around fields go, headers and empty lines are left out. A line with too few fields, or whose time, signal
     or z-score cannot be read, is kept whole as corrupt_line (else null).
     """
-    wide = ", ".join(f"c{i} string" for i in range(WIDEST))
-    lines = spark.read.text(path).withColumn("value", F.trim(F.regexp_replace("value", "\r", ""))).filter("value <> ''")
-    parsed = lines.withColumn("v", F.from_csv("value", wide, {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}))
-    parts = F.array(*[F.col(f"v.c{i}") for i in range(WIDEST)])
-    clean = F.transform(parts, lambda c: F.trim(F.regexp_replace(F.trim(c), '^"+|"+$', "")))
-    commas = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), ","))  # fields of the line, quoted commas aside
-    rows = parsed.select("value", clean.alias("f"), commas.alias("fields"))
-    rows = rows.filter(F.coalesce(F.lower(F.get("f", F.lit(0))) != "timestamp", F.lit(True)))
-    typed = [F.try_to_timestamp(F.get("f", F.lit(i))) if kind == "timestamp" else F.nullif(F.get("f", F.lit(i)), F.lit("")).try_cast(kind) for i, (_, kind) in enumerate(FIELDS)]
-    out = rows.select(*[c.alias(name) for c, (name, _) in zip(typed, FIELDS, strict=True)], "fields", "value")
+    # inline makes the parsed fields columns: each line is parsed once, however often its fields are used after that
+    wide = ", ".join(f"c{i} string" for i in range(len(FIELDS)))
+    lines = spark.read.text(path).select(F.trim(F.replace("value", F.lit("\r"), F.lit(""))).alias("value")).filter("value <> ''")
+    parsed = lines.select("value", F.inline(F.array(F.from_csv("value", wide, {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}))))
+    clean = [_unquoted(F.trim(f"c{i}")) for i in range(len(FIELDS))]
+    bare = F.when(F.contains("value", F.lit('"')), F.regexp_replace("value", '"[^"]*"', "")).otherwise(F.col("value"))
+    commas = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(","), F.lit(""))) + 1  # fields of the line, quoted commas aside
+    rows = parsed.filter(F.coalesce(F.lower(clean[0]) != "timestamp", F.lit(True)))
+    typed = [F.try_to_timestamp(c) if kind == "timestamp" else F.nullif(c, F.lit("")) if kind == "string" else c.try_cast(kind) for c, (_, kind) in zip(clean, FIELDS, strict=True)]
+    out = rows.select(*[c.alias(name) for c, (name, _) in zip(typed, FIELDS, strict=True)], commas.alias("fields"), "value")
     bad = (F.col("fields") < len(FIELDS)) | F.col("timestamp").isNull() | F.col("signal").isNull() | F.col("z_score").isNull()
     return out.withColumn(BAD, F.when(bad, F.col("value"))).drop("value")
 

@@ -83,6 +83,19 @@ def test_a_malformed_log_is_read_in_full_and_rewritten(spark, tmp_path):
     assert (old / "trades.csv").read_bytes() == "\n".join(lines).encode()
 
 
+def test_a_log_line_is_parsed_once_whatever_is_asked_of_it(spark, tmp_path):
+    long = ["2024-01-02 10:00:00", '"A, ""B"', "1", '"2.5"', "", *"123456"] + ["z"] * 40  # more fields than are told apart
+    lines = [",".join(long), ",".join(long[:6]), '2024-01-03 10:00:00,"""",1,2.5," \'calm\' ",,,,,,', '2024-01-04 10:00:00,"A/B,1,2.5,calm,1,1,1,1,1,1', '"Timestamp" ,pair']
+    (tmp_path / "log.csv").write_text("\n".join(lines))
+    every = tradelog.scan_log(spark, f"file://{tmp_path}/log.csv")
+    good, bad = every.filter(F.col(tradelog.BAD).isNull()), every.filter(F.col(tradelog.BAD).isNotNull())
+    for df in (every, good, bad.select(tradelog.BAD), good.agg(F.count(F.lit(1)))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1  # not once for every use of a field
+    got = [tuple(r)[1:12] for r in good.orderBy("timestamp").collect()]
+    assert got == [('A, ""B', 1, 2.5, None, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 51), (None, 1, 2.5, "'calm'", None, None, None, None, None, None, 11)]
+    assert {(r["fields"], r[tradelog.BAD]) for r in bad.collect()} == {(6, lines[1]), (11, lines[3])}
+
+
 def series(rng, n, kind):
     noise = rng.normal(size=n)
     if kind == "walk":
